@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from lodestrata.llm.sharding import op5_sharding
 from lodestrata.llm.sstable import op1_token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op4_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_shards, op4_exact_dedup, op5_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
