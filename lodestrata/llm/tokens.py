@@ -1,38 +1,54 @@
-"""Token ids of texts by a public byte-level BPE, with a bounded memo of pre-tokens.
+"""Token ids of texts by a public byte-level BPE, with a bounded memo of chunks.
 
-The tokenizer splits a text by a fixed pattern and encodes each piece by itself, so a piece
-that comes again has the same ids. Pieces are kept packed as bytes; encoding a text is then
-one split and one join. Texts with characters outside the plain ranges below, where two
-pattern engines could differ, go to the tokenizer whole.
+The tokenizer's pattern splits a text into white space and words with at most one space before them,
+and encodes each piece by itself. So a text may be cut before any space or newline that a character
+other than white space follows, without changing its ids. Chunks cut so are encoded by the library
+once and kept packed as bytes while the memo has room; a text is then one split, look-ups and a join.
+Texts with longer runs of white space, or where a chunk begins with a character that pattern engines
+may class differently, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 
 import numpy as np
 
-#: Characters on whose classes every Unicode version and pattern engine agrees.
-_OTHER = r"[^\x09\x0A\x0D\x20-\x7E¡-¬®-ɏΑ-ΡΣ-ωА-я–—‘-„…€一-龥]"
+#: Characters that every pattern engine takes for letters, digits, marks or signs, never for white space.
+_PLAIN = re.compile("[!-~¡-¬®-ɏΑ-ΡΣ-ωА-я–—‘-„…€一-龥]")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я]+")
+#: ASCII signs; the apostrophe is none here, as the pattern knows 's, 't and others.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CACHE: dict = {}
 
 
+def byte_alphabet() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class PackedEncoder:
-    """Encodes texts to packed little-endian ids. memo: most pieces that are kept (about 150 bytes each)."""
+    """Encodes texts to packed little-endian ids. memo: most chunks that are kept (about 150 bytes each)."""
 
-    def __init__(self, name: str = "byte_bpe_50k.json", memo: int = 600_000, dtype: str = "<u2"):
+    def __init__(self, name: str = "byte_bpe_50k.json", memo: int = 250_000, dtype: str = "<u2"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = dtype if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.other = regex.compile(_OTHER).search
+        self.model = self.tokenizer.model
+        self.code = "H" if self.width == 2 else "I"
+        self.alphabet = byte_alphabet()
+        self.space = chr(self.alphabet[32])
         self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.most = memo
 
     @classmethod
@@ -46,18 +62,50 @@ class PackedEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.other(text):
-            return self.whole(text)
-        pieces, memo = self.split(text), self.memo
+        memo = self.memo
+        # a part stands for itself with the space before it, or begins with its newline
+        first, *parts = text.replace("\n", " \n").split(" ")
         try:
-            return b"".join([memo[p] for p in pieces])
+            return self.whole(first) + b"".join([memo[p] for p in parts])
         except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in memo]
-        found = {p: np.asarray(e.ids, self.dtype).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        if len(memo) + len(found) <= self.most:
-            memo.update(found)
-            return b"".join([memo[p] for p in pieces])
-        return b"".join([memo[p] if p in memo else found[p] for p in pieces])
+            new = [p for p in dict.fromkeys(parts) if p not in memo]
+        found, unknown = {}, {}
+        for p in new:
+            if not _PLAIN.match(p, 1 if p[:1] == "\n" else 0):
+                return self.whole(text)
+            # a word and the signs after it are pieces of their own, wherever the space is
+            word = p.rstrip(_SIGNS)
+            if not _LETTERS.match(word[-1:]):
+                word = p
+            unknown.setdefault(word, []).append(p)
+        for word in [w for w in unknown if w in memo]:
+            for p in unknown.pop(word):
+                found[p] = memo[word] + self.signs(p[len(word) :])
+        for word, whole in unknown.items():
+            raw = self.chunk(word)
+            if len(memo) < self.most:
+                memo[word] = raw
+            for p in whole:
+                found[p] = raw + self.signs(p[len(word) :]) if p != word else raw
+        return self.whole(first) + b"".join([memo[p] if p in memo else found[p] for p in parts])
+
+    def chunk(self, word: str) -> bytes:
+        """The ids of a part with its space or newline."""
+        if word[0] == "\n":
+            return self.whole(word)
+        if not _LETTERS.fullmatch(word):
+            return self.whole(" " + word)
+        # letters after a space are one piece: the model takes it as it is, in the byte alphabet
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(self.space + piece)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def signs(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.whole(tail) if tail else b""
+        return self.tails[tail]
 
     def count(self, text: str) -> int:
         return len(self.encode(text)) // self.width
