@@ -103,7 +103,7 @@ def shingle_sets(texts: pa.Array, width: int = 5, size: int = 4 << 20) -> Iterat
         starts, ends, word = spans(raw, at)
         h = word_hashes(raw, starts, ends)
         n = np.diff(word)
-        whole = _PLACES[0] * _U(width) + np.zeros(max(0, len(h) - width + 1), _U)
+        whole = np.full(max(0, len(h) - width + 1), width, _U)
         for k in range(width):
             if len(h) >= width:
                 whole += h[k : len(h) - width + 1 + k] * _PLACES[k]
