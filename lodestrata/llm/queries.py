@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.llm.decontaminate import op10_decontamination
 from lodestrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from lodestrata.llm.minmax_dedup import op9_minhash
 from lodestrata.llm.sharding import op5_sharding
@@ -13,7 +14,7 @@ from lodestrata.llm.sstable import op1_token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op4_exact_dedup, op5_sharding, op9_minhash)}
+    return {f.__name__: f for f in (op1_token_shards, op4_exact_dedup, op5_sharding, op9_minhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
