@@ -7,15 +7,17 @@ are needed. Bands of `ROWS` entries are hashed to bucket keys.
 
 1. Documents are read once: set fingerprint (128 bits), size, band keys, and a sketch of 8 bits an entry.
    Equal sets are one class; classes are what is linked.
-2. Each bucket of two classes or more links its members with its least class. Links whose sketches agree too
+2. Each bucket of two classes or more links its members with its center: the class with most company in all
+   its buckets, which in a group of copies is the text that was copied. Links whose sketches agree too
    little for a similarity of 0.75 (five standard deviations) are put aside; the rest are confirmed on
    full sets from whole texts.
-3. In buckets whose members are still in different components, sketches of members of different components are
-   compared in blocks; what may be similar and was not tested before is confirmed too, first the `BEST` of a
-   class in a block, then four times as many, and so on, until no block has more.
+3. In buckets whose members are still in different components, all members of different components are compared in
+   blocks of `BLOCK`: sizes and sketches first, then the shingles' hashes cut to 32 bits. Of the pairs that pass, those that join
+   components not yet joined in the block are confirmed on full sets as well. No pair is left out.
 4. The component's first document is the one with the smallest id.
 
-So only classes that may be similar make rows of pairs, and a hot bucket is dealt in blocks. The chance to
+Classes are named by 64 bits of their fingerprint; two of n different sets share a name with a chance of about
+n * n / 2**65. So only classes that may be similar make rows of pairs, and a hot bucket is dealt in blocks. The chance to
 miss a link at 0.75 exactly is about 2e-6 by banding, less above.
 
 Null or empty texts and texts without words have an empty set and are linked with nothing. A null id comes after
@@ -41,7 +43,7 @@ PERMUTATIONS = ROWS * BANDS // 2
 NUM, DEN = 75, 100  # linked if DEN * intersection >= NUM * union
 #: Entries that agree at least in sketches of sets at the threshold: the mean less five standard deviations.
 AGREE = int(ROWS * BANDS * 0.75 - 5 * (ROWS * BANDS * 0.75 * 0.25) ** 0.5)
-BLOCK, BEST = 1024, 32
+BLOCK = 512
 #: Most rows of (id, text hash) that are broadcast; more are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -106,7 +108,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = text_or_empty(text)
-    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -117,11 +119,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), ROWS * BANDS)
 
 
+def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return DEN * np.minimum(x, y) >= NUM * np.maximum(x, y)
+
+
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 4096):
             part = batch.slice(i, 4096)
-            keep = _agree(_matrix(part.column("su")), _matrix(part.column("sv"))) >= AGREE
+            keep = _sizes_fit(part.column("nu").to_numpy(), part.column("nv").to_numpy())
+            keep &= _agree(_matrix(part.column("su")), _matrix(part.column("sv"))) >= AGREE
             yield part.select(["u", "v"]).filter(pa.array(keep))
 
 
@@ -140,12 +147,76 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = sets[code[k]], sets[code[n + k]]
                 if len(x) > len(y):
                     x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+                both = _common(x, y)
                 keep[k] = both > 0 and DEN * both >= NUM * (len(x) + len(y) - both)
-            yield part.select(["u", "v"]).append_column("link", pa.array(keep))
+            yield part.select(["u", "v"]).filter(pa.array(keep))
 
 
-_NODE = "struct<a:bigint,b:bigint>"
+def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, hashes, bounds in textkit.shingle_sets(batch.column(1), WIDTH):
+            short = (hashes >> np.uint64(32)).astype(np.uint32)
+            cut = [short[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(bounds) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cut)), pa.array(cut, pa.binary())], names=["node", "cut"])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Values of sorted x that are in sorted y."""
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
+def _block(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
+    node, part, mine = (rows.column(c).to_numpy() for c in ("node", "part", "mine"))
+    cuts = [np.frombuffer(c.as_buffer(), np.uint32) for c in rows.column("cut")]
+    n, s = np.array([len(c) for c in cuts]), _matrix(rows.column("sketch"))
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    joined = part.copy()
+    u, v = [], []
+    for x in left:
+        ys = right[right > x] if i == j else right
+        ys = ys[(joined[ys] != joined[x]) & _sizes_fit(n[ys], n[x])]
+        if not len(ys):
+            continue
+        agree = _agree(s[ys], s[x][None, :])
+        ys = ys[np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]]
+        for y in ys:
+            if joined[x] != joined[y]:
+                both = _common(cuts[x], cuts[y])
+                if DEN * both >= NUM * (int(n[x]) + int(n[y]) - both):
+                    u.append(min(node[x], node[y])), v.append(max(node[x], node[y]))
+                    joined[joined == joined[y]] = joined[x]
+    return u, v
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come in order of (key, i, j); one is held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def ends(b: pa.RecordBatch) -> tuple:
+        return tuple(b.column(c)[0].as_py() for c in ("key", "i", "j"))
+
+    def done() -> pa.RecordBatch:
+        u, v = _block(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = np.r_[0, np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1, batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = batch.slice(a, b - a)
+            if held and ends(held[0]) != ends(part):
+                yield done()
+            held.append(part)
+    if held:
+        yield done()
+
+
+#: Stands for a null id, which comes after all others.
+_NO_ID = (1 << 63) - 1
 
 
 class _Search:
@@ -154,110 +225,85 @@ class _Search:
     def __init__(self, docs: DataFrame, key: str, text: str, broadcast_rows: int):
         self.rows, self.broadcast_rows = _rows(docs, key, text), broadcast_rows
         self.signed = written(self.rows.mapInArrow(_sign, _SIGNED), "signed")
-        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-        self.classes = written(self.signed.where("n > 0").groupBy(F.struct("a", "b").alias("node")).agg(first.alias("first"), F.max("sketch").alias("sketch")), "classes")
+        found = self.signed.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("th", "id").alias("th"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+        self.classes = written(found.withColumnRenamed("a", "node"), "classes")
 
     def members(self) -> DataFrame:
-        """(key, node, center) of buckets with two classes or more; a bucket's center is its least class."""
-        band = self.signed.where("bands is not null").select(F.explode("bands").alias("key"), F.struct("a", "b").alias("node"))
-        several = band.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center <> most").drop("most")
-        return written(band.join(several, "key"), "buckets")
+        """(key, node) of buckets with two classes or more."""
+        band = self.signed.where("bands is not null").select(F.explode("bands").alias("key"), F.col("a").alias("node"))
+        several = band.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+        return written(band.join(several, "key").distinct(), "buckets")
+
+    def star(self, members: DataFrame) -> DataFrame:
+        """(u, v): each bucket's members with its center, the class whose buckets have most members in all."""
+        company = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("company"))
+        center = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("center"))
+        pairs = members.join(center, "key").where("node <> center")
+        return written(pairs.select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct(), "star")
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose sketches agree enough."""
-        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("sketch").alias("s" + x))
-        return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_may_link, f"u {_NODE}, v {_NODE}")
+        """Pairs (u, v) whose sizes and sketches agree enough."""
+        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+        return written(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_may_link, "u long, v long"), "plausible")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """(u, v, link) for written pairs, by the sets of whole texts."""
-        needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        needed = written(needed.join(self.classes, "node").select("node", "first.id", "first.th"), "needed")
-        side = F.broadcast(needed) if needed.count() <= self.broadcast_rows else needed
-        rows = self.rows
-        found = rows.join(side, rows["id"].eqNullSafe(side["id"]) & (rows["th"] == side["th"])).select("node", "text")
-        texts = written(found, "texts")
+        """Those of the written pairs (u, v) that are linked, by the sets of whole texts."""
+        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        texts = written(self.texts(nodes), "texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias("t" + x))
-        both = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_confirm, f"u {_NODE}, v {_NODE}, link boolean")
-        return written(both.distinct(), "confirmed")
+        return written(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_confirm, "u long, v long").distinct(), "confirmed")
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of the nodes; one pass over the documents, with the ids broadcast if they are few."""
+        needed = written(nodes.join(self.classes, "node").select("node", "id", "th"), "needed")
+        side = F.broadcast(needed) if needed.count() <= self.broadcast_rows else needed
+        return self.rows.join(side, ["id", "th"]).select("node", "text")
 
-    def left_over(self, members: DataFrame, labels: DataFrame, tested: DataFrame, most: int) -> tuple[DataFrame, bool]:
-        """(u, v) of untested pairs of different components in a bucket that may be similar: those that agree most, `most` at a time
-        for a class and a block of others; and whether there are more."""
+    def left_over(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(u, v) of different components in a bucket whose cut sets are linked; enough to join all such components."""
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part"))
         open_ = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
-        placed = written(placed.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").distinct(), "open")
+        placed = written(placed.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "open")
+        cut = self.texts(placed.select("node").distinct()).mapInArrow(_cut_sets, "node long, cut binary")
+        cut = written(cut.groupBy("node").agg(F.max("cut").alias("cut")).join(self.classes.select("node", "sketch"), "node"), "cut-sets")
         mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
         ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
-        dealt = placed.withColumn("mine", mine).select("key", "node", "part", "mine", F.explode(ij).alias("ij")).join(self.classes.select("node", "sketch"), "node")
-
-        def compare(block: pa.Table) -> pa.Table:
-            s = _matrix(block.column("sketch").combine_chunks())
-            node, part = block.column("node").to_pylist(), block.column("part").to_pylist()
-            ids = {}
-            comp = np.array([ids.setdefault((p["a"], p["b"]), len(ids)) for p in part])
-            mine = block.column("mine").to_numpy()
-            i, j = block.column("ij")[0].as_py().values()
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            u, v, more = [], [], []
-            for x in left:
-                ys = right[(right > x) if i == j else slice(None)]
-                ys = ys[comp[ys] != comp[x]]
-                agree = _agree(s[ys], s[x][None, :])
-                ys, agree = ys[agree >= AGREE], agree[agree >= AGREE]
-                rest = len(ys) > most
-                for y in ys[np.argsort(-agree, kind="stable")[:most]]:
-                    u.append(node[x]), v.append(node[y]), more.append(rest)
-            kind = block.schema.field("node").type
-            return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind), "more": pa.array(more, pa.bool_())})
-
-        pairs = dealt.groupBy("key", "ij").applyInArrow(compare, f"u {_NODE}, v {_NODE}, more boolean")
-        pairs = written(pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("more").alias("more")), "left-over")
-        done = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        return written(pairs.join(done, ["u", "v"], "left_anti").select("u", "v"), "untested"), bool(pairs.where("more").limit(1).count())
+        dealt = placed.withColumn("mine", mine).select("key", "node", "part", "mine", F.explode(ij).alias("ij")).select("key", "ij.i", "ij.j", "mine", "node", "part")
+        dealt = dealt.join(cut, "node").select("key", "i", "j", "mine", "node", "part", "cut", "sketch")
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return written(dealt.mapInArrow(_compare, "u long, v long").distinct(), "left-over")
 
     def labels(self) -> DataFrame:
         """(node, label) of all classes that are linked."""
         members = self.members()
-        star = members.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-        tested = star = written(star, "star")
-        links = self.confirmed(written(self.plausible(star), "plausible")).where("link")
-        most = BEST
-        while True:
-            labels = written(components(links), "labels")
-            now, more = self.left_over(members, labels, tested, most)
-            if now.count():
-                links = written(links.union(self.confirmed(now).where("link")), "links")
-                tested = tested.unionByName(now)
-                if not more:
-                    return written(components(links), "labels")
-            elif not more:
-                return labels
-            most *= 4
-
-    def firsts(self) -> DataFrame:
-        """(node, first): the first document of each linked class's component."""
-        placed = written(self.labels().join(self.classes.select("node", "first"), "node"), "placed")
-        least = placed.groupBy("label").agg(F.min("first").alias("least"))
-        return placed.join(least, "label").select("node", F.col("least").alias("top"))
+        links = self.confirmed(self.plausible(self.star(members)))
+        labels = written(components(links), "labels")
+        more = self.confirmed(self.left_over(members, labels))
+        return written(components(links.union(more)), "labels") if more.limit(1).count() else labels
 
     def decided(self) -> DataFrame:
-        """Every row's id, th, n and `top`, the first document of its component."""
-        whole = self.classes.select("node", "first").join(self.firsts(), "node", "left").select("node", F.coalesce("top", "first").alias("top"))
-        rows = self.signed.select("id", "th", "n", F.struct("a", "b").alias("node"))
-        alone = rows.where("n = 0").select("id", "th", "n", F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("top"))
-        return rows.where("n > 0").join(whole, "node").select("id", "th", "n", "top").unionByName(alone)
+        """Every row's id, th and n, and top and top_th, id and text hash of the first document of its component."""
+        placed = written(self.labels().join(self.classes.select("node", "id", "th"), "node"), "placed")
+        least = placed.groupBy("label").agg(F.min("id").alias("top"), F.min_by("th", "id").alias("top_th"))
+        firsts = placed.join(least, "label").select("node", "top", "top_th")
+        whole = self.classes.select("node", "b", "id", "th").join(firsts, "node", "left")
+        whole = whole.select(F.col("node").alias("a"), "b", F.coalesce("top", "id").alias("top"), F.coalesce("top_th", "th").alias("top_th"))
+        rows = self.signed.select("id", "th", "n", "a", "b")
+        alone = rows.where("n = 0").select("id", "th", "n", F.col("id").alias("top"), F.col("th").alias("top_th"))
+        return rows.where("n > 0").join(whole, ["a", "b"]).select("id", "th", "n", "top", "top_th").unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept."""
     found = _Search(docs, key, text, broadcast_rows).decided()
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("top.id").alias("component_id"), F.col("id").eqNullSafe(F.col("top.id")).alias("kept"))
+    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    return found.select(real("id").alias(key), F.col("n").alias("n_shingles"), real("top").alias("component_id"), (F.col("id") == F.col("top")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs that are first in their component, with all their columns."""
     found = written(_Search(docs, key, text, broadcast_rows).decided(), "decided")
-    goes = written(found.where("not (id <=> top.id and th = top.th)").select("id", "th").distinct(), "losers")
+    goes = written(found.where("not (id = top and th = top_th)").select("id", "th").distinct(), "losers")
     return drop_rows(docs, goes, found.groupBy("id", "th").count().where("count > 1").select("id", "th"), key, text, broadcast_rows)
 
 
@@ -267,7 +313,7 @@ def drop_rows(docs: DataFrame, goes: DataFrame, repeated: DataFrame, key: str, t
     rows = docs.withColumn(th, F.xxhash64(text_or_empty(text)))
 
     def on(left, right):
-        return left[key].cast("long").eqNullSafe(right["id"]) & (left[th] == right["th"])
+        return (F.coalesce(left[key].cast("long"), F.lit(_NO_ID)) == F.coalesce(right["id"], F.lit(_NO_ID))) & (left[th] == right["th"])
 
     side = F.broadcast(goes) if goes.count() <= broadcast_rows else goes
     kept = rows.join(side, on(rows, side), "left_anti")
