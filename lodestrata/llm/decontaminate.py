@@ -115,6 +115,7 @@ def phrase_matches(docs: DataFrame, items: Items, index: DataFrame, *, key: str
     side = _small(needed, broadcast_rows // 10)  # these rows are wider
     whole = docs.select(F.col(key).alias("id_"), F.xxhash64(text_or_empty(text)).alias("th_"), F.col(text).alias("text_"))
     both = whole.join(side, F.col("id_").eqNullSafe(F.col("id")) & (F.col("th_") == F.col("th"))).select("doc", "places", words("text_").alias("own"))
+    both = written(both, "compared")  # else the optimizer puts the splitting of the text into the functions below, once for each word
 
     def hit(place: Column) -> Column:
         length = F.least(F.size(place["words"]), F.lit(window))
