@@ -50,12 +50,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, starts) of runs of texts of about `size` bytes; a longer text is alone."""
+def pieces(texts: pa.Array, size: int = 4 << 20, most: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, starts) of runs of at most `most` texts of about `size` bytes; a longer text is alone."""
     raw, at = buffers(texts)
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        j = min(i + most, max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1))
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
