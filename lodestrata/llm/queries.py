@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.decontaminate import op10_decontamination
 from lodestrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from lodestrata.llm.html_extract import op8_html_text
 from lodestrata.llm.language import op7_language_id
 from lodestrata.llm.minmax_dedup import op9_minhash
 from lodestrata.llm.packing import op6_best_fit_packing
@@ -17,7 +18,7 @@ from lodestrata.llm.sstable import op1_token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_quality, op4_exact_dedup, op5_sharding, op6_best_fit_packing, op7_language_id, op9_minhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_shards, op2_quality, op4_exact_dedup, op5_sharding, op6_best_fit_packing, op7_language_id, op8_html_text, op9_minhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
