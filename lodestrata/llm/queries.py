@@ -12,14 +12,15 @@ from lodestrata.llm.html_extract import op8_html_text
 from lodestrata.llm.language import op7_language_id
 from lodestrata.llm.minmax_dedup import op9_minhash
 from lodestrata.llm.packing import op6_best_fit_packing
+from lodestrata.llm.preferences import OP3_SQL, op3_preferences
 from lodestrata.llm.quality import op2_quality
 from lodestrata.llm.sharding import op5_sharding
 from lodestrata.llm.sstable import op1_token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_quality, op4_exact_dedup, op5_sharding, op6_best_fit_packing, op7_language_id, op8_html_text, op9_minhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_shards, op2_quality, op3_preferences, op4_exact_dedup, op5_sharding, op6_best_fit_packing, op7_language_id, op8_html_text, op9_minhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op3_preferences": OP3_SQL, "op4_exact_dedup": OP4_SQL}
