@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """Fits on at most `sample` labelled rows; None without both labels. A text labelled twice has the smaller label."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key, FOLDS) != HELD_OUT))
     known = known.groupBy(F.col(key).alias("id")).agg(F.min(label).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.join(F.broadcast(known), docs[key] == known["id"]).select("id", "y", *_inputs(docs, text))
+    rows = docs.select(F.col(key).alias("id"), *_inputs(docs, text)).join(F.broadcast(known), "id").select("id", "y", "t", "said")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
