@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +58,25 @@ def unused(columns: list[str], name: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Bytes of an Arrow batch that goes to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of bounded bytes; a worker gives memory it no longer needs back after each partition."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = df.sparkSession.conf.get(limit)
+    if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(limit, f"{BATCH_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return df.mapInArrow(run, schema)

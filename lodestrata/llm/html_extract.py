@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import table, unused
+from lodestrata.llm._shared import map_batches, table, unused
 
 PAGES, TREES, DEPTH, RATE, TOKENS, LEVELS = 400, 40, 4, 0.3, 512, 16
 
@@ -422,7 +422,7 @@ def with_main_text(pages: DataFrame, forest: Forest, *, html: str = "html", name
                 texts = main_texts(part.column(len(keep)).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, name])
 
-    return rows.mapInArrow(extract, pages.select(*keep).schema.add(name, "string"))
+    return map_batches(rows, extract, pages.select(*keep).schema.add(name, "string"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm._shared import table, unused
+from lodestrata.llm._shared import map_batches, table, unused
 from lodestrata.llm.quality import fold
 
 SAMPLE, HELD_OUT, FOLDS = 4000, 2, 4
@@ -127,7 +127,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
                 part = batch.slice(first, len(share))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in share], pa.binary())], names=["id", "h", "lang", "share"])
 
-    found = rows.mapInArrow(measure, f"id {dict(rows.dtypes)['id']}, h long, lang string, share binary").toArrow().combine_chunks()
+    found = map_batches(rows, measure, f"id {dict(rows.dtypes)['id']}, h long, lang string, share binary").toArrow().combine_chunks()
     found = found.sort_by([("id", "ascending"), ("h", "ascending"), ("lang", "ascending")]).slice(0, sample)
     if not found.num_rows:
         return None
@@ -166,7 +166,7 @@ def with_language(docs: DataFrame, coder: Coder | None, *, text: str = "text", k
             lang = [UNKNOWN if x else model.langs[b] for x, b in zip(none, best)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(near | none)], names=[*keep, *names])
 
-    return rows.mapInArrow(predict, docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean"))
+    return map_batches(rows, predict, docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm._shared import table, text_or_empty, unused, written
+from lodestrata.llm._shared import map_batches, table, text_or_empty, unused, written
 from lodestrata.llm.graph import components
 
 WIDTH, ROWS, BANDS = 5, 5, 48
@@ -224,7 +224,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, key: str, text: str, broadcast_rows: int):
         self.rows, self.broadcast_rows = _rows(docs, key, text), broadcast_rows
-        self.signed = written(self.rows.mapInArrow(_sign, _SIGNED), "signed")
+        self.signed = written(map_batches(self.rows, _sign, _SIGNED), "signed")
         found = self.signed.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("th", "id").alias("th"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
         self.classes = written(found.withColumnRenamed("a", "node"), "classes")
 
@@ -244,14 +244,14 @@ class _Search:
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose sizes and sketches agree enough."""
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-        return written(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_may_link, "u long, v long"), "plausible")
+        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _may_link, "u long, v long"), "plausible")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the written pairs (u, v) that are linked, by the sets of whole texts."""
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
         texts = written(self.texts(nodes), "texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias("t" + x))
-        return written(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_confirm, "u long, v long").distinct(), "confirmed")
+        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _confirm, "u long, v long").distinct(), "confirmed")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of the nodes; one pass over the documents, with the ids broadcast if they are few."""
@@ -264,14 +264,14 @@ class _Search:
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part"))
         open_ = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
         placed = written(placed.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "open")
-        cut = self.texts(placed.select("node").distinct()).mapInArrow(_cut_sets, "node long, cut binary")
+        cut = map_batches(self.texts(placed.select("node").distinct()), _cut_sets, "node long, cut binary")
         cut = written(cut.groupBy("node").agg(F.max("cut").alias("cut")).join(self.classes.select("node", "sketch"), "node"), "cut-sets")
         mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
         ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
         dealt = placed.withColumn("mine", mine).select("key", "node", "part", "mine", F.explode(ij).alias("ij")).select("key", "ij.i", "ij.j", "mine", "node", "part")
         dealt = dealt.join(cut, "node").select("key", "i", "j", "mine", "node", "part", "cut", "sketch")
         dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return written(dealt.mapInArrow(_compare, "u long, v long").distinct(), "left-over")
+        return written(map_batches(dealt, _compare, "u long, v long").distinct(), "left-over")
 
     def labels(self) -> DataFrame:
         """(node, label) of all classes that are linked."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import table, text_or_empty, written
+from lodestrata.llm._shared import map_batches, table, text_or_empty, written
 from lodestrata.llm.sharding import number_rows
 from lodestrata.llm.tokens import PackedEncoder
 
@@ -78,7 +78,7 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", to
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["id", "size"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("id"), text_or_empty(text).alias("t")).mapInArrow(count, f"id {kind}, size long")
+    return map_batches(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("t")), count, f"id {kind}, size long")
 
 
 def pack_rows(sizes: DataFrame, *, lengths: tuple[int, ...] = LENGTHS, group_rows: int = GROUP_ROWS) -> DataFrame:

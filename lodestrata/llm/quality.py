@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm._shared import table, text_or_empty, unused
+from lodestrata.llm._shared import map_batches, table, text_or_empty, unused
 
 SAMPLE, HELD_OUT, FOLDS, THRESHOLD = 6000, 0, 5, 0.3
 WORD_BITS, BINS, FACTORS = 16, 8, 8
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 )
 
     kind = dict(rows.dtypes)["id"]
-    found = rows.mapInArrow(measure, f"id {kind}, y double, stats array<double>, index array<int>, value array<float>").toArrow().combine_chunks().sort_by("id").slice(0, sample)
+    found = map_batches(rows, measure, f"id {kind}, y double, stats array<double>, index array<int>, value array<float>").toArrow().combine_chunks().sort_by("id").slice(0, sample)
     y = found["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return None
@@ -212,7 +212,7 @@ def with_score(docs: DataFrame, machine: Machine | None, *, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out)], names=[*names[: len(keep)], name])
 
     schema = docs.select(*keep).schema.add(name, "double")
-    return rows.mapInArrow(score, schema)
+    return map_batches(rows, score, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

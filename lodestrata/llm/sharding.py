@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import table, text_or_empty, written
+from lodestrata.llm._shared import map_batches, table, text_or_empty, written
 
 #: Mean rows of a bucket of the second permutation.
 BUCKET_ROWS = 1024
@@ -91,7 +91,7 @@ def assign(numbered: DataFrame, *, shards: int = 16, seed: int = 17, bucket_rows
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(at)], names=[*columns, "shard"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", shard int"
-    rows = numbered.join(plan, "part").select(*columns, "takes").mapInArrow(deal, schema)
+    rows = map_batches(numbered.join(plan, "part").select(*columns, "takes"), deal, schema)
     buckets = max(1, -(-total // (shards * bucket_rows)))
     rnd = F.xxhash64(F.lit(seed), "part", "n")
     rows = written(rows.withColumn("rnd", rnd).withColumn("bucket", F.pmod("rnd", F.lit(buckets)).cast("int")), "dealt")

@@ -21,7 +21,7 @@ BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 _PLACES = _RNG.integers(1 << 63, dtype=np.uint64, size=16) * _U(2) + _U(1)
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _POWERS: list[np.ndarray] = []
 
 
@@ -50,7 +50,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(texts: pa.Array, size: int = 4 << 20, most: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, size: int = 1 << 20, most: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, starts) of runs of at most `most` texts of about `size` bytes; a longer text is alone."""
     raw, at = buffers(texts)
     i, n = 0, len(at) - 1
@@ -96,7 +96,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def shingle_sets(texts: pa.Array, width: int = 5, size: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(texts: pa.Array, width: int = 5, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, hashes, bounds) for runs of texts: the sorted distinct shingle hashes of text first + i are
     hashes[bounds[i]:bounds[i + 1]]. Fewer than `width` words make one shingle, none make none."""
     for first, last, raw, at in pieces(texts, size):

@@ -50,7 +50,7 @@ class PackedEncoder:
         self.memo: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.numbers: dict[str, int] = {}
-        self.most, self.most_numbers = memo, 2 * memo
+        self.most = memo
 
     @classmethod
     def shared(cls, name: str) -> PackedEncoder:
@@ -125,7 +125,7 @@ class PackedEncoder:
                 word = p
             if (n := memo.get(word, found.get(word))) is None:
                 n = len(self.chunk(word)) // self.width
-                if len(memo) < self.most_numbers:
+                if len(memo) < self.most:
                     memo[word] = n
             found[p] = n + len(self.signs(p[len(word) :])) // self.width if p != word else n
         return len(self.whole(first)) // self.width + sum([memo[p] if p in memo else found[p] for p in parts])
