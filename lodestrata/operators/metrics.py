@@ -12,7 +12,7 @@ ROUTE_COUNTERS = ("passthrough_frames", "retile_frames", "blank_frames", "fallba
 
 def saturating_sum(column: str) -> Column:
     """Sum of counters of 0 or more, at most the largest unsigned 64-bit number."""
-    return F.least(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(U64).cast("decimal(38,0)"))
+    return F.least(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(str(U64)).cast("decimal(38,0)"))
 
 
 def reported_micros(nanos: Column) -> Column:

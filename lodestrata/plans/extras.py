@@ -2,4 +2,49 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import binary
+from lodestrata.plans import adapters
+from lodestrata.plans.export import Export, route_coverage
+from lodestrata.streaming.iterations import windowed_rates
+
+
+def codestream_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progression order of generated codestreams, one a part."""
+    order = F.lpad(F.hex(F.col("p_size") % 5), 2, "0")
+    raw = F.unhex(F.concat(F.lit("FF4FFF510004AAAAFF52000400"), order, F.lit("FF90")))
+    rows = adapters.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("progression"), raw.alias("raw"))
+    return rows.select("p_partkey", "progression", binary.is_rpcl(F.col("raw")).alias("rpcl"), binary.be_u16(F.col("raw"), 0).alias("soc"))
+
+
+def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of all sources with transfer syntax, path and UIDs."""
+    plan = Export(adapters.levels(spark, sf_dir), adapters.frame_probes(spark, sf_dir)).to_directory("out").with_placeholder_metadata().plan("seed")
+    return plan.select("source", "level", "z", "c", "t", "instance_number", "frames", "syntax", "path", "sop_uid", "series_uid", "frame_of_reference_uid")
+
+
+def bounded_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of the first 64 frames of each level, and whether these are all."""
+    return route_coverage(adapters.frame_probes(spark, sf_dir))
+
+
+def streaming_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of events by window through a stream that reads the table once."""
+    import tempfile
+    import uuid
+
+    path, name = f"{sf_dir}/events.parquet", f"rates_{uuid.uuid4().hex}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    query = windowed_rates(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+QUERIES = {f.__name__: f for f in (codestream_markers, export_plan, bounded_coverage, streaming_iterations)}
