@@ -56,9 +56,7 @@ class Items:
         self.ids = rows.select("seq", "item_id").distinct()
         self.sequences = written(rows.select("seq", "words").dropDuplicates(["seq"]), "sequences")
         places = self.sequences.select("seq", F.posexplode("words").alias("at", "word"))
-        terms = written(places.select("word").distinct(), "words")
-        by_word = Window.orderBy("word")  # the benchmark's terms alone
-        self.terms = written(terms.select("word", (F.row_number().over(by_word) - 1).alias("term")), "terms")
+        self.terms = written(places.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
         self.places = written(places.join(self.terms, "word").select("seq", "at", "term"), "places")
 
 
@@ -70,7 +68,7 @@ def build_index(docs: DataFrame, items: Items, *, key: str = "doc_id", text: str
     parts = parts.withColumns({"lead": lead, "n": F.size("parts") - lead - trail})
     # one more part, which no word equals, stands for the document
     each = parts.select("doc", "id", "th", "lead", "n", F.posexplode(F.concat("parts", F.array(F.lit(" ")))).alias("at", "word"))
-    document = items.terms.sparkSession.createDataFrame([(" ", _DOCUMENT)], "word string, term int")
+    document = items.terms.sparkSession.createDataFrame([(" ", _DOCUMENT)], "word string, term long")
     terms = _small(written(items.terms.select("word", "term").union(document), "vocabulary"), broadcast_rows)
     is_document = F.col("term") == _DOCUMENT
     found = each.join(terms, "word").select(
