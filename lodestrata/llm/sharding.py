@@ -72,7 +72,7 @@ def assign(numbered: DataFrame, *, shards: int = 16, seed: int = 17, bucket_rows
     found = sorted((r["part"], r["rows"]) for r in numbered.groupBy("part").agg(F.count("*").alias("rows")).collect())  # one row per input partition
     total = sum(n for _, n in found)
     matrix = communication_matrix([n for _, n in found], shard_sizes(total, shards), seed)
-    plan = spark.createDataFrame([(p, [int(x) for x in matrix[i]]) for i, (p, _) in enumerate(found)], "part int, takes array<long>")
+    plan = spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in found], pa.int32()), "takes": pa.array(list(matrix), pa.list_(pa.int64()))}))
     columns = numbered.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
