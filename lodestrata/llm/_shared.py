@@ -27,9 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where if "://" in where or where.startswith("file:") else "file://" + where
 
 
+_MADE: list[str] = []
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes the folders that this process has made below the shared folder. Frames that read them end with them."""
+    for uri in _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.clear()
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
