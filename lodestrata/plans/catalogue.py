@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import dims
 from lodestrata.functions import scalars as S
+from lodestrata.operators import clinical as C
+from lodestrata.operators import compose as K
+from lodestrata.operators import device as D
 from lodestrata.operators import geometry as G
+from lodestrata.operators import lines
 from lodestrata.operators import lookups as L
 from lodestrata.operators import metrics as M
 from lodestrata.operators import offsets as O
@@ -447,3 +451,76 @@ def required_syntax(spark, d):
 def select_slides(spark, d):
     rows = A.table(spark, d, "documents").where(F.contains(F.lower("source"), F.lit("src1")) & F.contains(F.lower("lang"), F.lit("e")))
     return rows.groupBy(F.lower(F.substring("text", 1, 1)).alias("initial")).agg(F.count("*").alias("slides"), F.sum("n_chars").alias("n"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS bundle, CASE o_orderkey % 3 WHEN 0 THEN '{"resourceType":"Patient","id":"p' || o_custkey || '"}'
+  ELSE '{"resourceType":"Bundle","entry":[{"resource":{"resourceType":"Specimen","id":"s' || o_orderkey || '","accessionIdentifier":{"value":"' || CASE o_orderkey % 2 WHEN 0 THEN '' ELSE 'a' END || '"}}},{"note":1},{"resource":{"resourceType":"ServiceRequest","id":"q"}}]}' END AS body FROM orders)
+SELECT bundle, 0 AS pos, 'Patient' AS type, json_extract_string(body, '$.id') AS id FROM b WHERE bundle % 3 = 0
+UNION ALL SELECT bundle, 0, 'Specimen', json_extract_string(body, '$.entry[0].resource.id') FROM b WHERE bundle % 3 <> 0
+UNION ALL SELECT bundle, 2, 'ServiceRequest', 'q' FROM b WHERE bundle % 3 <> 0""")
+def bundle_resources(spark, d):
+    body = F.expr("""case o_orderkey % 3 when 0 then concat('{"resourceType":"Patient","id":"p', o_custkey, '"}')
+      else concat('{"resourceType":"Bundle","entry":[{"resource":{"resourceType":"Specimen","id":"s', o_orderkey, '","accessionIdentifier":{"value":"', if(o_orderkey % 2 = 0, '', 'a'), '"}}},{"note":1},{"resource":{"resourceType":"ServiceRequest","id":"q"}}]}') end""")
+    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("bundle"), body.alias("body"))
+    return C.bundle_resources(rows).select("bundle", "pos", "type", "id")
+
+
+@query(f"""WITH {_REFS}, ok AS (SELECT bundle FROM h WHERE patients_hit = 1 AND patients = 1 AND requests_hit = 1 AND requests = 1)
+SELECT p.bundle, coalesce(nullif(json_extract_string(p.body, '$.identifier[0].value'), ''), p.id) AS patient_id, json_extract_string(p.body, '$.name[0].family') || '^A B' AS patient_name, replace(json_extract_string(p.body, '$.birthDate'), '-', '') AS birth_date,
+CASE json_extract_string(p.body, '$.gender') WHEN 'male' THEN 'M' WHEN 'female' THEN 'F' WHEN 'other' THEN 'O' END AS sex, 'q' AS accession_number, r.id AS study_id, json_extract_string(r.body, '$.code.text') AS study_description
+FROM ok JOIN resources p ON p.bundle = ok.bundle AND p.type = 'Patient' JOIN resources r ON r.bundle = ok.bundle AND r.type = 'DiagnosticReport'""")
+def clinical_metadata(spark, d):
+    return C.metadata(A.resources(spark, d))
+
+
+@query("""WITH s AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'x' ELSE '' END AS own, CASE WHEN vec_id % 3 <> 0 THEN 'y' END AS sampled, 1 + vec_id % 2 AS n, CASE label % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'srgb' WHEN 2 THEN 'p3' ELSE 'omit' END AS policy FROM embeddings)
+SELECT vec_id, CASE WHEN own <> '' THEN 'source' WHEN sampled IS NOT NULL AND n = 1 THEN 'source_jpeg' WHEN sampled IS NULL THEN CASE policy WHEN 'srgb' THEN 'synthesized_srgb' WHEN 'p3' THEN 'synthesized_display_p3' WHEN 'omit' THEN 'omitted' END END AS source,
+CASE WHEN own <> '' OR (sampled IS NOT NULL AND n = 1) THEN NULL WHEN sampled IS NOT NULL THEN 'samples differ' WHEN policy = 'error' THEN 'profile is missing' END AS error FROM s""")
+def colour_profiles(spark, d):
+    rows = A.table(spark, d, "embeddings").select("vec_id", F.expr("if(vec_id % 4 = 0, 'x', '')").alias("own"), F.expr("case when vec_id % 3 <> 0 then 'y' end").alias("sampled"), F.expr("1 + vec_id % 2").alias("n"), F.expr("case label % 4 when 0 then 'error' when 1 then 'srgb' when 2 then 'p3' else 'omit' end").alias("policy"))
+    found = C.colour_profile(F.col("own"), F.col("sampled"), F.col("n"), F.col("policy"))
+    return rows.select("vec_id", found.alias("f")).select("vec_id", "f.source", "f.error")
+
+
+@query(f"""WITH {A.PROBES_SQL}, i AS (SELECT instance, count(*) * 40 AS frames, CASE instance % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'prefer_device' ELSE 'require_device' END AS backend,
+  CASE instance % 4 WHEN 0 THEN 'Jpeg2000' WHEN 1 THEN 'Jpeg2000Lossless' ELSE 'Htj2kLosslessRpcl' END AS syntax FROM probes GROUP BY instance),
+e AS (SELECT *, CASE WHEN (backend = 'prefer_device' AND (syntax = 'Jpeg2000Lossless' OR (syntax = 'Htj2kLosslessRpcl' AND frames <= 128))) OR syntax = 'Jpeg2000' THEN 'cpu' ELSE backend END AS effective FROM i)
+SELECT instance, effective, CASE WHEN backend = 'prefer_device' AND syntax = 'Htj2kLosslessRpcl' THEN CASE WHEN effective = 'cpu' THEN 'cpu' ELSE 'gpu' END END AS lane, syntax LIKE 'Htj2k%' AND backend <> 'require_device' AS jpeg_direct,
+  frames * 262144 * 6 <= 134217728 AS in_memory FROM e""")
+def device_policy(spark, d):
+    rows = A.frame_probes(spark, d).groupBy("instance").agg((F.count("*") * 40).alias("frames"))
+    rows = rows.select("instance", "frames", F.expr("case instance % 3 when 0 then 'auto' when 1 then 'prefer_device' else 'require_device' end").alias("backend"), F.expr("case instance % 4 when 0 then 'Jpeg2000' when 1 then 'Jpeg2000Lossless' else 'Htj2kLosslessRpcl' end").alias("syntax"))
+    c = F.col
+    return rows.select("instance", D.effective_backend(c("backend"), c("syntax"), c("frames")).alias("effective"), D.hybrid_lane(c("backend"), c("syntax"), c("frames")).alias("lane"),
+        D.jpeg_direct_supported(c("syntax"), c("backend")).alias("jpeg_direct"), D.direct_pixels(c("frames"), F.lit(512), F.lit(4)).alias("in_memory"))
+
+
+@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels WHERE level = 2), f AS (SELECT *, unnest(range(tiles_across)) AS c FROM (SELECT *, unnest(range(tiles_down)) AS r FROM g)),
+x AS (SELECT source, r * tiles_across + c AS frame, tile_w, tile_h, c * {TILE} AS x, r * {TILE} AS y, least({TILE}, cols - c * {TILE}) AS w, least({TILE}, rows - r * {TILE}) AS h FROM f),
+t AS (SELECT *, unnest(range(x // tile_w, (x + w - 1) // tile_w + 1)) AS tile_col FROM (SELECT *, unnest(range(y // tile_h, (y + h - 1) // tile_h + 1)) AS tile_row FROM x))
+SELECT source, frame, tile_col, tile_row, greatest(x, tile_col * tile_w) - tile_col * tile_w AS src_x, greatest(y, tile_row * tile_h) - tile_row * tile_h AS src_y, greatest(x, tile_col * tile_w) - x AS dst_x, greatest(y, tile_row * tile_h) - y AS dst_y,
+least(x + w, (tile_col + 1) * tile_w) - greatest(x, tile_col * tile_w) AS w, least(y + h, (tile_row + 1) * tile_h) - greatest(y, tile_row * tile_h) AS h FROM t""")
+def compose_requests(spark, d):
+    grid = G.square_grid(A.levels(spark, d).where("level = 2"), TILE).withColumns({"frame_w": F.lit(TILE), "frame_h": F.lit(TILE)})
+    return K.requests(G.frames(grid)).select("source", "frame", "tile_col", "tile_row", "src_x", "src_y", "dst_x", "dst_y", "w", "h")
+
+
+@query(f"""WITH {_ROUTED}, m AS (SELECT source, level, {_SUM_SQL} FROM routed GROUP BY source, level)
+SELECT source, level, split_part(l, ' encode_ms', 1) AS line FROM (SELECT source, level, 'frames=' || total_frames || ' passthrough=' || passthrough_frames || ' retile=' || retile_frames || ' blank=' || blank_frames || ' fallback=' || fallback_frames AS l FROM m)""")
+def metric_lines(spark, d):
+    m = M.aggregate(M.measures(_routed(spark, d)), ["source", "level"])
+    line = F.regexp_replace(F.regexp_replace(lines.route_line(), " [a-z]+_pct=[0-9.]+", ""), " encode_ms=.*", "")  # shares are rounded differently by other engines
+    return m.select("source", "level", line.alias("line"))
+
+
+@query(f"WITH {A.TRIALS_SQL}, cells AS (SELECT DISTINCT slide, profile, scope FROM trials WHERE status = 'passed') SELECT seq FROM trials t WHERE EXISTS (SELECT 1 FROM cells c WHERE c.slide = t.slide AND c.profile = t.profile AND c.scope = t.scope)")
+def trials_of_passed_cells(spark, d):
+    t = A.trials(spark, d)
+    return t.join(t.where("status = 'passed'").select("slide", "profile", "scope").distinct(), ["slide", "profile", "scope"], "left_semi").select("seq")
+
+
+@query(f"WITH {A.PROBES_SQL}, n AS (SELECT instance, max(frame) + 2 AS n FROM probes GROUP BY instance), p AS (SELECT instance, unnest(range(n)) AS index FROM n) SELECT p.instance, p.index, bytes AS value FROM p LEFT JOIN probes ON p.instance = probes.instance AND p.index = frame")
+def scattered_results(spark, d):
+    probes = A.frame_probes(spark, d)
+    size = probes.groupBy("instance").agg((F.max("frame") + 2).alias("n"))
+    return K.scatter(probes.select("instance", F.col("frame").alias("index"), F.col("bytes").alias("value")), size, "instance")
