@@ -72,6 +72,16 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def skew_join(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with `side`, an aggregate by the key, that Spark can split at hot keys.
+
+    An aggregate by the key is dealt by it already, and a join with it as it stands cannot be split. The second
+    key, which says nothing new, makes both sides be dealt anew for the join.
+    """
+    again = unused([*rows.columns, *side.columns], "again")
+    return rows.withColumn(again, F.xxhash64(key)).join(side.withColumn(again, F.xxhash64(key)), [key, again]).drop(again)
+
+
 #: Bytes of an Arrow batch that goes to a Python worker at once.
 BATCH_BYTES = 8 << 20
 

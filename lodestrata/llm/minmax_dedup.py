@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm._shared import map_batches, table, text_or_empty, unused, written
+from lodestrata.llm._shared import map_batches, skew_join, table, text_or_empty, unused, written
 from lodestrata.llm.graph import components
 
 WIDTH, ROWS, BANDS = 5, 5, 48
@@ -232,13 +232,13 @@ class _Search:
         """(key, node) of buckets with two classes or more."""
         band = self.signed.where("bands is not null").select(F.explode("bands").alias("key"), F.col("a").alias("node"))
         several = band.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-        return written(band.join(several, "key").distinct(), "buckets")
+        return written(skew_join(band, several, "key").distinct(), "buckets")
 
     def star(self, members: DataFrame) -> DataFrame:
         """(u, v): each bucket's members with its center, the class whose buckets have most members in all."""
-        company = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("company"))
+        company = skew_join(members, members.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("company"))
         center = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("center"))
-        pairs = members.join(center, "key").where("node <> center")
+        pairs = skew_join(members, center, "key").where("node <> center")
         return written(pairs.select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct(), "star")
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ class _Search:
         """(u, v) of different components in a bucket whose cut sets are linked; enough to join all such components."""
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part"))
         open_ = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
-        placed = written(placed.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "open")
+        placed = written(skew_join(placed, open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "open")
         cut = map_batches(self.texts(placed.select("node").distinct()), _cut_sets, "node long, cut binary")
         cut = written(cut.groupBy("node").agg(F.max("cut").alias("cut")).join(self.classes.select("node", "sketch"), "node"), "cut-sets")
         mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
@@ -285,7 +285,7 @@ class _Search:
         """Every row's id, th and n, and top and top_th, id and text hash of the first document of its component."""
         placed = written(self.labels().join(self.classes.select("node", "id", "th"), "node"), "placed")
         least = placed.groupBy("label").agg(F.min("id").alias("top"), F.min_by("th", "id").alias("top_th"))
-        firsts = placed.join(least, "label").select("node", "top", "top_th")
+        firsts = skew_join(placed, least, "label").select("node", "top", "top_th")
         whole = self.classes.select("node", "b", "id", "th").join(firsts, "node", "left")
         whole = whole.select(F.col("node").alias("a"), "b", F.coalesce("top", "id").alias("top"), F.coalesce("top_th", "th").alias("top_th"))
         rows = self.signed.select("id", "th", "n", "a", "b")
