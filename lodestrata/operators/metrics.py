@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions import metric_names
+
 U64 = (1 << 64) - 1
 #: Classes of routes that count as decided.
 ROUTE_COUNTERS = ("passthrough_frames", "retile_frames", "blank_frames", "fallback_frames")
@@ -81,3 +83,33 @@ def check_counts(checks: DataFrame, keys: list[str]) -> DataFrame:
     return checks.groupBy(*keys).agg(
         *(F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "skipped", "missing")), F.bool_or(F.col("status") == "failed").alias("has_failures")
     )
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """Adds serialised metrics that are not there as 0."""
+    missing = [n for n in (*metric_names.SUM_NAMES, *metric_names.MAXIMUM_NAMES) if n not in rows.columns]
+    return rows.withColumns({n: F.lit(0).cast("bigint") for n in missing}) if missing else rows
+
+
+def serialised(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """All serialised metrics by keys: sums that stop at the largest unsigned number, maxima, and the derived parallelism."""
+    merged = merge(complete(parts), keys, list(metric_names.SUM_NAMES), list(metric_names.MAXIMUM_NAMES))
+    return merged.withColumn(metric_names.DERIVED, effective_parallelism(F.col("gpu_encode_hardware_micros").cast("double"), F.col("gpu_encode_wall_micros").cast("double")))
+
+
+def as_serialised(routed: DataFrame) -> DataFrame:
+    """One row of serialised counters per JPEG-routed frame."""
+    one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
+    route, why = F.col("route"), F.coalesce("rejection", F.lit(""))
+    return routed.withColumns({
+        "total_frames": F.lit(1).cast("bigint"), "jpeg_passthrough_frames": one(route == "passthrough"), "jpeg_retile_frames": one(route == "retile"), "cpu_fallback_frames": one(route.isin("fallback", "blank")),
+        "cpu_input_frames": one(route == "fallback"), "jpeg_cpu_encode_frames": one(route == "fallback"), "gray_frames": one(F.col("components") == 1), "rgb_like_frames": one(F.col("components") == 3),
+        "other_component_frames": one(~F.col("components").isin(1, 3)), "bits8_frames": one(F.col("bits") == 8), "bits16_frames": one(F.col("bits") == 16), "other_bit_depth_frames": one(~F.col("bits").isin(8, 16)),
+        "jpeg_retile_rejected_frames": one(why != ""), **{f"jpeg_retile_{r}_frames": one(why == r) for r in ("source_unsupported", "geometry_mismatch", "profile_unsupported", "mcu_invalid")},
+        "encode_micros": F.when(route == "fallback", F.col("micros")).otherwise(0).cast("bigint"),
+    })
+
+
+def metric(body: Column, name: str) -> Column:
+    """A counter of a JSON report, 0 if it is missing or no whole number."""
+    return F.coalesce(F.get_json_object(body, f"$.metrics.{name}").try_cast("bigint"), F.lit(0))

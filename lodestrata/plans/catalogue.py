@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions import dims
+from lodestrata.functions import dims, metric_names
 from lodestrata.functions import scalars as S
 from lodestrata.operators import clinical as C
 from lodestrata.operators import compose as K
@@ -524,3 +524,28 @@ def scattered_results(spark, d):
     probes = A.frame_probes(spark, d)
     size = probes.groupBy("instance").agg((F.max("frame") + 2).alias("n"))
     return K.scatter(probes.select("instance", F.col("frame").alias("index"), F.col("bytes").alias("value")), size, "instance")
+
+
+_SERIAL = {n: (i * 7 + 3) % 101 for i, n in enumerate((*metric_names.SUM_NAMES, *metric_names.MAXIMUM_NAMES))}
+_NUMBERS = ", ".join([f"CAST(sum(k % {m + 1}) AS DECIMAL(38, 0)) AS {n}" for n, m in list(_SERIAL.items())[: len(metric_names.SUM_NAMES)]] + [f"max(k % {m + 1}) AS {n}" for n, m in list(_SERIAL.items())[len(metric_names.SUM_NAMES) :]])
+
+
+@query(f"""WITH m AS (SELECT l_orderkey % 20 AS source, {_NUMBERS} FROM (SELECT l_orderkey, l_partkey AS k FROM lineitem) GROUP BY source)
+SELECT *, CASE WHEN {metric_names.DEVICE_NAMES[0]} = 0 THEN 0.0 ELSE round(CAST({metric_names.DEVICE_NAMES[1]} AS DOUBLE) / CAST({metric_names.DEVICE_NAMES[0]} AS DOUBLE), 6) END AS {metric_names.DERIVED} FROM m""")
+def serialised_metrics(spark, d):
+    rows = A.table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).alias("source"), *((F.col("l_partkey") % (m + 1)).alias(n) for n, m in _SERIAL.items()))
+    return M.serialised(rows, ["source"]).withColumn(metric_names.DERIVED, F.round(metric_names.DERIVED, 6))
+
+
+@query(f"""WITH {_ROUTED} SELECT source, CAST(count(*) AS DECIMAL(38, 0)) AS total_frames, CAST(count(*) FILTER (route = 'passthrough') AS DECIMAL(38, 0)) AS jpeg_passthrough_frames, CAST(count(*) FILTER (rejection IS NOT NULL) AS DECIMAL(38, 0)) AS jpeg_retile_rejected_frames,
+CAST(0 AS DECIMAL(38, 0)) AS gpu_encode_frames FROM routed GROUP BY source""")
+def source_metrics(spark, d):
+    m = M.serialised(M.as_serialised(_routed(spark, d)), ["source"])
+    return m.select("source", "total_frames", "jpeg_passthrough_frames", "jpeg_retile_rejected_frames", "gpu_encode_frames")
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(b, '$.metrics.total_frames') AS BIGINT), 0) AS total, coalesce(TRY_CAST(json_extract_string(b, '$.metrics.absent') AS BIGINT), 0) AS absent FROM (
+ SELECT event_id, '{"metrics":{"total_frames":' || CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN '"many"' ELSE 'null' END || '}}' AS b FROM events)""")
+def profile_metrics(spark, d):
+    b = F.expr("""concat('{"metrics":{"total_frames":', case event_id % 3 when 0 then string(user_id) when 1 then '"many"' else 'null' end, '}}')""")
+    return A.table(spark, d, "events").select("event_id", M.metric(b, "total_frames").alias("total"), M.metric(b, "absent").alias("absent"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import binary
 from lodestrata.operators import validation as V
+from lodestrata.plans import harness
 from lodestrata.plans import options as P
 from lodestrata.plans.export import Export, encode_frames, route_coverage, route_profile
 from lodestrata.sources import dicom, listing
@@ -197,3 +198,22 @@ def test_streams(spark, tmp_path):
     q = iterations.cached_decisions(keyed).writeStream.outputMode("update").foreachBatch(lambda d, i: seen.extend(map(tuple, d.collect()))).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {k: (d, n) for k, d, n in seen} == {"a": ("gpu", 20), "b": ("gpu", 20)}
+
+
+def test_harness(spark, tmp_path):
+    slides = spark.createDataFrame([("s1", "/d/a.ok"), ("s2", "/d/b")], "slide string, path string")
+    trials = harness.planned(slides, tools={"cpu": ["tool", "-p", "{profile}", "{path}"], "device": ["tool", "-o", "{output}"]}, profiles=["p"], scopes=["base", "full"], runs=2)
+    assert trials.count() == 16
+    done = harness.run_trials(trials.where("tool = 'cpu'"), runner=_fake()).cache()
+    assert {(r["slide"], r["status"], r["error"]) for r in done.collect()} == {("s1", "passed", None), ("s2", "failed", "bad file")}
+    assert harness.resumed(trials, done).count() == 8
+    rows = done.withColumns({"label": F.lit(None).cast("string"), "system_label": F.lit(None).cast("string"), "seq": F.monotonically_increasing_id()})
+    (tmp_path / "out").mkdir()
+    harness.write_summary(rows, str(tmp_path / "out"))
+    text = (tmp_path / "out" / "summary.md").read_text()
+    assert text.count("| CPU | passed |") == 2 and text.count("| CPU | failed |") == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "results.csv")).columns[:2] == ["slide", "display_name"]
+    (tmp_path / "r").mkdir()
+    for n, t in (("a", '{"x":1}'), ("b", " "), ("c", "{")):
+        (tmp_path / "r" / n).write_text(t)
+    assert [(r["report"], r["error"]) for r in harness.report_rows(spark, str(tmp_path / "r")).orderBy("path").collect()] == [('{"x":1}', None), (None, "empty"), (None, "no JSON")]
