@@ -49,10 +49,19 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
 
 
+#: Tasks a core that write a table. Local and object stores pay for every file (a local one starts a process to set its mode).
+TASKS_A_CORE = 4
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """The frame in at most TASKS_A_CORE partitions for each core of the cluster; partitions are joined, not shuffled."""
+    return df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once to the shared folder and read again: lineage ends there, and lost executors cost no rerun."""
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

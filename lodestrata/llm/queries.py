@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.llm._shared import few_files
 from lodestrata.llm.decontaminate import op10_decontamination
 from lodestrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from lodestrata.llm.html_extract import op8_html_text
@@ -18,8 +20,16 @@ from lodestrata.llm.sharding import op5_sharding
 from lodestrata.llm.sstable import op1_token_shards
 
 
+def _compact(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return few_files(query(spark, sf_dir))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_quality, op3_preferences, op4_exact_dedup, op5_sharding, op6_best_fit_packing, op7_language_id, op8_html_text, op9_minhash, op10_decontamination)}
+    return {f.__name__: _compact(f) for f in (op1_token_shards, op2_quality, op3_preferences, op4_exact_dedup, op5_sharding, op6_best_fit_packing, op7_language_id, op8_html_text, op9_minhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import filesystem, map_batches, new_dir, table
+from lodestrata.llm._shared import TASKS_A_CORE, filesystem, map_batches, new_dir, table
 from lodestrata.llm.tokens import PackedEncoder
 
 MAGIC, FORMAT, PROBES, BITS_A_KEY = b"LSST0001", 1, 7, 10
@@ -248,7 +248,8 @@ def write_token_shards(docs: DataFrame, out: str, *, key: str = "doc_id", text:
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    map_batches(rows, write, MANIFEST).write.parquet(f"{out}/_manifest")
+    # file names have the partition's number, so partitions are not joined before this shuffle of a row a shard
+    map_batches(rows, write, MANIFEST).repartition(16).write.parquet(f"{out}/_manifest")
 
 
 def manifest(spark: SparkSession, out: str) -> DataFrame:
@@ -281,7 +282,7 @@ def read_token_shards(spark: SparkSession, out: str, *, string_keys: bool = Fals
                         at += len(wide)
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return map_batches(files.select("path", "base").repartition(min(n, 4096), "path"), read, schema)
+    return map_batches(files.select("path", "base").repartition(min(n, TASKS_A_CORE * spark.sparkContext.defaultParallelism)), read, schema)
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
