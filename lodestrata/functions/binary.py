@@ -116,3 +116,34 @@ def deterministic_rgb(w: int, h: int) -> bytes:
     #: Coefficients of x and y for red, green and blue.
     coefficients = ((37, 11), (17, 29), (7, 43))
     return bytes((a * x + b * y) & 255 for y in range(h) for x in range(w) for a, b in coefficients)
+
+
+def prepare_samples(raw: bytes | None, w: int, h: int, channels: int, bits: int, out_w: int, out_h: int, limit: int = 1 << 30) -> tuple[bytes, int] | None:
+    """(samples, channels) of an interleaved tile laid into out_w x out_h, zeros elsewhere; a fourth channel is dropped if it is opaque everywhere.
+
+    None for a wrong size, other channel counts or bit depths, a tile larger than the output, an alpha that is not opaque, and results over the limit.
+    """
+    size = bits // 8
+    if raw is None or channels not in (1, 3, 4) or bits not in (8, 16) or w > out_w or h > out_h or len(raw) != w * h * channels * size:
+        return None
+    if channels == 4:
+        full = b"\xff" * size
+        step = 4 * size
+        if any(raw[i + 3 * size : i + step] != full for i in range(0, len(raw), step)):
+            return None
+        raw, channels = b"".join(raw[i : i + 3 * size] for i in range(0, len(raw), step)), 3
+    if out_w * out_h * channels * size > limit:
+        return None
+    return (raw if (w, h) == (out_w, out_h) else pad_samples(raw, w, h, out_w, out_h, channels * size)), channels
+
+
+def prepared(raw: Column, w: Column, h: Column, channels: Column, bits: Column, out_w: int, out_h: int) -> Column:
+    """struct(samples, channels) of tiles, by Arrow batches."""
+
+    @F.pandas_udf("samples binary, channels int")
+    def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            rows = [prepare_samples(None if b is None else bytes(b), int(x), int(y), int(c), int(n), out_w, out_h) or (None, None) for b, x, y, c, n in zip(*columns)]
+            yield pd.DataFrame(rows, columns=["samples", "channels"]).astype({"channels": "Int32"})
+
+    return apply(raw, w, h, channels, bits)

@@ -1,6 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])  # for Spark's Python workers
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -217,3 +217,15 @@ def test_harness(spark, tmp_path):
     for n, t in (("a", '{"x":1}'), ("b", " "), ("c", "{")):
         (tmp_path / "r" / n).write_text(t)
     assert [(r["report"], r["error"]) for r in harness.report_rows(spark, str(tmp_path / "r")).orderBy("path").collect()] == [('{"x":1}', None), (None, "empty"), (None, "no JSON")]
+
+
+def test_prepared_samples(spark):
+    assert binary.prepare_samples(b"abcd", 2, 2, 1, 8, 3, 2) == (b"ab\0cd\0", 1)
+    assert binary.prepare_samples(b"abc\xffdef\xff", 2, 1, 4, 8, 2, 1) == (b"abcdef", 3)
+    assert binary.prepare_samples(b"abcdef", 1, 1, 3, 16, 1, 1) == (b"abcdef", 3)
+    for wrong in ((b"abc\xfe", 1, 1, 4, 8, 1, 1), (b"ab", 1, 1, 2, 8, 1, 1), (b"abc", 2, 2, 1, 8, 2, 2), (b"ab", 2, 1, 1, 8, 1, 1), (None, 1, 1, 1, 8, 1, 1), (b"a", 1, 1, 1, 32, 1, 1)):
+        assert binary.prepare_samples(*wrong) is None
+    assert binary.prepare_samples(b"a", 1, 1, 1, 8, 9, 9, limit=80) is None
+    rows = spark.createDataFrame([(b"abcd", 2, 2, 1, 8), (None, 1, 1, 1, 8)], "raw binary, w int, h int, c int, b int")
+    got = rows.select(binary.prepared(F.col("raw"), F.col("w"), F.col("h"), F.col("c"), F.col("b"), 2, 2).alias("p")).collect()
+    assert bytes(got[0]["p"]["samples"]) == b"abcd" and got[0]["p"]["channels"] == 1 and got[1]["p"]["samples"] is None
