@@ -6,10 +6,12 @@ to be encoded are named in the plan, and a codec is handed in as a function on b
 
 from __future__ import annotations
 
+import json
+import secrets
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars
@@ -80,6 +82,18 @@ class Export:
         return with_uids(jobs.withColumn("path", geometry.output_path()), seed)
 
 
+def fresh_seed() -> str:
+    """A seed for one run, drawn on the driver."""
+    return secrets.token_hex(16)
+
+
+def deterministic_seed(content: Column, options: ExportOptions, metadata: dict) -> Column:
+    """Seed of a source: SHA-256 of its bytes, a zero and the settings that shape the output, as JSON."""
+    shaping = {k: v for k, v in asdict(options).items() if k not in ("overwrite", "uid_policy", "validate_codec")}
+    settings = json.dumps({"options": shaping, "metadata": metadata}, sort_keys=True, separators=(",", ":"))
+    return F.sha2(F.concat(content, F.lit(b"\0" + settings.encode())), 256)
+
+
 def with_uids(jobs: DataFrame, seed: str) -> DataFrame:
     """Adds instance, series, pyramid, dimension and frame-of-reference UIDs; those of a series leave the level out, that of the frame also the plane."""
     def uid(role: str, *keys: str):

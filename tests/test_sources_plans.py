@@ -229,3 +229,17 @@ def test_prepared_samples(spark):
     rows = spark.createDataFrame([(b"abcd", 2, 2, 1, 8), (None, 1, 1, 1, 8)], "raw binary, w int, h int, c int, b int")
     got = rows.select(binary.prepared(F.col("raw"), F.col("w"), F.col("h"), F.col("c"), F.col("b"), 2, 2).alias("p")).collect()
     assert bytes(got[0]["p"]["samples"]) == b"abcd" and got[0]["p"]["channels"] == 1 and got[1]["p"]["samples"] is None
+
+
+def test_seeds(spark):
+    import hashlib
+    from dataclasses import replace
+
+    from lodestrata.plans.export import deterministic_seed, fresh_seed
+
+    o = P.ExportOptions()
+    raw = spark.createDataFrame([(b"abc",), (b"abd",)], "c binary")
+    seed = lambda x: [r[0] for r in raw.select(deterministic_seed(F.col("c"), x, {"patient_id": "P"})).collect()]
+    assert seed(o) == seed(replace(o, overwrite=True)) != seed(replace(o, tile_size=256)) and len(set(seed(o))) == 2
+    assert len(fresh_seed()) == 32 and fresh_seed() != fresh_seed()
+    assert len(seed(o)[0]) == len(hashlib.sha256(b"").hexdigest())
