@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -230,7 +231,10 @@ def write_token_shards(docs: DataFrame, out: str, *, key: str = "doc_id", text:
             nonlocal writer, seq
             writer.close()
             file.close()
-            fs.move(f"{base}/.{part}-{seq}-{attempt}", f"{base}/part-{part:06d}-{seq:05d}.sst")
+            target = f"{base}/part-{part:06d}-{seq:05d}.sst"
+            if fs.get_file_info(target).type != pafs.FileType.NotFound:  # of a lost attempt; some stores do not move onto a file
+                fs.delete_file(target)
+            fs.move(f"{base}/.{part}-{seq}-{attempt}", target)
             done.append({"part": part, "seq": seq, "path": f"{out}/part-{part:06d}-{seq:05d}.sst", "docs": writer.docs, "tokens": writer.tokens, "bytes": writer.at})
             writer, seq = None, seq + 1
 
