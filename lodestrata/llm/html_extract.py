@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm._shared import map_batches, table, unused
 
 PAGES, TREES, DEPTH, RATE, TOKENS, LEVELS = 400, 40, 4, 0.3, 512, 16
+#: Tokens come from a node and its nearest ancestors, so many in all; deeper trees than that are damage.
+NEAREST = 64
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -179,7 +181,7 @@ def node_features(page: Page) -> tuple[np.ndarray, list[np.ndarray]]:
             depth[i], index[i] = depth[p] + 1, children[p]
             children[p] += 1
         own = (page.tag[i], page.names[i])
-        paths[i] = (own, *paths[p]) if p >= 0 else (own,)
+        paths[i] = (own, *paths[p][: NEAREST - 1]) if p >= 0 else (own,)
         begin[i] = said
         if t := page.text[i]:
             said += len(t)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import map_batches, table, text_or_empty, written
+from lodestrata.llm._shared import map_batches, table, text_or_empty
 from lodestrata.llm.sharding import number_rows
 from lodestrata.llm.tokens import PackedEncoder
 

@@ -22,6 +22,7 @@ def test_broken_pages_end():
     for source in ["", "<", "<p", "a < b > c", "</p></p>x", "<script>never closed", "<p>&am", "<!-- open", "<a href='x>y", "<p " * 50, "<table><td>x<p>y</table>z", "<div>" * 3000 + "deep"]:
         E.Page(source)
     assert "a < b > c" in E.Page("<p>a < b > c").text
+    assert isinstance(E.main_texts(["<div>" * 20_000 + "deep"], E.train())[0], str)
 
 
 def test_main_text_of_a_page():
