@@ -69,9 +69,13 @@ def valid_ui(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower-case file-name part: letters, digits, dot, underscore and hyphen; anything else is a hyphen, runs of them are one."""
-    kept = F.regexp_replace(F.lower(text), "[^a-z0-9._-]", "-")
-    return F.coalesce(non_empty(F.regexp_replace(F.regexp_replace(kept, "^-+|-+$", ""), "-{2,}", "-")), F.lit("slide"))
+    """Lower-case file-name part: letters and digits of any script, dot, underscore and hyphen; anything else is a hyphen, runs of them are one.
+
+    Letters and digits are those of the JVM's Unicode version. Characters are lowered one by one, so a capital sigma at a word's end
+    has no form of its own.
+    """
+    kept = F.lower(F.translate(F.regexp_replace(text, r"[^\p{L}\p{N}._]+", "-"), "\u03a3", "\u03c3"))
+    return F.coalesce(non_empty(F.regexp_replace(kept, "^-|-$", "")), F.lit("slide"))
 
 
 def uid(seed: Column) -> Column:

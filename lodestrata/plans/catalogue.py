@@ -378,9 +378,9 @@ def text_validation(spark, d):
     return rows.select("doc_id", S.valid_text(F.col("text"), 1024).alias("text_ok"), S.valid_cs(F.upper("source")).alias("cs_ok"), S.valid_ui(ui).alias("ui_ok"))
 
 
-@query("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9._-]', '-', 'g'), '^-+|-+$', '', 'g'), '-{2,}', '-', 'g'), ''), 'slide') AS slug FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents WHERE lang = 'en')""")
+@query(r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{N}._-]', '-', 'g')), '^-+|-+$', '', 'g'), '-{2,}', '-', 'g'), ''), 'slide') AS slug FROM documents""")
 def slug(spark, d):
-    return A.table(spark, d, "documents").where("lang = 'en'").select("doc_id", S.slug(F.substring("text", 1, 60)).alias("slug"))
+    return A.table(spark, d, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT p_partkey, '2.25.' || CAST(CAST('0x' || substr(sha256(p_name || ':' || p_partkey), 1, 32) AS UHUGEINT) AS VARCHAR) AS uid FROM part")
