@@ -87,19 +87,19 @@ def passthrough_grid(spark, d):
     return n.select("source", "level", "tile", (G.ceil_div("cols", "tile") * G.ceil_div("rows", "tile")).alias("frames"))
 
 
-@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels), f AS (SELECT *, unnest(range(tiles_across)) AS col FROM (SELECT *, unnest(range(tiles_down)) AS row FROM g WHERE level = 2))
-SELECT source, col + 1 AS dimension_col, row + 1 AS dimension_row, CAST(col * {TILE} + 1 AS INTEGER) AS matrix_col, CAST(row * {TILE} + 1 AS INTEGER) AS matrix_row, round(col * {TILE} * CAST(0.0005 AS DOUBLE), 6) AS offset_x, round(row * {TILE} * CAST(0.0005 AS DOUBLE), 6) AS offset_y FROM f""")
+@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels), f AS (SELECT *, unnest(range(tiles_across)) AS col FROM (SELECT *, unnest(range(tiles_down)) AS row FROM g))
+SELECT source, level, col + 1 AS dimension_col, row + 1 AS dimension_row, CAST(col * {TILE} + 1 AS INTEGER) AS matrix_col, CAST(row * {TILE} + 1 AS INTEGER) AS matrix_row, round(col * {TILE} * CAST(0.0005 AS DOUBLE), 6) AS offset_x, round(row * {TILE} * CAST(0.0005 AS DOUBLE), 6) AS offset_y FROM f""")
 def frame_positions(spark, d):
-    grid = G.square_grid(A.levels(spark, d).where("level = 2"), TILE).withColumns({"frame_w": F.lit(TILE), "frame_h": F.lit(TILE)})
+    grid = G.square_grid(A.levels(spark, d), TILE).withColumns({"frame_w": F.lit(TILE), "frame_h": F.lit(TILE)})
     found = G.dimension_values(G.frames(grid), 0.0005)
-    return found.select("source", "dimension_col", "dimension_row", "matrix_col", "matrix_row", F.round("offset_x", 6).alias("offset_x"), F.round("offset_y", 6).alias("offset_y"))
+    return found.select("source", "level", "dimension_col", "dimension_row", "matrix_col", "matrix_row", F.round("offset_x", 6).alias("offset_x"), F.round("offset_y", 6).alias("offset_y"))
 
 
-@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels WHERE level = 2),
+@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels),
 w AS (SELECT *, unnest(range(100 // tile_w, (100 + 700 - 1) // tile_w + 1)) AS col FROM (SELECT *, unnest(range(50 // tile_h, (50 + 300 - 1) // tile_h + 1)) AS row FROM g))
 SELECT source, level, col, row FROM w""")
 def source_windows(spark, d):
-    lv = A.levels(spark, d).where("level = 2")
+    lv = A.levels(spark, d)
     tiles = G.source_window(F.lit(100).cast("bigint"), F.lit(50).cast("bigint"), F.lit(700).cast("bigint"), F.lit(300).cast("bigint"), F.col("tile_w"), F.col("tile_h"))
     return lv.select("source", "level", F.explode(tiles).alias("t")).select("source", "level", "t.col", "t.row")
 
@@ -495,14 +495,14 @@ def device_policy(spark, d):
         D.jpeg_direct_supported(c("syntax"), c("backend")).alias("jpeg_direct"), D.direct_pixels(c("frames"), F.lit(512), F.lit(4)).alias("in_memory"))
 
 
-@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels WHERE level = 2), f AS (SELECT *, unnest(range(tiles_across)) AS c FROM (SELECT *, unnest(range(tiles_down)) AS r FROM g)),
-x AS (SELECT source, r * tiles_across + c AS frame, tile_w, tile_h, c * {TILE} AS x, r * {TILE} AS y, least({TILE}, cols - c * {TILE}) AS w, least({TILE}, rows - r * {TILE}) AS h FROM f),
+@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels), f AS (SELECT *, unnest(range(tiles_across)) AS c FROM (SELECT *, unnest(range(tiles_down)) AS r FROM g)),
+x AS (SELECT source, level, r * tiles_across + c AS frame, tile_w, tile_h, c * {TILE} AS x, r * {TILE} AS y, least({TILE}, cols - c * {TILE}) AS w, least({TILE}, rows - r * {TILE}) AS h FROM f),
 t AS (SELECT *, unnest(range(x // tile_w, (x + w - 1) // tile_w + 1)) AS tile_col FROM (SELECT *, unnest(range(y // tile_h, (y + h - 1) // tile_h + 1)) AS tile_row FROM x))
-SELECT source, frame, tile_col, tile_row, greatest(x, tile_col * tile_w) - tile_col * tile_w AS src_x, greatest(y, tile_row * tile_h) - tile_row * tile_h AS src_y, greatest(x, tile_col * tile_w) - x AS dst_x, greatest(y, tile_row * tile_h) - y AS dst_y,
+SELECT source, level, frame, tile_col, tile_row, greatest(x, tile_col * tile_w) - tile_col * tile_w AS src_x, greatest(y, tile_row * tile_h) - tile_row * tile_h AS src_y, greatest(x, tile_col * tile_w) - x AS dst_x, greatest(y, tile_row * tile_h) - y AS dst_y,
 least(x + w, (tile_col + 1) * tile_w) - greatest(x, tile_col * tile_w) AS w, least(y + h, (tile_row + 1) * tile_h) - greatest(y, tile_row * tile_h) AS h FROM t""")
 def compose_requests(spark, d):
-    grid = G.square_grid(A.levels(spark, d).where("level = 2"), TILE).withColumns({"frame_w": F.lit(TILE), "frame_h": F.lit(TILE)})
-    return K.requests(G.frames(grid)).select("source", "frame", "tile_col", "tile_row", "src_x", "src_y", "dst_x", "dst_y", "w", "h")
+    grid = G.square_grid(A.levels(spark, d), TILE).withColumns({"frame_w": F.lit(TILE), "frame_h": F.lit(TILE)})
+    return K.requests(G.frames(grid)).select("source", "level", "frame", "tile_col", "tile_row", "src_x", "src_y", "dst_x", "dst_y", "w", "h")
 
 
 @query(f"""WITH {_ROUTED}, m AS (SELECT source, level, {_SUM_SQL} FROM routed GROUP BY source, level)

@@ -28,3 +28,33 @@ def test_slug_keeps_letters_and_digits_of_all_scripts(spark):
     texts = ["\u00c4pfel & \u00c9t\u00e9", "\u4e2d\u6587 \u0661\u0662", "\u00b2\u2167\u2460", "\u039f\u0394\u039f\u03a3 x", "\u0130stanbul", "e\u0301", "\U0001d400\U0001f600b", "-- ", "", "a--_.-", "\n"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.slug(F.col("t")).alias("s")).orderBy("i").collect()
     assert [r["s"] for r in rows] == [_slug(t) for t in texts]
+
+
+def _levels(spark):
+    return A.levels(spark, SF).select("source", "level", "cols", "rows", "tile_w", "tile_h").collect()
+
+
+def test_frame_positions_are_those_of_all_levels(spark):
+    want = sorted((v["source"], v["level"], c + 1, r + 1, c * 512 + 1, r * 512 + 1, round(c * 512 * 0.0005, 6), round(r * 512 * 0.0005, 6)) for v in _levels(spark) for r in range(-(-v["rows"] // 512)) for c in range(-(-v["cols"] // 512)))
+    found = catalogue.queries()["frame_positions"](spark, SF)
+    assert found.columns == ["source", "level", "dimension_col", "dimension_row", "matrix_col", "matrix_row", "offset_x", "offset_y"]
+    assert sorted(map(tuple, found.collect())) == want and {r[1] for r in want} == {0, 1, 2}
+
+
+def test_compose_requests_cover_every_frame_of_all_levels(spark):
+    want = []
+    for v in _levels(spark):
+        across, tw, th = -(-v["cols"] // 512), v["tile_w"], v["tile_h"]
+        for r in range(-(-v["rows"] // 512)):
+            for c in range(across):
+                x, y, x2, y2 = c * 512, r * 512, min(c * 512 + 512, v["cols"]), min(r * 512 + 512, v["rows"])
+                for tr in range(y // th, -(-y2 // th)):
+                    for tc in range(x // tw, -(-x2 // tw)):
+                        left, top, right, low = max(x, tc * tw), max(y, tr * th), min(x2, (tc + 1) * tw), min(y2, (tr + 1) * th)
+                        want.append((v["source"], v["level"], r * across + c, tc, tr, left - tc * tw, top - tr * th, left - x, top - y, right - left, low - top))
+    assert sorted(map(tuple, catalogue.queries()["compose_requests"](spark, SF).collect())) == sorted(want)
+
+
+def test_source_windows_are_those_of_all_levels(spark):
+    want = sorted((v["source"], v["level"], c, r) for v in _levels(spark) for r in range(50 // v["tile_h"], 349 // v["tile_h"] + 1) for c in range(100 // v["tile_w"], 799 // v["tile_w"] + 1))
+    assert sorted(map(tuple, catalogue.queries()["source_windows"](spark, SF).collect())) == want and {r[1] for r in want} == {0, 1, 2}
