@@ -64,9 +64,9 @@ def job_expansion(spark, d):
     return G.jobs(A.levels(spark, d)).select("source", "level", "z", "t", "c", "ordinal", "instance_number")
 
 
-@query(f"WITH {_JOBS} SELECT source, level, count(*) AS jobs, CAST(sum(tiles_across * tiles_down) AS BIGINT) AS available_frames FROM (SELECT *, {_GRID} FROM jobs WHERE level < 2) GROUP BY source, level")
+@query(f"WITH {_JOBS} SELECT source, level, count(*) AS jobs, CAST(sum(tiles_across * tiles_down) AS BIGINT) AS available_frames FROM (SELECT *, {_GRID} FROM jobs) GROUP BY source, level")
 def available_frames(spark, d):
-    found = G.square_grid(G.jobs(A.levels(spark, d), max_levels=2), TILE)
+    found = G.square_grid(G.jobs(A.levels(spark, d)), TILE)
     return found.groupBy("source", "level").agg(F.count("*").alias("jobs"), F.sum("frames").alias("available_frames"))
 
 
@@ -211,9 +211,9 @@ def unclassified_frames(spark, d):
     return m.select("source", left.alias("unclassified"), F.round(M.percent(F.col("fallback_frames"), F.col("total_frames")), 6).alias("fallback_percent"))
 
 
-@query(f"""WITH {A.PROBES_SQL} SELECT source, array_to_string(list_sort(list(DISTINCT compression)), ',') AS all_values, CASE WHEN count(DISTINCT compression) = 1 THEN min(compression) END AS common FROM probes WHERE frame = 0 AND level = 0 GROUP BY source""")
+@query(f"""WITH {A.PROBES_SQL} SELECT source, array_to_string(list_sort(list(DISTINCT compression)), ',') AS all_values, CASE WHEN count(DISTINCT compression) = 1 THEN min(compression) END AS common FROM probes WHERE frame = 0 GROUP BY source""")
 def common_syntax(spark, d):
-    found = M.common_value(A.frame_probes(spark, d).where("frame = 0 and level = 0"), ["source"], "compression")
+    found = M.common_value(A.frame_probes(spark, d).where("frame = 0"), ["source"], "compression")
     return found.select("source", F.array_join("all_values", ",").alias("all_values"), "common")
 
 
