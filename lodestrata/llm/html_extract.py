@@ -1,6 +1,7 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes, decoded over the tree.
 
-A tolerant reader makes a tree of block elements; every run of inline text between block boundaries is a leaf.
+A tolerant reader makes a tree of block elements; every run of inline text between block boundaries is a leaf. Scripts, styles, titles and
+text areas are passed over; formulas are inline text; noscript, template, iframe, svg and object are nodes if they show something.
 Each node gets statistics (subtree density, links, depth, siblings, place in the page) and hashed tokens of its own, its parent's
 and its ancestors' tags and attributes. Boosted trees of depth `DEPTH` give each node the log odds to be main text.
 Decoding takes the choice of nodes with the greatest total log odds in which no node is kept without its ancestors, by
@@ -36,17 +37,22 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_RAW = frozenset("script style noscript template iframe svg math object".split())
+_RAW = frozenset("script style".split())
+#: Elements within a run of text that get a node once they show something, so that an empty one does not cut the run.
+_LATE = frozenset("noscript template iframe svg object".split())
 _TEXT_ONLY = frozenset("title textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE |= frozenset("math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements that end an svg which has no end tag.
+_BREAKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main menu nav ol p pre section table ul".split())
 #: Elements that end when one of the second kind begins.
 _ENDS = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "head": frozenset(["body"]),
 }
-_SCOPE = frozenset("table ul ol dl body html".split())
+_SCOPE = frozenset("table ul ol dl body html noscript template iframe object".split())
 STATISTICS = ("text", "link share", "leaves", "depth", "place among siblings", "siblings", "stops", "word length", "begins at", "share of page", "paragraphs", "links", "items", "text a tag", "siblings' text", "parent's text", "own leaf")
 
 
@@ -56,7 +62,8 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.names, self.text, self.linked, self.links = ["#root"], [-1], [()], [""], [0], [0]
         self._stack, self._run, self._link = [0], [], 0
-        self._run_linked = self._run_links = 0
+        self._run_linked = self._run_links = self._svg = 0
+        self._late: list[tuple[str, tuple]] = []
         self._read(source)
 
     def _add(self, tag: str, names: tuple, text: str = "", linked: int = 0, links: int = 0) -> int:
@@ -75,8 +82,35 @@ class Page:
                 self._add("#text", (), text, min(self._run_linked, len(text)), self._run_links)
             self._run, self._run_linked, self._run_links = [], 0, 0
 
+    def _place(self) -> None:
+        """Gives the late elements their nodes."""
+        if self._late:
+            self._flush()
+            for name, names in self._late:
+                self._stack.append(self._add(name, names))
+            self._late = []
+
+    def _end(self, name: str) -> bool:
+        """Ends the innermost open element of that name and what is in it; whether a node ended."""
+        stack, late = self._stack, self._late
+        for k in range(len(late) - 1, -1, -1):
+            if late[k][0] == name:
+                self._svg -= sum(x == "svg" for x, _ in late[k:])
+                del late[k:]
+                return False
+        for k in range(len(stack) - 1, 0, -1):
+            if self.tag[stack[k]] == name:
+                self._flush()
+                if self._svg:
+                    self._svg -= sum(self.tag[i] == "svg" for i in stack[k:]) + sum(x == "svg" for x, _ in late)
+                del stack[k:], late[:]
+                return True
+        return False
+
     def _say(self, raw: str) -> None:
         text = html_.unescape(raw) if "&" in raw else raw
+        if self._late and text.strip():
+            self._place()
         self._run.append(text)
         if self._link:
             self._run_linked += len(text)
@@ -101,26 +135,42 @@ class Page:
                     self._link = max(0, self._link - 1)
                 if name in _INLINE:
                     continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        self._flush()
-                        del stack[k:]
-                        self._link = 0
-                        break
+                if self._end(name):
+                    self._link = 0
+                elif self._svg and not self._late:
+                    self._run.append(" ")
                 continue
+            closed = m[3].endswith("/")
             if name in _RAW or name in _TEXT_ONLY:
+                if self._svg and closed:
+                    continue
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
             if name in _INLINE:
                 if name == "a":
+                    self._place()
                     self._link, self._run_links = self._link + 1, self._run_links + 1
                 elif name == "br":
                     self._run.append(" ")
                 continue
-            self._flush()
+            if name in _LATE:
+                if name != "svg" or not closed:
+                    self._late.append((name, _attribute_names(m[3])))
+                    self._svg += name == "svg"
+                continue
+            if self._svg:
+                if name not in _BREAKS:
+                    if not self._late:
+                        self._run.append(" ")
+                    continue
+                while self._svg:
+                    self._end("svg")
             if name in _VOID:
+                self._flush()
                 continue
+            self._place()
+            self._flush()
             for k in range(len(stack) - 1, 0, -1):
                 if name in _ENDS.get(self.tag[stack[k]], ()):
                     del stack[k:]
