@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from lodestrata.llm._shared import map_batches, table, unused
 
 PAGES, TREES, DEPTH, RATE, TOKENS, LEVELS = 400, 40, 4, 0.3, 512, 16
-#: Tokens come from a node and its nearest ancestors, so many in all; deeper trees than that are damage.
-NEAREST = 64
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -197,25 +195,36 @@ def _attribute_names(raw: str) -> tuple:
     return found
 
 
-_PATHS: dict[tuple, np.ndarray] = {}
+_BUCKETS: dict[tuple, np.ndarray] = {}
+_MASKS: dict[tuple, int] = {}
 
 
 def _bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % TOKENS
 
 
-def _path_tokens(path: tuple) -> np.ndarray:
-    """Buckets of the tokens of a node, given (tag, names) of itself and its ancestors, itself first."""
-    if (found := _PATHS.get(path)) is None:
-        said = set()
-        for k, (tag, names) in enumerate(path):
-            for kind in ("own",) * (k == 0) + ("parent",) * (k == 1) + ("in",) * (k > 0):
-                said.add(f"{kind}:{tag}")
-                said |= {f"{kind}.{x}" for x in names}
-        found = np.array(sorted({_bucket(x) for x in said}))
-        if len(_PATHS) > 20_000:
-            _PATHS.clear()
-        _PATHS[path] = found
+def _mask(kind: str, tag: str, names: tuple) -> int:
+    """Buckets of the tokens that a tag and its names give as `kind` (own, parent or in), a bit each."""
+    key = (kind, tag, names)
+    if (found := _MASKS.get(key)) is None:
+        found = 0
+        for token in (f"{kind}:{tag}", *(f"{kind}.{x}" for x in names)):
+            found |= 1 << _bucket(token)
+        if len(_MASKS) > 20_000:
+            _MASKS.clear()
+        _MASKS[key] = found
+    return found
+
+
+def _buckets(own: tuple, parent: tuple | None, inside: int) -> np.ndarray:
+    """Buckets of the tokens of a node, given (tag, names) of itself and its parent, and the mask of all its ancestors."""
+    key = (own, parent, inside)
+    if (found := _BUCKETS.get(key)) is None:
+        mask = inside | _mask("own", *own) | (_mask("parent", *parent) if parent else 0)
+        found = np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(TOKENS // 8, "little"), np.uint8), bitorder="little"))
+        if len(_BUCKETS) > 20_000:
+            _BUCKETS.clear()
+        _BUCKETS[key] = found
     return found
 
 
@@ -224,14 +233,17 @@ def node_features(page: Page) -> tuple[np.ndarray, list[np.ndarray]]:
     n, parent = len(page.tag), page.parent
     depth, index, children = [0] * n, [0] * n, [0] * n
     text, linked, leaves, stops, words, paragraphs, links, items, tags = ([0] * n for _ in range(9))
-    begin, paths, said = [0] * n, [()] * n, 0
+    begin, tokens, said = [0] * n, [], 0
+    inside, below = [0] * n, [0] * n  # masks of a node's ancestors, and of these and itself
     for i in range(n):
         p = parent[i]
         if p >= 0:
             depth[i], index[i] = depth[p] + 1, children[p]
             children[p] += 1
         own = (page.tag[i], page.names[i])
-        paths[i] = (own, *paths[p][: NEAREST - 1]) if p >= 0 else (own,)
+        inside[i] = below[p] if p >= 0 else 0
+        below[i] = inside[i] | _mask("in", *own)
+        tokens.append(_buckets(own, (page.tag[p], page.names[p]) if p >= 0 else None, inside[i]))
         begin[i] = said
         if t := page.text[i]:
             said += len(t)
@@ -252,7 +264,7 @@ def node_features(page: Page) -> tuple[np.ndarray, list[np.ndarray]]:
         stops / np.maximum(words, 1), text / np.maximum(words, 1), begin / max(said, 1), text / max(said, 1), np.log1p(paragraphs), np.log1p(links),
         np.log1p(items), np.log1p(text / np.maximum(tags, 1)), np.log1p((text[up] - text) / np.maximum(children[up] - 1, 1)), np.log1p(text[up]), np.array([t == "#text" for t in page.tag], float),
     ], axis=1)
-    return stats, [_path_tokens(p) for p in paths]
+    return stats, tokens
 
 
 class Forest:

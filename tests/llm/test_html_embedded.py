@@ -36,3 +36,10 @@ def test_scripts_and_styles_are_passed_over():
 def test_deep_graphics_end():
     E.Page("<svg>x" * 20_000 + "</svg>" * 20_000)
     assert _texts("<svg>" * 3000 + "</svg>" * 3000 + "<p>a") == [("a", "p")]
+
+
+def test_tokens_come_from_ancestors_at_any_depth():
+    for depth in (3, 80, 3000):
+        page = E.Page('<article class="story"><nav>' + "<div>" * depth + "<p>deep")
+        got, tags = E.node_features(page)[1][-1], ["in:article", "in.story", "in:nav", "in:div", "in:p", "in:#root", "parent:p", "own:#text"]
+        assert sorted(got) == sorted({E._bucket(x) for x in tags})
