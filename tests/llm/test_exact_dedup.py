@@ -31,9 +31,9 @@ def test_decisions_equal_brute_force(spark, odd, counters):
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_drop_keeps_one_row_of_each_text_with_all_columns(odd, limit):
-    got = X.drop_duplicates(odd, broadcast_rows=limit)
+@pytest.mark.parametrize("counters", [2, 1000])
+def test_drop_keeps_one_row_of_each_text_with_all_columns(odd, counters):
+    got = X.drop_duplicates(odd, counters=counters)
     assert got.columns == odd.columns
     kept = got.collect()
     want = _brute(odd_rows())
@@ -49,6 +49,22 @@ def test_heavy_digests_are_those_over_the_share(spark):
     assert X.decisions(docs, counters=10).where("kept").count() == 1 + 666
 
 
+def test_rows_of_one_id_with_equal_texts(spark):
+    rows = [(1, "a  b"), (1, "a b"), (1, "a b"), (1, "a b"), (2, "a\nb"), (None, "c"), (None, "c"), (None, "c d"), (3, "e"), (3, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = X.drop_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), _norm(r["text"])) for r in kept) == [("1", "a b"), ("3", "e"), ("3", "f"), ("None", "c"), ("None", "c d")]
+    assert X.decisions(docs).where("kept").count() == 5
+
+
+def test_many_groups_below_the_share(spark):
+    """Groups that the summary does not name meet in the shuffle; no group is lost."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('t', case when id < 1500 then id % 500 else id end) as text")
+    got = X.decisions(docs, counters=3)
+    assert {(r["group_size"], r["n"]) for r in got.groupBy("group_size").agg(F.count("*").alias("n")).collect()} == {(3, 1500), (1, 1500)}
+    assert got.where("kept").count() == X.drop_duplicates(docs, counters=3).count() == 2000
+
+
 def test_empty_table(empty):
     assert X.decisions(empty).count() == 0 and X.drop_duplicates(empty).count() == 0
 
