@@ -3,13 +3,17 @@
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z were lower-cased. A window is `WINDOW` consecutive words of an
 item; an item of fewer words, but not none, is one window. A document word inside any occurrence of a window is hit.
 
-1. Index: one row per posting (document row, position, term) of the items' terms over all documents, and one row
-   per document row with its id, text hash and number of words, in one pass and without a shuffle. Postings lie by
-   document, so the list of a common term is spread over all files.
+1. Index: one row per posting (document row, position, term), and one row per document row with its id, text hash and number of
+   words, in one pass and without a shuffle. Postings lie by document, so the list of a common term is spread over all
+   files. A term is the 64-bit hash of a word. `build_index(docs)` has the postings of all words, for any benchmark; given `items`
+   it has those of the benchmark's words alone, as the query does, which builds an index for one benchmark.
 2. Terms are counted over the whole index. The two rarest positions of each window are its pivots.
 3. Postings of pivots, less their position in the item, are the place where the item would begin in the document.
    A place stays if both pivots of some window meet there. Common terms are never looked at unless a window has no rarer.
-4. At each place that stays all words of the item are compared with those of the whole text; runs of a window's length are occurrences.
+4. At each place that stays the item's words are looked up in the index, by (document, position, term). Runs of a window's length
+   are occurrences. Texts are not read again.
+5. Proximity: the postings of an item's rarest term that have all other words of the item within twice its length. The next rarest
+   terms are looked up first, the others where these are near.
 
 Null and empty texts have no words. Items of the same words share one search; null item ids count as the empty
 string. Repeated rows of documents each get their result. Empty tables (of either side) give no hits. Extra columns are
@@ -21,15 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import table, text_or_empty, written
-from lodestrata.llm.minmax_dedup import drop_rows
+from lodestrata.llm._shared import drop_rows, hash_filter, table, text_or_empty, with_filter, written
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Most rows of a small side (terms, pivots, needed documents) that are broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
-_DOCUMENT = -1  # term of the rows that stand for a document
+#: Most different words of a benchmark that are told to every task (about 40 bytes each); with more, all words are indexed.
+VOCABULARY = 1_000_000
+#: Words of a block in which positions are looked up for proximity.
+_NEAR = 64
+_DOCUMENT = " "  # stands for the document among its words; no word has a space
 
 
 def _parts(text: str) -> Column:
@@ -42,49 +47,51 @@ def words(text: str = "text") -> Column:
     return F.filter(_parts(text), lambda w: w != "")
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """The written frame, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 class Items:
-    """The benchmark's word sequences, written once: (seq, words), and (seq, item_id)."""
+    """The benchmark's word sequences, written once: `ids` (seq, item_id) and `places` (seq, length, at, term)."""
 
-    def __init__(self, items: DataFrame, key: str, text: str):
+    def __init__(self, items: DataFrame, key: str = "item_id", text: str = "text"):
         rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item_id"), words(text).alias("words")).where(F.size("words") > 0)
         rows = written(rows.withColumn("seq", F.xxhash64(F.array_join("words", " "))), "items")
         self.ids = rows.select("seq", "item_id").distinct()
-        self.sequences = written(rows.select("seq", "words").dropDuplicates(["seq"]), "sequences")
-        places = self.sequences.select("seq", F.posexplode("words").alias("at", "word"))
-        self.terms = written(places.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
-        self.places = written(places.join(self.terms, "word").select("seq", "at", "term"), "places")
+        places = rows.select("seq", "words").dropDuplicates(["seq"]).select("seq", F.size("words").alias("length"), F.posexplode("words").alias("at", "word"))
+        self.places = written(places.select("seq", "length", "at", F.xxhash64("word").alias("term")), "places")
+
+
+class Index:
+    """`postings` (doc, pos, term), `documents` (doc, id, th, n_words) and `counts` (term, n), all written."""
 
+    def __init__(self, stored: DataFrame):
+        is_document = F.col("id_").isNotNull()
+        self.postings = stored.where(~is_document).select("doc", "pos", "term")
+        self.documents = stored.where(is_document).select("doc", F.col("id_.id").alias("id"), F.col("id_.th").alias("th"), F.col("pos").cast("long").alias("n_words"))
+        self.counts = written(self.postings.groupBy("term").agg(F.count("*").alias("n")), "term-counts")
 
-def build_index(docs: DataFrame, items: Items, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The written index: (doc, pos, term) postings of the items' terms; rows of term -1 have a document's id, th (text hash) and words in pos."""
-    parts = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"), _parts(text).alias("parts"))
+
+def build_index(docs: DataFrame, items: Items | None = None, *, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> Index:
+    """The index of all words, or of those of `items`."""
+    identity = F.struct(F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"))
+    parts = docs.select(F.monotonically_increasing_id().alias("doc"), identity.alias("identity"), _parts(text).alias("parts"))
     lead = (F.col("parts")[0] == "").cast("int")
     trail = ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
     parts = parts.withColumns({"lead": lead, "n": F.size("parts") - lead - trail})
-    # one more part, which no word equals, stands for the document
-    each = parts.select("doc", "id", "th", "lead", "n", F.posexplode(F.concat("parts", F.array(F.lit(" ")))).alias("at", "word"))
-    document = items.terms.sparkSession.createDataFrame([(" ", _DOCUMENT)], "word string, term long")
-    terms = _small(written(items.terms.select("word", "term").union(document), "vocabulary"), broadcast_rows)
-    is_document = F.col("term") == _DOCUMENT
-    found = each.join(terms, "word").select(
-        "doc",
-        F.when(is_document, F.col("n")).otherwise(F.col("at") - F.col("lead")).alias("pos"),
-        "term",
-        F.when(is_document, F.col("id")).alias("id"),
-        F.when(is_document, F.col("th")).alias("th"),
+    each = parts.select("doc", "identity", "lead", "n", F.posexplode(F.concat("parts", F.array(F.lit(_DOCUMENT)))).alias("at", "word")).where("word <> ''").withColumn("term", F.xxhash64("word"))
+    if items is not None:
+        terms = written(items.places.select("term").union(items.places.sparkSession.range(1).select(F.xxhash64(F.lit(_DOCUMENT)))).distinct(), "vocabulary")
+        if terms.count() <= vocabulary:
+            each = each.join(F.broadcast(terms), "term", "left_semi")
+    is_document = F.col("word") == _DOCUMENT
+    return Index(
+        written(
+            each.select("doc", F.when(is_document, F.col("n")).otherwise(F.col("at") - F.col("lead")).alias("pos"), "term", F.when(is_document, F.col("identity")).alias("id_")),
+            "postings",
+        )
     )
-    return written(found, "postings")
 
 
-def pivots(items: Items, index: DataFrame, window: int = WINDOW) -> DataFrame:
+def pivots(items: Items, index: Index, window: int = WINDOW) -> DataFrame:
     """(seq, p, q): the rarest and second rarest position of each window; (p, p) in windows of one word."""
-    counts = index.where(F.col("term") != _DOCUMENT).groupBy("term").agg(F.count("*").alias("n"))
-    ranked = items.places.join(counts, "term", "left").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("places"))
+    ranked = items.places.join(index.counts, "term", "left").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("places"))
     length = F.least(F.size("places"), F.lit(window))
     starts = ranked.select("seq", "places", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("places") - length + 1)).alias("from"))
     rarest = F.array_sort(F.transform(F.slice("places", F.col("from"), F.col("length")), lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"))))
@@ -92,85 +99,100 @@ def pivots(items: Items, index: DataFrame, window: int = WINDOW) -> DataFrame:
     return two.select("seq", F.col("r")[0]["at"].alias("p"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0])["at"].alias("q")).distinct()
 
 
-def places(items: Items, index: DataFrame, *, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _postings_of(index: Index, rows: DataFrame) -> DataFrame:
+    """Postings of the terms of the written rows, joined with them; a filter of 8 MB comes first, so the rest is not moved."""
+    some = with_filter(index.postings, "term", hash_filter(rows, "term"), "maybe").where("maybe").drop("maybe")
+    return some.join(rows, "term")
+
+
+def places(items: Items, index: Index, *, window: int = WINDOW) -> DataFrame:
     """(doc, seq, begin): where both pivots of a window of the item meet; begin may be negative."""
     pairs = written(pivots(items, index, window), "pivots")
     ends = pairs.select("seq", F.col("p").alias("at")).union(pairs.select("seq", F.col("q").alias("at"))).distinct()
-    ends = _small(written(ends.join(items.places, ["seq", "at"]), "pivot-terms"), broadcast_rows)
-    met = index.where(F.col("term") != _DOCUMENT).join(ends, "term").select("doc", "seq", (F.col("pos") - F.col("at")).alias("begin"), "at")
+    ends = written(ends.join(items.places.select("seq", "at", "term"), ["seq", "at"]), "pivot-terms")
+    met = _postings_of(index, ends).select("doc", "seq", (F.col("pos") - F.col("at")).alias("begin"), "at")
     met = met.groupBy("doc", "seq", "begin").agg(F.collect_set("at").alias("ats"))
-    of_seq = _small(written(pairs.groupBy("seq").agg(F.collect_list(F.struct("p", "q")).alias("pairs")), "pairs"), broadcast_rows)
-    both = F.exists("pairs", lambda x: F.array_contains("ats", x["p"]) & F.array_contains("ats", x["q"]))
-    return met.join(of_seq, "seq").where(both).select("doc", "seq", "begin")
-
+    both = met.select("doc", "seq", "begin", "ats", F.explode("ats").alias("p")).join(pairs, ["seq", "p"]).where(F.array_contains("ats", F.col("q")))
+    return both.select("doc", "seq", "begin").distinct()
 
-def phrase_matches(docs: DataFrame, items: Items, index: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc, hits): for document rows with occurrences, structs of seq and the array of hit positions, exact by the whole texts."""
-    rows = index.where(F.col("term") == _DOCUMENT).select("doc", "id", "th")
-    found = places(items, index, window=window, broadcast_rows=broadcast_rows)
-    at = found.join(_small(items.sequences, broadcast_rows), "seq").groupBy("doc").agg(F.collect_list(F.struct("seq", "begin", "words")).alias("places"))
-    needed = written(at.join(rows, "doc"), "needed")
-    side = _small(needed, broadcast_rows // 10)  # these rows are wider
-    whole = docs.select(F.col(key).alias("id_"), F.xxhash64(text_or_empty(text)).alias("th_"), F.col(text).alias("text_"))
-    both = whole.join(side, F.col("id_").eqNullSafe(F.col("id")) & (F.col("th_") == F.col("th"))).select("doc", "places", words("text_").alias("own"))
-    both = written(both, "compared")  # else the optimizer puts the splitting of the text into the functions below, once for each word
 
-    def hit(place: Column) -> Column:
-        length = F.least(F.size(place["words"]), F.lit(window))
-        same = F.array_join(F.transform(place["words"], lambda w, i: F.when(F.get("own", place["begin"] + i) == w, "x").otherwise("-")), "")
-        starts = F.filter(F.sequence(F.lit(0), F.size(place["words"]) - length), lambda j: F.substring(same, j + 1, length) == F.repeat(F.lit("x"), length))
-        return F.struct(place["seq"].alias("seq"), F.flatten(F.transform(starts, lambda j: F.sequence(place["begin"] + j, place["begin"] + j + length - 1))).alias("hit"))
+def phrase_matches(items: Items, index: Index, *, window: int = WINDOW) -> DataFrame:
+    """(doc, seq, begin, hit): places of items in document rows, and the positions in the document that their windows take."""
+    found = written(places(items, index, window=window), "candidates")
+    wanted = found.join(items.places, "seq").select("doc", (F.col("begin") + F.col("at")).alias("pos"), "term", "seq", "begin", "at", "length")
+    wanted = written(wanted.withColumn("h", F.xxhash64("doc", "pos", "term")), "wanted")
+    have = with_filter(index.postings.withColumn("h", F.xxhash64("doc", "pos", "term")), "h", hash_filter(wanted, "h"), "maybe").where("maybe").select("doc", "pos", "term")
+    same = have.join(wanted.drop("h"), ["doc", "pos", "term"]).groupBy("doc", "seq", "begin").agg(F.max("length").alias("length"), F.sort_array(F.collect_set("at")).alias("ats"))
+    same = same.withColumn("length", F.least("length", F.lit(window))).where(F.size("ats") >= F.col("length"))
+    # a window begins at ats[i] if the word that is its length further in ats is its last
+    begins = F.filter(F.transform("ats", lambda a, i: F.when(F.get("ats", i + F.col("length") - 1) == a + F.col("length") - 1, a)), lambda a: a.isNotNull())
+    hit = F.array_distinct(F.flatten(F.transform("begins", lambda a: F.sequence(F.col("begin") + a, F.col("begin") + a + F.col("length") - 1))))
+    return same.withColumn("begins", begins).where(F.size("begins") > 0).select("doc", "seq", "begin", hit.alias("hit"))
 
-    hits = both.select("doc", F.filter(F.transform("places", hit), lambda h: F.size(h["hit"]) > 0).alias("hits"))
-    return hits.where(F.size("hits") > 0).dropDuplicates(["doc"])
 
+def proximity_matches(items: Items, index: Index, *, reach: Column | None = None, terms: int = 3) -> DataFrame:
+    """(doc, seq, pos): postings of an item's rarest term that have all words of the item within `reach` words.
 
-def proximity_matches(items: Items, index: DataFrame, *, within: int = 20, terms: int = 3) -> DataFrame:
-    """(id, item_id, pos): postings of an item's rarest term that have its next rarest terms, `terms` in all, within so many words.
-
-    Only postings of those terms are joined, by document, item and position block of `within` words.
+    reach: a column over `length`, the item's number of words; twice that if none is given. The `terms` rarest terms are looked up
+    first, by document, item and block of positions, the others where those are near. Items with a word that no document has give none.
     """
-    counts = index.where(F.col("term") != _DOCUMENT).groupBy("term").agg(F.count("*").alias("n"))
-    rare = items.places.select("seq", "term").distinct().join(counts, "term")
+    reach = F.col("length") * 2 if reach is None else reach
+    known = items.places.groupBy("seq", "term").agg(F.first(reach.cast("int")).alias("reach")).join(index.counts, "term", "left")
     rank = Window.partitionBy("seq").orderBy("n", "term")
-    rare = rare.select("seq", "term", F.row_number().over(rank).alias("rank")).where(F.col("rank") <= terms)
-    rare = written(rare.withColumn("of", F.count("*").over(Window.partitionBy("seq"))), "rare")
-    found = index.join(rare, "term").select("doc", "seq", "pos", "rank", "of", F.floor(F.col("pos") / within).alias("block"))
-    first = found.where("rank = 1").select("doc", "seq", "pos", "of", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    whole = Window.partitionBy("seq")
+    known = known.withColumns({"rank": F.row_number().over(rank), "of": F.count("*").over(whole), "least": F.min(F.coalesce("n", F.lit(0))).over(whole)}).where("least > 0")
+    known = written(known.select("seq", "term", "reach", "rank", "of"), "ranked")
+    rare = known.where(F.col("rank") <= terms)
+    found = _postings_of(index, rare).select("doc", "seq", "pos", "rank", "reach", F.least("of", F.lit(terms)).alias("of"), F.floor(F.col("pos") / F.col("reach")).alias("block"))
+    found = written(found, "rare-postings")
+    first = found.where("rank = 1").select("doc", "seq", "pos", "reach", "of", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     other = found.where("rank > 1").select("doc", "seq", F.col("pos").alias("other"), "rank", "block")
-    near = first.join(other, ["doc", "seq", "block"], "left").where(F.col("other").isNull() | (F.abs(F.col("other") - F.col("pos")) <= within))
-    near = near.groupBy("doc", "seq", "pos").agg(F.countDistinct("rank").alias("ranks"), F.max("of").alias("of")).where("ranks = of - 1")
-    rows = index.where(F.col("term") == _DOCUMENT).select("doc", "id")
-    return near.join(rows, "doc").join(items.ids, "seq").select("id", "item_id", "pos")
-
-
-def _results(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int, broadcast_rows: int) -> DataFrame:
+    near = first.join(other, ["doc", "seq", "block"], "left").where(F.col("other").isNull() | (F.abs(F.col("other") - F.col("pos")) <= F.col("reach")))
+    near = near.groupBy("doc", "seq", "pos", "reach").agg(F.countDistinct("rank").alias("ranks"), F.max("of").alias("of")).where("ranks = of - 1")
+    block = lambda c: F.floor(c / _NEAR).cast("long")
+    blocks = F.sequence(block(F.col("center") - F.col("reach")), block(F.col("center") + F.col("reach")))
+    near = near.select("doc", "seq", F.col("pos").alias("center"), "reach").join(known.select("seq", "term", "of"), "seq")
+    wanted = written(near.select("doc", "seq", "center", "reach", "of", "term", F.explode(blocks).alias("block")).withColumn("h", F.xxhash64("doc", "term", "block")), "wanted-near")
+    have = index.postings.withColumn("block", block(F.col("pos")))
+    have = with_filter(have.withColumn("h", F.xxhash64("doc", "term", "block")), "h", hash_filter(wanted, "h"), "maybe").where("maybe").select("doc", "term", "block", "pos")
+    met = have.join(wanted.drop("h"), ["doc", "term", "block"]).where(F.abs(F.col("pos") - F.col("center")) <= F.col("reach"))
+    met = met.groupBy("doc", "seq", "center").agg(F.countDistinct("term").alias("met"), F.max("of").alias("of")).where("met = of")
+    return met.select("doc", "seq", F.col("center").alias("pos"))
+
+
+def _results(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int, proximity: bool) -> DataFrame:
     items = Items(benchmark, item_key, item_text)
-    index = build_index(docs, items, key=key, text=text, broadcast_rows=broadcast_rows)
-    hits = written(phrase_matches(docs, items, index, key=key, text=text, window=window, broadcast_rows=broadcast_rows), "hits")
-    n_hit = hits.select("doc", F.size(F.array_distinct(F.flatten("hits.hit"))).cast("long").alias("n_hit"))
-    names = hits.select("doc", F.explode(F.array_distinct("hits.seq")).alias("seq")).join(items.ids, "seq").groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    rows = index.where(F.col("term") == _DOCUMENT).select("doc", "id", "th", F.col("pos").cast("long").alias("n_words"))
-    return rows.join(n_hit.join(names, "doc"), "doc", "left").select("id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of docs: key, n_words, n_hit, items (sorted ids of the items that occur)."""
-    found = _results(docs, benchmark, key, text, item_key, item_text, window, broadcast_rows)
-    return found.select(F.col("id").alias(key), "n_words", "n_hit", "items")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    index = build_index(docs, items, key=key, text=text)
+    hits = written(phrase_matches(items, index, window=window), "hits")
+    n_hit = hits.select("doc", F.explode("hit").alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
+    names = hits.select("doc", "seq").distinct().join(items.ids, "seq").groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = n_hit.join(names, "doc")
+    if proximity:
+        near = proximity_matches(items, index).select("doc", "seq").distinct().join(items.ids, "seq").groupBy("doc").agg(F.countDistinct("item_id").alias("n_near"))
+        found = found.join(near, "doc", "full")
+    else:
+        found = found.withColumn("n_near", F.lit(0))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return index.documents.join(found, "doc", "left").select("id", "th", "n_words", count("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), count("n_near"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per row of docs: key, n_words, n_hit, items (sorted ids of the items that occur), n_near (items that are near)."""
+    found = _results(docs, benchmark, key, text, item_key, item_text, window, True)
+    return found.select(F.col("id").alias(key), "n_words", "n_hit", "items", "n_near")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs without any hit, with all their columns."""
-    found = _results(docs, benchmark, key, text, item_key, item_text, window, broadcast_rows)
-    goes = written(found.where("n_hit > 0").select("id", "th").distinct(), "contaminated")
-    return drop_rows(docs, goes, goes.limit(0), key, text, broadcast_rows)
+    found = _results(docs, benchmark, key, text, item_key, item_text, window, False)
+    goes = written(found.where("n_hit > 0").select("id", "th", F.lit(False).alias("one")).distinct(), "contaminated")
+    return drop_rows(docs, goes, F.col(key), text)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of `benchmark` in `documents`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Hits of `benchmark` in `documents`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and n_near (items by proximity)."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate as D
 from tests.llm.conftest import CLASHING, odd_rows, words
@@ -38,9 +39,11 @@ def _rows(df):
 
 
 @pytest.mark.parametrize("limit", [0, 1000])
-def test_equals_brute_force_on_odd_rows(odd, benchmark, limit):
+def test_equals_brute_force_on_odd_rows(odd, benchmark, limit, monkeypatch):
+    """With a small vocabulary limit all words are indexed."""
+    monkeypatch.setattr(D, "build_index", lambda *a, f=D.build_index, **k: f(*a, **k, vocabulary=limit))
     items = [tuple(r) for r in benchmark.collect()]
-    got = _rows(D.contamination(odd, benchmark, broadcast_rows=limit))
+    got = _rows(D.contamination(odd, benchmark))
     assert got == _brute(odd_rows(), items)
     assert sum(r[2] > 0 for r in got) >= 4
 
@@ -71,12 +74,58 @@ def test_empty_tables(odd, empty, benchmark):
     assert none.count() == odd.count() and none.where("n_hit > 0").count() == 0
 
 
+def test_an_index_of_all_words_serves_any_benchmark(spark, odd, benchmark):
+    index = D.build_index(odd)
+    assert index.postings.count() == sum(len(_words(r[1])) for r in odd_rows())
+    for bench in (benchmark, benchmark.where("item_id = 2")):
+        hits = D.phrase_matches(D.Items(bench), index)
+        got = sorted((r["id"] is None, r["id"] or 0, r["n"]) for r in hits.selectExpr("doc", "explode(hit) as pos").distinct().groupBy("doc").count().join(index.documents, "doc").selectExpr("id", "count as n").collect())
+        want = [(x[0] == "None", 0 if x[0] == "None" else int(x[0]), x[2]) for x in _brute(odd_rows(), [tuple(r) for r in bench.collect()]) if x[2]]
+        assert got == sorted(want)
+
+
+def test_many_repeated_rows_and_places(spark):
+    """Time is linear in repeated rows, and in the places of one text."""
+    item = words(8, 30)
+    rows = [(i % 3, "x " + item + " y") for i in range(3000)] + [(5, " ".join([item] * 400))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), [(1, item)]
+    got = _rows(D.contamination(docs, spark.createDataFrame(items, "item_id long, text string")))
+    assert got == sorted([(str(i), 32, 30, ("1",)) for i in (0, 1, 2)] * 1000 + [("5", 12_000, 12_000, ("1",))])
+
+
+def _near(docs, items):
+    """Items of which a posting of the rarest term has every word within twice the item's length, by document."""
+    texts = [_words(d[1]) for d in docs]
+    count, out = {}, []
+    for w in texts:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    for w in texts:
+        found = set()
+        for k, t in items:
+            own = set(_words(t))
+            if not own or not all(count.get(x) for x in own):
+                continue
+            least, reach = min(count[x] for x in own), 2 * len(_words(t))
+            # the rarest term: of equal ones any, so the tests have one
+            (first,) = [x for x in own if count[x] == least] if sum(count[x] == least for x in own) == 1 else [None]
+            assert first is not None
+            for p in (i for i, x in enumerate(w) if x == first):
+                if own <= set(w[max(0, p - reach) : p + reach + 1]):
+                    found.add("" if k is None else str(k))
+        out.append(len(found))
+    return out
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, words(1, 30) + " zig zag zog " + words(2, 30)), (2, "zig " + words(3, 50) + " zag zog"), (3, "zog " + words(4, 10) + " zig zag")], "doc_id long, text string")
-    items = D.Items(spark.createDataFrame([(7, "zig zag zog")], "item_id long, text string"), "item_id", "text")
-    index = D.build_index(docs, items)
-    assert sorted((r["id"], r["item_id"]) for r in D.proximity_matches(items, index, within=15).collect()) == [(1, "7"), (3, "7")]
-    assert {r["id"] for r in D.proximity_matches(items, index, within=100).collect()} == {1, 2, 3}
+    r = random.Random(11)
+    docs = [(i, " ".join(r.choice(["zig"] * 2 + ["zag"] * 3 + ["zog"] * 4 + ["bip", "the", "of", "a", "so"] * 5) for _ in range(r.choice([0, 5, 40, 300])))) for i in range(150)]
+    items = [(1, "zig zag zog"), (2, "zig the zag of zog"), (3, "zag bip"), (4, "nowhere zig"), (5, "zig"), (6, "zog zog zag zog so"), (None, "zag bip")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in D.contamination(d, b).collect()}
+    assert [got[i] for i, _ in docs] == _near(docs, items) and len(set(got.values())) > 3
+    index, some = D.build_index(d), D.Items(b.where("item_id = 1"))
+    assert D.proximity_matches(some, index, reach=F.lit(3)).count() < D.proximity_matches(some, index, reach=F.lit(30)).count()
 
 
 def test_main_path_has_no_python(odd, benchmark):
