@@ -3,7 +3,8 @@
 A document's set holds its distinct 5-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased). Each of
 `PERMUTATIONS` permutations of 32-bit values gives two signature entries, its minimum and its maximum over the
 set; each is equal for two sets with the probability of their similarity, so half the hash evaluations
-are needed. Bands of `ROWS` entries are hashed to bucket keys.
+are needed. Bands of `ROWS` entries are hashed to bucket keys. Sets of at most `SMALL` shingles get as many bands again from
+other permutations, as minimum and maximum of one permutation depend on each other there.
 
 1. Documents are read once: set fingerprint (128 bits), size, band keys, and a sketch of 8 bits an entry.
    Equal sets are one class; classes are what is linked.
@@ -11,23 +12,26 @@ are needed. Bands of `ROWS` entries are hashed to bucket keys.
    its buckets, which in a group of copies is the text that was copied. Links whose sketches agree too
    little for a similarity of 0.75 (five standard deviations) are put aside; the rest are confirmed on
    full sets from whole texts.
-3. In buckets whose members are still in different components, all members of different components are compared in
-   blocks of `BLOCK`: sizes and sketches first, then the shingles' hashes cut to 32 bits. Of the pairs that pass, those that join
-   components not yet joined in the block are confirmed on full sets as well. No pair is left out.
+3. What is left are buckets whose members are in different components. Of these members, only those stay that share a prefix
+   shingle with a member of another component: shingles are ordered by how common they are, the rarest first, and two sets linked at
+   0.75 share one among the first quarter of each. So texts that have common passages alone in common go, however many they are.
+   The rest are compared in blocks of `BLOCK`: sizes and sketches first, then full sets. Pairs that join components
+   not yet joined in the block are links.
 4. The component's first document is the one with the smallest id.
 
 Classes are named by 64 bits of their fingerprint; two of n different sets share a name with a chance of about
-n * n / 2**65. So only classes that may be similar make rows of pairs, and a hot bucket is dealt in blocks. The chance to
-miss a link at 0.75 exactly is about 2e-6 by banding, less above.
+n * n / 2**65. Shingles are 64-bit hashes. So only classes that may be similar make rows of pairs, and a hot bucket is dealt in blocks.
+The chance to miss a link at 0.75 exactly is about 2e-6 by banding and 3e-7 by sketches, less above. With `exact=True` the buckets are prefix shingles
+of all classes instead of bands, and sketches turn nothing away: no link is missed, at the cost of more buckets.
 
-Null or empty texts and texts without words have an empty set and are linked with nothing. A null id comes after
-all others. Rows that repeat id and text are one class; `near_duplicates` gives each its row, `drop_near_duplicates` keeps one.
+Ids are whole numbers (or cast to them). Null or empty texts and texts without words have an empty set and are linked with nothing. A null
+id comes after all others. Rows that repeat id and text are one class; `near_duplicates` gives each its row, `drop_near_duplicates` keeps one.
 Empty tables give empty results. Extra columns are carried by `drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
-from lodestrata.llm._shared import map_batches, skew_join, table, text_or_empty, unused, written
+from lodestrata.llm._shared import drop_rows, hash_filter, map_batches, skew_join, table, text_or_empty, with_filter, written
 from lodestrata.llm.graph import components
 
 WIDTH, ROWS, BANDS = 5, 5, 48
@@ -44,30 +48,32 @@ NUM, DEN = 75, 100  # linked if DEN * intersection >= NUM * union
 #: Entries that agree at least in sketches of sets at the threshold: the mean less five standard deviations.
 AGREE = int(ROWS * BANDS * 0.75 - 5 * (ROWS * BANDS * 0.75 * 0.25) ** 0.5)
 BLOCK = 512
-#: Most rows of (id, text hash) that are broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
+SMALL = 32
+#: Most shingles whose count is told to every task, 16 bytes each; the order of the others is by hash alone, which costs time, not links.
+FREQUENT = 1 << 18
 
 _RNG = np.random.default_rng(75)
-_MULTIPLY = _RNG.integers(1 << 31, size=PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _RNG.integers(1 << 32, size=PERMUTATIONS, dtype=np.uint32)
+_MULTIPLY = _RNG.integers(1 << 31, size=2 * PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RNG.integers(1 << 32, size=2 * PERMUTATIONS, dtype=np.uint32)
 _BAND = _RNG.integers(1 << 63, size=(ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _RNG.integers(1 << 63, size=BANDS, dtype=np.uint64)
+_SALT = _RNG.integers(1 << 63, size=2 * BANDS, dtype=np.uint64)
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Minimum and maximum of each permutation over each set (none empty): sets x 2 * PERMUTATIONS."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray, more: bool = False) -> np.ndarray:
+    """Minimum and maximum of each permutation (with `more`, of the other ones) over each set (none empty): sets x 2 * PERMUTATIONS."""
     h, starts = (hashes >> np.uint64(32)).astype(np.uint32), bounds[:-1]
     out = np.empty((2 * PERMUTATIONS, len(starts)), np.uint32)
     for j in range(PERMUTATIONS):
-        x = (h ^ _FLIP[j]) * _MULTIPLY[j]
+        k = j + more * PERMUTATIONS
+        x = (h ^ _FLIP[k]) * _MULTIPLY[k]
         np.minimum.reduceat(x, starts, out=out[2 * j])
         np.maximum.reduceat(x, starts, out=out[2 * j + 1])
     return out.T
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, more: bool = False) -> np.ndarray:
     cut = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    return textkit.mix((cut @ _BAND)[:, :, 0] + _SALT).view(np.int64)
+    return textkit.mix((cut @ _BAND)[:, :, 0] + _SALT[more * BANDS : (1 + more) * BANDS]).view(np.int64)
 
 
 def sketch(signature: np.ndarray) -> np.ndarray:
@@ -92,11 +98,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b[full] = np.bitwise_xor.reduceat(textkit.mix(hashes * np.uint64(0x9E3779B97F4A7C15)), at[:-1]).view(np.int64)
                 signature = signatures(hashes, at)
                 keys, short = band_keys(signature), sketch(signature)
+            more = {}
+            if len(few := np.flatnonzero((n > 0) & (n <= SMALL))):
+                cut = np.concatenate([[0], np.cumsum(n[few])])
+                own = np.repeat(bounds[few] - cut[:-1], n[few]) + np.arange(cut[-1])
+                more = dict(zip(few.tolist(), band_keys(signatures(hashes[own], cut, True), True)))
             bands, sketches = [None] * len(n), [None] * len(n)
             for k, i in enumerate(full):  # a class is signed once in a task
                 if (key := (int(a[i]), int(b[i]))) not in seen:
                     seen[key] = None
-                    bands[i], sketches[i] = keys[k], short[k].tobytes()
+                    bands[i], sketches[i] = np.concatenate([keys[k], more[i]]) if i in more else keys[k], short[k].tobytes()
             while len(seen) > 200_000:
                 seen.pop(next(iter(seen)))
             part = batch.slice(first, len(n))
@@ -123,13 +134,16 @@ def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return DEN * np.minimum(x, y) >= NUM * np.maximum(x, y)
 
 
-def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 4096):
-            part = batch.slice(i, 4096)
-            keep = _sizes_fit(part.column("nu").to_numpy(), part.column("nv").to_numpy())
-            keep &= _agree(_matrix(part.column("su")), _matrix(part.column("sv"))) >= AGREE
-            yield part.select(["u", "v"]).filter(pa.array(keep))
+def _may_link(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                keep = _sizes_fit(part.column("nu").to_numpy(), part.column("nv").to_numpy())
+                keep &= _agree(_matrix(part.column("su")), _matrix(part.column("sv"))) >= least
+                yield part.select(["u", "v"]).filter(pa.array(keep))
+
+    return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +166,39 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["u", "v"]).filter(pa.array(keep))
 
 
-def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted shingle hashes of each text."""
     for batch in batches:
         for first, hashes, bounds in textkit.shingle_sets(batch.column(1), WIDTH):
-            short = (hashes >> np.uint64(32)).astype(np.uint32)
-            cut = [short[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(bounds) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cut)), pa.array(cut, pa.binary())], names=["node", "cut"])
+            lists = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lists)), lists], names=["node", "hashes"])
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of a list column."""
+    bounds = column.offsets.to_numpy()
+    return column.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _prefixes(common: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, h): the first shingles of each set, so many that any set linked with it has one of them among its own first ones.
+
+    The order is by rank of the sorted `common` hashes, 0 for others, then by hash: the same for all sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, bounds = _lists(batch.column(1))
+            n = np.diff(bounds)
+            row, level = np.repeat(np.arange(len(n)), n), np.zeros(len(value), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, value), len(common) - 1)
+                level = np.where(common[at] == value, rank[at], 0)
+            order = np.lexsort((value, level, row))
+            first = order[np.arange(len(value)) - np.repeat(bounds[:-1], n) < np.repeat(n + NUM * n // -DEN + 1, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(value[first])], names=["node", "h"])
+
+    return run
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -165,10 +206,12 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
 
 
-def _block(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
+def _block(rows: pa.RecordBatch, least: int) -> tuple[list[int], list[int]]:
     node, part, mine = (rows.column(c).to_numpy() for c in ("node", "part", "mine"))
-    cuts = [np.frombuffer(c.as_buffer(), np.uint32) for c in rows.column("cut")]
-    n, s = np.array([len(c) for c in cuts]), _matrix(rows.column("sketch"))
+    value, bounds = _lists(rows.column("hashes"))
+    value = value.view(np.uint64)
+    n, s = np.diff(bounds), _matrix(rows.column("sketch"))
+    own = lambda k: value[bounds[k] : bounds[k + 1]]
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
     joined = part.copy()
@@ -179,40 +222,44 @@ def _block(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
         if not len(ys):
             continue
         agree = _agree(s[ys], s[x][None, :])
-        ys = ys[np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]]
+        ys = ys[np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]]
         for y in ys:
             if joined[x] != joined[y]:
-                both = _common(cuts[x], cuts[y])
+                both = _common(own(x), own(y))
                 if DEN * both >= NUM * (int(n[x]) + int(n[y]) - both):
                     u.append(min(node[x], node[y])), v.append(max(node[x], node[y]))
                     joined[joined == joined[y]] = joined[x]
     return u, v
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks come in order of (key, i, j); one is held at a time."""
-    held: list[pa.RecordBatch] = []
 
     def ends(b: pa.RecordBatch) -> tuple:
         return tuple(b.column(c)[0].as_py() for c in ("key", "i", "j"))
 
-    def done() -> pa.RecordBatch:
-        u, v = _block(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-        cuts = np.r_[0, np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1, batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = batch.slice(a, b - a)
-            if held and ends(held[0]) != ends(part):
-                yield done()
-            held.append(part)
-    if held:
-        yield done()
+        def done() -> pa.RecordBatch:
+            u, v = _block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = np.r_[0, np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1, batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(a, b - a)
+                if held and ends(held[0]) != ends(part):
+                    yield done()
+                held.append(part)
+        if held:
+            yield done()
+
+    return run
 
 
 #: Stands for a null id, which comes after all others.
@@ -222,15 +269,18 @@ _NO_ID = (1 << 63) - 1
 class _Search:
     """The tables of one run, all in the shared folder."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, broadcast_rows: int):
-        self.rows, self.broadcast_rows = _rows(docs, key, text), broadcast_rows
+    def __init__(self, docs: DataFrame, key: str, text: str, exact: bool = False):
+        self.rows, self.exact, self.least = _rows(docs, key, text), exact, 0 if exact else AGREE
         self.signed = written(map_batches(self.rows, _sign, _SIGNED), "signed")
         found = self.signed.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("th", "id").alias("th"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
         self.classes = written(found.withColumnRenamed("a", "node"), "classes")
 
     def members(self) -> DataFrame:
         """(key, node) of buckets with two classes or more."""
-        band = self.signed.where("bands is not null").select(F.explode("bands").alias("key"), F.col("a").alias("node"))
+        if self.exact:
+            band = self.prefixes(self.sets(self.classes.select("node"))).select(F.col("h").alias("key"), "node")
+        else:
+            band = self.signed.where("bands is not null").select(F.explode("bands").alias("key"), F.col("a").alias("node"))
         several = band.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
         return written(skew_join(band, several, "key").distinct(), "buckets")
 
@@ -244,7 +294,7 @@ class _Search:
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose sizes and sketches agree enough."""
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _may_link, "u long, v long"), "plausible")
+        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _may_link(self.least), "u long, v long"), "plausible")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the written pairs (u, v) that are linked, by the sets of whole texts."""
@@ -254,31 +304,66 @@ class _Search:
         return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _confirm, "u long, v long").distinct(), "confirmed")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of the nodes; one pass over the documents, with the ids broadcast if they are few."""
+        """(node, text) of the nodes, once each: of all documents only the texts that pass a filter of 8 MB are moved."""
         needed = written(nodes.join(self.classes, "node").select("node", "id", "th"), "needed")
-        side = F.broadcast(needed) if needed.count() <= self.broadcast_rows else needed
-        return self.rows.join(side, ["id", "th"]).select("node", "text")
+        some = with_filter(self.rows, "th", hash_filter(needed, "th"), "maybe").where("maybe")
+        some = some.groupBy("id", "th").agg(F.first("text").alias("text"))  # rows that repeat id and text
+        return some.join(needed.hint("merge"), ["id", "th"]).select("node", "text")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, hashes) of the nodes: sorted shingle hashes."""
+        return written(map_batches(self.texts(nodes), _sets, "node long, hashes array<long>"), "sets")
+
+    def prefixes(self, sets: DataFrame) -> DataFrame:
+        """(node, h): the prefix shingles of sets. At most FREQUENT counts, of the most common shingles, come to the driver."""
+        counts = written(sets.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 2"), "counts")
+        levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()  # 60 rows at most
+        total, least = 0, 1 << 62
+        for r in levels:
+            total += r["count"]
+            if total > FREQUENT:
+                break
+            least = 1 << r["level"]
+        common = counts.where(F.col("n") >= least).orderBy("n", "h").toArrow()
+        h = common["h"].to_numpy()
+        by_hash = np.argsort(h)
+        shared = self.rows.sparkSession.sparkContext.broadcast((h[by_hash], by_hash + 1))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _prefixes(*shared.value)(batches)
+
+        return map_batches(sets, run, "node long, h long")
 
     def left_over(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(u, v) of different components in a bucket whose cut sets are linked; enough to join all such components."""
+        """(u, v): links between different components in a bucket; enough to join all such components."""
+
+        def still_open(placed: DataFrame, more_than: int) -> DataFrame:
+            """Rows of buckets with several components, and the bucket's number of blocks."""
+            found = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {more_than}")
+            return skew_join(placed, found.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part"))
-        open_ = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
-        placed = written(skew_join(placed, open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "open")
-        cut = map_batches(self.texts(placed.select("node").distinct()), _cut_sets, "node long, cut binary")
-        cut = written(cut.groupBy("node").agg(F.max("cut").alias("cut")).join(self.classes.select("node", "sketch"), "node"), "cut-sets")
+        placed = written(still_open(placed, 2).drop("blocks"), "open")  # two members have met in the star
+        nodes = placed.select("node", "part").distinct()
+        sets = self.sets(nodes.select("node"))
+        first = written(self.prefixes(sets).join(nodes, "node"), "prefixes")
+        shared = first.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
+        alive = written(skew_join(first, shared, "h").select("node").distinct(), "alive")
+        placed = written(still_open(placed.join(alive, "node"), 1), "compared")
+        sets = sets.join(placed.select("node").distinct(), "node").join(self.classes.select("node", "sketch"), "node")
         mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
         ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
         dealt = placed.withColumn("mine", mine).select("key", "node", "part", "mine", F.explode(ij).alias("ij")).select("key", "ij.i", "ij.j", "mine", "node", "part")
-        dealt = dealt.join(cut, "node").select("key", "i", "j", "mine", "node", "part", "cut", "sketch")
+        dealt = dealt.join(sets, "node").select("key", "i", "j", "mine", "node", "part", "hashes", "sketch")
         dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return written(map_batches(dealt, _compare, "u long, v long").distinct(), "left-over")
+        return written(map_batches(dealt, _compare(self.least), "u long, v long").distinct(), "left-over")
 
     def labels(self) -> DataFrame:
         """(node, label) of all classes that are linked."""
         members = self.members()
         links = self.confirmed(self.plausible(self.star(members)))
         labels = written(components(links), "labels")
-        more = self.confirmed(self.left_over(members, labels))
+        more = self.left_over(members, labels)
         return written(components(links.union(more)), "labels") if more.limit(1).count() else labels
 
     def decided(self) -> DataFrame:
@@ -293,35 +378,19 @@ class _Search:
         return rows.where("n > 0").join(whole, ["a", "b"]).select("id", "th", "n", "top", "top_th").unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept."""
-    found = _Search(docs, key, text, broadcast_rows).decided()
+    found = _Search(docs, key, text, exact).decided()
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return found.select(real("id").alias(key), F.col("n").alias("n_shingles"), real("top").alias("component_id"), (F.col("id") == F.col("top")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """The rows of docs that are first in their component, with all their columns."""
-    found = written(_Search(docs, key, text, broadcast_rows).decided(), "decided")
-    goes = written(found.where("not (id = top and th = top_th)").select("id", "th").distinct(), "losers")
-    return drop_rows(docs, goes, found.groupBy("id", "th").count().where("count > 1").select("id", "th"), key, text, broadcast_rows)
-
-
-def drop_rows(docs: DataFrame, goes: DataFrame, repeated: DataFrame, key: str, text: str, broadcast_rows: int) -> DataFrame:
-    """docs without the pairs (id, text hash) of `goes`, and with one row each of those in `repeated`."""
-    th = unused(docs.columns, "text_hash")
-    rows = docs.withColumn(th, F.xxhash64(text_or_empty(text)))
-
-    def on(left, right):
-        return (F.coalesce(left[key].cast("long"), F.lit(_NO_ID)) == F.coalesce(right["id"], F.lit(_NO_ID))) & (left[th] == right["th"])
-
-    side = F.broadcast(goes) if goes.count() <= broadcast_rows else goes
-    kept = rows.join(side, on(rows, side), "left_anti")
-    repeated = written(repeated, "repeated")
-    if n := repeated.count():
-        side = F.broadcast(repeated) if n <= broadcast_rows else repeated
-        kept = kept.join(side, on(kept, side), "left_anti").unionByName(kept.join(side, on(kept, side), "left_semi").dropDuplicates([key, th]))
-    return kept.drop(th)
+    found = _Search(docs, key, text, exact).decided()
+    pairs = found.groupBy("id", "th").agg(F.bool_and((F.col("id") == F.col("top")) & (F.col("th") == F.col("top_th"))).alias("one"), F.count("*").alias("rows"))
+    listed = written(pairs.where("not one or rows > 1").select("id", "th", "one"), "listed")
+    return drop_rows(docs, listed, F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)), text)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,10 +71,72 @@ def test_what_the_center_misses_is_found_in_small_blocks(spark, monkeypatch):
     assert got == {r[0]: c for r, (_, c) in zip(rows, _brute(rows))}
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_drop_keeps_the_first_of_each_component(odd, limit):
+def test_the_exact_search_equals_brute_force(spark):
+    rows = _edited(4, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs, exact=True).collect()}
+    assert got == {r[0]: c for r, (_, c) in zip(rows, _brute(rows))}
+
+
+def test_texts_with_a_passage_in_common_are_not_compared(spark, monkeypatch):
+    """Half of each text is the same: buckets are hot, but no prefix shingle is shared, so no pair is made."""
+    frame = words(5, 60)
+    rows = [(i, frame + " " + words(10_000 + i, 60)) for i in range(1500)] + [(9000, frame + " " + words(10_007, 60) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    search = N._Search(docs, "doc_id", "text")
+    members = search.members()
+    assert members.groupBy("key").count().agg({"count": "max"}).first()[0] > 300
+    sizes = []
+    monkeypatch.setattr(N, "written", lambda df, name, w=N.written: sizes.append((name, w(df, name))) or sizes[-1][1])
+    none = spark.createDataFrame([], "node long, label long")
+    more = search.left_over(members, none)
+    assert more.count() == 1 and dict(sizes)["compared"].select("node").distinct().count() == 2 < dict(sizes)["open"].select("node").distinct().count()
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 4, 7, 20, 100):
+        for _ in range(30):
+            common = np.sort(rng.choice(10**6, 50, replace=False))
+            base = np.unique(np.r_[rng.choice(common, min(n, 50) // 2, replace=False), rng.integers(1 << 40, size=n)])[:n]
+            other = base.copy()
+            other[rng.choice(n, n // 8, replace=False)] = rng.integers(1 << 40, size=n // 8)
+            x, y = set(base.tolist()), set(other.tolist())
+            if 100 * len(x & y) < 75 * len(x | y):
+                continue
+            lists = pa.array([sorted(x), sorted(y)], pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), lists], names=["node", "hashes"])
+            (out,) = N._prefixes(common, np.arange(50) + 1)([batch])
+            first = {k: {h for m, h in zip(out.column(0).to_pylist(), out.column(1).to_pylist()) if m == k} for k in (1, 2)}
+            assert first[1] & first[2] and len(first[1]) == len(x) - -(-75 * len(x) // 100) + 1
+
+
+def test_shingles_that_agree_in_32_bits_are_told_apart():
+    high = np.arange(1, 101, dtype=np.uint64) << np.uint64(32)
+    a, b, c = high.copy(), high + np.uint64(1), np.r_[high[:90], high[90:] + np.uint64(2)]  # a and c are linked, b with none
+    rows = pa.RecordBatch.from_pydict({"key": [1] * 3, "i": [0] * 3, "j": [0] * 3, "mine": [0] * 3, "node": [10, 11, 12], "part": [10, 11, 12],
+        "hashes": pa.array([x.view(np.int64) for x in (a, b, c)], pa.list_(pa.int64())), "sketch": pa.array([bytes(240)] * 3, pa.binary())})
+    assert N._block(rows, N.AGREE) == ([10], [12])
+
+
+def test_small_sets_have_more_bands():
+    texts = pa.array([words(1, 6), words(2, 80)])
+    ((first, hashes, bounds),) = textkit.shingle_sets(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), texts], names=["id", "th", "text"])
+    assert [len(x) for x in next(N._sign(iter([batch]))).column("bands").to_pylist()] == [2 * N.BANDS, N.BANDS]
+
+
+def test_rows_that_repeat_a_text_are_read_once(spark):
+    rows = [(1, words(1, 50))] * 300 + [(2, words(1, 50) + " x")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    search = N._Search(docs, "doc_id", "text")
+    assert search.texts(search.classes.select("node")).count() == 2
+    assert sorted(r["doc_id"] for r in N.drop_near_duplicates(docs).collect()) == [1]
+
+
+def test_drop_keeps_the_first_of_each_component(odd):
     rows = odd_rows()
-    kept = N.drop_near_duplicates(odd, broadcast_rows=limit)
+    kept = N.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     got = kept.collect()
     ids = sorted(str(r["doc_id"]) for r in got)
