@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import TASKS_A_CORE, filesystem, map_batches, new_dir, table
+from lodestrata.llm._shared import filesystem, map_batches, new_dir, table
 from lodestrata.llm.tokens import PackedEncoder
 
 MAGIC, FORMAT, PROBES, BITS_A_KEY = b"LSST0001", 1, 7, 10
@@ -210,8 +210,9 @@ def write_token_shards(docs: DataFrame, out: str, *, key: str = "doc_id", text:
 
     One range exchange orders the documents by (key, hash of text), so a key that holds many rows is
     spread over shards too. A task streams its rows to files of about `shard_bytes`; it holds a batch
-    and a block. Files are written under a name of the attempt and renamed, so a rerun of a lost task
-    replaces whole files with the same bytes.
+    and a block. A file's name has the task attempt in it and nothing is moved or replaced: a shard counts
+    once the manifest names it, and of a task that ran twice the manifest has the attempt that Spark committed. Files of
+    attempts that fail are deleted by them; those of attempts that are killed stay, named by nothing.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     kind = "string" if dict(docs.dtypes)[key] == "string" else "long"
@@ -227,28 +228,33 @@ def write_token_shards(docs: DataFrame, out: str, *, key: str = "doc_id", text:
         writer = file = None
         seq, done = 0, []
 
+        def name() -> str:
+            return f"part-{part:06d}-{seq:05d}-{attempt}.sst"
+
         def close():
             nonlocal writer, seq
             writer.close()
             file.close()
-            target = f"{base}/part-{part:06d}-{seq:05d}.sst"
-            if fs.get_file_info(target).type != pafs.FileType.NotFound:  # of a lost attempt; some stores do not move onto a file
-                fs.delete_file(target)
-            fs.move(f"{base}/.{part}-{seq}-{attempt}", target)
-            done.append({"part": part, "seq": seq, "path": f"{out}/part-{part:06d}-{seq:05d}.sst", "docs": writer.docs, "tokens": writer.tokens, "bytes": writer.at})
+            done.append({"part": part, "seq": seq, "path": f"{out}/{name()}", "docs": writer.docs, "tokens": writer.tokens, "bytes": writer.at})
             writer, seq = None, seq + 1
 
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                if writer is None:
-                    file = fs.open_output_stream(f"{base}/.{part}-{seq}-{attempt}")
-                    writer = ShardWriter(file, encoder.width)
-                writer.add(key_bytes(keys[i].as_py()), encoder.encode(texts[i].as_py()) + end)
-                if writer.at >= shard_bytes:
-                    close()
-        if writer is not None:
-            close()
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0), batch.column(1)
+                for i in range(batch.num_rows):
+                    if writer is None:
+                        file = fs.open_output_stream(f"{base}/{name()}")
+                        writer = ShardWriter(file, encoder.width)
+                    writer.add(key_bytes(keys[i].as_py()), encoder.encode(texts[i].as_py()) + end)
+                    if writer.at >= shard_bytes:
+                        close()
+            if writer is not None:
+                close()
+        except BaseException:
+            for path in [f"{base}/{name()}"] * (writer is not None) + [base + d["path"].removeprefix(out) for d in done]:
+                if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                    fs.delete_file(path)
+            raise
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
@@ -286,7 +292,7 @@ def read_token_shards(spark: SparkSession, out: str, *, string_keys: bool = Fals
                         at += len(wide)
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return map_batches(files.select("path", "base").repartition(min(n, TASKS_A_CORE * spark.sparkContext.defaultParallelism)), read, schema)
+    return map_batches(files.select("path", "base").repartition(n), read, schema)
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

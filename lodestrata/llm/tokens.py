@@ -5,7 +5,7 @@ and encodes each piece by itself. So a text may be cut before any space or newli
 other than white space follows, without changing its ids. Chunks cut so are encoded by the library
 once and kept packed as bytes while the memo has room; a text is then one split, look-ups and a join.
 Texts with longer runs of white space, or where a chunk begins with a character that pattern engines
-may class differently, go to the library whole.
+may class differently, and texts in which the string of an added token occurs, go to the library whole.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class PackedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.dtype = dtype if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
         self.model = self.tokenizer.model
@@ -62,7 +62,12 @@ class PackedEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _has_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def encode(self, text: str) -> bytes:
+        if self._has_added(text):
+            return self.whole(text)
         memo = self.memo
         # a part stands for itself with the space before it, or begins with its newline
         first, *parts = text.replace("\n", " \n").split(" ")
@@ -110,6 +115,8 @@ class PackedEncoder:
 
     def count(self, text: str) -> int:
         """The number of ids. Numbers of chunks are kept in a memo of their own, which is smaller than that of ids."""
+        if self._has_added(text):
+            return len(self.whole(text)) // self.width
         memo = self.numbers
         first, *parts = text.replace("\n", " \n").split(" ")
         try:

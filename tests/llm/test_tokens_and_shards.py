@@ -20,14 +20,27 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert e.count(text) == len(e.whole(text)) // e.width, text
 
 
+def test_ids_are_those_of_the_tokenizer_as_dealt():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), PackedEncoder(memo=50)
+    for text in [*ODD, "abc <|endoftext|> def", "<|endoftext|>", "a<|endoftext|><|endoftext|> \n b", "<|endoftext", *[r[1] or "" for r in odd_rows()]]:
+        want = fresh.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(text), e.dtype).tolist() == want and e.count(text) == len(want)
+
+
 def test_byte_alphabet_is_one_to_one():
     assert len(set(byte_alphabet().values())) == 256
 
 
 def _expected(rows):
-    e = PackedEncoder(memo=10)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    return [(k, [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for k, t, *_ in order]
+    return [(k, [*fresh.encode(t or "", add_special_tokens=False).ids, 0]) for k, t, *_ in order]
 
 
 def test_shards_round_trip(spark, odd):
@@ -107,14 +120,25 @@ def test_empty_table_and_string_keys(spark, empty):
     assert [(r[0], r[1]) for r in sstable.read_token_shards(spark, out, string_keys=True, ids=False).orderBy("start").collect()] == [("a", 0), ("b", 1)]
 
 
-def test_a_rerun_replaces_shards(spark, odd):
+def test_a_rerun_gives_the_same_shards_under_names_of_its_own(spark, odd):
+    """What a first run left behind, named by no manifest, plays no part."""
     out = new_dir(spark, "test")
     sstable.write_token_shards(odd, out)
     first = sorted(map(str, sstable.read_token_shards(spark, out, ids=False).collect()))
-    before = sorted(r["path"] for r in sstable.manifest(spark, out).collect())
+    before = {r["path"] for r in sstable.manifest(spark, out).collect()}
     import shutil
 
     shutil.rmtree(out.removeprefix("file://") + "/_manifest")
     sstable.write_token_shards(odd, out)
     assert sorted(map(str, sstable.read_token_shards(spark, out, ids=False).collect())) == first
-    assert sorted(r["path"] for r in sstable.manifest(spark, out).collect()) == before
+    assert not before & {r["path"] for r in sstable.manifest(spark, out).collect()}
+
+
+def test_a_failing_task_removes_its_files(spark):
+    out = new_dir(spark, "test")
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string").coalesce(1)
+    with pytest.raises(Exception, match="no_such_tokenizer|Permission|No such file|not found|exist"):
+        sstable.write_token_shards(rows, out, tokenizer="no_such_tokenizer.json")
+    import glob
+
+    assert not glob.glob(out.removeprefix("file://") + "/*.sst")
