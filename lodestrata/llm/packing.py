@@ -3,9 +3,10 @@
 A document takes as many tokens as its whole text has, plus one end id. Longer ones than the largest length
 are cut into pieces of that length and a rest; nothing is dropped. Pieces are dealt into groups of about
 `GROUP_ROWS` at random, by row numbers of the written table of lengths, and each group is packed by itself: pieces in
-descending order go to the open bin with the least room that still holds them. If none does, the length with the
-least cost a token is opened among those that hold the piece; once what is left of the group would not fill it, the
-length with the least cost for all that is left. At last each bin takes the least costly length that holds its contents.
+descending order go to the open bin with the least room that still holds them. If none does, a bin is opened: each permitted
+length that holds the piece is tried against the sizes not placed yet (the piece, then always the largest that still
+goes in), and the one with the least cost per token it would hold, after downsizing, is taken. So the lengths are chosen together,
+for the sizes at hand. At last each bin takes the least costly length that holds its contents.
 
 Null and empty texts take one token. Null and repeated ids are rows as others. Equal lengths are taken in the order of
 row numbers. Empty tables give no row. Extra columns are ignored.
@@ -33,17 +34,49 @@ def cost(length: int) -> float:
     return 64 + length + length * length / 65536
 
 
+def fill(size: int, length: int, counts: list[int], present: int) -> int:
+    """Tokens of a bin of that length that takes a piece of that size, and then always the largest size that still goes in.
+
+    counts: pieces of each size that are not placed (the first piece not among them); present: bit s is set if there is one of size s.
+    """
+    room = length - size
+    while room and (fits := present & ((2 << room) - 1)):
+        s = fits.bit_length() - 1
+        room -= s * min(counts[s], room // s)
+        present = fits & ~(1 << s)
+    return length - room
+
+
+def best_length(size: int, counts: list[int], present: int, lengths: tuple[int, ...], price) -> int:
+    """The permitted length with the least cost per token it would hold; the smaller of equal ones."""
+    best = None
+    for length in lengths:
+        if length < size:
+            continue
+        held = fill(size, length, counts, present)
+        found = min(price(x) for x in lengths if x >= held) / held
+        if best is None or found < best[0]:
+            best = (found, length)
+    return best[1]
+
+
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, price=cost) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each piece, its offset there, length of each bin); no size is over the largest length."""
+    """(bin of each piece, its offset there, length of each bin); no size is over the largest length, none below 1."""
     lengths = tuple(sorted(lengths))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    left = sum(sizes)
+    counts, present = [0] * (lengths[-1] + 1), 0  # of the pieces not placed
+    for n in sizes:
+        counts[n] += 1
+        present |= 1 << n
     where, offset = [0] * len(sizes), [0] * len(sizes)
     room: dict[int, list[int]] = {}  # bins by their room
     rooms = 0  # bit r is set if a bin has room r
     capacity, filled = [], []
     for i in order:
         n = sizes[i]
+        counts[n] -= 1
+        if not counts[n]:
+            present &= ~(1 << n)
         fits = rooms >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
@@ -51,16 +84,11 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, price=cost) -> tu
             if not room[r]:
                 rooms &= ~(1 << r)
         else:
-            holds = [x for x in lengths if x >= n]
-            best = min(holds, key=lambda x: price(x) / x)
-            if left < best:
-                best = min((x for x in holds if x >= left), key=price, default=best)
             b = len(capacity)
-            capacity.append(best)
+            capacity.append(best_length(n, counts, present, lengths, price))
             filled.append(0)
         where[i], offset[i] = b, filled[b]
         filled[b] += n
-        left -= n
         r = capacity[b] - filled[b]
         room.setdefault(r, []).append(b)
         rooms |= 1 << r
