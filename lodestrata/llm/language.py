@@ -6,23 +6,24 @@ separates the sample, and takes the codeword with the least. The score is the so
 ambiguous if the second codeword is within `MARGIN` of the first.
 
 Up to seven languages get the exhaustive code (2 ** (n - 1) - 1 bits), more get a random code of ceil(10 log2 n) bits
-with the largest least distance of 50 draws. It is fitted on the driver on at most `SAMPLE` rows with a language,
-those with the least hash of the id, with crc32(id as text) mod 4 not 2. The language, source and id are never inputs.
+with the largest least distance of 50 draws. It is fitted on the driver on at most `SAMPLE` rows with a language and
+crc32(id as text) mod 4 not 2: of each language those with the least hash of the id, one row of each language after the other
+until the sample is full, so a rare language is learned as well. The language, source and id are never inputs.
 
-Null texts and texts without a letter are `und` with score 0, ambiguous. Without rows to learn from all texts are. Null
-ids are not held out and never in the sample. Repeated rows get equal results; a tie takes the language that sorts
+Null texts and texts without a letter (Unicode category L) are `und` with score 0, ambiguous. Without rows to learn from all texts are.
+Null ids are not held out and never in the sample; of rows that repeat an id and language the text with the least hash is in it. Repeated rows get equal results; a tie takes the language that sorts
 first. Empty tables give no row. Extra columns are carried by `with_language` under their names.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit
@@ -36,7 +37,7 @@ _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _ASCII = np.zeros(256, bool)
 _ASCII[97:123] = True
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(n: int, seed: int = 3) -> np.ndarray:
@@ -114,24 +115,43 @@ def fit(share: np.ndarray, lang: list[str], *, steps: int = 120) -> Coder:
     return Coder(langs, code, w, b, np.maximum(2 * right - 1, 0.01))
 
 
+def sample_ids(known: DataFrame, sample: int) -> DataFrame:
+    """At most `sample` rows (id, lang) of a frame with them, the languages in turn, each by the hash of the id.
+
+    Only ids and languages are read; of more languages than `sample` the most frequent. Rows far beyond what a language can get are turned away by their hash before they are ranked,
+    so the window sorts a few thousand rows of a language, however many there are.
+    """
+    counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(sample))
+    near = known.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).join(counts, "lang")
+    near = near.where(F.col("h") / (1 << 30) * F.col("rows") <= 4 * sample).select("id", "lang", "h").distinct()
+    rank = Window.partitionBy("lang").orderBy("h", "id")
+    ranked = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample)
+    return ranked.orderBy("rank", "h", "id", "lang").limit(sample).select("id", "lang")
+
+
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Coder | None:
     """Fits on at most `sample` rows; None if there are none."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (fold(key, FOLDS) != HELD_OUT))
-    rows = rows.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    least = rows.select("id", "h").orderBy(F.xxhash64("id"), "id", "h").limit(sample)  # ids and hashes alone are sorted
-    rows = rows.join(F.broadcast(least.distinct()), ["id", "h"]).select("id", "h", "lang", "text")
+    rows = rows.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    least = sample_ids(rows.select("id", "lang"), sample)
+    rows = rows.join(F.broadcast(least), ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, share in shares(batch.column(3)):
+            for first, share in shares(batch.column(2)):
                 part = batch.slice(first, len(share))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in share], pa.binary())], names=["id", "h", "lang", "share"])
+                row, bucket = share.nonzero()
+                cut = np.searchsorted(row, np.arange(len(share) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(cut, x) for x in (bucket.astype(np.int16), share[row, bucket])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists], names=["id", "lang", "bucket", "share"])
 
-    found = map_batches(rows, measure, f"id {dict(rows.dtypes)['id']}, h long, lang string, share binary").toArrow().combine_chunks()
-    found = found.sort_by([("id", "ascending"), ("h", "ascending"), ("lang", "ascending")]).slice(0, sample)
+    found = map_batches(rows, measure, f"id {dict(rows.dtypes)['id']}, lang string, bucket array<short>, share array<float>").toArrow().combine_chunks()
+    found = found.sort_by([("id", "ascending"), ("lang", "ascending")])
     if not found.num_rows:
         return None
-    share = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in found["share"]])
+    bucket, value = found["bucket"].combine_chunks(), found["share"].combine_chunks()
+    share = np.zeros((found.num_rows, 1 << GRAM_BITS), np.float32)
+    share[np.repeat(np.arange(found.num_rows), np.diff(bucket.offsets.to_numpy())), bucket.flatten().to_numpy()] = value.flatten().to_numpy()
     return fit(share, found["lang"].to_pylist())
 
 

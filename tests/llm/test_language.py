@@ -52,6 +52,28 @@ def test_held_out_accuracy(spark):
     assert len(got) > 50 and np.mean([r["lang_pred"] == true[r["doc_id"]] for r in got]) > 0.98
 
 
+def test_signs_and_number_characters_are_no_letters(spark):
+    texts = ["\u00bd \u00b2", "\u2460", "\u2167", "12_3", "\u0301", "a\u00bd", "\u65e5", "\u00aa"]
+    docs = _docs(spark)
+    got = G.with_language(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), G.train(docs))
+    assert [r["lang_pred"] == "und" for r in got.orderBy("doc_id").collect()] == [True, True, True, True, True, False, False, False]
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    known = spark.range(20_000).selectExpr("id", "case when id % 5000 = 7 then 'rare' when id % 3 = 0 then 'b' else 'a' end as lang")
+    got = {r["lang"]: r["count"] for r in G.sample_ids(known, 300).groupBy("lang").count().collect()}
+    assert got == {"rare": 4, "a": 148, "b": 148}
+    assert G.sample_ids(known, 2).count() == 2 and G.sample_ids(known.limit(0), 5).count() == 0
+    twice = known.unionByName(known)
+    assert sorted(map(tuple, G.sample_ids(twice, 300).collect())) == sorted(map(tuple, G.sample_ids(known, 300).collect()))
+
+
+def test_an_id_that_repeats_is_learned_once(spark):
+    docs = _docs(spark, 60)
+    many = docs.unionByName(docs).unionByName(docs)
+    assert np.array_equal(G.train(docs).weight, G.train(many).weight)
+
+
 def test_held_out_rows_and_ids_are_no_inputs(spark):
     docs = _docs(spark, 120)
     changed = docs.withColumn("lang", F.when(G.fold("doc_id", 4) == 2, "xx").otherwise(F.col("lang")))
