@@ -6,7 +6,8 @@ statistic of the whole text, and one for the bin of the declared number of chara
 Labels, language, source and id are never inputs.
 
 It is fitted on the driver on at most `SAMPLE` labelled rows, those with the least hash of the id, with
-crc32(id as text) mod 5 not 0. Without labels of both kinds every score is 0.5.
+crc32(id as text) mod 5 not 0. Of rows that repeat an id the text with the least hash is learned from. Without labels of both
+kinds every score is 0.5.
 Null and empty texts are scored as texts without words. Repeated rows get equal scores. Null ids are not held out and
 never in the sample. A missing or null `n_chars` has a bin of its own. Empty tables give no row. Extra columns are
 carried by `keep_good`, whatever their names.
@@ -168,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """Fits on at most `sample` labelled rows; None without both labels. A text labelled twice has the smaller label."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key, FOLDS) != HELD_OUT))
     known = known.groupBy(F.col(key).alias("id")).agg(F.min(label).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(key).alias("id"), *_inputs(docs, text)).join(F.broadcast(known), "id").select("id", "y", "t", "said")
+    rows = docs.select(F.col(key).alias("id"), *_inputs(docs, text)).join(F.broadcast(known), "id")
+    rows = rows.groupBy("id", "y").agg(F.min_by(F.struct("t", "said"), F.struct(F.xxhash64("t"), "said")).alias("row")).select("id", "y", "row.t", "row.said")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 )
 
     kind = dict(rows.dtypes)["id"]
-    found = map_batches(rows, measure, f"id {kind}, y double, stats array<double>, index array<int>, value array<float>").toArrow().combine_chunks().sort_by("id").slice(0, sample)
+    found = map_batches(rows, measure, f"id {kind}, y double, stats array<double>, index array<int>, value array<float>").toArrow().combine_chunks().sort_by("id")
     y = found["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return None

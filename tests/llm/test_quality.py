@@ -59,6 +59,13 @@ def test_held_out_labels_are_never_learned(spark):
     assert np.array_equal(a.weight, b.weight) and np.array_equal(a.factor, b.factor)
 
 
+def test_an_id_that_repeats_is_learned_once(spark):
+    docs, labels = _many(spark, 120)
+    many = docs.unionByName(docs).unionByName(docs.withColumn("source", F.lit("z")))
+    a, b = Q.train(docs, labels), Q.train(many, labels)
+    assert np.array_equal(a.weight, b.weight) and np.array_equal(a.factor, b.factor)
+
+
 def test_odd_rows(odd, labels):
     got = Q.with_score(odd, Q.train(odd, labels), name="fm").collect()
     assert len(got) == len(odd_rows()) and all(0 <= r["fm"] <= 1 for r in got)
