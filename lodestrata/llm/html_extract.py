@@ -31,7 +31,13 @@ from lodestrata.llm._shared import map_batches, table, unused
 
 PAGES, TREES, DEPTH, RATE, TOKENS, LEVELS = 400, 40, 4, 0.3, 512, 16
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z))", re.S)
+#: A comment, a declaration, an end tag without a name, or a tag. A value ends at its quote, without one at white space or `>`; a quote
+#: that is never closed is a character like others.
+_TAG = re.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/(?![a-zA-Z])[^<>]*>"
+    r"|(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|[^>])*+)(?:>|\Z))",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -50,6 +56,7 @@ _ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "head": frozenset(["body"]),
 }
+_ENDED_BY = {name: tuple(x for x, ends in _ENDS.items() if name in ends) for name in frozenset().union(*_ENDS.values())}
 _SCOPE = frozenset("table ul ol dl body html noscript template iframe object".split())
 STATISTICS = ("text", "link share", "leaves", "depth", "place among siblings", "siblings", "stops", "word length", "begins at", "share of page", "paragraphs", "links", "items", "text a tag", "siblings' text", "parent's text", "own leaf")
 
@@ -62,6 +69,9 @@ class Page:
         self._stack, self._run, self._link = [0], [], 0
         self._run_linked = self._run_links = self._svg = 0
         self._late: list[tuple[str, tuple]] = []
+        self._late_open: dict[str, int] = {}  # how many of a name are in _late
+        self._open: dict[str, list[int]] = {}  # where in the stack elements of a name are
+        self._scopes: list[int] = []  # where in the stack elements of _SCOPE are
         self._read(source)
 
     def _add(self, tag: str, names: tuple, text: str = "", linked: int = 0, links: int = 0) -> int:
@@ -85,25 +95,50 @@ class Page:
         if self._late:
             self._flush()
             for name, names in self._late:
-                self._stack.append(self._add(name, names))
-            self._late = []
+                self._push(name, names)
+            self._late, self._late_open = [], {}
+
+    def _push(self, name: str, names: tuple) -> None:
+        self._open.setdefault(name, []).append(len(self._stack))
+        if name in _SCOPE:
+            self._scopes.append(len(self._stack))
+        self._stack.append(self._add(name, names))
+
+    def _pop(self, k: int) -> int:
+        """Ends the elements from place k of the stack on; how many of them were svg."""
+        gone = 0
+        while len(self._stack) > k:
+            name = self.tag[self._stack.pop()]
+            self._open[name].pop()
+            if name in _SCOPE:
+                self._scopes.pop()
+            gone += name == "svg"
+        return gone
+
+    def _pop_late(self, k: int) -> int:
+        gone = 0
+        while len(self._late) > k:
+            name = self._late.pop()[0]
+            self._late_open[name] -= 1
+            gone += name == "svg"
+        return gone
 
     def _end(self, name: str) -> bool:
-        """Ends the innermost open element of that name and what is in it; whether a node ended."""
-        stack, late = self._stack, self._late
-        for k in range(len(late) - 1, -1, -1):
-            if late[k][0] == name:
-                self._svg -= sum(x == "svg" for x, _ in late[k:])
-                del late[k:]
-                return False
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                self._flush()
-                if self._svg:
-                    self._svg -= sum(self.tag[i] == "svg" for i in stack[k:]) + sum(x == "svg" for x, _ in late)
-                del stack[k:], late[:]
-                return True
-        return False
+        """Ends the innermost open element of that name and what is in it; whether a node ended.
+
+        Names that are not open cost nothing, others what they end, so the time is linear in the tags.
+        """
+        if self._late_open.get(name):
+            k = len(self._late) - 1
+            while self._late[k][0] != name:
+                k -= 1
+            self._svg -= self._pop_late(k)
+            return False
+        if not self._open.get(name):
+            return False
+        self._flush()
+        self._svg -= self._pop_late(0) + self._pop(self._open[name][-1])
+        return True
 
     def _say(self, raw: str) -> None:
         text = html_.unescape(raw) if "&" in raw else raw
@@ -114,7 +149,7 @@ class Page:
             self._run_linked += len(text)
 
     def _read(self, source: str) -> None:
-        at, stack = 0, self._stack
+        at = 0
         while True:
             m = _TAG.search(source, at)
             if m is None:
@@ -155,6 +190,7 @@ class Page:
             if name in _LATE:
                 if name != "svg" or not closed:
                     self._late.append((name, _attribute_names(m[3])))
+                    self._late_open[name] = self._late_open.get(name, 0) + 1
                     self._svg += name == "svg"
                 continue
             if self._svg:
@@ -169,14 +205,11 @@ class Page:
                 continue
             self._place()
             self._flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if name in _ENDS.get(self.tag[stack[k]], ()):
-                    del stack[k:]
-                    break
-                if self.tag[stack[k]] in _SCOPE:
-                    break
+            k = max((self._open[x][-1] for x in _ENDED_BY.get(name, ()) if self._open.get(x)), default=0)
+            if k > (self._scopes[-1] if self._scopes else 0):
+                self._pop(k)
             self._link = 0
-            stack.append(self._add(name, _attribute_names(m[3])))
+            self._push(name, _attribute_names(m[3]))
         self._flush()
 
 
@@ -332,7 +365,7 @@ def fit(stats: np.ndarray, tokens: list[np.ndarray], label: np.ndarray) -> Fores
 def decode(parent: list[int], odds: np.ndarray) -> list[bool]:
     """The choice of greatest total log odds in which a kept node's ancestors are kept. Parents come before children."""
     n = len(parent)
-    keep = [max(-30.0, min(30.0, float(o))) for o in odds]  # gain over dropping the whole subtree
+    keep = [float(o) for o in odds]  # gain over dropping the whole subtree
     keep[0] = max(keep[0], 0.0)
     for i in range(n - 1, 0, -1):
         if keep[i] > 0:
