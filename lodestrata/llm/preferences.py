@@ -66,10 +66,13 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
 
 def pair_up(turns: DataFrame, ids: DataFrame, **columns: str) -> DataFrame:
-    """Pairs for `format_preferences` from rows (chosen_id, rejected_id)."""
+    """Pairs for `format_preferences` from rows (chosen_id, rejected_id). A null id means the turns without one."""
     found = conversations(turns, **columns)
     side = lambda s: found.select(F.col("id").alias(f"{s}_id"), F.col("turns").alias(f"{s}_turns"))
-    return ids.join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id")
+    for s in ("chosen", "rejected"):
+        other = side(s).withColumnRenamed(f"{s}_id", "side_id")
+        ids = ids.join(other, ids[f"{s}_id"].eqNullSafe(other["side_id"])).drop("side_id")
+    return ids
 
 
 def spoiled_pairs(turns: DataFrame, **columns: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_query_sql_agrees(spark, turns, tmp_path):
 
 
 def test_pairs_equal_brute_force(spark, turns):
-    ids = [(1, 1), (1, 2), (2, 1), (3, 1), (4, 3), (1, 99), (7, 2), (8, 8)]
+    ids = [(1, 1), (1, 2), (2, 1), (3, 1), (4, 3), (1, 99), (7, 2), (8, 8), (None, 1), (1, None)]
     pairs = P.pair_up(turns, spark.createDataFrame(ids, "chosen_id long, rejected_id long"))
     got = {(r["chosen_id"], r["rejected_id"]): r for r in P.format_preferences(pairs).collect()}
     conv = {}
