@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm._shared import few_files, table, written
+from lodestrata.llm._shared import made_so_far, remove_written, table, written
 from lodestrata.llm.decontaminate import drop_contaminated
 from lodestrata.llm.exact_dedup import drop_duplicates
 from lodestrata.llm.minmax_dedup import drop_near_duplicates
@@ -20,27 +20,27 @@ from lodestrata.llm.quality import keep_good
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    return few_files(keep_good(docs, table(spark, sf_dir, "labels")))
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest doc_id."""
-    return few_files(drop_duplicates(docs))
+    return drop_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the smallest doc_id."""
-    return few_files(drop_near_duplicates(docs))
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
-    return few_files(drop_contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in training sequences: doc_id, piece, piece_start, n_tokens, bin, capacity, bin_offset."""
-    return few_files(pack_documents(docs))
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    mark = made_so_far()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove_written(spark, mark, leave=1)  # the stage's own tables and the docs it read
     return STAGES[-1][1](spark, docs, sf_dir)
