@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.routes import HTJ2K_FAMILY
+from lodestrata.operators.routes import HTJ2K_FAMILY, LOSSLESS_FAMILY
 
 #: Instances of at most so many frames stay on the CPU; least frames for a device; share of the CPU's time to beat.
 SMALL_FRAMES, LEAST_FRAMES = 128, 16
@@ -45,3 +45,24 @@ def direct_pixels(frames: Column, tile: Column, threads: Column) -> Column:
 
 def workers(jobs: Column, threads: Column, cpu_safe: Column) -> Column:
     return F.when(cpu_safe, F.least(jobs, F.greatest(threads - 1, F.lit(1)))).otherwise(1)
+
+
+def jpeg_device_batch(backend: Column, frame_w: Column, frame_h: Column, frames: Column, device_decode: Column) -> Column:
+    """Whether JPEG frames may be encoded on the device: never for `cpu`; any if it is preferred or required; for `auto` four square ones or more with a device decoder."""
+    asked = backend.isin("prefer_device", "require_device") & (frames > 0)
+    return asked | ((backend == "auto") & device_decode & (frame_w == frame_h) & (frames >= 4))
+
+
+def lossless_device_input(backend: Column, syntax: Column, frames: Column) -> Column:
+    """Whether a lossless instance may be read on the device; `auto` asks for HTJ2K and LEAST_FRAMES."""
+    auto = (backend == "auto") & (frames >= LEAST_FRAMES) & syntax.isin("Htj2kLossless", "Htj2kLosslessRpcl")
+    return syntax.isin(*LOSSLESS_FAMILY) & (backend.isin("prefer_device", "require_device") | auto)
+
+
+def device_input_preference(backend: Column, device_decode: Column) -> Column:
+    """A device that is required but cannot decode the source gets its input from the CPU."""
+    return F.when((backend == "require_device") & ~device_decode, "cpu").otherwise(backend)
+
+
+def starts_on_cpu(backend: Column, syntax: Column, frames: Column) -> Column:
+    return (backend == "auto") & syntax.isin(*LOSSLESS_FAMILY) & ~lossless_device_input(backend, syntax, frames)

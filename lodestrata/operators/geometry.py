@@ -60,6 +60,13 @@ def jpeg_frame_geometry(levels: DataFrame, tile: int) -> DataFrame:
     return sized.withColumn("frames", F.col("tiles_across") * F.col("tiles_down"))
 
 
+def rgb_grid(sized: DataFrame) -> DataFrame:
+    """Adds `rgb_grid` to levels with frame_w and frame_h: all frames are whole native tiles, so RGB tiles may be copied without a frame that has to be encoded."""
+    native = (F.col("tile_w") == F.col("frame_w")) & (F.col("tile_h") == F.col("frame_h"))
+    whole = (F.col("cols") % F.col("frame_w") == 0) & (F.col("rows") % F.col("frame_h") == 0)
+    return sized.withColumn("rgb_grid", native & ((F.col("kind") == "whole") | ((F.col("kind") == "regular") & whole)))
+
+
 def jobs(levels: DataFrame, *, max_levels: int | None = None, level: int | None = None) -> DataFrame:
     """One job per scene, series, level, z, t and channel, in that order, with ordinal and instance_number by source."""
     rows = levels.where(F.col("level") == level) if level is not None else levels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrata.operators.metrics import percent
+from lodestrata.operators.metrics import ROUTES, percent
 
 
 def _one(value: Column) -> Column:
@@ -25,7 +25,7 @@ def frames_asked(n: Column) -> Column:
     return F.when(n >= (1 << 63) - 1, "all").otherwise(n.cast("string"))
 
 
-def route_line(fields: tuple[str, ...] = ("passthrough", "retile", "blank", "fallback")) -> Column:
+def route_line(fields: tuple[str, ...] = ROUTES) -> Column:
     """name=count name_pct=share of each route, then the encode time; over aggregated metrics."""
     total = F.col("total_frames")
     parts = [F.concat(F.lit(f"{f}="), F.col(f"{f}_frames").cast("string"), F.lit(f" {f}_pct="), _one(percent(F.col(f"{f}_frames"), total))) for f in fields]

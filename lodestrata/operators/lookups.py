@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def manifest_match(slides: DataFrame, manifest: DataFrame) -> DataFrame:
     """Left lookup of slides (slide, path) in a manifest (position, file_id, filename): same path, else folder is the file id, else same base name.
 
-    Three equi-joins instead of one OR; the lowest tier, then the first manifest row, wins.
+    Three equi-joins instead of one OR; the lowest tier, then the first manifest row, wins. The manifest is reduced to the first row of each
+    key before a join, so a slide meets one row a tier, however many share a name.
     """
     s = slides.withColumns({"folder": F.element_at(F.split("path", "/"), -2), "base": F.lower(F.element_at(F.split("path", "/"), -1))})
     m = manifest.withColumn("base", F.lower(F.element_at(F.split("filename", "/"), -1)))
-    tiers = [s["path"] == m["filename"], s["folder"] == m["file_id"], s["base"] == m["base"]]
-    found = None
-    for tier, on in enumerate(tiers, 1):
-        one = s.join(m, on).select(s["slide"], F.lit(tier).alias("tier"), "position", "file_id")
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy("slide").agg(F.min(F.struct("tier", "position", "file_id")).alias("m"))
-    return slides.select("slide").join(best, "slide", "left").select("slide", "m.tier", "m.file_id")
+    for tier, (own, other) in enumerate((("path", "filename"), ("folder", "file_id"), ("base", "base")), 1):
+        first = m.groupBy(F.col(other).alias(own)).agg(F.min(F.struct(F.lit(tier).alias("tier"), "position", "file_id")).alias(f"m{tier}"))
+        s = s.join(first, own, "left")
+    return s.withColumn("m", F.coalesce("m1", "m2", "m3")).select("slide", "m.tier", "m.file_id")
 
 
 def reference(path: str) -> Column:
@@ -77,6 +77,22 @@ def resume_plan(planned: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def upsert_latest(decisions: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last decision of each key; undecided ones do not replace others."""
-    w = Window.partitionBy(*key).orderBy(F.col(order).desc())
-    return decisions.where("decision <> 'undecided'").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last decision of each key, by partial maxima; undecided ones do not replace others."""
+    rest = [c for c in decisions.columns if c not in key]
+    last = decisions.where("decision <> 'undecided'").groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(*key, "_last.*").select(*decisions.columns)
+
+
+def trials_of_cells(trials: DataFrame, cells: DataFrame) -> DataFrame:
+    """The trials of the cells (slide, profile, scope) that have any row in `cells`."""
+    keys = ["slide", "profile", "scope"]
+    return trials.join(cells.select(*keys).distinct(), keys, "left_semi")
+
+
+def select_slides(slides: DataFrame, filters: list[str], columns: list[str], *, order: str, most: int | None = None) -> DataFrame:
+    """The slides of which, for every filter, some column has it as a part, whatever the case; in order, the first `most` of them."""
+    chosen = slides
+    for f in filters:
+        has = [F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(f.lower())), F.lit(False)) for c in columns]
+        chosen = chosen.where(reduce(lambda a, b: a | b, has))
+    return chosen if most is None else chosen.orderBy(order).limit(most)

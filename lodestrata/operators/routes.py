@@ -1,7 +1,8 @@
 """Route rules: how each frame of an instance is produced. Rules are columns, so Catalyst folds and pushes them.
 
 Probes have compression (`jpeg`, `jp2k`, `none`), photometric, components, bits, fits (the source tile is the output frame),
-edge (the frame is cut by the border), error (text, or null).
+edge (the frame is cut by the border), error (text, or null). They may have rgb_grid (RGB tiles may be copied, see
+`geometry.rgb_grid`) and synthetic (the level is made by downsampling); where these are missing they are false.
 """
 
 from __future__ import annotations
@@ -27,18 +28,20 @@ def jpeg_profile_ok(photometric: Column, allow_rgb: Column | bool = False) -> Co
     return (photometric != "RGB") | (allow_rgb if isinstance(allow_rgb, Column) else F.lit(allow_rgb))
 
 
+def _flag(probes: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False)) if name in probes.columns else F.lit(False)
+
+
 def jpeg_route(probes: DataFrame) -> DataFrame:
-    """Adds `route`: passthrough, retile, blank or fallback, first rule that holds; and `rejection` of a retile that failed."""
-    jpeg = (F.col("compression") == "jpeg") & (F.col("bits") == 8) & F.col("error").isNull()
-    route = (
-        F.when(jpeg & F.col("fits") & jpeg_profile_ok(F.col("photometric")), "passthrough")
-        .when(jpeg & ~F.col("fits") & ~F.col("edge") & jpeg_profile_ok(F.col("photometric")), "retile")
-        .when(is_empty_tile(F.col("error")), "blank")
-        .otherwise("fallback")
-    )
+    """Adds `route`: passthrough, retile or fallback, first rule that holds; `rejection` of a retile that failed; and `blank`.
+
+    A frame that cannot be read or whose tile is empty is a fallback frame as others; `blank` says that it is written without samples.
+    """
+    jpeg = (F.col("compression") == "jpeg") & (F.col("bits") == 8) & F.col("error").isNull() & jpeg_profile_ok(F.col("photometric"), _flag(probes, "rgb_grid"))
+    route = F.when(jpeg & F.col("fits"), "passthrough").when(jpeg & ~F.col("fits") & ~F.col("edge"), "retile").otherwise("fallback")
     tried = (F.col("compression") == "jpeg") & ~F.col("fits")
     rejection = F.when(tried & (route == "fallback"), F.when(F.col("error").isNotNull(), retile_error_class(F.col("error"))).when(F.col("edge"), "geometry_mismatch").otherwise("profile_unsupported"))
-    return probes.withColumns({"route": route, "rejection": rejection})
+    return probes.withColumns({"route": route, "rejection": rejection, "blank": is_empty_tile(F.col("error"))})
 
 
 def probe_allowed(path: Column, target: Column) -> Column:
@@ -73,10 +76,17 @@ def encode_syntax(target: Column) -> Column:
     return F.when(target == "Jpeg2000", "Jpeg2000Lossless").otherwise(target)
 
 
-def default_syntax(probes: DataFrame) -> DataFrame:
-    """(source, syntax): from frame 0 of each instance: any JPEG passthrough, else J2K if some is eligible and none blocked, else HTJ2K RPCL."""
-    first = jpeg_route(probes.where("frame = 0")).withColumn("j2k", F.when(j2k_passes("Jpeg2000"), "eligible").when(F.col("compression") == "jp2k", "blocked").otherwise("no source"))
-    found = first.groupBy("source").agg(F.bool_or(F.col("route") == "passthrough").alias("jpeg"), F.bool_or(F.col("j2k") == "eligible").alias("eligible"), F.bool_or(F.col("j2k") == "blocked").alias("blocked"))
+def default_syntax(probes: DataFrame, *, max_levels: int | None = None, level: int | None = None) -> DataFrame:
+    """(source, syntax): from frame 0 of each instance: any JPEG passthrough, else J2K if some is eligible and none blocked, else HTJ2K RPCL.
+
+    Synthetic levels, those from max_levels on and those that are not `level` have no say; a source without others is HTJ2K RPCL.
+    """
+    if max_levels is not None and max_levels <= 0:
+        raise ValueError("max_levels must be greater than zero")
+    says = (F.col("frame") == 0) & ~_flag(probes, "synthetic") & (F.lit(True) if max_levels is None else F.col("level") < max_levels) & (F.lit(True) if level is None else F.col("level") == level)
+    first = jpeg_route(probes.where("frame = 0").withColumn("says", says)).withColumn("j2k", F.when(j2k_passes("Jpeg2000"), "eligible").when(F.col("compression") == "jp2k", "blocked").otherwise("no source"))
+    any_ = lambda c: F.bool_or(F.col("says") & c)
+    found = first.groupBy("source").agg(any_(F.col("route") == "passthrough").alias("jpeg"), any_(F.col("j2k") == "eligible").alias("eligible"), any_(F.col("j2k") == "blocked").alias("blocked"))
     return found.select("source", F.when(F.col("jpeg"), "JpegBaseline8Bit").when(F.col("eligible") & ~F.col("blocked"), "Jpeg2000").otherwise("Htj2kLosslessRpcl").alias("syntax"))
 
 
@@ -126,3 +136,16 @@ def best_route(durations: DataFrame, *, margin: int = 92) -> DataFrame:
     found = durations.select("probe").distinct().join(timed.groupBy("probe").agg(cpu.alias("cpu"), device.alias("device")), "probe", "left")
     beats = F.col("device").isNotNull() & (F.col("cpu").isNull() | (F.col("device.micros") * 100 < F.col("cpu") * margin))
     return found.select("probe", F.when(beats, F.col("device.route")).otherwise("cpu").alias("route"))
+
+
+def past_deadline(rows: DataFrame, group: list[str], order: list[str], micros: int) -> DataFrame:
+    """(group, done, elapsed, exceeded): frames of each group that begin within the time budget, in order, and whether it ran out.
+
+    Checked before each frame, so the frame that passes the limit is still done. A budget of 0 or less is an error.
+    """
+    if micros <= 0:
+        raise ValueError("the time budget of a level must be greater than zero")
+    before = F.coalesce(F.sum("micros").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    timed = rows.withColumn("_before", before)
+    begun = F.col("_before") <= micros
+    return timed.groupBy(*group).agg(F.count_if(begun).alias("done"), F.coalesce(F.sum(F.when(begun, F.col("micros"))), F.lit(0)).alias("elapsed"), F.bool_or(~begun).alias("exceeded"))

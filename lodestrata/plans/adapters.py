@@ -35,7 +35,7 @@ LEVELS_SQL = """levels AS (
 
 
 def frame_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, level, instance, frame, compression, photometric, components, bits, fits, edge, bytes, micros, error): one row per line item."""
+    """(source, level, instance, frame, compression, photometric, components, bits, fits, edge, bytes, micros, error, rgb_grid, synthetic): one row per line item."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     rows = table(spark, sf_dir, "lineitem").withColumns({"frame": F.row_number().over(w).cast("bigint") - 1, "q": F.col("l_quantity").cast("bigint")})
     return rows.select(
@@ -46,6 +46,7 @@ def frame_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("q % 3 <> 0").alias("fits"), F.expr("q % 11 = 0").alias("edge"), F.expr("cast(floor(l_extendedprice) as bigint)").alias("bytes"),
         F.expr("l_suppkey * 13 + q").alias("micros"),
         F.expr("case when q % 13 = 0 then 'bad restart marker' when q % 17 = 0 then 'codec not supported' when q % 19 = 0 then 'empty TIFF tiles' end").alias("error"),
+        F.expr("l_orderkey % 3 = 0").alias("rgb_grid"), F.expr("(l_orderkey % 50 + l_orderkey div 50 % 3) % 7 = 6").alias("synthetic"),
     )
 
 
@@ -55,7 +56,8 @@ PROBES_SQL = """probes AS (
          CASE WHEN q % 5 = 0 THEN 'MONOCHROME2' WHEN l_linestatus = 'O' THEN 'YBR_FULL_422' ELSE 'RGB' END AS photometric,
          CASE WHEN q % 5 = 0 THEN 1 ELSE 3 END AS components, CASE WHEN q % 7 = 0 THEN 16 ELSE 8 END AS bits,
          q % 3 <> 0 AS fits, q % 11 = 0 AS edge, CAST(floor(l_extendedprice) AS BIGINT) AS bytes, l_suppkey * 13 + q AS micros,
-         CASE WHEN q % 13 = 0 THEN 'bad restart marker' WHEN q % 17 = 0 THEN 'codec not supported' WHEN q % 19 = 0 THEN 'empty TIFF tiles' END AS error
+         CASE WHEN q % 13 = 0 THEN 'bad restart marker' WHEN q % 17 = 0 THEN 'codec not supported' WHEN q % 19 = 0 THEN 'empty TIFF tiles' END AS error,
+         l_orderkey % 3 = 0 AS rgb_grid, (l_orderkey % 50 + l_orderkey // 50 % 3) % 7 = 6 AS synthetic
   FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey
           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS frame FROM lineitem))"""
 
@@ -95,7 +97,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.union(patient).union(request.distinct())
 
 
-RESOURCES_SQL = """resources AS (
+RESOURCES_SQL = """resources AS MATERIALIZED (
   SELECT o_orderkey AS bundle, 'DiagnosticReport' AS type, 'r' || o_orderkey AS id,
          '{"subject":{"reference":"Patient/p' || o_custkey || '"},"basedOn":[{"reference":"ServiceRequest/s' || (o_orderkey % 7) || '"}],"code":{"text":"report ' || (o_orderkey % 5) || '"}}' AS body FROM orders
   UNION ALL SELECT o_orderkey, 'Patient', 'p' || o_custkey,

@@ -19,7 +19,9 @@ from lodestrata.operators import metrics as M
 from lodestrata.operators import offsets as O
 from lodestrata.operators import reports as R
 from lodestrata.operators import routes as T
+from lodestrata.operators import validation as V
 from lodestrata.plans import adapters as A
+from lodestrata.plans import harness as H
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -126,20 +128,25 @@ def output_paths(spark, d):
     return n.select("source", "path", (F.col("n") == 1).alias("is_unique"))
 
 
-_JPEG = "(compression = 'jpeg' AND bits = 8 AND error IS NULL)"
-_ROUTED = f"""{A.PROBES_SQL}, r0 AS (SELECT *, CASE WHEN {_JPEG} AND fits AND photometric <> 'RGB' THEN 'passthrough' WHEN {_JPEG} AND NOT fits AND NOT edge AND photometric <> 'RGB' THEN 'retile'
-    WHEN coalesce(contains(error, 'empty TIFF tiles'), false) THEN 'blank' ELSE 'fallback' END AS route FROM probes),
+_JPEG = "(compression = 'jpeg' AND bits = 8 AND error IS NULL AND (photometric <> 'RGB' OR rgb_grid))"
+_ROUTED = f"""{A.PROBES_SQL}, r0 AS (SELECT *, CASE WHEN {_JPEG} AND fits THEN 'passthrough' WHEN {_JPEG} AND NOT fits AND NOT edge THEN 'retile' ELSE 'fallback' END AS route FROM probes),
 routed AS (SELECT *, CASE WHEN compression = 'jpeg' AND NOT fits AND route = 'fallback' THEN CASE WHEN error IS NOT NULL THEN CASE WHEN regexp_matches(lower(error), 'mcu|restart|dct') THEN 'mcu_invalid' ELSE 'source_unsupported' END
-    WHEN edge THEN 'geometry_mismatch' ELSE 'profile_unsupported' END END AS rejection FROM r0)"""
+    WHEN edge THEN 'geometry_mismatch' ELSE 'profile_unsupported' END END AS rejection, coalesce(contains(error, 'empty TIFF tiles'), false) AS blank FROM r0)"""
 
 
 def _routed(spark, d):
     return T.jpeg_route(A.frame_probes(spark, d))
 
 
-@query(f"WITH {_ROUTED} SELECT instance, frame, route, rejection FROM routed")
+@query(f"WITH {_ROUTED} SELECT instance, frame, route, rejection, blank FROM routed")
 def jpeg_route_class(spark, d):
-    return _routed(spark, d).select("instance", "frame", "route", "rejection")
+    return _routed(spark, d).select("instance", "frame", "route", "rejection", "blank")
+
+
+@query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, (kind = 'whole' AND greatest(tile_w, tile_h) <= {TILE} AND least(tile_w, tile_h) >= {TILE // 2}) OR (kind = 'regular' AND tile_w = {TILE} AND tile_h = {TILE}) AS own FROM levels)
+SELECT source, level, own AND (kind = 'whole' OR (cols % tile_w = 0 AND rows % tile_h = 0)) OR (NOT own AND kind = 'whole' AND tile_w = {TILE} AND tile_h = {TILE}) AS rgb_grid FROM g""")
+def rgb_grids(spark, d):
+    return G.rgb_grid(G.jpeg_frame_geometry(A.levels(spark, d), TILE)).select("source", "level", "rgb_grid")
 
 
 _J2K_PASS = "(compression = 'jp2k' AND fits AND error IS NULL)"
@@ -157,12 +164,23 @@ def j2k_passthrough_only_route(spark, d):
     return T.j2k_route(A.frame_probes(spark, d), "Jpeg2000").select("instance", "frame", "route")
 
 
-@query(f"""WITH {_ROUTED}, s AS (SELECT source, bool_or(route = 'passthrough') AS jpeg, bool_or({_J2K_PASS}) AS ok, bool_or(compression = 'jp2k' AND NOT {_J2K_PASS}) AS blocked FROM routed WHERE frame = 0 GROUP BY source)
-SELECT source, CASE WHEN jpeg THEN 'JpegBaseline8Bit' WHEN ok AND NOT blocked THEN 'Jpeg2000' ELSE 'Htj2kLosslessRpcl' END AS syntax FROM s""")
+def _default_sql(where: str) -> str:
+    says = f"frame = 0 AND NOT synthetic{where}"
+    return f"""WITH {_ROUTED}, s AS (SELECT source, coalesce(bool_or(route = 'passthrough') FILTER ({says}), false) AS jpeg, coalesce(bool_or({_J2K_PASS}) FILTER ({says}), false) AS ok,
+ coalesce(bool_or(compression = 'jp2k' AND NOT {_J2K_PASS}) FILTER ({says}), false) AS blocked FROM routed WHERE frame = 0 GROUP BY source)
+SELECT source, CASE WHEN jpeg THEN 'JpegBaseline8Bit' WHEN ok AND NOT blocked THEN 'Jpeg2000' ELSE 'Htj2kLosslessRpcl' END AS syntax FROM s"""
+
+
+@query(_default_sql(""))
 def default_syntax(spark, d):
     return T.default_syntax(A.frame_probes(spark, d))
 
 
+@query(_default_sql(" AND level < 2 AND level = 1"))
+def default_syntax_of_a_level(spark, d):
+    return T.default_syntax(A.frame_probes(spark, d), max_levels=2, level=1)
+
+
 @query(f"WITH {_ROUTED} SELECT instance, count(*) AS frames, bool_and(route = 'passthrough') AS all_pass FROM routed GROUP BY instance")
 def all_or_nothing_passthrough(spark, d):
     return T.all_or_nothing(A.frame_probes(spark, d))
@@ -173,15 +191,20 @@ def profile_consistency(spark, d):
     return T.profile_consistency(A.frame_probes(spark, d))
 
 
-@query(f"""WITH {_ROUTED} SELECT source, level, count(*) FILTER (components = 1) AS gray, count(*) FILTER (components = 3) AS rgb_like, count(*) FILTER (bits = 8) AS bits8, count(*) FILTER (bits = 16) AS bits16 FROM routed GROUP BY source, level""")
+_KNOWN = "route <> 'fallback'"
+
+
+@query(f"""WITH {_ROUTED} SELECT source, level, count(*) FILTER ({_KNOWN} AND components = 1) AS gray, count(*) FILTER ({_KNOWN} AND components = 3) AS rgb_like, count(*) FILTER ({_KNOWN} AND bits = 8) AS bits8,
+ count(*) FILTER ({_KNOWN} AND bits = 16) AS bits16, count(*) FILTER (route = 'fallback') AS unknown FROM routed GROUP BY source, level""")
 def pixel_histogram(spark, d):
     m = M.aggregate(M.measures(_routed(spark, d)), ["source", "level"])
-    return m.select("source", "level", F.col("gray_frames").alias("gray"), F.col("rgb_like_frames").alias("rgb_like"), F.col("bits8_frames").alias("bits8"), F.col("bits16_frames").alias("bits16"))
+    return m.select("source", "level", F.col("gray_frames").alias("gray"), F.col("rgb_like_frames").alias("rgb_like"), F.col("bits8_frames").alias("bits8"), F.col("bits16_frames").alias("bits16"), F.col("unknown_profile_frames").alias("unknown"))
 
 
-_SUM_SQL = """count(*) AS total_frames, count(*) FILTER (route = 'passthrough') AS passthrough_frames, count(*) FILTER (route = 'retile') AS retile_frames, count(*) FILTER (route = 'blank') AS blank_frames,
- count(*) FILTER (route = 'fallback') AS fallback_frames, count(*) FILTER (components = 1) AS gray_frames, count(*) FILTER (components = 3) AS rgb_like_frames, count(*) FILTER (components NOT IN (1, 3)) AS other_component_frames,
- count(*) FILTER (bits = 8) AS bits8_frames, count(*) FILTER (bits = 16) AS bits16_frames, count(*) FILTER (bits NOT IN (8, 16)) AS other_bit_depth_frames,
+_SUM_SQL = f"""count(*) AS total_frames, count(*) FILTER (route = 'passthrough') AS passthrough_frames, count(*) FILTER (route = 'retile') AS retile_frames, count(*) FILTER (route = 'fallback') AS fallback_frames,
+ count(*) FILTER (route = 'fallback') AS unknown_profile_frames, count(*) FILTER ({_KNOWN} AND components = 1) AS gray_frames, count(*) FILTER ({_KNOWN} AND components = 3) AS rgb_like_frames,
+ count(*) FILTER ({_KNOWN} AND components NOT IN (1, 3)) AS other_component_frames, count(*) FILTER ({_KNOWN} AND bits = 8) AS bits8_frames, count(*) FILTER ({_KNOWN} AND bits = 16) AS bits16_frames,
+ count(*) FILTER ({_KNOWN} AND bits NOT IN (8, 16)) AS other_bit_depth_frames,
  count(*) FILTER (rejection = 'source_unsupported') AS rejected_source_unsupported, count(*) FILTER (rejection = 'geometry_mismatch') AS rejected_geometry_mismatch,
  count(*) FILTER (rejection = 'profile_unsupported') AS rejected_profile_unsupported, count(*) FILTER (rejection = 'mcu_invalid') AS rejected_mcu_invalid,
  CAST(sum(CASE WHEN route = 'fallback' THEN micros ELSE 0 END) AS BIGINT) AS encode_micros"""
@@ -200,15 +223,27 @@ def coverage_rollup(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route coverage at level, source and corpus grain, with shares and whether every frame is decided."""
     found = coverage_rollup(spark, sf_dir)
-    left = M.unclassified(F.col("total_frames"), [F.col(c) for c in M.ROUTE_COUNTERS])
+    left = M.unclassified(F.col("total_frames"), [F.col(f"{r}_frames") for r in M.ROUTES])
     return found.withColumns({"passthrough_percent": F.round(M.percent(F.col("passthrough_frames"), F.col("total_frames")), 6), "complete": left == 0})
 
 
-@query(f"WITH {_ROUTED} SELECT source, greatest(count(*) - count(*) FILTER (route = 'passthrough') - count(*) FILTER (route = 'retile'), 0) AS unclassified, round(100.0 * count(*) FILTER (route = 'fallback') / count(*), 6) AS fallback_percent FROM routed GROUP BY source")
+_COUNTERS = {n: 3 + 2 * i for i, n in enumerate(("jpeg_passthrough_frames", "j2k_passthrough_frames", "jpeg_retile_frames", "jpeg_retile_to_htj2k_53_frames", *(c for c in metric_names.DECIDED if c != metric_names.RETILE_BASELINE)))}
+
+
+@query(f"""WITH c AS (SELECT l_orderkey % 500 AS source, sum(l_partkey % 97) AS total_frames, {", ".join(f"sum(l_partkey % {m}) AS {n}" for n, m in _COUNTERS.items())} FROM lineitem GROUP BY source),
+b AS (SELECT *, greatest(jpeg_retile_frames - jpeg_retile_to_htj2k_53_frames, 0) AS baseline FROM c)
+SELECT source, CAST(baseline AS DECIMAL(38, 0)) AS retile_baseline, CAST(greatest(total_frames - jpeg_passthrough_frames - j2k_passthrough_frames - j2k_direct_htj2k_frames - jpeg_direct_htj2k_53_frames
+ - jpeg_direct_htj2k_97_frames - baseline - gpu_transcode_frames - cpu_fallback_frames, 0) AS DECIMAL(38, 0)) AS unclassified FROM b""")
 def unclassified_frames(spark, d):
-    m = M.aggregate(M.measures(_routed(spark, d)), ["source"])
-    left = M.unclassified(F.col("total_frames"), [F.col("passthrough_frames"), F.col("retile_frames")])
-    return m.select("source", left.alias("unclassified"), F.round(M.percent(F.col("fallback_frames"), F.col("total_frames")), 6).alias("fallback_percent"))
+    rows = A.table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("source"), (F.col("l_partkey") % 97).alias("total_frames"), *((F.col("l_partkey") % m).alias(n) for n, m in _COUNTERS.items()))
+    as_decimal = lambda c: c.cast("decimal(38,0)")
+    return M.serialised(rows, ["source"]).select("source", as_decimal(M.retile_baseline_frames()).alias("retile_baseline"), as_decimal(M.unclassified_frames()).alias("unclassified"))
+
+
+@query(f"""WITH {A.PROBES_SQL}, t AS (SELECT *, coalesce(sum(micros) OVER (PARTITION BY source, level ORDER BY instance, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 200000 AS begun FROM probes)
+SELECT source, level, count(*) FILTER (begun) AS done, CAST(coalesce(sum(micros) FILTER (begun), 0) AS BIGINT) AS elapsed, bool_or(NOT begun) AS exceeded FROM t GROUP BY source, level""")
+def level_deadlines(spark, d):
+    return T.past_deadline(A.frame_probes(spark, d), ["source", "level"], ["instance", "frame"], 200_000)
 
 
 @query(f"""WITH {A.PROBES_SQL} SELECT source, array_to_string(list_sort(list(DISTINCT compression)), ',') AS all_values, CASE WHEN count(DISTINCT compression) = 1 THEN min(compression) END AS common FROM probes WHERE frame = 0 GROUP BY source""")
@@ -280,9 +315,9 @@ def manifest_match(spark, d):
     return L.manifest_match(slides, manifest)
 
 
-_REFS = f"""{A.RESOURCES_SQL}, named AS (SELECT r.*, p.subject, p.request FROM (SELECT *, type || '/' || id AS name FROM resources) r
-  JOIN (SELECT bundle, json_extract_string(body, '$.subject.reference') AS subject, json_extract_string(body, '$.basedOn[0].reference') AS request FROM resources WHERE type = 'DiagnosticReport') p ON r.bundle = p.bundle),
-h AS (SELECT bundle, count(*) FILTER (name = subject) AS patients_hit, count(*) FILTER (type = 'Patient') AS patients, count(*) FILTER (name = request) AS requests_hit, count(*) FILTER (type = 'ServiceRequest') AS requests FROM named GROUP BY bundle)"""
+_REFS = f"""{A.RESOURCES_SQL}, report AS MATERIALIZED (SELECT bundle, json_extract_string(body, '$.subject.reference') AS subject, json_extract_string(body, '$.basedOn[0].reference') AS request FROM resources WHERE type = 'DiagnosticReport'),
+named AS MATERIALIZED (SELECT r.bundle, r.type, r.id, r.type || '/' || r.id AS name, p.subject, p.request FROM resources r JOIN report p ON r.bundle = p.bundle),
+h AS MATERIALIZED (SELECT bundle, count(*) FILTER (name = subject) AS patients_hit, count(*) FILTER (type = 'Patient') AS patients, count(*) FILTER (name = request) AS requests_hit, count(*) FILTER (type = 'ServiceRequest') AS requests FROM named GROUP BY bundle)"""
 
 
 @query(f"WITH {_REFS} SELECT *, CASE WHEN patients_hit <> 1 THEN 'subject not found once' WHEN patients <> 1 THEN 'unreferenced patient' WHEN requests_hit <> 1 THEN 'request not found once' WHEN requests <> 1 THEN 'unreferenced request' END AS error FROM h")
@@ -290,7 +325,8 @@ def fhir_resolution(spark, d):
     return L.resolve_references(A.resources(spark, d))
 
 
-@query(f"WITH {_REFS} SELECT bundle, type, id FROM named WHERE type <> 'DiagnosticReport' AND name <> subject AND name <> request UNION ALL SELECT bundle, type, id FROM resources WHERE type <> 'DiagnosticReport' AND bundle NOT IN (SELECT bundle FROM named)")
+@query(f"""WITH {_REFS}, other AS MATERIALIZED (SELECT bundle, type, id, type || '/' || id AS name FROM resources WHERE type <> 'DiagnosticReport')
+SELECT bundle, type, id FROM other o WHERE NOT EXISTS (SELECT 1 FROM report p WHERE p.bundle = o.bundle AND p.subject = o.name) AND NOT EXISTS (SELECT 1 FROM report p WHERE p.bundle = o.bundle AND p.request = o.name)""")
 def unreferenced_resources(spark, d):
     return L.unreferenced(A.resources(spark, d))
 
@@ -301,15 +337,15 @@ def fhir_patients(spark, d):
     return L.patient_fields(A.resources(spark, d))
 
 
-@query(f"""WITH {A.TRIALS_SQL}, planned AS (SELECT DISTINCT 'slide-' || p_partkey % 60 AS slide, t.tool, t.profile, t.scope, t.run_index FROM part, (SELECT DISTINCT tool, profile, scope, run_index FROM trials) t)
+_SETTINGS = {"tools": {"cpu": ["run", "{path}"], "device": ["run", "--device", "{path}"]}, "profiles": ["1-URGENT", "3-MEDIUM", "none"], "scopes": ["base", "full"], "runs": 3}
+
+
+@query(f"""WITH {A.TRIALS_SQL}, planned AS (SELECT * FROM (SELECT DISTINCT 'slide-' || p_partkey % 60 AS slide FROM part), (SELECT unnest({list(_SETTINGS["tools"])}) AS tool), (SELECT unnest({_SETTINGS["profiles"]}) AS profile),
+ (SELECT unnest({_SETTINGS["scopes"]}) AS scope), (SELECT CAST(unnest(range(1, {_SETTINGS["runs"] + 1})) AS INTEGER) AS run_index))
 SELECT * FROM planned p WHERE NOT EXISTS (SELECT 1 FROM trials t WHERE t.slide = p.slide AND t.tool = p.tool AND t.profile = p.profile AND t.scope = p.scope AND t.run_index = p.run_index)""")
 def resume_plan(spark, d):
-    trials = A.trials(spark, d)
-    slides = A.table(spark, d, "part").select(F.concat(F.lit("slide-"), F.col("p_partkey") % 60).alias("slide")).distinct()
-    kinds = trials.select("tool", "profile", "scope", "run_index").distinct().groupBy().agg(F.collect_set(F.struct("tool", "profile", "scope", "run_index")).alias("k"))
-    # the plan is slides times a handful of settings; these travel as one literal-sized row
-    planned = slides.join(F.broadcast(kinds)).select("slide", F.explode("k").alias("k")).select("slide", "k.*")
-    return L.resume_plan(planned, trials)
+    slides = A.table(spark, d, "part").select(F.concat(F.lit("slide-"), F.col("p_partkey") % 60).alias("slide")).distinct().withColumn("path", F.concat("slide", F.lit(".svs")))
+    return H.resumed(H.planned(slides, **_SETTINGS), A.trials(spark, d)).select("slide", "tool", "profile", "scope", "run_index")
 
 
 _LABELED = f"""{A.TRIALS_SQL}, labeled AS (SELECT *, coalesce(nullif(label, ''), CASE tool WHEN 'cpu' THEN 'CPU' WHEN 'baseline' THEN 'Baseline' ELSE CASE
@@ -394,10 +430,11 @@ def wsi_candidates(spark, d):
     return A.table(spark, d, "pages").select("page_id", "url", S.is_slide_path(path).alias("candidate"))
 
 
-@query("SELECT chunk, count(*) AS files, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, doc_id // 512 AS chunk FROM documents) GROUP BY chunk")
+@query("""WITH p AS (SELECT path, (row_number() OVER (ORDER BY path) - 1) // 512 AS chunk FROM (SELECT lpad(CAST(page_id AS VARCHAR), 9, '0') AS path FROM pages))
+SELECT chunk, count(*) AS files, min(path) AS first, max(path) AS last FROM p GROUP BY chunk""")
 def chunked_checks(spark, d):
-    rows = A.table(spark, d, "documents").withColumn("chunk", F.call_function("div", F.col("doc_id"), F.lit(512)))
-    return rows.groupBy("chunk").agg(F.count("*").alias("files"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    found = V.chunked(A.table(spark, d, "pages").select(F.lpad(F.col("page_id").cast("string"), 9, "0").alias("path")))
+    return found.select("chunk", F.size("paths").cast("bigint").alias("files"), F.get("paths", F.lit(0)).alias("first"), F.element_at("paths", -1).alias("last"))
 
 
 @query("""SELECT event_id, CASE WHEN json_type(b, '$.name') = 'VARCHAR' THEN nullif(json_extract_string(b, '$.name'), '') END AS name, CASE WHEN json_type(b, '$.k') = 'VARCHAR' THEN nullif(json_extract_string(b, '$.k'), '') END AS k_text, json_extract_string(props, '$.k') AS k
@@ -447,10 +484,11 @@ def required_syntax(spark, d):
     return T.required_passthrough(rows, dims.passthrough_matrix(spark)).select("instance", "frame", "target", "candidate", "required")
 
 
-@query("SELECT lower(text[1:1]) AS initial, count(*) AS slides, CAST(sum(n_chars) AS BIGINT) AS n FROM (SELECT substr(text, 1, 1) AS text, n_chars FROM documents WHERE contains(lower(source), 'src1') AND contains(lower(lang), 'e')) GROUP BY ALL")
+@query("""SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE (contains(lower(p_name), 'a') OR contains(lower(p_brand), 'a') OR contains(lower(p_type), 'a') OR contains(CAST(p_size AS VARCHAR), 'a'))
+AND (contains(lower(p_name), '1') OR contains(lower(p_brand), '1') OR contains(lower(p_type), '1') OR contains(CAST(p_size AS VARCHAR), '1'))""")
 def select_slides(spark, d):
-    rows = A.table(spark, d, "documents").where(F.contains(F.lower("source"), F.lit("src1")) & F.contains(F.lower("lang"), F.lit("e")))
-    return rows.groupBy(F.lower(F.substring("text", 1, 1)).alias("initial")).agg(F.count("*").alias("slides"), F.sum("n_chars").alias("n"))
+    found = L.select_slides(A.table(spark, d, "part"), ["A", "1"], ["p_name", "p_brand", "p_type", "p_size"], order="p_partkey")
+    return found.select("p_partkey", "p_name", "p_brand", "p_type")
 
 
 @query("""WITH b AS (SELECT o_orderkey AS bundle, CASE o_orderkey % 3 WHEN 0 THEN '{"resourceType":"Patient","id":"p' || o_custkey || '"}'
@@ -468,7 +506,7 @@ def bundle_resources(spark, d):
 @query(f"""WITH {_REFS}, ok AS (SELECT bundle FROM h WHERE patients_hit = 1 AND patients = 1 AND requests_hit = 1 AND requests = 1)
 SELECT p.bundle, coalesce(nullif(json_extract_string(p.body, '$.identifier[0].value'), ''), p.id) AS patient_id, json_extract_string(p.body, '$.name[0].family') || '^A B' AS patient_name, replace(json_extract_string(p.body, '$.birthDate'), '-', '') AS birth_date,
 CASE json_extract_string(p.body, '$.gender') WHEN 'male' THEN 'M' WHEN 'female' THEN 'F' WHEN 'other' THEN 'O' END AS sex, 'q' AS accession_number, r.id AS study_id, json_extract_string(r.body, '$.code.text') AS study_description
-FROM ok JOIN resources p ON p.bundle = ok.bundle AND p.type = 'Patient' JOIN resources r ON r.bundle = ok.bundle AND r.type = 'DiagnosticReport'""")
+FROM ok JOIN (SELECT * FROM resources WHERE type = 'Patient') p ON p.bundle = ok.bundle JOIN (SELECT * FROM resources WHERE type = 'DiagnosticReport') r ON r.bundle = ok.bundle""")
 def clinical_metadata(spark, d):
     return C.metadata(A.resources(spark, d))
 
@@ -486,13 +524,17 @@ def colour_profiles(spark, d):
   CASE instance % 4 WHEN 0 THEN 'Jpeg2000' WHEN 1 THEN 'Jpeg2000Lossless' ELSE 'Htj2kLosslessRpcl' END AS syntax FROM probes GROUP BY instance),
 e AS (SELECT *, CASE WHEN (backend = 'prefer_device' AND (syntax = 'Jpeg2000Lossless' OR (syntax = 'Htj2kLosslessRpcl' AND frames <= 128))) OR syntax = 'Jpeg2000' THEN 'cpu' ELSE backend END AS effective FROM i)
 SELECT instance, effective, CASE WHEN backend = 'prefer_device' AND syntax = 'Htj2kLosslessRpcl' THEN CASE WHEN effective = 'cpu' THEN 'cpu' ELSE 'gpu' END END AS lane, syntax LIKE 'Htj2k%' AND backend <> 'require_device' AS jpeg_direct,
-  frames * 262144 * 6 <= 134217728 AS in_memory FROM e""")
+  frames * 262144 * 6 <= 134217728 AS in_memory, (backend = 'auto' AND instance % 2 = 0 AND frames >= 4) OR (backend <> 'auto' AND frames > 0) AS jpeg_batch,
+  syntax <> 'Jpeg2000' AND (backend <> 'auto' OR (frames >= 16 AND syntax LIKE 'Htj2k%')) AS device_input, CASE WHEN backend = 'require_device' AND instance % 2 <> 0 THEN 'cpu' ELSE backend END AS input_from,
+  backend = 'auto' AND syntax <> 'Jpeg2000' AND NOT (frames >= 16 AND syntax LIKE 'Htj2k%') AS cpu_start FROM e""")
 def device_policy(spark, d):
     rows = A.frame_probes(spark, d).groupBy("instance").agg((F.count("*") * 40).alias("frames"))
-    rows = rows.select("instance", "frames", F.expr("case instance % 3 when 0 then 'auto' when 1 then 'prefer_device' else 'require_device' end").alias("backend"), F.expr("case instance % 4 when 0 then 'Jpeg2000' when 1 then 'Jpeg2000Lossless' else 'Htj2kLosslessRpcl' end").alias("syntax"))
+    rows = rows.select("instance", "frames", F.expr("case instance % 3 when 0 then 'auto' when 1 then 'prefer_device' else 'require_device' end").alias("backend"), F.expr("case instance % 4 when 0 then 'Jpeg2000' when 1 then 'Jpeg2000Lossless' else 'Htj2kLosslessRpcl' end").alias("syntax"), F.expr("instance % 2 = 0").alias("decodes"))
     c = F.col
     return rows.select("instance", D.effective_backend(c("backend"), c("syntax"), c("frames")).alias("effective"), D.hybrid_lane(c("backend"), c("syntax"), c("frames")).alias("lane"),
-        D.jpeg_direct_supported(c("syntax"), c("backend")).alias("jpeg_direct"), D.direct_pixels(c("frames"), F.lit(512), F.lit(4)).alias("in_memory"))
+        D.jpeg_direct_supported(c("syntax"), c("backend")).alias("jpeg_direct"), D.direct_pixels(c("frames"), F.lit(512), F.lit(4)).alias("in_memory"),
+        D.jpeg_device_batch(c("backend"), F.lit(512), F.lit(512), c("frames"), c("decodes")).alias("jpeg_batch"), D.lossless_device_input(c("backend"), c("syntax"), c("frames")).alias("device_input"),
+        D.device_input_preference(c("backend"), c("decodes")).alias("input_from"), D.starts_on_cpu(c("backend"), c("syntax"), c("frames")).alias("cpu_start"))
 
 
 @query(f"""WITH {A.LEVELS_SQL}, g AS (SELECT *, {_GRID} FROM levels), f AS (SELECT *, unnest(range(tiles_across)) AS c FROM (SELECT *, unnest(range(tiles_down)) AS r FROM g)),
@@ -505,18 +547,17 @@ def compose_requests(spark, d):
     return K.requests(G.frames(grid)).select("source", "level", "frame", "tile_col", "tile_row", "src_x", "src_y", "dst_x", "dst_y", "w", "h")
 
 
-@query(f"""WITH {_ROUTED}, m AS (SELECT source, level, {_SUM_SQL} FROM routed GROUP BY source, level)
-SELECT source, level, split_part(l, ' encode_ms', 1) AS line FROM (SELECT source, level, 'frames=' || total_frames || ' passthrough=' || passthrough_frames || ' retile=' || retile_frames || ' blank=' || blank_frames || ' fallback=' || fallback_frames AS l FROM m)""")
+@query()
 def metric_lines(spark, d):
+    """Lines of text with shares and times; other engines round them differently, so a test holds them against plain Python."""
     m = M.aggregate(M.measures(_routed(spark, d)), ["source", "level"])
-    line = F.regexp_replace(F.regexp_replace(lines.route_line(), " [a-z]+_pct=[0-9.]+", ""), " encode_ms=.*", "")  # shares are rounded differently by other engines
-    return m.select("source", "level", line.alias("line"))
+    return m.select("source", "level", lines.route_line().alias("line"))
 
 
 @query(f"WITH {A.TRIALS_SQL}, cells AS (SELECT DISTINCT slide, profile, scope FROM trials WHERE status = 'passed') SELECT seq FROM trials t WHERE EXISTS (SELECT 1 FROM cells c WHERE c.slide = t.slide AND c.profile = t.profile AND c.scope = t.scope)")
 def trials_of_passed_cells(spark, d):
     t = A.trials(spark, d)
-    return t.join(t.where("status = 'passed'").select("slide", "profile", "scope").distinct(), ["slide", "profile", "scope"], "left_semi").select("seq")
+    return L.trials_of_cells(t, t.where("status = 'passed'")).select("seq")
 
 
 @query(f"WITH {A.PROBES_SQL}, n AS (SELECT instance, max(frame) + 2 AS n FROM probes GROUP BY instance), p AS (SELECT instance, unnest(range(n)) AS index FROM n) SELECT p.instance, p.index, bytes AS value FROM p LEFT JOIN probes ON p.instance = probes.instance AND p.index = frame")
@@ -537,11 +578,47 @@ def serialised_metrics(spark, d):
     return M.serialised(rows, ["source"]).withColumn(metric_names.DERIVED, F.round(metric_names.DERIVED, 6))
 
 
-@query(f"""WITH {_ROUTED} SELECT source, CAST(count(*) AS DECIMAL(38, 0)) AS total_frames, CAST(count(*) FILTER (route = 'passthrough') AS DECIMAL(38, 0)) AS jpeg_passthrough_frames, CAST(count(*) FILTER (rejection IS NOT NULL) AS DECIMAL(38, 0)) AS jpeg_retile_rejected_frames,
-CAST(0 AS DECIMAL(38, 0)) AS gpu_encode_frames FROM routed GROUP BY source""")
+def _filtered(**counters: str) -> str:
+    return ", ".join(f"CAST(count(*) FILTER ({c}) AS DECIMAL(38, 0)) AS {n}" for n, c in counters.items())
+
+
+_CLASSIFIED = {
+    "total_frames": "true", "jpeg_passthrough_frames": "route = 'passthrough'", "jpeg_retile_frames": "route = 'retile'", "cpu_fallback_frames": "route = 'fallback'", "jpeg_decode_fallback_frames": "route = 'fallback'",
+    "unknown_pixel_profile_frames": "route = 'fallback'", "gray_frames": f"{_KNOWN} AND components = 1", "bits8_frames": f"{_KNOWN} AND bits = 8", "jpeg_retile_rejected_frames": "rejection IS NOT NULL",
+    "jpeg_retile_mcu_invalid_frames": "rejection = 'mcu_invalid'", "cpu_input_frames": "false", "gpu_encode_frames": "false",
+}
+
+
+@query(f"WITH {_ROUTED} SELECT source, {_filtered(**_CLASSIFIED)} FROM routed GROUP BY source")
 def source_metrics(spark, d):
-    m = M.serialised(M.as_serialised(_routed(spark, d)), ["source"])
-    return m.select("source", "total_frames", "jpeg_passthrough_frames", "jpeg_retile_rejected_frames", "gpu_encode_frames")
+    return M.serialised(M.as_serialised(_routed(spark, d)), ["source"]).select("source", *_CLASSIFIED)
+
+
+_WRITTEN_SQL = f"""{A.PROBES_SQL}, w AS (SELECT source, components, bits, {list(M.WRITTEN)}[instance % {len(M.WRITTEN)} + 1] AS route, frame % 2 = 0 AS gin, instance % 4 = 0 AS genc, instance % 8 = 0 AS gval, micros * 37 AS inp,
+ CASE WHEN frame % 3 = 0 THEN micros * 5 END AS com, micros * 211 AS enc, CASE WHEN frame % 2 = 1 THEN micros END AS val, CASE WHEN frame % 5 <> 0 THEN micros * 190 + 7000 END AS dev, micros * 230 AS wall FROM probes)"""
+_N = lambda c: f"coalesce(CASE WHEN {c} > 0 AND {c} < 1000 THEN 1 ELSE {c} // 1000 END, 0)"
+_TIMES = {
+    "input_decode_micros": _N("inp"), "compose_micros": _N("com"), "encode_micros": _N("enc"), "validation_micros": _N("val"),
+    "gpu_dispatch_micros": f"CASE WHEN gin THEN {_N('inp')} + {_N('com')} ELSE 0 END + CASE WHEN genc THEN {_N('enc')} ELSE 0 END + CASE WHEN gval THEN {_N('val')} ELSE 0 END",
+    "gpu_encode_wall_micros": f"CASE WHEN genc THEN {_N('wall')} ELSE 0 END", "gpu_encode_hardware_micros": f"CASE WHEN genc AND dev IS NOT NULL THEN {_N('dev')} ELSE 0 END",
+    "gpu_encode_dispatch_overhead_micros": f"CASE WHEN genc AND dev IS NOT NULL THEN {_N('greatest(enc - dev, 0)')} ELSE 0 END",
+}
+_WRITTEN = {
+    "total_frames": "true", "jpeg_passthrough_frames": "route = 'jpeg_passthrough'", "j2k_direct_htj2k_frames": "route = 'j2k_direct'", "jpeg_direct_htj2k_53_frames": "route IN ('jpeg_direct_53', 'retile_53')",
+    "jpeg_retile_frames": "route IN ('retile', 'retile_53')", "jpeg_retile_to_htj2k_53_frames": "route = 'retile_53'", "gpu_transcode_frames": "route = 'encoded' AND (gin OR genc)", "resident_gpu_transcode_frames": "route = 'encoded' AND gin AND genc",
+    "partial_gpu_transcode_frames": "route = 'encoded' AND gin <> genc", "cpu_fallback_frames": "route = 'encoded' AND NOT gin AND NOT genc", "cpu_input_frames": "route = 'encoded' AND NOT gin", "gpu_encode_frames": "genc", "gpu_validation_frames": "gval",
+    "gray_frames": "components = 1", "bits16_frames": "bits = 16",
+}
+
+
+@query(f"WITH {_WRITTEN_SQL} SELECT source, {_filtered(**_WRITTEN)}, {', '.join(f'CAST(sum({c}) AS DECIMAL(38, 0)) AS {n}' for n, c in _TIMES.items())} FROM w GROUP BY source")
+def written_frame_metrics(spark, d):
+    rows = A.frame_probes(spark, d).select(
+        "source", "components", "bits", F.get(F.array(*map(F.lit, M.WRITTEN)), (F.col("instance") % len(M.WRITTEN)).cast("int")).alias("route"), F.expr("frame % 2 = 0").alias("gpu_input"), F.expr("instance % 4 = 0").alias("gpu_encode"),
+        F.expr("instance % 8 = 0").alias("gpu_validation"), F.expr("micros * 37").alias("input_nanos"), F.expr("case when frame % 3 = 0 then micros * 5 end").alias("compose_nanos"), F.expr("micros * 211").alias("encode_nanos"),
+        F.expr("case when frame % 2 = 1 then micros end").alias("validation_nanos"), F.expr("case when frame % 5 <> 0 then micros * 190 + 7000 end").alias("device_nanos"), F.expr("micros * 230").alias("wall_nanos"),
+    )
+    return M.serialised(M.written_frames(rows), ["source"]).select("source", *_WRITTEN, *_TIMES)
 
 
 @query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(b, '$.metrics.total_frames') AS BIGINT), 0) AS total, coalesce(TRY_CAST(json_extract_string(b, '$.metrics.absent') AS BIGINT), 0) AS absent FROM (

@@ -63,6 +63,12 @@ class Export:
     def profile(self, name: str) -> Export:
         return replace(self, options=replace(self.options, profile=name))
 
+    def device(self, **settings: int | bool | None) -> Export:
+        """Sets source_device_decode and limits of the device's encoder (`ExportOptions.device_limits`) by name."""
+        if unknown := set(settings) - {"source_device_decode", *self.options.device_limits()}:
+            raise ValueError(f"no device option {sorted(unknown)}")
+        return replace(self, options=replace(self.options, **settings))
+
     def checked(self) -> Export:
         self.options.validate()
         if not self.output:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,21 +34,27 @@ def bounded_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_coverage(adapters.frame_probes(spark, sf_dir))
 
 
-def streaming_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of events by window through a stream that reads the table once."""
-    import tempfile
-    import uuid
+def _shared_folder(spark: SparkSession) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        where = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+    return where.rstrip("/")
 
-    path, name = f"{sf_dir}/events.parquet", f"rates_{uuid.uuid4().hex}"
+
+def streaming_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of events by window through a stream that reads the table once. Each batch replaces the whole result, written by executors."""
+    path, out = f"{sf_dir}/events.parquet", f"{_shared_folder(spark)}/rates-{uuid.uuid4().hex}"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
     stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    query = windowed_rates(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
+    rates = windowed_rates(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rates")
+    query = rates.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rates.schema).parquet(f"{out}/rates")
 
 
 QUERIES = {f.__name__: f for f in (codestream_markers, export_plan, bounded_coverage, streaming_iterations)}

@@ -51,21 +51,39 @@ def resumed(trials: DataFrame, recorded: DataFrame) -> DataFrame:
     return resume_plan(trials, recorded)
 
 
-def markdown(summary: DataFrame, most: int = 10_000) -> str:
-    """A table of cells and labels in report order; a report of at most `most` lines is made for people to read."""
-    rows = summary.orderBy(*reports.CELL, "rank", "result_label").limit(most).collect()
-    lines = ["| slide | profile | scope | label | status | seconds |", "|---|---|---|---|---|---|"]
-    return "\n".join(lines + [f"| {r['slide']} | {r['profile']} | {r['scope']} | {r['result_label']} | {r['status']} | {'' if r['seconds'] is None else format(r['seconds'], '.3f')} |" for r in rows]) + "\n"
-
-
-def write_summary(trials: DataFrame, out: str) -> None:
-    """results (JSON lines), results.csv (the fixed columns) and summary.md below a folder of the driver or a mounted one."""
+def _ratio(a: float | None, b: float | None) -> str:
+    return "" if a is None or b is None or b <= 0 else f"{a / b:.2f}x"
+
+
+def markdown_lines(trials: DataFrame, title: str = "Trials") -> Iterator[str]:
+    """Lines of a table with a row a cell: status and seconds of every label, and how often faster each device is than CPU and baseline.
+
+    A label without a row of a cell is `missing`. Rows come one partition at a time, so a long report needs no long list.
+    """
+    labels = [r["result_label"] for r in reports.summary(trials).select("rank", "result_label").distinct().orderBy("rank", "result_label").collect()]
+    devices = {r["result_label"] for r in trials.where("tool = 'device'").select("result_label").distinct().collect()}
+    against = [(d, x) for d in labels if d in devices for x in ("CPU", "Baseline") if x in labels]
+    head = ["Slide", "Profile", "Scope", *(f"{x} {w}" for x in labels for w in ("status", "seconds")), *(f"{d} vs {x}" for d, x in against)]
+    rule = ["---"] * 3 + ["---", "---:"] * len(labels) + ["---:"] * len(against)
+    yield from (f"# {title}", "", "| " + " | ".join(head) + " |", "| " + " | ".join(rule) + " |")
+    for r in reports.by_label(trials).orderBy(*reports.CELL).toLocalIterator():
+        seconds = {x: v["seconds"] for x, v in r["labels"].items()}
+        cells = [r[c] or "" for c in reports.CELL]
+        for x in labels:
+            v = r["labels"].get(x)
+            cells += ["missing", ""] if v is None else [v["status"] or "failed", "" if v["seconds"] is None else f"{v['seconds']:.3f}"]
+        yield "| " + " | ".join([*cells, *(_ratio(seconds.get(x), seconds.get(d)) for d, x in against)]) + " |"
+
+
+def write_summary(trials: DataFrame, out: str, title: str = "Trials") -> None:
+    """Appends to results (JSON lines), and makes results.csv (the fixed columns) and summary.md of all that is there; below a folder of the driver or a mounted one."""
     named = reports.with_label(trials)
     named.write.mode("append").json(f"{out}/results")
+    named = trials.sparkSession.read.schema(named.schema).json(f"{out}/results")
     reports.to_csv_columns(named).write.mode("overwrite").option("header", True).csv(f"{out}/results.csv")
     target = os.path.join(out.removeprefix("file://"), "summary.md")
     with open(f"{target}.new", "w") as f:
-        f.write(markdown(reports.summary(named)))
+        f.writelines(line + "\n" for line in markdown_lines(named, title))
     os.replace(f"{target}.new", target)
 
 

@@ -27,6 +27,12 @@ class ExportOptions:
     validate_codec: bool = False
     decomposition_levels: int | None = None
     overwrite: bool = False
+    source_device_decode: bool = False
+    gpu_encode_inflight_tiles: int | None = None
+    gpu_encode_memory_mib: int | None = None
+    gpu_pipeline_depth: int | None = None
+    gpu_row_batch_rows: int | None = None
+    gpu_row_batch_target_tiles: int | None = None
 
     def validate(self) -> ExportOptions:
         rules = [
@@ -36,12 +42,17 @@ class ExportOptions:
             (self.decomposition_levels is None or self.decomposition_levels > 0, "decomposition levels must be greater than zero"),
             (self.backend in ("auto", "cpu", "prefer_device", "require_device"), "unknown backend"), (self.uid_policy in ("fresh", "deterministic"), "unknown UID policy"),
             (self.icc_policy in ("error", "srgb", "p3", "omit"), "unknown colour profile policy"),
+            *((v is None or v > 0, f"{n} must be greater than zero") for n, v in self.device_limits().items()),
         ]
         for holds, what in rules:
             if not holds:
                 raise ValueError(what)
         return self
 
+    def device_limits(self) -> dict[str, int | None]:
+        """Limits of the device's encoder; None leaves them to it."""
+        return {n: getattr(self, n) for n in ("gpu_encode_inflight_tiles", "gpu_encode_memory_mib", "gpu_pipeline_depth", "gpu_row_batch_rows", "gpu_row_batch_target_tiles")}
+
     def with_syntax(self, syntax: str) -> ExportOptions:
         """Another transfer syntax; the profile is set to its default."""
         return replace(self, transfer_syntax=syntax, profile=default_profile(syntax))

