@@ -111,6 +111,15 @@ def be_u16(raw: Column, at: int) -> Column:
     return F.conv(F.hex(F.substring(raw, at + 1, 2)), 16, 10).cast("int")
 
 
+def u64_values(raw: Column) -> Column:
+    """Little-endian unsigned 64-bit numbers of a binary value, as decimals, in the JVM; null for null, and for bytes that are no whole numbers."""
+    byte = lambda at: F.hex(F.substring(raw, at, F.lit(1)))
+    one = lambda i: F.conv(F.concat(*(byte((i * 8 + k).cast("int")) for k in range(8, 0, -1))), 16, 10).cast("decimal(20,0)")
+    n = F.octet_length(raw)
+    whole = F.when(n == 0, F.array().cast("array<decimal(20,0)>")).otherwise(F.transform(F.sequence(F.lit(0), F.call_function("div", n, F.lit(8)).cast("int") - 1), one))
+    return F.when(n % 8 == 0, whole)
+
+
 def deterministic_rgb(w: int, h: int) -> bytes:
     """Fixture picture: each channel a linear form of x and y, modulo 256."""
     #: Coefficients of x and y for red, green and blue.

@@ -51,6 +51,16 @@ def header_checks(headers: DataFrame) -> DataFrame:
     return headers.select("path", F.explode(each).alias("c")).select("path", "c.*")
 
 
+def frame_expectation(headers: DataFrame) -> DataFrame:
+    """Adds `expected` (columns, rows, samples, bits) of a decoded frame and `expectation_error`; samples and bits may be missing, rows and columns not."""
+    c = F.col
+    error = (
+        F.when(c("columns").isNull(), "columns are missing").when(c("rows").isNull(), "rows are missing").when((c("columns") == 0) | (c("rows") == 0), "rows and columns must be greater than zero")
+        .when(~c("samples").between(0, (1 << 16) - 1), "samples are no 16-bit number").when(~c("bits_allocated").between(0, (1 << 16) - 1), "bits are no 16-bit number")
+    )
+    return headers.withColumn("expectation_error", error).withColumn("expected", F.when(c("expectation_error").isNull(), F.struct("columns", "rows", "samples", c("bits_allocated").alias("bits"))))
+
+
 class Runner:
     """How commands are found and run; tests hand in another."""
 

@@ -626,3 +626,31 @@ def written_frame_metrics(spark, d):
 def profile_metrics(spark, d):
     b = F.expr("""concat('{"metrics":{"total_frames":', case event_id % 3 when 0 then string(user_id) when 1 then '"many"' else 'null' end, '}}')""")
     return A.table(spark, d, "events").select("event_id", M.metric(b, "total_frames").alias("total"), M.metric(b, "absent").alias("absent"))
+
+
+@query("""WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size % 5 END AS columns, CASE WHEN p_partkey % 11 <> 0 THEN p_size % 6 END AS rows, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 40 END AS samples FROM part),
+e AS (SELECT *, CASE WHEN columns IS NULL THEN 'columns are missing' WHEN rows IS NULL THEN 'rows are missing' WHEN columns = 0 OR rows = 0 THEN 'rows and columns must be greater than zero' WHEN samples > 65535 THEN 'samples are no 16-bit number' END AS error FROM h)
+SELECT p_partkey, error, CASE WHEN error IS NULL THEN columns || 'x' || rows || 'x' || coalesce(samples, -1) END AS expected FROM e""")
+def frame_expectations(spark, d):
+    h = A.table(spark, d, "part").select("p_partkey", F.expr("case when p_partkey % 7 <> 0 then p_size % 5 end").alias("columns"), F.expr("case when p_partkey % 11 <> 0 then p_size % 6 end").alias("rows"),
+        F.expr("case when p_partkey % 3 <> 0 then p_partkey * 40 end").alias("samples"), F.lit(8).alias("bits_allocated"))
+    e = F.col("expected")
+    text = F.when(e.isNotNull(), F.concat_ws("x", e["columns"].cast("string"), e["rows"].cast("string"), F.coalesce(e["samples"], F.lit(-1)).cast("string")))
+    return V.frame_expectation(h).select("p_partkey", F.col("expectation_error").alias("error"), text.alias("expected"))
+
+
+_CHECKED = """f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 <> 0 THEN 'P' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN chr(1) ELSE '' END END AS patient_id, CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE 'A^B' END AS patient_name,
+ CASE WHEN o_orderkey % 3 = 0 THEN '20230229' ELSE '20240229' END AS birth_date, CASE o_orderkey % 5 WHEN 0 THEN 'm' WHEN 1 THEN 'F' END AS sex, '1.2' || CASE WHEN o_orderkey % 8 = 0 THEN '..3' ELSE '' END AS study_uid, repeat('x', CAST(o_custkey % 20 AS INTEGER)) AS accession_number FROM orders)"""
+
+
+@query(f"""WITH {_CHECKED}, b AS (SELECT k, list_filter([CASE WHEN contains(patient_id, chr(1)) THEN 'patient_id' END, CASE WHEN birth_date = '20230229' THEN 'birth_date' END, CASE WHEN sex = 'm' THEN 'sex' END,
+ CASE WHEN length(accession_number) > 16 THEN 'accession_number' END, CASE WHEN contains(study_uid, '..') THEN 'study_uid' END], lambda x: x IS NOT NULL) AS e FROM f)
+SELECT f.k, array_to_string(e, ',') AS errors, e[1] AS first, CASE WHEN coalesce(trim(patient_id), '') = '' THEN 'patient id is missing' WHEN trim(patient_name) = '' THEN 'patient name is missing' END AS strict FROM f JOIN b ON f.k = b.k""")
+def metadata_checks(spark, d):
+    rows = A.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"), F.expr("case when o_orderkey % 6 <> 0 then concat('P', o_custkey, if(o_orderkey % 5 = 0, char(1), '')) end").alias("patient_id"), F.expr("if(o_orderkey % 4 = 0, '  ', 'A^B')").alias("patient_name"),
+        F.expr("if(o_orderkey % 3 = 0, '20230229', '20240229')").alias("birth_date"), F.expr("case o_orderkey % 5 when 0 then 'm' when 1 then 'F' end").alias("sex"), F.expr("concat('1.2', if(o_orderkey % 8 = 0, '..3', ''))").alias("study_uid"),
+        F.expr("repeat('x', cast(o_custkey % 20 as int))").alias("accession_number"),
+    )
+    strict = V.strict_errors(rows, "k").withColumnRenamed("error", "strict")
+    return V.field_errors(rows, "k").join(strict, "k").select("k", F.array_join("errors", ",").alias("errors"), "first", "strict")

@@ -256,6 +256,13 @@ def test_prepared_samples(spark):
     assert bytes(got[0]["p"]["samples"]) == b"abcd" and got[0]["p"]["channels"] == 1 and got[1]["p"]["samples"] is None
 
 
+def test_u64_values(spark):
+    values = [[], [0, 1, 2**64 - 1], [258]]
+    rows = spark.createDataFrame([(i, struct.pack(f"<{len(v)}Q", *v)) for i, v in enumerate(values)] + [(3, b"abc"), (4, None)], "i int, raw binary")
+    got = [r["v"] for r in rows.select("i", binary.u64_values(F.col("raw")).alias("v")).orderBy("i").collect()]
+    assert [None if v is None else [int(x) for x in v] for v in got] == [*values, None, None]
+
+
 def test_seeds(spark):
     import hashlib
     from dataclasses import replace
