@@ -99,10 +99,11 @@ FILTER_BUCKETS, _MASKS = 2048, 512
 
 
 def hash_filter(keys: DataFrame, column: str) -> DataFrame:
-    """(bucket, masks): a bit for each 64-bit hash in `column`; a Bloom filter of one probe, written, of at most 8 MB."""
+    """(bucket, masks): a bit for each 64-bit hash in `column`; a Bloom filter of one probe, written, of 8 MB whatever goes into it."""
     bucket, mask, bit = _place(F.col(column))
     words = keys.select(bucket.alias("bucket"), mask.alias("mask"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
-    words = words.groupBy("bucket", "mask").agg(F.bit_or("bits").alias("bits"))
+    every = keys.sparkSession.range(FILTER_BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("mask"), F.lit(0).cast("long").alias("bits"))
+    words = words.unionByName(every).groupBy("bucket", "mask").agg(F.bit_or("bits").alias("bits"))
     found = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("mask", "bits"))).alias("found"))
     all_masks = F.transform(F.sequence(F.lit(0), F.lit(_MASKS - 1)), lambda i: F.coalesce(F.element_at("found", i), F.lit(0).cast("long")))
     return written(found.select("bucket", all_masks.alias("masks")), "filter")

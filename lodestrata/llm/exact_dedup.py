@@ -44,6 +44,7 @@ def heavy_digests(slim: DataFrame, counters: int = COUNTERS) -> DataFrame:
     if not total:  # summaries of no rows cannot be merged
         return slim.groupBy("d").agg(F.min(_self()).alias("first"), F.count("*").alias("size"))
     parts = slim.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(d, {8 * counters})").alias("s"))
+    parts = parts.repartition(1)  # the groups' summaries, so that no task has none to merge, which Spark's function does not allow
     found = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {8 * counters}), {counters})").alias("top")).select(F.explode("top.item").alias("d"))
     sizes = slim.join(F.broadcast(found), "d", "left_semi").groupBy("d").agg(F.min(_self()).alias("first"), F.count("*").alias("size"))
     return written(sizes.where(F.col("size") * counters >= total).where("size > 1"), "heavy")

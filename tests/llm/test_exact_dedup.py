@@ -65,6 +65,17 @@ def test_many_groups_below_the_share(spark):
     assert got.where("kept").count() == X.drop_duplicates(docs, counters=3).count() == 2000
 
 
+def test_more_partitions_than_rows(spark, odd):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert X.decisions(odd.repartition(31)).where("kept").count() == len(_brute(odd_rows())) == X.drop_duplicates(odd).count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_table(empty):
     assert X.decisions(empty).count() == 0 and X.drop_duplicates(empty).count() == 0
 
