@@ -44,7 +44,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from lodestrata.plans import extras
+
+    return _SQL | extras.sql(_JOBS, _ROUTED, _SQL["default_syntax"], _SUM_SQL)
 
 
 TILE = 512

@@ -1,4 +1,4 @@
-"""Queries that SQL cannot express; tests hold them against plain Python."""
+"""Queries of whole plans, binary headers and streams, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import binary
+from lodestrata.operators import metrics
 from lodestrata.plans import adapters
 from lodestrata.plans.export import Export, route_coverage
 from lodestrata.streaming.iterations import windowed_rates
@@ -54,7 +55,31 @@ def streaming_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rates")
     query = rates.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(rates.schema).parquet(f"{out}/rates")
+    found = spark.read.schema(rates.schema).parquet(f"{out}/rates")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "frames", F.round("total", 6).alias("total"))
+
+
+def _uid_sql(role: str, *keys: str) -> str:
+    text = " || ':' || ".join(["'seed'", "source", f"'{role}'", *keys])
+    return f"'2.25.' || CAST(CAST('0x' || substr(sha256({text}), 1, 32) AS UHUGEINT) AS VARCHAR)"
+
+
+def sql(jobs: str, routed: str, default: str, sums: str) -> dict[str, str]:
+    """SQL by query, from parts that the catalogue shares: WITH lists of jobs and of routed frames, the default syntaxes, and sums of routed frames."""
+    totals = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in metrics.SUMS)
+    return {
+        "codestream_markers": "SELECT p_partkey, p_size % 5 AS progression, p_size % 5 = 2 AS rpcl, 65359 AS soc FROM part",
+        "export_plan": f"""WITH {jobs}, syntaxes AS ({default})
+SELECT j.source, level, z, c, t, ordinal + 1 AS instance_number, (cols + 511) // 512 * ((rows + 511) // 512) AS frames, coalesce(s.syntax, 'Htj2kLosslessRpcl') AS syntax,
+ 'scene-' || scene || '-series-' || series || '-level-' || level || '-z' || z || '-c' || c || '-t' || t || '.dcm' AS path, {_uid_sql("instance", "scene", "series", "level", "z", "c", "t").replace("source", "j.source")} AS sop_uid,
+ {_uid_sql("series", "scene", "series", "z", "c", "t").replace("source", "j.source")} AS series_uid, {_uid_sql("frame", "scene", "series").replace("source", "j.source")} AS frame_of_reference_uid
+FROM jobs j LEFT JOIN syntaxes s ON s.source = j.source""",
+        "bounded_coverage": f"""WITH {routed}, n AS (SELECT source, level, count(*) AS available FROM routed GROUP BY source, level),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, level ORDER BY instance, frame) AS nth FROM routed) WHERE nth <= 64),
+m AS (SELECT source, level, {sums} FROM b GROUP BY source, level)
+SELECT source, level, CAST(grouping(source, level) AS BIGINT) AS grain, CAST(sum(available) AS BIGINT) AS available, {totals}, sum(total_frames) >= sum(available) AS complete FROM m JOIN n USING (source, level) GROUP BY ROLLUP (source, level)""",
+        "streaming_iterations": """SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS frames, round(sum(value), 6) AS total FROM events GROUP BY ALL""",
+    }
 
 
 QUERIES = {f.__name__: f for f in (codestream_markers, export_plan, bounded_coverage, streaming_iterations)}
