@@ -80,3 +80,23 @@ def test_without_labels_or_rows(odd, empty, labels):
     assert {r["score_"] for r in Q.with_score(odd, None, name="score_").collect()} == {0.5}
     assert Q.keep_good(empty, labels).count() == 0
     assert Q.with_score(odd.drop("n_chars"), Q.train(odd, labels), name="fm").count() == odd.count()
+
+
+def test_query_gives_the_scores_of_plain_sums(spark, tmp_path):
+    """Every row of the query against the machine's formula over all pairs, text by text."""
+    docs, labels = _many(spark, 60)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    m = Q.train(docs, labels)
+    got = {r["doc_id"]: r for r in Q.op2_quality(spark, str(tmp_path)).collect()}
+    assert len(got) == 60
+    for r in docs.collect():
+        ((_, _, stats, _, index, value),) = Q.features(pa.array([r["text"]]), np.array([float(r["n_chars"])]))
+        xs = {int(k): 1.0 for k in m.bins(stats, m.edges)[0]} | {int(k): float(v) for k, v in zip(index, value)}
+        keys = sorted(xs)
+        z = m.bias + sum(float(m.weight[k]) * xs[k] for k in keys)
+        v = np.array([m.factor[k] * xs[k] for k in keys], float)
+        z += sum(float(v[a] @ v[b]) for a in range(len(keys)) for b in range(a + 1, len(keys)))
+        want = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-5)
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
