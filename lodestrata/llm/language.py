@@ -7,8 +7,8 @@ ambiguous if the second codeword is within `MARGIN` of the first.
 
 Up to seven languages get the exhaustive code (2 ** (n - 1) - 1 bits), more get a random code of ceil(10 log2 n) bits
 with the largest least distance of 50 draws. It is fitted on the driver on at most `SAMPLE` rows with a language and
-crc32(id as text) mod 4 not 2: of each language those with the least hash of the id, one row of each language after the other
-until the sample is full, so a rare language is learned as well. The language, source and id are never inputs.
+crc32(id as text) mod 4 not 2, those with the least hash of the id; half of the sample is shared evenly among the languages,
+so a rare language is learned as well. The language, source and id are never inputs.
 
 Null texts and texts without a letter (Unicode category L) are `und` with score 0, ambiguous. Without rows to learn from all texts are.
 Null ids are not held out and never in the sample; of rows that repeat an id and language the text with the least hash is in it. Repeated rows get equal results; a tie takes the language that sorts
@@ -116,17 +116,19 @@ def fit(share: np.ndarray, lang: list[str], *, steps: int = 120) -> Coder:
 
 
 def sample_ids(known: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` rows (id, lang) of a frame with them, the languages in turn, each by the hash of the id.
+    """At most `sample` rows (id, lang) of a frame with them, by the hash of the id: half of the sample is shared evenly among the languages, the other
+    half goes by hash alone, so as the languages occur.
 
-    Only ids and languages are read; of more languages than `sample` the most frequent. Rows far beyond what a language can get are turned away by their hash before they are ranked,
-    so the window sorts a few thousand rows of a language, however many there are.
+    Only ids and languages are read; of more languages than `sample` the most frequent. Rows far beyond what a language can get
+    are turned away by their hash before they are ranked, so the window sorts a few thousand rows of a language, however many there are.
     """
-    counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(sample))
-    near = known.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).join(counts, "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(sample)
+    even = max(1, sample // (2 * max(1, counts.count())))
+    near = known.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).join(F.broadcast(counts), "lang")
     near = near.where(F.col("h") / (1 << 30) * F.col("rows") <= 4 * sample).select("id", "lang", "h").distinct()
     rank = Window.partitionBy("lang").orderBy("h", "id")
     ranked = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample)
-    return ranked.orderBy("rank", "h", "id", "lang").limit(sample).select("id", "lang")
+    return ranked.orderBy(F.col("rank") > even, "h", "id", "lang").limit(sample).select("id", "lang")
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Coder | None:

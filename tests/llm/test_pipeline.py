@@ -48,6 +48,8 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
                 hit[str(r)] = leaks([r], items)[0][2]
             assert got == sorted(r for r, n in hit.items() if n == 0) and any(hit.values())
     assert docs.count() >= len(got or [])
+    pieces = lambda df: sorted(map(str, df.select("doc_id", "piece", "piece_start", "n_tokens").collect()))
+    assert pieces(corpus_pipeline.run(spark, sf)) == pieces(docs)
 
 
 def test_empty_documents(spark, sf, tmp_path):
