@@ -62,7 +62,7 @@ def test_signs_and_number_characters_are_no_letters(spark):
 def test_rare_languages_are_in_the_sample(spark):
     known = spark.range(20_000).selectExpr("id", "case when id % 5000 = 7 then 'rare' when id % 3 = 0 then 'b' else 'a' end as lang")
     got = {r["lang"]: r["count"] for r in G.sample_ids(known, 300).groupBy("lang").count().collect()}
-    assert got["rare"] == 4 and got["a"] + got["b"] == 296 and 50 + 50 < got["b"] < got["a"] < 230  # 50 each, the rest as they occur
+    assert got["rare"] == 4 and got["a"] + got["b"] == 296 and 80 < got["b"] < 120  # at least 50 each, the rest as they occur
     assert G.sample_ids(known, 2).count() == 2 and G.sample_ids(known.limit(0), 5).count() == 0
     twice = known.unionByName(known)
     assert sorted(map(tuple, G.sample_ids(twice, 300).collect())) == sorted(map(tuple, G.sample_ids(known, 300).collect()))
