@@ -31,6 +31,7 @@ Empty tables give empty results. Extra columns are carried by `drop_near_duplica
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -127,26 +128,27 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), ROWS * BANDS)
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    return raw.reshape(len(column), len(raw) // max(len(column), 1))
 
 
-def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return DEN * np.minimum(x, y) >= NUM * np.maximum(x, y)
+def _sizes_fit(x: np.ndarray, y: np.ndarray, num: int) -> np.ndarray:
+    return DEN * np.minimum(x, y) >= num * np.maximum(x, y)
 
 
-def _may_link(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _may_link(least: int, num: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                keep = _sizes_fit(part.column("nu").to_numpy(), part.column("nv").to_numpy())
+                keep = _sizes_fit(part.column("nu").to_numpy(), part.column("nv").to_numpy(), num)
                 keep &= _agree(_matrix(part.column("su")), _matrix(part.column("sv"))) >= least
                 yield part.select(["u", "v"]).filter(pa.array(keep))
 
     return run
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
@@ -162,7 +164,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(x) > len(y):
                     x, y = y, x
                 both = _common(x, y)
-                keep[k] = both > 0 and DEN * both >= NUM * (len(x) + len(y) - both)
+                keep[k] = both > 0 and DEN * both >= num * (len(x) + len(y) - both)
             yield part.select(["u", "v"]).filter(pa.array(keep))
 
 
@@ -180,7 +182,7 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def _prefixes(common: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(common: np.ndarray, rank: np.ndarray, num: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(node, h): the first shingles of each set, so many that any set linked with it has one of them among its own first ones.
 
     The order is by rank of the sorted `common` hashes, 0 for others, then by hash: the same for all sets.
@@ -195,7 +197,7 @@ def _prefixes(common: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.Rec
                 at = np.minimum(np.searchsorted(common, value), len(common) - 1)
                 level = np.where(common[at] == value, rank[at], 0)
             order = np.lexsort((value, level, row))
-            first = order[np.arange(len(value)) - np.repeat(bounds[:-1], n) < np.repeat(n + NUM * n // -DEN + 1, n)]
+            first = order[np.arange(len(value)) - np.repeat(bounds[:-1], n) < np.repeat(n + num * n // -DEN + 1, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(value[first])], names=["node", "h"])
 
     return run
@@ -206,7 +208,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
 
 
-def _block(rows: pa.RecordBatch, least: int) -> tuple[list[int], list[int]]:
+def _block(rows: pa.RecordBatch, least: int, num: int) -> tuple[list[int], list[int]]:
     node, part, mine = (rows.column(c).to_numpy() for c in ("node", "part", "mine"))
     value, bounds = _lists(rows.column("hashes"))
     value = value.view(np.uint64)
@@ -218,7 +220,7 @@ def _block(rows: pa.RecordBatch, least: int) -> tuple[list[int], list[int]]:
     u, v = [], []
     for x in left:
         ys = right[right > x] if i == j else right
-        ys = ys[(joined[ys] != joined[x]) & _sizes_fit(n[ys], n[x])]
+        ys = ys[(joined[ys] != joined[x]) & _sizes_fit(n[ys], n[x], num)]
         if not len(ys):
             continue
         agree = _agree(s[ys], s[x][None, :])
@@ -226,13 +228,13 @@ def _block(rows: pa.RecordBatch, least: int) -> tuple[list[int], list[int]]:
         for y in ys:
             if joined[x] != joined[y]:
                 both = _common(own(x), own(y))
-                if DEN * both >= NUM * (int(n[x]) + int(n[y]) - both):
+                if DEN * both >= num * (int(n[x]) + int(n[y]) - both):
                     u.append(min(node[x], node[y])), v.append(max(node[x], node[y]))
                     joined[joined == joined[y]] = joined[x]
     return u, v
 
 
-def _compare(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(least: int, num: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks come in order of (key, i, j); one is held at a time."""
 
     def ends(b: pa.RecordBatch) -> tuple:
@@ -242,7 +244,7 @@ def _compare(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         held: list[pa.RecordBatch] = []
 
         def done() -> pa.RecordBatch:
-            u, v = _block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least)
+            u, v = _block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least, num)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -267,7 +269,9 @@ _NO_ID = (1 << 63) - 1
 
 
 class _Search:
-    """The tables of one run, all in the shared folder."""
+    """The tables of one run, all in the shared folder. Linked if DEN * intersection >= num * union."""
+
+    num = NUM
 
     def __init__(self, docs: DataFrame, key: str, text: str, exact: bool = False):
         self.rows, self.exact, self.least = _rows(docs, key, text), exact, 0 if exact else AGREE
@@ -294,14 +298,14 @@ class _Search:
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose sizes and sketches agree enough."""
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _may_link(self.least), "u long, v long"), "plausible")
+        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _may_link(self.least, self.num), "u long, v long"), "plausible")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the written pairs (u, v) that are linked, by the sets of whole texts."""
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
         texts = written(self.texts(nodes), "texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias("t" + x))
-        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), _confirm, "u long, v long").distinct(), "confirmed")
+        return written(map_batches(pairs.join(side("u"), "u").join(side("v"), "v"), functools.partial(_confirm, num=self.num), "u long, v long").distinct(), "confirmed")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of the nodes, once each: of all documents only the texts that pass a filter of 8 MB are moved."""
@@ -327,10 +331,10 @@ class _Search:
         common = counts.where(F.col("n") >= least).orderBy("n", "h").toArrow()
         h = common["h"].to_numpy()
         by_hash = np.argsort(h)
-        shared = self.rows.sparkSession.sparkContext.broadcast((h[by_hash], by_hash + 1))
+        shared, num = self.rows.sparkSession.sparkContext.broadcast((h[by_hash], by_hash + 1)), self.num
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _prefixes(*shared.value)(batches)
+            yield from _prefixes(*shared.value, num)(batches)
 
         return map_batches(sets, run, "node long, h long")
 
@@ -356,7 +360,7 @@ class _Search:
         dealt = placed.withColumn("mine", mine).select("key", "node", "part", "mine", F.explode(ij).alias("ij")).select("key", "ij.i", "ij.j", "mine", "node", "part")
         dealt = dealt.join(sets, "node").select("key", "i", "j", "mine", "node", "part", "hashes", "sketch")
         dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return written(map_batches(dealt, _compare(self.least), "u long, v long").distinct(), "left-over")
+        return written(map_batches(dealt, _compare(self.least, self.num), "u long, v long").distinct(), "left-over")
 
     def labels(self) -> DataFrame:
         """(node, label) of all classes that are linked."""
