@@ -6,15 +6,18 @@ item; an item of fewer words, but not none, is one window. A document word insid
 1. Index: one row per posting (document row, position, term), and one row per document row with its id, text hash and number of
    words, in one pass and without a shuffle. Postings lie by document, so the list of a common term is spread over all
    files. A term is the 64-bit hash of a word. `build_index(docs)` has the postings of all words, for any benchmark; given `items`
-   it has those of the benchmark's words alone, as the query does, which builds an index for one benchmark.
+   it has those of the benchmark's words alone, as the query does, which builds an index for one benchmark. A filter of 8 MB says which these
+   are; words beyond them that pass it are indexed too and change nothing, so there is one plan for a benchmark of any size.
 2. Terms are counted over the whole index. The two rarest positions of each window are its pivots.
 3. Postings of pivots, less their position in the item, are the place where the item would begin in the document.
    A place stays if both pivots of some window meet there. Common terms are never looked at unless a window has no rarer.
-4. At each place that stays the item's words are looked up in the index, by (document, position, term). Runs of a window's length
-   are occurrences. Texts are not read again.
+4. At each place that stays the item's words within a window of the pivots are looked up in the index, by (document, position, term). Runs of a
+   window's length are occurrences. Texts are not read again.
 5. Proximity: the postings of an item's rarest term that have all other words of the item within twice its length. The next rarest
    terms are looked up first, the others where these are near.
 
+Words and items are compared by 64-bit hashes: two of n different words have one hash with a chance of about n * n / 2**65, and then count as equal.
+
 Null and empty texts have no words. Items of the same words share one search; null item ids count as the empty
 string. Repeated rows of documents each get their result. Empty tables (of either side) give no hits. Extra columns are
 carried by `drop_contaminated`, whatever their names.
@@ -30,8 +33,8 @@ from lodestrata.llm._shared import drop_rows, hash_filter, table, text_or_empty,
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Most different words of a benchmark that are told to every task (about 40 bytes each); with more, all words are indexed.
-VOCABULARY = 1_000_000
+#: Places of an item whose windows are looked through together.
+_BLOCK = 4096
 #: Words of a block in which positions are looked up for proximity.
 _NEAR = 64
 _DOCUMENT = " "  # stands for the document among its words; no word has a space
@@ -68,19 +71,17 @@ class Index:
         self.counts = written(self.postings.groupBy("term").agg(F.count("*").alias("n")), "term-counts")
 
 
-def build_index(docs: DataFrame, items: Items | None = None, *, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> Index:
-    """The index of all words, or of those of `items`."""
+def build_index(docs: DataFrame, items: Items | None = None, *, key: str = "doc_id", text: str = "text") -> Index:
+    """The index of all words, or of those that pass a filter of the words of `items`: all of theirs, and few others while the filter has room."""
     identity = F.struct(F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"))
     parts = docs.select(F.monotonically_increasing_id().alias("doc"), identity.alias("identity"), _parts(text).alias("parts"))
     lead = (F.col("parts")[0] == "").cast("int")
     trail = ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
     parts = parts.withColumns({"lead": lead, "n": F.size("parts") - lead - trail})
     each = parts.select("doc", "identity", "lead", "n", F.posexplode(F.concat("parts", F.array(F.lit(_DOCUMENT)))).alias("at", "word")).where("word <> ''").withColumn("term", F.xxhash64("word"))
-    if items is not None:
-        terms = written(items.places.select("term").union(items.places.sparkSession.range(1).select(F.xxhash64(F.lit(_DOCUMENT)))).distinct(), "vocabulary")
-        if terms.count() <= vocabulary:
-            each = each.join(F.broadcast(terms), "term", "left_semi")
     is_document = F.col("word") == _DOCUMENT
+    if items is not None:
+        each = with_filter(each, "term", hash_filter(items.places.select("term").distinct(), "term"), "wanted").where(F.col("wanted") | is_document)
     return Index(
         written(
             each.select("doc", F.when(is_document, F.col("n")).otherwise(F.col("at") - F.col("lead")).alias("pos"), "term", F.when(is_document, F.col("identity")).alias("id_")),
@@ -90,12 +91,16 @@ def build_index(docs: DataFrame, items: Items | None = None, *, key: str = "doc_
 
 
 def pivots(items: Items, index: Index, window: int = WINDOW) -> DataFrame:
-    """(seq, p, q): the rarest and second rarest position of each window; (p, p) in windows of one word."""
-    ranked = items.places.join(index.counts, "term", "left").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("places"))
-    length = F.least(F.size("places"), F.lit(window))
-    starts = ranked.select("seq", "places", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("places") - length + 1)).alias("from"))
-    rarest = F.array_sort(F.transform(F.slice("places", F.col("from"), F.col("length")), lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"))))
-    two = starts.select("seq", rarest.alias("r")).where("r[0].n > 0")  # a term without postings has no occurrence
+    """(seq, p, q): the rarest and second rarest position of each window; (p, p) in windows of one word.
+
+    Items are cut into blocks of `_BLOCK` places that go on by a window, so no row or group grows with an item.
+    """
+    block = F.floor(F.col("at") / _BLOCK)
+    both = F.when((F.col("at") % _BLOCK < window - 1) & (block > 0), F.array(block - 1, block)).otherwise(F.array(block))
+    placed = items.places.join(index.counts, "term", "left").select("seq", "at", "length", F.coalesce("n", F.lit(0)).alias("n"), F.explode(both).alias("block"))
+    ahead = Window.partitionBy("seq", "block").orderBy("at").rowsBetween(0, window - 1)
+    starts = placed.withColumn("r", F.array_sort(F.collect_list(F.struct("n", "at")).over(ahead))).where(block == F.col("block")).where(F.col("at") + F.least("length", F.lit(window)) <= F.col("length"))
+    two = starts.select("seq", "r").where("r[0].n > 0")  # a term without postings has no occurrence
     return two.select("seq", F.col("r")[0]["at"].alias("p"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0])["at"].alias("q")).distinct()
 
 
@@ -106,28 +111,31 @@ def _postings_of(index: Index, rows: DataFrame) -> DataFrame:
 
 
 def places(items: Items, index: Index, *, window: int = WINDOW) -> DataFrame:
-    """(doc, seq, begin): where both pivots of a window of the item meet; begin may be negative."""
+    """(doc, seq, begin, p, q): where both pivots of a window of the item meet; begin may be negative."""
     pairs = written(pivots(items, index, window), "pivots")
     ends = pairs.select("seq", F.col("p").alias("at")).union(pairs.select("seq", F.col("q").alias("at"))).distinct()
     ends = written(ends.join(items.places.select("seq", "at", "term"), ["seq", "at"]), "pivot-terms")
-    met = _postings_of(index, ends).select("doc", "seq", (F.col("pos") - F.col("at")).alias("begin"), "at")
-    met = met.groupBy("doc", "seq", "begin").agg(F.collect_set("at").alias("ats"))
-    both = met.select("doc", "seq", "begin", "ats", F.explode("ats").alias("p")).join(pairs, ["seq", "p"]).where(F.array_contains("ats", F.col("q")))
-    return both.select("doc", "seq", "begin").distinct()
+    met = written(_postings_of(index, ends).select("doc", "seq", (F.col("pos") - F.col("at")).alias("begin"), "at"), "met")
+    first = met.withColumnRenamed("at", "p").join(pairs, ["seq", "p"])
+    return first.join(met.withColumnRenamed("at", "q"), ["doc", "seq", "begin", "q"], "left_semi").select("doc", "seq", "begin", "p", "q")
 
 
 def phrase_matches(items: Items, index: Index, *, window: int = WINDOW) -> DataFrame:
-    """(doc, seq, begin, hit): places of items in document rows, and the positions in the document that their windows take."""
-    found = written(places(items, index, window=window), "candidates")
-    wanted = found.join(items.places, "seq").select("doc", (F.col("begin") + F.col("at")).alias("pos"), "term", "seq", "begin", "at", "length")
+    """(doc, seq, begin, since, till): runs of at least a window's length of an item's words at a place in a document row, and the positions
+    from `since` to `till` that they take there.
+
+    A window has both its pivots, so only words within its length of them are looked up.
+    """
+    found = places(items, index, window=window)
+    near = F.sequence(F.greatest("p", "q") - window + 1, F.least("p", "q") + window - 1)
+    wanted = found.select("doc", "seq", "begin", F.explode(near).alias("at")).distinct().join(items.places, ["seq", "at"])
+    wanted = wanted.select("doc", (F.col("begin") + F.col("at")).alias("pos"), "term", "seq", "begin", "at", "length")
     wanted = written(wanted.withColumn("h", F.xxhash64("doc", "pos", "term")), "wanted")
     have = with_filter(index.postings.withColumn("h", F.xxhash64("doc", "pos", "term")), "h", hash_filter(wanted, "h"), "maybe").where("maybe").select("doc", "pos", "term")
-    same = have.join(wanted.drop("h"), ["doc", "pos", "term"]).groupBy("doc", "seq", "begin").agg(F.max("length").alias("length"), F.sort_array(F.collect_set("at")).alias("ats"))
-    same = same.withColumn("length", F.least("length", F.lit(window))).where(F.size("ats") >= F.col("length"))
-    # a window begins at ats[i] if the word that is its length further in ats is its last
-    begins = F.filter(F.transform("ats", lambda a, i: F.when(F.get("ats", i + F.col("length") - 1) == a + F.col("length") - 1, a)), lambda a: a.isNotNull())
-    hit = F.array_distinct(F.flatten(F.transform("begins", lambda a: F.sequence(F.col("begin") + a, F.col("begin") + a + F.col("length") - 1))))
-    return same.withColumn("begins", begins).where(F.size("begins") > 0).select("doc", "seq", "begin", hit.alias("hit"))
+    same = have.join(wanted.drop("h"), ["doc", "pos", "term"])
+    run = F.col("at") - F.row_number().over(Window.partitionBy("doc", "seq", "begin").orderBy("at"))
+    runs = same.withColumn("run", run).groupBy("doc", "seq", "begin", "run").agg(F.min("pos").alias("since"), F.max("pos").alias("till"), F.max("length").alias("length"))
+    return runs.where(F.col("till") - F.col("since") + 1 >= F.least("length", F.lit(window))).select("doc", "seq", "begin", "since", "till")
 
 
 def proximity_matches(items: Items, index: Index, *, reach: Column | None = None, terms: int = 3) -> DataFrame:
@@ -151,12 +159,12 @@ def proximity_matches(items: Items, index: Index, *, reach: Column | None = None
     near = near.groupBy("doc", "seq", "pos", "reach").agg(F.countDistinct("rank").alias("ranks"), F.max("of").alias("of")).where("ranks = of - 1")
     block = lambda c: F.floor(c / _NEAR).cast("long")
     blocks = F.sequence(block(F.col("center") - F.col("reach")), block(F.col("center") + F.col("reach")))
-    near = near.select("doc", "seq", F.col("pos").alias("center"), "reach").join(known.select("seq", "term", "of"), "seq")
-    wanted = written(near.select("doc", "seq", "center", "reach", "of", "term", F.explode(blocks).alias("block")).withColumn("h", F.xxhash64("doc", "term", "block")), "wanted-near")
+    near = near.select("doc", "seq", F.col("pos").alias("center"), "reach").join(known.groupBy("seq").agg(F.max("of").alias("of")), "seq")
+    wanted = written(near.select("doc", "seq", "center", "reach", "of", F.explode(blocks).alias("block")).withColumn("h", F.xxhash64("doc", "block")), "wanted-near")
     have = index.postings.withColumn("block", block(F.col("pos")))
-    have = with_filter(have.withColumn("h", F.xxhash64("doc", "term", "block")), "h", hash_filter(wanted, "h"), "maybe").where("maybe").select("doc", "term", "block", "pos")
-    met = have.join(wanted.drop("h"), ["doc", "term", "block"]).where(F.abs(F.col("pos") - F.col("center")) <= F.col("reach"))
-    met = met.groupBy("doc", "seq", "center").agg(F.countDistinct("term").alias("met"), F.max("of").alias("of")).where("met = of")
+    have = with_filter(have.withColumn("h", F.xxhash64("doc", "block")), "h", hash_filter(wanted, "h"), "maybe").where("maybe").select("doc", "block", "pos", "term")
+    met = have.join(wanted.drop("h"), ["doc", "block"]).where(F.abs(F.col("pos") - F.col("center")) <= F.col("reach"))
+    met = met.join(known.select("seq", "term"), ["seq", "term"]).groupBy("doc", "seq", "center").agg(F.countDistinct("term").alias("met"), F.max("of").alias("of")).where("met = of")
     return met.select("doc", "seq", F.col("center").alias("pos"))
 
 
@@ -164,7 +172,7 @@ def _results(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_ke
     items = Items(benchmark, item_key, item_text)
     index = build_index(docs, items, key=key, text=text)
     hits = written(phrase_matches(items, index, window=window), "hits")
-    n_hit = hits.select("doc", F.explode("hit").alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
+    n_hit = hits.select("doc", F.explode(F.sequence("since", "till")).alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
     names = hits.select("doc", "seq").distinct().join(items.ids, "seq").groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     found = n_hit.join(names, "doc")
     if proximity:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -38,10 +39,9 @@ def _rows(df):
     return sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], tuple(r["items"])) for r in df.collect())
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_equals_brute_force_on_odd_rows(odd, benchmark, limit, monkeypatch):
-    """With a small vocabulary limit all words are indexed."""
-    monkeypatch.setattr(D, "build_index", lambda *a, f=D.build_index, **k: f(*a, **k, vocabulary=limit))
+@pytest.mark.parametrize("block", [9, 4096])
+def test_equals_brute_force_on_odd_rows(odd, benchmark, block, monkeypatch):
+    monkeypatch.setattr(D, "_BLOCK", block)
     items = [tuple(r) for r in benchmark.collect()]
     got = _rows(D.contamination(odd, benchmark))
     assert got == _brute(odd_rows(), items)
@@ -68,6 +68,34 @@ def test_drop_leaves_clean_rows_alone(odd, benchmark):
     assert all(r[c] == v for r in got for c, v in CLASHING.items())
 
 
+def test_a_full_filter_changes_nothing(odd, benchmark, monkeypatch):
+    """As if the benchmark had more words than the filter has room for: all words are indexed, by the same plan."""
+    from pyspark.sql import functions as F
+
+    items = [tuple(r) for r in benchmark.collect()]
+    monkeypatch.setattr(D, "with_filter", lambda df, column, bits, name: df.withColumn(name, F.lit(True)))
+    assert _rows(D.contamination(odd, benchmark)) == _brute(odd_rows(), items)
+
+
+def test_very_long_items(spark):
+    """An item of 60,000 words, a document that has it, one that has its middle, and one that has nine words of it."""
+    item = words(21, 60_000)
+    w = item.split(" ")
+    rows = [(1, words(22, 50) + " " + item), (2, " ".join(w[30_000:30_400])), (3, " ".join(w[5:14]) + " end"), (4, words(23, 100))]
+    items = [(1, item), (2, " ".join(w[30_100:30_120]))]
+    got = _rows(D.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == _brute(rows, items)
+    assert [r[2] for r in got] == [60_000, 400, 0, 0]
+
+
+def test_query_by_its_name(spark, odd, benchmark, tmp_path):
+    odd.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in D.op10_decontamination(spark, str(tmp_path)).collect())
+    want = [(i, n, h, len(k), hashlib.sha256(",".join(k).encode()).hexdigest(), h > 0) for i, n, h, k in _brute(odd_rows(), [tuple(r) for r in benchmark.collect()])]
+    assert got == sorted(want)
+
+
 def test_empty_tables(odd, empty, benchmark):
     assert D.contamination(empty, benchmark).count() == 0
     none = D.contamination(odd, benchmark.limit(0))
@@ -79,7 +107,7 @@ def test_an_index_of_all_words_serves_any_benchmark(spark, odd, benchmark):
     assert index.postings.count() == sum(len(_words(r[1])) for r in odd_rows())
     for bench in (benchmark, benchmark.where("item_id = 2")):
         hits = D.phrase_matches(D.Items(bench), index)
-        got = sorted((r["id"] is None, r["id"] or 0, r["n"]) for r in hits.selectExpr("doc", "explode(hit) as pos").distinct().groupBy("doc").count().join(index.documents, "doc").selectExpr("id", "count as n").collect())
+        got = sorted((r["id"] is None, r["id"] or 0, r["n"]) for r in hits.selectExpr("doc", "explode(sequence(since, till)) as pos").distinct().groupBy("doc").count().join(index.documents, "doc").selectExpr("id", "count as n").collect())
         want = [(x[0] == "None", 0 if x[0] == "None" else int(x[0]), x[2]) for x in _brute(odd_rows(), [tuple(r) for r in bench.collect()]) if x[2]]
         assert got == sorted(want)
 
