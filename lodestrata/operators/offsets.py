@@ -38,3 +38,29 @@ def lossy_ratio(frames: DataFrame, tile: int) -> DataFrame:
     """(instance, ratio): raw bytes of the frames over their compressed bytes; null if there are none."""
     raw = F.sum(F.lit(tile * tile).cast("bigint") * F.col("components") * F.call_function("div", F.col("bits") + 7, F.lit(8)))
     return frames.groupBy("instance").agg(F.when(F.sum("bytes") > 0, raw / F.sum("bytes")).alias("ratio"))
+
+
+def assemble_frames(fragments: DataFrame, starts: DataFrame) -> DataFrame:
+    """(instance, frame, raw, error): the bytes of each frame, its fragments in order, cut to the recorded length.
+
+    fragments: (instance, fragment, data); starts: (instance, frame, offset, length), length null where none is recorded. Instances without any start have a frame a
+    fragment. `error`, then without bytes: a start that is no fragment's offset, starts that do not ascend from 0, or a length beyond the bytes there are.
+    A row holds the fragments of one frame, never those of an instance.
+    """
+    w = Window.partitionBy("instance").orderBy("fragment")
+    size = F.octet_length("data").cast("bigint")
+    sized = fragments.withColumn("offset", F.coalesce(F.sum(padded(size) + 8).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lag = F.lag("offset").over(Window.partitionBy("instance").orderBy("frame"))
+    known = starts.withColumn("ascends", F.when(lag.isNull(), F.col("offset") == 0).otherwise(F.col("offset") > lag))
+    at = F.struct(F.col("frame"), F.col("length"), F.col("ascends"))
+    placed = sized.join(known.groupBy("instance", "offset").agg(F.min(at).alias("at"), F.min(F.lit(True)).alias("is_start")), ["instance", "offset"], "left")
+    placed = placed.join(starts.select("instance").distinct().withColumn("has_starts", F.lit(True)), "instance", "left")
+    frame = F.when(F.col("has_starts"), F.last("at.frame", ignorenulls=True).over(w)).otherwise(F.col("fragment"))
+    parts = placed.withColumn("frame", frame).where("frame is not null").groupBy("instance", "frame").agg(F.sort_array(F.collect_list(F.struct("fragment", "data"))).alias("parts"), F.sum(size).alias("there"))
+    raw = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"]))
+    joined = known.join(parts.select("instance", "frame", "there", raw.alias("raw")), ["instance", "frame"], "left")
+    error = F.when(~F.col("ascends"), "offsets do not ascend from zero").when(F.col("raw").isNull(), "offset is no fragment's").when(F.col("length") > F.col("there"), "length is beyond the fragments")
+    cut = F.substring("raw", F.lit(1), F.coalesce(F.col("length"), F.col("there")).cast("int"))
+    found = joined.select("instance", "frame", F.when(error.isNull(), cut).alias("raw"), error.alias("error"))
+    alone = parts.join(starts.select("instance").distinct(), "instance", "left_anti").select("instance", "frame", raw.alias("raw"), F.lit(None).cast("string").alias("error"))
+    return found.unionByName(alone)

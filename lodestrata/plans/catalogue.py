@@ -38,15 +38,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lodestrata.plans import extras
+    from lodestrata.plans import extras, writing
 
-    return _QUERIES | extras.QUERIES
+    return _QUERIES | extras.QUERIES | writing.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodestrata.plans import extras
+    from lodestrata.plans import extras, writing
 
-    return _SQL | extras.sql(_JOBS, _ROUTED, _SQL["default_syntax"], _SUM_SQL)
+    return _SQL | extras.sql(_JOBS, _ROUTED, _SQL["default_syntax"], _SUM_SQL) | writing.sql(_JOBS)
 
 
 TILE = 512

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import struct
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from lodestrata.sources import journal
+
 _LONG = frozenset([b"OB", b"OW", b"OF", b"OD", b"OL", b"OV", b"SQ", b"UC", b"UR", b"UT", b"UN", b"SV", b"UV"])
 IMPLICIT_LE = "1.2.840.10008.1.2"
 #: Tags of the columns that the reader returns.
@@ -178,71 +179,46 @@ class _HeaderReader(DataSourceReader):
 
 
 class _Staged(WriterCommitMessage):
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
 
 class InstanceWriter(DataSourceWriter):
     """Writes rows (name, header json, transfer_syntax, frames array<binary>), a file each, below a folder that all tasks see.
 
-    Files are staged in a folder of the write; the commit checks names, writes a manifest, then moves all into place, and
-    takes back what it moved if one fails. A write that did not commit leaves only its staging folder, which the next removes.
+    For small instances that fit in a row; `instances.write_instances` streams large ones. Files are staged in a folder of the write. The commit takes the
+    folder's lock, takes back what a commit before left half done, and installs all files in one transaction (`journal`). Other writers' staging
+    folders are left alone; a write that ends without a commit takes its own away.
     """
 
-    STAGING = ".staging-"
-
     def __init__(self, options, schema, overwrite: bool):
         self.root = options["path"].removeprefix("file://")
         self.overwrite, self.fields = overwrite, [f.name for f in schema.fields]
-        self.stage = os.path.join(self.root, f"{self.STAGING}{uuid.uuid4().hex}")
+        self.stage = os.path.join(self.root, f"{journal.STAGING}{uuid.uuid4().hex}")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.stage, exist_ok=True)
-        names = []
+        files = []
         for row in rows:
             r = dict(zip(self.fields, row))
-            name = r["name"]
-            if os.path.basename(name) != name or name in ("", ".", ".."):
-                raise ValueError(f"{name!r} is no file name")
-            staged = os.path.join(self.stage, f"{name}.{uuid.uuid4().hex}")
-            with open(staged, "xb") as f:
+            name, staged = journal.safe_name(r["name"]), f"{uuid.uuid4().hex}.part"
+            with open(os.path.join(self.stage, staged), "xb") as f:
                 f.write(instance_bytes(json.loads(r["header"] or "{}"), [bytes(x) for x in r["frames"]], r["transfer_syntax"]))
-            names.append(os.path.basename(staged))
-        return _Staged(names)
+                f.flush()
+                os.fsync(f.fileno())
+            files.append((name, staged))
+        return _Staged(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        staged = [n for m in messages if m for n in m.names]
-        final = {n.rpartition(".")[0]: n for n in staged}
-        if len(final) != len(staged):
-            self.abort(messages)
-            raise ValueError("two instances have one path")
-        for other in os.listdir(self.root) if os.path.isdir(self.root) else []:
-            if other.startswith(self.STAGING) and os.path.join(self.root, other) != self.stage:
-                shutil.rmtree(os.path.join(self.root, other))
-        present = [n for n in final if os.path.lexists(os.path.join(self.root, n))]
-        if present and not self.overwrite or any(os.path.islink(os.path.join(self.root, n)) for n in present):
-            self.abort(messages)
-            raise ValueError(f"{present[0]} is there already")
-        done: list[tuple[str, str | None]] = []
+        os.makedirs(self.stage, exist_ok=True)
+        transaction = journal.Transaction(self.root, self.stage)
         try:
-            with open(os.path.join(self.stage, "manifest.json"), "w") as f:
-                json.dump({"version": 1, "files": sorted(final)}, f)
-            for name, source in sorted(final.items()):
-                target, backup = os.path.join(self.root, name), None
-                if name in present:
-                    backup = os.path.join(self.stage, f"{name}.backup")
-                    os.replace(target, backup)
-                done.append((target, backup))
-                os.replace(os.path.join(self.stage, source), target)
-        except OSError:
-            for target, backup in reversed(done):
-                if backup and os.path.exists(backup):
-                    os.replace(backup, target)
-                elif os.path.exists(target):
-                    os.remove(target)
+            with journal.FolderLock(self.root):
+                journal.recover(self.root)
+                transaction.commit([f for m in messages if m for f in m.files], self.overwrite)
+        except (OSError, ValueError):
+            transaction.abort()
             raise
-        finally:
-            shutil.rmtree(self.stage, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.stage, ignore_errors=True)
+        journal.Transaction(self.root, self.stage).abort()
