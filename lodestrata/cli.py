@@ -46,8 +46,9 @@ def coverage(spark: SparkSession, a: argparse.Namespace) -> bool:
 
 
 def coverage_corpus(spark: SparkSession, a: argparse.Namespace) -> bool:
-    """As coverage, and the compressions of each source's first frames."""
+    """As coverage, the compressions of each source's first frames, and a report of the corpus with the sources that failed."""
     probes = spark.read.parquet(a.probes)
+    metrics.corpus_report(routes.jpeg_route(probes), metrics.measures).write.mode("overwrite").parquet(f"{a.out}/corpus")
     metrics.common_value(probes.where("frame = 0"), ["source"], "compression").write.mode("overwrite").parquet(f"{a.out}/sources")
     return coverage(spark, argparse.Namespace(probes=a.probes, max_frames=a.max_frames, out=f"{a.out}/coverage"))
 

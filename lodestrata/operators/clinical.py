@@ -34,9 +34,9 @@ def _get(pointer: str) -> Column:
 
 
 def specimen_fields(resources: DataFrame) -> DataFrame:
-    """(bundle, specimen_id, container_id, specimen_description); a container without a name has the specimen's."""
+    """(bundle, specimen_id, container_id, specimen_description); the container has the specimen's name."""
     name = F.coalesce(_get("$.accessionIdentifier.value"), _get("$.identifier[0].value"), "id")
-    return resources.where("type = 'Specimen'").select("bundle", name.alias("specimen_id"), F.coalesce(_get("$.container[0].identifier.value"), name).alias("container_id"), _get("$.type.text").alias("specimen_description"))
+    return resources.where("type = 'Specimen'").select("bundle", name.alias("specimen_id"), name.alias("container_id"), _get("$.type.text").alias("specimen_description"))
 
 
 def request_fields(resources: DataFrame) -> DataFrame:
@@ -48,10 +48,14 @@ def report_fields(resources: DataFrame) -> DataFrame:
 
 
 def metadata(resources: DataFrame) -> DataFrame:
-    """One row per bundle without a broken reference: patient, accession, study; the report's text wins over the request's."""
+    """One row per bundle without a broken reference and with a patient's id and name: patient, specimen, accession, study; the report's text wins over the request's."""
     good = resolve_references(resources).where("error is null").select("bundle")
-    found = good.join(patient_fields(resources), "bundle").join(request_fields(resources), "bundle").join(report_fields(resources), "bundle")
-    return found.select("bundle", "patient_id", "patient_name", "birth_date", "sex", "accession_number", "study_id", F.coalesce("report_text", "request_text").alias("study_description"))
+    found = good.join(patient_fields(resources), "bundle").join(specimen_fields(resources), "bundle").join(request_fields(resources), "bundle").join(report_fields(resources), "bundle")
+    strict = (F.coalesce("patient_id", F.lit("")) != "") & (F.coalesce("patient_name", F.lit("")) != "")
+    return found.where(strict).select(
+        "bundle", "patient_id", "patient_name", "birth_date", "sex", "specimen_id", "container_id", "specimen_description", "accession_number", "study_id",
+        F.coalesce("report_text", "request_text").alias("study_description"),
+    )
 
 
 def placeholder(spark: SparkSession) -> DataFrame:

@@ -26,32 +26,38 @@ def reference(path: str) -> Column:
     return F.nullif(F.get_json_object("body", path), F.lit(""))
 
 
+#: What a report refers to: the type, the name of the reference, and what an unreferenced one is called; in the order in which rules are checked.
+REFERENCED = (("Patient", "subject", "patient"), ("Specimen", "specimen", "specimen"), ("ServiceRequest", "request", "request"))
+
+
+def report_references(resources: DataFrame) -> DataFrame:
+    """(bundle, subject, specimen, request) of reports; of specimens and requests a report must name exactly one, else the name is null."""
+    several = lambda field: F.from_json(F.get_json_object("body", f"$.{field}"), "array<struct<reference:string>>")
+    only = lambda field: F.when(F.size(several(field)) == 1, F.nullif(several(field)[0]["reference"], F.lit("")))
+    return resources.where("type = 'DiagnosticReport'").select("bundle", reference("$.subject.reference").alias("subject"), only("specimen").alias("specimen"), only("basedOn").alias("request"))
+
+
 def resolve_references(resources: DataFrame) -> DataFrame:
-    """One row per bundle: the reports, subjects and requests its references hit, and `error`, the first broken rule or null.
+    """One row per bundle: the patients, specimens and requests it has and its references hit, and `error`, the first broken rule or null.
 
-    Rules: one report; subject and request references name the right type and hit one resource each; no resource of a referenced type is left unreferenced.
+    Rules: one report; then for each reference: it is there and names the right type; no resource of that type is left unreferenced; it hits one.
     """
-    report = resources.where("type = 'DiagnosticReport'").select("bundle", reference("$.subject.reference").alias("subject"), reference("$.basedOn[0].reference").alias("request"))
-    reports = report.groupBy("bundle").agg(F.count("*").alias("reports"), F.min("subject").alias("subject"), F.min("request").alias("request"))
+    names = [name for _, name, _ in REFERENCED]
+    reports = report_references(resources).groupBy("bundle").agg(F.count("*").alias("reports"), *(F.min(n).alias(n) for n in names))
     keyed = resources.select("bundle", "type", F.concat_ws("/", "type", "id").alias("name"))
-    named = keyed.join(reports, "bundle")
-    hits = named.groupBy("bundle").agg(
-        F.max("reports").alias("reports"), F.max("subject").alias("subject"), F.max("request").alias("request"),
-        F.count_if(F.col("name") == F.col("subject")).alias("patients_hit"), F.count_if(F.col("type") == "Patient").alias("patients"),
-        F.count_if(F.col("name") == F.col("request")).alias("requests_hit"), F.count_if(F.col("type") == "ServiceRequest").alias("requests"),
-    )
-    error = (
-        F.when(F.col("reports") != 1, "needs one report").when(F.col("subject").isNull() | ~F.startswith("subject", F.lit("Patient/")), "bad subject")
-        .when(F.col("patients_hit") != 1, "subject not found once").when(F.col("patients") != 1, "unreferenced patient")
-        .when(F.col("request").isNull() | ~F.startswith("request", F.lit("ServiceRequest/")), "bad request").when(F.col("requests_hit") != 1, "request not found once")
-        .when(F.col("requests") != 1, "unreferenced request")
-    )
-    return hits.select("bundle", "patients_hit", "patients", "requests_hit", "requests", error.alias("error"))
+    named = keyed.join(reports, "bundle", "left")
+    counts = [c for type_, name, word in REFERENCED for c in (F.count_if(F.col("name") == F.col(name)).alias(f"{word}s_hit"), F.count_if(F.col("type") == type_).alias(f"{word}s"))]
+    hits = named.groupBy("bundle").agg(F.coalesce(F.max("reports"), F.lit(0)).alias("reports"), *(F.max(n).alias(n) for n in names), *counts)
+    error = F.when(F.col("reports") != 1, "needs one report")
+    for type_, name, word in REFERENCED:
+        error = error.when(F.col(name).isNull() | ~F.startswith(name, F.lit(f"{type_}/")), f"bad {name}")
+        error = error.when(F.col(f"{word}s") > F.col(f"{word}s_hit"), f"unreferenced {word}").when(F.col(f"{word}s_hit") != 1, f"{name} not found once")
+    return hits.select("bundle", *(c for _, _, word in REFERENCED for c in (f"{word}s_hit", f"{word}s")), error.alias("error"))
 
 
 def unreferenced(resources: DataFrame) -> DataFrame:
-    """(bundle, type, id) of patients and requests that no report of the bundle refers to."""
-    refs = resources.where("type = 'DiagnosticReport'").select("bundle", F.explode(F.array(reference("$.subject.reference"), reference("$.basedOn[0].reference"))).alias("name"))
+    """(bundle, type, id) of patients, specimens and requests that no report of the bundle refers to."""
+    refs = report_references(resources).select("bundle", F.explode(F.array(*(name for _, name, _ in REFERENCED))).alias("name"))
     keyed = resources.where("type <> 'DiagnosticReport'").withColumn("name", F.concat_ws("/", "type", "id"))
     return keyed.join(refs, ["bundle", "name"], "left_anti").select("bundle", "type", "id")
 

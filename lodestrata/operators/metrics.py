@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,24 @@ def effective_parallelism(hardware: Column, wall: Column) -> Column:
     return F.when(wall == 0, 0.0).otherwise(hardware / wall)
 
 
+def corpus_report(routed: DataFrame, measured: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row per source and one, with a null source, for the corpus: considered, reports and failures, `error`, and sums over the sources without one.
+
+    A source fails if frames of one instance that are copied or retiled have different pixel profiles, or with the `failure` that the rows may carry (a source that
+    could not be read is a row with nothing else). Failed sources count nothing in the corpus. `measured` adds the counters (see `measures`).
+    """
+    failure = F.col("failure") if "failure" in routed.columns else F.lit(None).cast("string")
+    profile = F.when(F.col("route") != "fallback", F.struct("components", "bits", "photometric"))
+    by_instance = measured(routed).withColumns({"profile": profile, "failed": failure}).groupBy("source", "instance").agg(
+        *(F.sum(c).alias(c) for c in SUMS), F.min("profile").alias("least"), F.max("profile").alias("most"), F.min("failed").alias("failed")
+    )
+    by_source = by_instance.groupBy("source").agg(*(F.sum(c).alias(c) for c in SUMS), F.min("failed").alias("failed"), F.bool_or(F.coalesce(F.col("least") != F.col("most"), F.lit(False))).alias("mixed"))
+    by_source = by_source.withColumn("error", F.coalesce("failed", F.when(F.col("mixed"), "pixel profile changes")))
+    sums = [F.sum(F.when(F.col("error").isNull(), F.col(c))).alias(c) for c in SUMS]
+    one = F.count("*").alias("considered"), F.count_if(F.col("error").isNull()).alias("reports"), F.count_if(F.col("error").isNotNull()).alias("failures")
+    return by_source.rollup("source").agg(F.when(F.grouping("source") == 0, F.min("error")).alias("error"), *one, *sums)
+
+
 def common_value(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, all_values, common): sorted distinct values, and the value if there is just one."""
     found = df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("all_values"))

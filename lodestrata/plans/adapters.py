@@ -63,7 +63,7 @@ PROBES_SQL = """probes AS (
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slide, tool, label, profile, scope, run_index, status, seconds, seq, system_label, output_dir): one row per order."""
+    """(slide, tool, label, profile, scope, run_index, status, seconds, seq, system_label, output_dir, stdout_path, source_path): one row per order."""
     return table(spark, sf_dir, "orders").select(
         F.expr("concat('slide-', o_custkey % 50)").alias("slide"),
         F.expr("case o_orderkey % 3 when 0 then 'cpu' when 1 then 'device' else 'baseline' end").alias("tool"),
@@ -73,6 +73,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("seconds"), F.col("o_orderkey").alias("seq"),
         F.expr("case o_custkey % 4 when 0 then 'Linux' when 1 then 'Darwin' end").alias("system_label"),
         F.expr("concat('/out/', case o_custkey % 5 when 0 then 'CUDA' when 1 then 'metal' else 'plain' end)").alias("output_dir"),
+        F.expr("case o_custkey % 7 when 0 then '/logs/NVIDIA.txt' when 1 then '/logs/x.txt' end").alias("stdout_path"), F.expr("case o_custkey % 11 when 0 then '/darwin/a.svs' end").alias("source_path"),
     )
 
 
@@ -82,24 +83,29 @@ TRIALS_SQL = """trials AS (
          CASE WHEN o_custkey % 2 = 0 THEN 'base' ELSE 'full' END AS scope, 1 + o_custkey % 3 AS run_index,
          CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'failed' ELSE 'timeout' END AS status,
          o_totalprice AS seconds, o_orderkey AS seq, CASE o_custkey % 4 WHEN 0 THEN 'Linux' WHEN 1 THEN 'Darwin' END AS system_label,
-         '/out/' || CASE o_custkey % 5 WHEN 0 THEN 'CUDA' WHEN 1 THEN 'metal' ELSE 'plain' END AS output_dir
+         '/out/' || CASE o_custkey % 5 WHEN 0 THEN 'CUDA' WHEN 1 THEN 'metal' ELSE 'plain' END AS output_dir,
+         CASE o_custkey % 7 WHEN 0 THEN '/logs/NVIDIA.txt' WHEN 1 THEN '/logs/x.txt' END AS stdout_path, CASE o_custkey % 11 WHEN 0 THEN '/darwin/a.svs' END AS source_path
   FROM orders)"""
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bundle, type, id, body): a report, a patient, and requests and specimens by order, as JSON resources."""
+    """(bundle, type, id, body): a report, a patient, specimens and requests by order, as JSON resources."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     report = o.select(F.col("o_orderkey").alias("bundle"), F.lit("DiagnosticReport").alias("type"), F.concat(F.lit("r"), "o_orderkey").alias("id"), F.expr(
-        """concat('{"subject":{"reference":"Patient/p', o_custkey, '"},"basedOn":[{"reference":"ServiceRequest/s', o_orderkey % 7, '"}],"code":{"text":"report ', o_orderkey % 5, '"}}')""").alias("body"))
+        """concat('{"subject":{"reference":"Patient/p', o_custkey, '"},"specimen":[{"reference":"Specimen/k', o_orderkey % 2, '"}],"basedOn":[{"reference":"ServiceRequest/s', o_orderkey % 7, '"}],"code":{"text":"report ', o_orderkey % 5, '"}}')""").alias("body"))
     patient = o.select(F.col("o_orderkey").alias("bundle"), F.lit("Patient").alias("type"), F.concat(F.lit("p"), "o_custkey").alias("id"), F.expr(
         """concat('{"identifier":[{"value":"', o_custkey, '"}],"birthDate":"19', 50 + o_custkey % 50, '-01-02","gender":"', case o_custkey % 4 when 0 then 'male' when 1 then 'female' when 2 then 'other' else '' end, '","name":[{"family":"F', o_custkey % 9, '","given":["A","B"]}]}')""").alias("body"))
     request = li.select(F.col("l_orderkey").alias("bundle"), F.lit("ServiceRequest").alias("type"), F.expr("concat('s', l_suppkey % 7)").alias("id"), F.lit('{"requisition":{"value":"q"}}').alias("body"))
-    return report.union(patient).union(request.distinct())
-
-
-RESOURCES_SQL = """resources AS MATERIALIZED (
-  SELECT o_orderkey AS bundle, 'DiagnosticReport' AS type, 'r' || o_orderkey AS id,
-         '{"subject":{"reference":"Patient/p' || o_custkey || '"},"basedOn":[{"reference":"ServiceRequest/s' || (o_orderkey % 7) || '"}],"code":{"text":"report ' || (o_orderkey % 5) || '"}}' AS body FROM orders
-  UNION ALL SELECT o_orderkey, 'Patient', 'p' || o_custkey,
-         '{"identifier":[{"value":"' || o_custkey || '"}],"birthDate":"19' || (50 + o_custkey % 50) || '-01-02","gender":"' || CASE o_custkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'other' ELSE '' END || '","name":[{"family":"F' || (o_custkey % 9) || '","given":["A","B"]}]}' FROM orders
-  UNION ALL SELECT DISTINCT l_orderkey, 'ServiceRequest', 's' || (l_suppkey % 7), '{"requisition":{"value":"q"}}' FROM lineitem)"""
+    specimen = li.select(F.col("l_orderkey").alias("bundle"), F.lit("Specimen").alias("type"), F.expr("concat('k', l_suppkey % 2)").alias("id"), F.expr("""concat('{"accessionIdentifier":{"value":"', if(l_orderkey % 3 = 0, '', concat('A', l_orderkey)), '"},"type":{"text":"tissue ', l_suppkey % 2, '"}}')""").alias("body"))
+    return report.union(patient).union(request.distinct()).union(specimen.distinct())
+
+
+#: What the resources have, a table for each type, without JSON.
+RESOURCES_SQL = """report AS MATERIALIZED (
+  SELECT o_orderkey AS bundle, 'r' || o_orderkey AS id, 'p' || o_custkey AS subject, 'k' || (o_orderkey % 2) AS specimen, 's' || (o_orderkey % 7) AS request, 'report ' || (o_orderkey % 5) AS code FROM orders),
+patient AS MATERIALIZED (
+  SELECT o_orderkey AS bundle, 'p' || o_custkey AS id, CAST(o_custkey AS VARCHAR) AS patient_id, 'F' || (o_custkey % 9) || '^A B' AS patient_name, '19' || (50 + o_custkey % 50) || '0102' AS birth_date,
+         CASE o_custkey % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'O' END AS sex FROM orders),
+request AS MATERIALIZED (SELECT DISTINCT l_orderkey AS bundle, 's' || (l_suppkey % 7) AS id FROM lineitem),
+specimen AS MATERIALIZED (
+  SELECT DISTINCT l_orderkey AS bundle, 'k' || (l_suppkey % 2) AS id, CASE WHEN l_orderkey % 3 = 0 THEN 'k' || (l_suppkey % 2) ELSE 'A' || l_orderkey END AS specimen_id, 'tissue ' || (l_suppkey % 2) AS kind FROM lineitem)"""

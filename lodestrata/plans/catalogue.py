@@ -46,7 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from lodestrata.plans import extras, writing
 
-    return _SQL | extras.sql(_JOBS, _ROUTED, _SQL["default_syntax"], _SUM_SQL) | writing.sql(_JOBS)
+    return _SQL | extras.sql(_JOBS, _ROUTED, _SQL["default_syntax"], _SUM_SQL) | writing.sql(_JOBS, _ROUTED, _SUM_SQL)
 
 
 TILE = 512
@@ -317,24 +317,27 @@ def manifest_match(spark, d):
     return L.manifest_match(slides, manifest)
 
 
-_REFS = f"""{A.RESOURCES_SQL}, report AS MATERIALIZED (SELECT bundle, json_extract_string(body, '$.subject.reference') AS subject, json_extract_string(body, '$.basedOn[0].reference') AS request FROM resources WHERE type = 'DiagnosticReport'),
-named AS MATERIALIZED (SELECT r.bundle, r.type, r.id, r.type || '/' || r.id AS name, p.subject, p.request FROM resources r JOIN report p ON r.bundle = p.bundle),
-h AS MATERIALIZED (SELECT bundle, count(*) FILTER (name = subject) AS patients_hit, count(*) FILTER (type = 'Patient') AS patients, count(*) FILTER (name = request) AS requests_hit, count(*) FILTER (type = 'ServiceRequest') AS requests FROM named GROUP BY bundle)"""
+_REFS = f"""{A.RESOURCES_SQL}, every AS (SELECT bundle FROM report UNION SELECT bundle FROM request),
+ps AS (SELECT bundle, count(*) AS patients, count(*) AS patients_hit FROM patient GROUP BY bundle),
+ss AS (SELECT s.bundle, count(*) AS specimens, count(*) FILTER (s.id = r.specimen) AS specimens_hit FROM specimen s LEFT JOIN report r ON r.bundle = s.bundle GROUP BY s.bundle),
+qs AS (SELECT q.bundle, count(*) AS requests, count(*) FILTER (q.id = r.request) AS requests_hit FROM request q LEFT JOIN report r ON r.bundle = q.bundle GROUP BY q.bundle),
+h AS MATERIALIZED (SELECT e.bundle, {", ".join(f"coalesce({w}s{t}, 0) AS {w}s{t}" for w in ("patient", "specimen", "request") for t in ("_hit", ""))}, r.bundle IS NOT NULL AS reported
+  FROM every e LEFT JOIN report r ON r.bundle = e.bundle LEFT JOIN ps ON ps.bundle = e.bundle LEFT JOIN ss ON ss.bundle = e.bundle LEFT JOIN qs ON qs.bundle = e.bundle),
+resolved AS MATERIALIZED (SELECT * EXCLUDE (reported), CASE WHEN NOT reported THEN 'needs one report'
+  {" ".join(f"WHEN {w}s > {w}s_hit THEN 'unreferenced {w}' WHEN {w}s_hit <> 1 THEN '{n} not found once'" for _, n, w in L.REFERENCED)} END AS error FROM h)"""
 
 
-@query(f"WITH {_REFS} SELECT *, CASE WHEN patients_hit <> 1 THEN 'subject not found once' WHEN patients <> 1 THEN 'unreferenced patient' WHEN requests_hit <> 1 THEN 'request not found once' WHEN requests <> 1 THEN 'unreferenced request' END AS error FROM h")
+@query(f"WITH {_REFS} SELECT * FROM resolved")
 def fhir_resolution(spark, d):
     return L.resolve_references(A.resources(spark, d))
 
 
-@query(f"""WITH {_REFS}, other AS MATERIALIZED (SELECT bundle, type, id, type || '/' || id AS name FROM resources WHERE type <> 'DiagnosticReport')
-SELECT bundle, type, id FROM other o WHERE NOT EXISTS (SELECT 1 FROM report p WHERE p.bundle = o.bundle AND p.subject = o.name) AND NOT EXISTS (SELECT 1 FROM report p WHERE p.bundle = o.bundle AND p.request = o.name)""")
+@query(f"""WITH {_REFS} {" UNION ALL ".join(f"SELECT o.bundle, '{t}' AS type, o.id FROM {w} o LEFT JOIN report r ON r.bundle = o.bundle WHERE r.{n} IS DISTINCT FROM o.id" for t, n, w in L.REFERENCED)}""")
 def unreferenced_resources(spark, d):
     return L.unreferenced(A.resources(spark, d))
 
 
-@query(f"""WITH {A.RESOURCES_SQL} SELECT bundle, coalesce(nullif(json_extract_string(body, '$.identifier[0].value'), ''), id) AS patient_id, json_extract_string(body, '$.name[0].family') || '^A B' AS patient_name,
-replace(json_extract_string(body, '$.birthDate'), '-', '') AS birth_date, CASE json_extract_string(body, '$.gender') WHEN 'male' THEN 'M' WHEN 'female' THEN 'F' WHEN 'other' THEN 'O' END AS sex FROM resources WHERE type = 'Patient'""")
+@query(f"WITH {A.RESOURCES_SQL} SELECT bundle, patient_id, patient_name, birth_date, sex FROM patient")
 def fhir_patients(spark, d):
     return L.patient_fields(A.resources(spark, d))
 
@@ -352,7 +355,7 @@ def resume_plan(spark, d):
 
 _LABELED = f"""{A.TRIALS_SQL}, labeled AS (SELECT *, coalesce(nullif(label, ''), CASE tool WHEN 'cpu' THEN 'CPU' WHEN 'baseline' THEN 'Baseline' ELSE CASE
   WHEN hint LIKE '%cuda%' OR hint LIKE '%nvidia%' THEN 'CUDA' WHEN hint LIKE '%metal%' OR hint LIKE '%darwin%' THEN 'Metal' WHEN system_label IS NOT NULL THEN 'Device (' || system_label || ')' ELSE 'Device' END END) AS result_label
-  FROM (SELECT *, lower(concat_ws(' ', system_label, output_dir)) AS hint FROM trials))"""
+  FROM (SELECT *, lower(concat_ws(' ', system_label, output_dir, stdout_path, source_path)) AS hint FROM trials))"""
 
 
 @query(f"WITH {_LABELED} SELECT seq, result_label FROM labeled")
@@ -505,10 +508,8 @@ def bundle_resources(spark, d):
     return C.bundle_resources(rows).select("bundle", "pos", "type", "id")
 
 
-@query(f"""WITH {_REFS}, ok AS (SELECT bundle FROM h WHERE patients_hit = 1 AND patients = 1 AND requests_hit = 1 AND requests = 1)
-SELECT p.bundle, coalesce(nullif(json_extract_string(p.body, '$.identifier[0].value'), ''), p.id) AS patient_id, json_extract_string(p.body, '$.name[0].family') || '^A B' AS patient_name, replace(json_extract_string(p.body, '$.birthDate'), '-', '') AS birth_date,
-CASE json_extract_string(p.body, '$.gender') WHEN 'male' THEN 'M' WHEN 'female' THEN 'F' WHEN 'other' THEN 'O' END AS sex, 'q' AS accession_number, r.id AS study_id, json_extract_string(r.body, '$.code.text') AS study_description
-FROM ok JOIN (SELECT * FROM resources WHERE type = 'Patient') p ON p.bundle = ok.bundle JOIN (SELECT * FROM resources WHERE type = 'DiagnosticReport') r ON r.bundle = ok.bundle""")
+@query(f"""WITH {_REFS} SELECT h.bundle, p.patient_id, p.patient_name, p.birth_date, p.sex, s.specimen_id, s.specimen_id AS container_id, s.kind AS specimen_description, 'q' AS accession_number, r.id AS study_id, r.code AS study_description
+FROM resolved h JOIN patient p ON p.bundle = h.bundle JOIN specimen s ON s.bundle = h.bundle JOIN report r ON r.bundle = h.bundle WHERE h.error IS NULL""")
 def clinical_metadata(spark, d):
     return C.metadata(A.resources(spark, d))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.operators import attempts, batches, metrics, offsets
+from lodestrata.operators import attempts, batches, metrics, offsets, routes
 from lodestrata.operators.attributes import instance_attributes
 from lodestrata.plans import adapters
 from lodestrata.plans.export import Export
@@ -159,11 +159,32 @@ f AS (SELECT source, CAST(count(*) AS DECIMAL(38, 0)) AS total_frames, CAST(sum(
 SELECT source, {", ".join(_SHOWN)} FROM b JOIN f USING (source)"""
 
 
-def sql(jobs: str) -> dict[str, str]:
+_PLAIN = {"components": 3, "bits": 8, "photometric": "YBR_FULL_422"}
+
+
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each source and of the corpus: one source in ten cannot be read, and of one in three the instances have mixed profiles."""
+    probes = adapters.frame_probes(spark, sf_dir)
+    probes = probes.withColumns({c: F.when(F.col("source") % 3 == 0, F.col(c)).otherwise(F.lit(v)) for c, v in _PLAIN.items()})
+    routed = routes.jpeg_route(probes).withColumn("failure", F.when(F.col("source") % 10 == 9, "cannot be read"))
+    return metrics.corpus_report(routed, metrics.measures)
+
+
+def _corpus_sql(routed: str, sums: str) -> str:
+    plain = ", ".join(f"CASE WHEN source % 3 = 0 THEN {c} ELSE {v!r} END AS {c}" for c, v in _PLAIN.items())
+    routed = routed.replace("probes AS (", "raw AS (", 1).replace("routed AS (", f"probes AS (SELECT * REPLACE ({plain}) FROM raw), routed AS (", 1)
+    totals = ", ".join(f"CAST(sum({c}) FILTER (error IS NULL) AS BIGINT) AS {c}" for c in metrics.SUMS)
+    return f"""WITH {routed}, i AS (SELECT source, instance, count(DISTINCT (components, bits, photometric)) FILTER (route <> 'fallback') > 1 AS mixed, {sums} FROM routed GROUP BY source, instance),
+s AS (SELECT source, CASE WHEN source % 10 = 9 THEN 'cannot be read' WHEN bool_or(mixed) THEN 'pixel profile changes' END AS error, {", ".join(f"sum({c}) AS {c}" for c in metrics.SUMS)} FROM i GROUP BY source)
+SELECT source, CASE WHEN grouping(source) = 0 THEN min(error) END AS error, count(*) AS considered, count(*) FILTER (error IS NULL) AS reports, count(error) AS failures, {totals} FROM s GROUP BY ROLLUP (source)"""
+
+
+def sql(jobs: str, routed: str, sums: str) -> dict[str, str]:
     return {
+        "corpus_report": _corpus_sql(routed, sums),
         "written_offsets": WRITTEN_OFFSETS_SQL, "frame_bytes": FRAME_BYTES_SQL, "attribute_sets": _attribute_sets_sql(jobs), "first_success": FIRST_SUCCESS_SQL,
         "profile_conflicts": PROFILE_CONFLICTS_SQL, "two_grain_counters": _two_grain_sql(),
     }
 
 
-QUERIES = {f.__name__: f for f in (written_offsets, frame_bytes, attribute_sets, first_success, profile_conflicts, two_grain_counters)}
+QUERIES = {f.__name__: f for f in (written_offsets, frame_bytes, attribute_sets, first_success, profile_conflicts, two_grain_counters, corpus_report)}

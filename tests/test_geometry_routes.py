@@ -196,17 +196,26 @@ def test_references(spark):
     def res(bundle, kind, id_, body="{}"):
         return (bundle, kind, id_, body)
 
-    report = '{"subject":{"reference":"Patient/p"},"basedOn":[{"reference":"ServiceRequest/s"}]}'
+    report = '{"subject":{"reference":"Patient/p"},"specimen":[{"reference":"Specimen/k"}],"basedOn":[{"reference":"ServiceRequest/s"}]}'
+    two = report.replace('[{"reference":"Specimen/k"}]', '[{"reference":"Specimen/k"},{"reference":"Specimen/l"}]')
+    rest = lambda b: [res(b, "Specimen", "k"), res(b, "ServiceRequest", "s")]
     rows = [
-        res(1, "DiagnosticReport", "r", report), res(1, "Patient", "p"), res(1, "ServiceRequest", "s"),
-        res(2, "DiagnosticReport", "r", report), res(2, "Patient", "q"), res(2, "ServiceRequest", "s"),
+        res(1, "DiagnosticReport", "r", report), res(1, "Patient", "p"), *rest(1),
+        res(2, "DiagnosticReport", "r", report), res(2, "Patient", "q"), *rest(2),
         res(3, "DiagnosticReport", "r", report), res(3, "DiagnosticReport", "r2", report), res(3, "Patient", "p"),
-        res(4, "DiagnosticReport", "r", report), res(4, "Patient", "p"), res(4, "ServiceRequest", "s"), res(4, "ServiceRequest", "t"),
+        res(4, "DiagnosticReport", "r", report), res(4, "Patient", "p"), *rest(4), res(4, "ServiceRequest", "t"),
         res(5, "DiagnosticReport", "r", "{}"), res(5, "Patient", "p"),
+        res(6, "DiagnosticReport", "r", two), res(6, "Patient", "p"), *rest(6), res(6, "Specimen", "l"),
+        res(7, "DiagnosticReport", "r", report), res(7, "Patient", "p"), res(7, "ServiceRequest", "s"),
+        res(8, "Patient", "p"), *rest(8), res(9, "DiagnosticReport", "r", report), res(9, "Patient", "p"), res(9, "Patient", "p"), *rest(9),
+        res(10, "DiagnosticReport", "r", report.replace("Specimen/k", "Patient/p")), res(10, "Patient", "p"), *rest(10),
     ]
     df = spark.createDataFrame(rows, "bundle long, type string, id string, body string")
     got = {r["bundle"]: r["error"] for r in L.resolve_references(df).collect()}
-    assert got == {1: None, 2: "subject not found once", 3: "needs one report", 4: "unreferenced request", 5: "bad subject"}
+    assert got == {
+        1: None, 2: "unreferenced patient", 3: "needs one report", 4: "unreferenced request", 5: "bad subject", 6: "bad specimen", 7: "specimen not found once", 8: "needs one report",
+        9: "subject not found once", 10: "bad specimen",
+    }
     assert sorted(tuple(r) for r in L.unreferenced(df).where("bundle = 4").collect()) == [(4, "ServiceRequest", "t")]
 
 
