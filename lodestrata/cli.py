@@ -12,6 +12,7 @@ import json
 import os
 import sys
 import tempfile
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +24,16 @@ from lodestrata.sources import dicom
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> bool:
-    """The plan of a conversion, one row an instance."""
+    """The plan of a conversion, one row an instance; with --frames, encoded frames by coordinates, also its files, and a row of each."""
     plan = export.Export(spark.read.parquet(a.levels), spark.read.parquet(a.probes) if a.probes else None).to_directory(a.output)
     syntax = options.resolve_syntax(a.preset, a.syntax)
     plan = plan.with_options(options.preset(a.preset)) if a.preset else plan
     plan = plan.transfer_syntax(syntax) if syntax else plan
     plan = plan.tile_size(a.tile_size).with_metadata(json.loads(a.metadata)) if a.metadata else plan.tile_size(a.tile_size).with_placeholder_metadata()
-    plan.plan(a.seed or export.fresh_seed()).write.mode("overwrite").parquet(a.out)
+    plan = replace(plan, options=replace(plan.options, overwrite=True)) if a.overwrite else plan
+    seed = a.seed or export.fresh_seed()
+    found = plan.run(spark.read.parquet(a.frames), seed=seed) if a.frames else plan.plan(seed)
+    found.write.mode("overwrite").parquet(a.out)
     return True
 
 
@@ -109,7 +113,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--" + name.replace("_", "-"), **settings)
 
     need, text, number, many = {"required": True}, {"default": None}, {"type": int, "default": None}, {"nargs": "+"}
-    command(convert, levels=need, probes=text, output=need, out=need, preset=text, syntax=text, tile_size={"type": int, "default": 512}, metadata=text, seed=text)
+    command(convert, levels=need, probes=text, output=need, out=need, preset=text, syntax=text, tile_size={"type": int, "default": 512}, metadata=text, seed=text, frames=text, overwrite={"action": "store_true"})
     command(profile, probes=need, out=need, level={"type": int, "default": 0}, max_frames={"type": int, "default": 64})
     command(coverage, probes=need, out=need, max_frames=number)
     command(coverage_corpus, probes=need, out=need, max_frames=number)

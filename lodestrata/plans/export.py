@@ -14,9 +14,10 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions import scalars
+from lodestrata.functions import dims, scalars
 from lodestrata.operators import geometry, metrics, offsets, routes
 from lodestrata.plans.options import ExportOptions
+from lodestrata.sources.attributes import DICTIONARY
 
 PLACEHOLDER = {"patient_id": "RESEARCH", "patient_name": "RESEARCH^SLIDE", "modality": "SM"}
 
@@ -87,6 +88,43 @@ class Export:
             jobs = jobs.withColumn("syntax", F.lit(self.options.transfer_syntax))
         return with_uids(jobs.withColumn("path", geometry.output_path()), seed)
 
+    def run(self, frames: DataFrame, *, seed: str | None = None, codec: Callable[[bytes, dict], bytes] | None = None, settings: dict | None = None, profile: Column | None = None) -> DataFrame:
+        """Writes the planned instances below the output folder, in one transaction, and returns a row per file: path, frames, bytes, file_bytes, sha256.
+
+        frames: (source, scene, series, level, z, c, t, frame, bytes), or `pixels` in place of `bytes`, which `codec` encodes. A frame of no planned instance, an instance
+        without all its frames and a frame that the codec fails on are errors, and nothing is written. Files are named by source and coordinates.
+        """
+        from lodestrata.operators.attributes import instance_attributes
+        from lodestrata.sources import instances
+
+        plan = self.plan(seed or fresh_seed())
+        where = ["source", "scene", "series", "level", "z", "c", "t"]
+        name = F.concat(F.regexp_replace(F.col("source").cast("string"), r"[^A-Za-z0-9._-]", "_"), F.lit("-"), F.substring(F.sha2(F.col("source").cast("string"), 256), 1, 8), F.lit("-"), "path")
+        default = lambda c, v: F.col(c) if c in plan.columns else F.lit(v)
+        planned = plan.withColumns({
+            "tile": F.lit(self.options.tile_size), "components": default("components", 3), "bits": default("bits", 8), "photometric": default("photometric", "YBR_FULL_422"),
+            "row_mm": default("row_mm", 0.0005) * F.expr("shiftleft(1, level)"), "column_mm": default("column_mm", 0.0005) * F.expr("shiftleft(1, level)"), "series_number": F.lit(1),
+        })
+        keyed = F.concat_ws("|", *where)
+        known = planned.select(keyed.alias("instance"), name.alias("name"), "syntax", "frames", instance_attributes(by_keyword(self.metadata), profile=profile).alias("attributes"))
+        rows = frames.withColumn("instance", keyed)
+        if codec is not None:
+            rows = encode_frames(rows, codec, settings or {}).select("instance", "frame", F.col("encoded").alias("bytes"), "error")
+            rows = rows.withColumn("bytes", F.when(F.col("error").isNull(), F.col("bytes")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("frame"), "frame", F.lit("of"), "instance", "error")).cast("binary")))
+        counted = rows.groupBy("instance").agg(F.count("*").alias("there"), F.min("frame").alias("least"), F.max("frame").alias("most"), F.countDistinct("frame").alias("different"))
+        wrong = known.join(counted, "instance", "full").where("name is null or there is null or there <> frames or different <> frames or least <> 0 or most <> frames - 1")
+        if bad := wrong.select("instance").head():
+            raise ValueError(f"the frames of {bad['instance']} are not those of the plan")
+        syntaxes = F.create_map(*(F.lit(x) for name_, uid, *_ in dims.TRANSFER_SYNTAXES for x in (name_, uid)))
+        files = known.select("instance", "name", syntaxes[F.col("syntax")].alias("transfer_syntax"), "attributes")
+        return instances.write_instances(files, rows.select("instance", "frame", "bytes"), self.output, overwrite=self.options.overwrite)
+
+
+def by_keyword(metadata: dict) -> dict[str, str]:
+    """Metadata by keyword: `patient_id` and `PatientID` are one."""
+    known = {k.lower(): k for k in DICTIONARY}
+    return {known.get(k.replace("_", "").lower(), k): v for k, v in metadata.items()}
+
 
 def fresh_seed() -> str:
     """A seed for one run, drawn on the driver."""

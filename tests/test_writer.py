@@ -33,7 +33,7 @@ def test_streamed_file_is_the_one_made_at_once(tmp_path, syntax, frames):
 
 
 def test_a_large_file_needs_little_memory(tmp_path):
-    frame, n = random.Random(1).randbytes(1 << 20), 400
+    frame, n = random.Random(1).randbytes(1 << 20), 60
     tracemalloc.start()
     out = instances.InstanceFile(str(tmp_path / "f"), b"", JPEG, "1", "2", n)
     for _ in range(n):
@@ -275,3 +275,65 @@ def test_decimal_strings(spark):
     values = [0.0, 1.0, 0.5, 0.00025, 1234567.25, 1e-12, -0.25, 100.0]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(number(F.col("v"))).collect()]
     assert got == ["0", "1", "0.5", "0.00025", "1234567.25", "0", "-0.25", "100"]
+
+
+LEVELS = "source string, scene int, series int, level int, cols long, rows long, kind string, tile_w int, tile_h int, n_z int, n_c int, n_t int"
+WHERE = "source string, scene int, series int, level int, z int, c int, t int, frame long"
+
+
+@pytest.fixture()
+def slides(spark, tmp_path):
+    levels = spark.createDataFrame([("/a/x.svs", 0, 0, 0, 1000, 600, "regular", 512, 512, 1, 1, 1), ("/a/x.svs", 0, 0, 1, 500, 300, "regular", 512, 512, 1, 1, 1), ("/b/x.svs", 0, 0, 0, 100, 100, "regular", 512, 512, 2, 1, 1)], LEVELS)
+    frames = [("/a/x.svs", 0, 0, 0, 0, 0, 0, f) for f in range(4)] + [("/a/x.svs", 0, 0, 1, 0, 0, 0, 0), ("/b/x.svs", 0, 0, 0, 0, 0, 0, 0), ("/b/x.svs", 0, 0, 0, 1, 0, 0, 0)]
+    rows = spark.createDataFrame(frames, WHERE).withColumn("bytes", F.encode(F.concat_ws("-", "source", "level", "z", "frame"), "UTF-8"))
+    levels.write.parquet(str(tmp_path / "levels")), rows.write.parquet(str(tmp_path / "frames"))
+    return levels, rows
+
+
+def test_an_export_writes_its_files(spark, slides, tmp_path):
+    from lodestrata.plans.export import Export
+
+    levels, frames = slides
+    job = Export(levels).to_directory(str(tmp_path / "out")).transfer_syntax("JpegBaseline8Bit").with_metadata({"patient_id": "P1", "PatientName": "A^B"})
+    files = job.run(frames, seed="s").collect()
+    assert len(files) == 4 and sum(r["frames"] for r in files) == 7
+    uids = {r["sop_uid"]: r["frames"] for r in job.plan("s").collect()}
+    for r in files:
+        found = attributes.decode(open(r["path"], "rb").read()[132:])
+        assert found["PatientID"] == "P1" and found["PatientName"] == "A^B" and uids[found["SOPInstanceUID"]] == int(found["NumberOfFrames"])
+        raw = open(r["path"], "rb").read()
+        assert raw.endswith(dicom.encapsulated([f"{s}-{lv}-{z}-{f}".encode() for s, _, _, lv, z, _, _, f, _ in sorted(map(tuple, frames.collect())) if "|".join(map(str, (s, 0, 0, lv, z, 0, 0))) == r["instance"]]))
+    with pytest.raises(FileExistsError):
+        job.run(frames, seed="s")
+    before = sorted(os.listdir(tmp_path / "out"))
+    for wrong in (frames.where("frame <> 1"), frames.union(frames.limit(1)), frames.withColumn("level", F.lit(7))):
+        with pytest.raises(ValueError, match="not those of the plan"):
+            job.run(wrong, seed="s")
+    assert sorted(os.listdir(tmp_path / "out")) == before
+
+
+def test_a_codec_makes_the_frames(slides, tmp_path):
+    from lodestrata.plans.export import Export
+
+    levels, frames = slides
+    job = Export(levels).to_directory(str(tmp_path / "out")).transfer_syntax("JpegBaseline8Bit").with_placeholder_metadata()
+    pixels = frames.withColumnRenamed("bytes", "pixels")
+    files = job.run(pixels, codec=lambda raw, s: s["head"] + bytes(raw), settings={"head": b"!!"}).collect()
+    assert sum(r["bytes"] for r in files) == sum(len(r["bytes"]) + 2 for r in frames.collect())
+
+    def fails(raw, _):
+        raise ValueError("no codec for this")
+
+    with pytest.raises(Exception, match="no codec for this"):
+        Export(levels).to_directory(str(tmp_path / "other")).transfer_syntax("JpegBaseline8Bit").with_placeholder_metadata().run(pixels, codec=fails)
+    assert [n for n in os.listdir(tmp_path / "other") if not n.startswith(".")] == []
+
+
+def test_convert_writes_files(spark, slides, tmp_path):
+    from lodestrata import cli
+
+    run = lambda *more: cli.main(["convert", "--levels", str(tmp_path / "levels"), "--output", str(tmp_path / "out"), "--out", str(tmp_path / "report"), "--syntax", "JpegBaseline8Bit", "--frames", str(tmp_path / "frames"), *more], spark)
+    assert run() == 0 and spark.read.parquet(str(tmp_path / "report")).agg(F.sum("frames")).first()[0] == 7
+    with pytest.raises(FileExistsError):
+        run()
+    assert run("--overwrite") == 0 and len([n for n in os.listdir(tmp_path / "out") if n.endswith(".dcm")]) == 4
