@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,30 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
     return where if "://" in where or where.startswith("file:") else "file://" + where
 
 
-_MADE: list[str] = []
+class _Made(threading.local):
+    """Folders that each thread has made, so that runs in several threads of one driver leave each other's tables alone."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_MADE = _Made()
 
 
 def made_so_far() -> int:
-    """How many folders this process has made; a mark for `remove_written`."""
-    return len(_MADE)
+    """How many folders this thread has made; a mark for `remove_written`."""
+    return len(_MADE.folders)
 
 
 def remove_written(spark: SparkSession, since: int = 0, leave: int = 0) -> None:
-    """Deletes the folders that this process has made below the shared folder since a mark, but the last `leave` of them.
+    """Deletes the folders that this thread has made below the shared folder since a mark, but the last `leave` of them.
 
     Frames that read them end with them.
     """
-    gone = _MADE[since : len(_MADE) - leave]
+    gone = _MADE.folders[since : len(_MADE.folders) - leave]
     for uri in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _MADE.remove(uri)
+        _MADE.folders.remove(uri)
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    _MADE.folders.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE.folders[-1]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -59,6 +59,18 @@ def test_folders_since_a_mark(spark):
     assert not os.path.exists(a) and os.path.exists(b) and S.made_so_far() == mark + 1
 
 
+def test_threads_leave_each_others_folders_alone(spark):
+    import threading
+
+    S.made_so_far()
+    mark, other = S.made_so_far(), []
+    thread = threading.Thread(target=lambda: other.append((S.made_so_far(), S.written(spark.range(3), "other").inputFiles()[0].removeprefix("file://"))))
+    own = S.written(spark.range(3), "own").inputFiles()[0].removeprefix("file://")
+    thread.start(), thread.join()
+    S.remove_written(spark, mark)
+    assert other[0][0] == 0 and os.path.exists(other[0][1]) and not os.path.exists(own)
+
+
 def test_a_cluster_must_name_the_shared_folder():
     class Session:
         class conf:
