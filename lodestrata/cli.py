@@ -18,25 +18,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import binary
-from lodestrata.operators import metrics, validation
+from lodestrata.operators import decoding, metrics, routes, validation
 from lodestrata.plans import export, harness, options
 from lodestrata.sources import dicom
+from lodestrata.streaming import iterations
 
 
-def convert(spark: SparkSession, a: argparse.Namespace) -> bool:
-    """The plan of a conversion, one row an instance; with --frames, encoded frames by coordinates, also its files, and a row of each."""
+def _export(spark: SparkSession, a: argparse.Namespace) -> export.Export:
     plan = export.Export(spark.read.parquet(a.levels), spark.read.parquet(a.probes) if a.probes else None).to_directory(a.output)
     syntax = options.resolve_syntax(a.preset, a.syntax)
     plan = plan.with_options(options.preset(a.preset)) if a.preset else plan
     plan = plan.transfer_syntax(syntax) if syntax else plan
     plan = plan.tile_size(a.tile_size).with_metadata(json.loads(a.metadata)) if a.metadata else plan.tile_size(a.tile_size).with_placeholder_metadata()
-    plan = replace(plan, options=replace(plan.options, overwrite=True)) if a.overwrite else plan
-    seed = a.seed or export.fresh_seed()
+    return replace(plan, options=replace(plan.options, overwrite=True)) if a.overwrite else plan
+
+
+def convert(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """The plan of a conversion, one row an instance; with --frames, encoded frames by coordinates, also its files, and a row of each."""
+    plan, seed = _export(spark, a), a.seed or export.fresh_seed()
     found = plan.run(spark.read.parquet(a.frames), seed=seed) if a.frames else plan.plan(seed)
     found.write.mode("overwrite").parquet(a.out)
     return True
 
 
+def sustain(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """The same conversion again and again, each below a folder of its own, until one fails; a row an iteration."""
+    plan, frames = _export(spark, a), spark.read.parquet(a.frames)
+
+    def work(n: int) -> dict:
+        files = plan.to_directory(f"{a.output}/iteration-{n:04d}").run(frames, seed=a.seed)
+        return files.agg(F.count("*").alias("files"), F.sum("frames").alias("frames"), F.sum("file_bytes").alias("file_bytes")).first().asDict()
+
+    try:
+        iterations.sustained(spark, work, a.out, iterations=a.iterations, interval=f"{a.interval_ms} milliseconds").show(truncate=False)
+    except iterations.Stopped as e:
+        print(e)
+        return False
+    return True
+
+
 def profile(spark: SparkSession, a: argparse.Namespace) -> bool:
     export.route_profile(spark.read.parquet(a.probes), level=a.level, max_frames=a.max_frames).write.mode("overwrite").parquet(a.out)
     return True
@@ -66,13 +86,12 @@ def _report(checks: DataFrame, out: str | None) -> bool:
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> bool:
-    """Header checks of a folder, and a command a file if one is given."""
+    """All checks of a folder's files: headers, fields, a command a file and one a set if they are given, and pixels with a decoder (`uid=template`)."""
     spark.dataSource.register(dicom.DicomHeaders)
     headers = spark.read.format("dicom_headers").load(a.folder)
-    checks = validation.header_checks(headers)
-    if a.command:
-        checks = checks.unionByName(validation.command_checks(headers.select("path"), "command", a.command, timeout=a.timeout))
-    return _report(checks, a.out)
+    named = lambda c, name: {name: c} if c else {}
+    decoders = dict(d.split("=", 1) for d in a.decoder) if a.decoder else None
+    return _report(decoding.all_checks(headers, file_commands=named(a.command, "command"), set_commands=named(a.set_command, "set-command"), decoders=decoders), a.out)
 
 
 def doctor(spark: SparkSession, a: argparse.Namespace) -> bool:
@@ -114,10 +133,11 @@ def parser() -> argparse.ArgumentParser:
 
     need, text, number, many = {"required": True}, {"default": None}, {"type": int, "default": None}, {"nargs": "+"}
     command(convert, levels=need, probes=text, output=need, out=need, preset=text, syntax=text, tile_size={"type": int, "default": 512}, metadata=text, seed=text, frames=text, overwrite={"action": "store_true"})
+    command(sustain, levels=need, frames=need, probes=text, output=need, out=need, preset=text, syntax=text, tile_size={"type": int, "default": 512}, metadata=text, seed=text, overwrite={"action": "store_true"}, iterations={"type": int, "default": 1}, interval_ms={"type": int, "default": 0})
     command(profile, probes=need, out=need, level={"type": int, "default": 0}, max_frames={"type": int, "default": 64})
     command(coverage, probes=need, out=need, max_frames=number)
     command(coverage_corpus, probes=need, out=need, max_frames=number)
-    command(validate, folder=need, command=many, timeout={"type": float, "default": 60}, out=text)
+    command(validate, folder=need, command=many, set_command=many, decoder=many, out=text)
     command(doctor, tool={"action": "append"}, out=text)
     command(self_test, out=text)
     command(bench, slides=need, tool={"action": "append", "required": True}, profile=many | need, scope=many | need, runs={"type": int, "default": 1}, timeout={"type": float, "default": 7200}, system=text, out=need)

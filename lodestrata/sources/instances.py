@@ -188,6 +188,19 @@ def offsets_of(path: str) -> tuple[list[int], list[int]]:
     return values[0], values[1]
 
 
+def pixels_at(path: str) -> int:
+    """Where the first fragment's item begins in a file; offsets count from there."""
+    with open(path, "rb") as f:
+        f.seek(132)
+        attributes.decode(f, until=0x7FE00010)
+        if f.read(8) != struct.pack("<HH2sH", *PIXELS, b"OB", 0) or f.read(4) != b"\xff\xff\xff\xff":
+            raise ValueError("pixel data are not encapsulated")
+        group, low, size = struct.unpack("<HHI", f.read(8))
+        if (group, low) != (0xFFFE, 0xE000):
+            raise ValueError("pixel data do not begin with an item")
+        return f.tell() + size  # after the basic offset table
+
+
 def stored_offsets(files: DataFrame) -> DataFrame:
     """(instance, frame, offset, length) as the files (instance, path) have them; frames count from 0."""
 

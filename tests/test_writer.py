@@ -337,3 +337,14 @@ def test_convert_writes_files(spark, slides, tmp_path):
     with pytest.raises(FileExistsError):
         run()
     assert run("--overwrite") == 0 and len([n for n in os.listdir(tmp_path / "out") if n.endswith(".dcm")]) == 4
+
+
+def test_sustained_conversion(spark, slides, tmp_path):
+    from lodestrata import cli
+
+    run = lambda n, *more: cli.main(["sustain", "--levels", str(tmp_path / "levels"), "--output", str(tmp_path / "many"), "--out", f"file://{tmp_path}/runs{n}", "--syntax", "JpegBaseline8Bit", "--frames", str(tmp_path / "frames"), "--iterations", "2", *more], spark)
+    assert run(1) == 0 and sorted(n for n in os.listdir(tmp_path / "many")) == ["iteration-0001", "iteration-0002"]
+    assert len([n for n in os.listdir(tmp_path / "many" / "iteration-0002") if n.endswith(".dcm")]) == 4
+    assert run(2) == 1  # the files are there already: the first iteration fails, and no other is begun
+    assert run(3, "--overwrite") == 0
+    assert cli.main(["validate", "--folder", str(tmp_path / "many" / "iteration-0001")], spark) == 0
