@@ -234,8 +234,8 @@ def _block(rows: pa.RecordBatch, least: int, num: int) -> tuple[list[int], list[
     return u, v
 
 
-def _compare(least: int, num: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks come in order of (key, i, j); one is held at a time."""
+def _compare(least: int, num: int, block: Callable = _block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(u, v) that `block` finds in each block. Blocks come in order of (key, i, j); one is held at a time."""
 
     def ends(b: pa.RecordBatch) -> tuple:
         return tuple(b.column(c)[0].as_py() for c in ("key", "i", "j"))
@@ -244,7 +244,7 @@ def _compare(least: int, num: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         held: list[pa.RecordBatch] = []
 
         def done() -> pa.RecordBatch:
-            u, v = _block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least, num)
+            u, v = block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least, num)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -268,6 +268,21 @@ def _compare(least: int, num: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 _NO_ID = (1 << 63) - 1
 
 
+def _still_open(placed: DataFrame, more_than: int) -> DataFrame:
+    """Rows of buckets with several components, and the bucket's number of blocks."""
+    found = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {more_than}")
+    return skew_join(placed, found.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+
+
+def _dealt(placed: DataFrame, with_: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of open buckets with the columns of `with_`, in blocks (key, i, j), each pair of members in one of them."""
+    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
+    dealt = placed.withColumn("mine", mine).select("key", "node", "part", "mine", F.explode(ij).alias("ij")).select("key", "ij.i", "ij.j", "mine", "node", "part")
+    dealt = dealt.join(with_, "node").select("key", "i", "j", "mine", "node", "part", *columns)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 class _Search:
     """The tables of one run, all in the shared folder. Linked if DEN * intersection >= num * union."""
 
@@ -338,28 +353,23 @@ class _Search:
 
         return map_batches(sets, run, "node long, h long")
 
+    def regrouped(self, placed: DataFrame) -> DataFrame:
+        """The rows (key, node, part) of open buckets, or of others in which all pairs of these meet too."""
+        return placed
+
     def left_over(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """(u, v): links between different components in a bucket; enough to join all such components."""
 
-        def still_open(placed: DataFrame, more_than: int) -> DataFrame:
-            """Rows of buckets with several components, and the bucket's number of blocks."""
-            found = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {more_than}")
-            return skew_join(placed, found.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
-
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part"))
-        placed = written(still_open(placed, 2).drop("blocks"), "open")  # two members have met in the star
+        placed = written(self.regrouped(_still_open(placed, 2).drop("blocks")), "open")  # two members have met in the star
         nodes = placed.select("node", "part").distinct()
         sets = self.sets(nodes.select("node"))
         first = written(self.prefixes(sets).join(nodes, "node"), "prefixes")
         shared = first.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
         alive = written(skew_join(first, shared, "h").select("node").distinct(), "alive")
-        placed = written(still_open(placed.join(alive, "node"), 1), "compared")
+        placed = written(_still_open(placed.join(alive, "node"), 1), "compared")
         sets = sets.join(placed.select("node").distinct(), "node").join(self.classes.select("node", "sketch"), "node")
-        mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-        ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
-        dealt = placed.withColumn("mine", mine).select("key", "node", "part", "mine", F.explode(ij).alias("ij")).select("key", "ij.i", "ij.j", "mine", "node", "part")
-        dealt = dealt.join(sets, "node").select("key", "i", "j", "mine", "node", "part", "hashes", "sketch")
-        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        dealt = _dealt(placed, sets, ["hashes", "sketch"])
         return written(map_batches(dealt, _compare(self.least, self.num), "u long, v long").distinct(), "left-over")
 
     def labels(self) -> DataFrame:
