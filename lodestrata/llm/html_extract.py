@@ -8,9 +8,8 @@ Decoding takes the choice of nodes with the greatest total log odds in which no
 one pass up and one down the tree, so no choice contradicts another.
 
 There are no labels for pages, so the trees are fitted on the driver on `PAGES` pages that `training_page` makes: articles of several
-shapes among menus, headers, footers, sidebars, notices, adverts, forms, related links and reader comments, which may also lie within the article; pages
-of tables and of nameless blocks, text right in the body, bare text, and pages without an article. The seed is fixed. Elements of forms are
-dropped whatever the trees say, and of a page without any element all is kept.
+shapes among menus, headers, footers, sidebars, notices, adverts, forms, related links and reader comments. The seed is fixed. Elements of forms
+are dropped whatever the trees say, and of a page without any element all is kept.
 
 Text of kept leaves has its character references decoded and white space turned into one space, is trimmed, and joined in page order
 by one newline. Null and empty pages, and pages without kept text, give the empty string. Ids play no part, so null and
@@ -31,9 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import map_batches, table, unused
 
-PAGES, TREES, DEPTH, RATE, TOKENS, LEVELS = 1200, 64, 5, 0.3, 512, 16
-#: Nodes that are scored at once.
-NODES = 20_000
+PAGES, TREES, DEPTH, RATE, TOKENS, LEVELS = 400, 40, 4, 0.3, 512, 16
 #: Elements of forms, which are never main text. A form that holds an article or a headline is the page's own wrapper, and no form.
 _FORM = frozenset("button datalist fieldset input keygen legend meter optgroup option output progress select textarea".split())
 _WRAPPED = frozenset("article main h1".split())
@@ -336,10 +333,9 @@ def fit(stats: np.ndarray, tokens: list[np.ndarray], label: np.ndarray) -> Fores
     """Newton boosting of the logistic loss on histograms."""
     edges = np.stack([np.quantile(s, np.linspace(0, 1, LEVELS + 1)[1:-1]) for s in stats.T])
     f = Forest(edges)
-    x, m, z = f.bins(stats, tokens), stats.shape[1], np.zeros(len(stats))
-    levels, (row, token) = np.ascontiguousarray(x[:, :m].T).astype(np.int32), x[:, m:].nonzero()
+    x, m = f.bins(stats, tokens), stats.shape[1]
+    (row, token), z = x[:, m:].nonzero(), np.zeros(len(x))
     inner = 2**DEPTH - 1
-    gain = lambda a, b: a * a / (b + 1.0)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-z))
         g, h = p - label, np.maximum(p * (1 - p), 1e-6)
@@ -349,15 +345,15 @@ def fit(stats: np.ndarray, tokens: list[np.ndarray], label: np.ndarray) -> Fores
             here = at - first
             sums = [np.bincount(here, w, width) for w in (g, h)]
             best = np.full(width, 1e-6)
+            gain = lambda a, b: a * a / (b + 1.0)
             for j in range(m):
-                left = [np.cumsum(np.bincount(here * LEVELS + levels[j], w, width * LEVELS).reshape(width, LEVELS), 1)[:, :-1] for w in (g, h)]
+                left = [np.cumsum(np.bincount(here * LEVELS + x[:, j], w, width * LEVELS).reshape(width, LEVELS), 1)[:, :-1] for w in (g, h)]
                 found = gain(*left) + gain(sums[0][:, None] - left[0], sums[1][:, None] - left[1]) - gain(*sums)[:, None]
                 k = found.argmax(1)
                 better = found[np.arange(width), k] > best
                 best[better] = found[np.arange(width), k][better]
                 feature[first : first + width][better], above[first : first + width][better] = j, k[better]
-            place = here[row] * TOKENS + token
-            with_ = [np.bincount(place, w[row], width * TOKENS).reshape(width, TOKENS) for w in (g, h)]
+            with_ = [np.bincount(here[row] * TOKENS + token, w[row], width * TOKENS).reshape(width, TOKENS) for w in (g, h)]
             found = gain(*with_) + gain(sums[0][:, None] - with_[0], sums[1][:, None] - with_[1]) - gain(*sums)[:, None]
             k = found.argmax(1)
             better = found[np.arange(width), k] > best
@@ -370,13 +366,6 @@ def fit(stats: np.ndarray, tokens: list[np.ndarray], label: np.ndarray) -> Fores
     return f
 
 
-def settled(page: Page, odds: np.ndarray) -> np.ndarray:
-    """The odds, where what holds the whole page has no say and what begins a part of a form is out."""
-    odds[[i for i, t in enumerate(page.tag[:64]) if t in ("#root", "html", "body")]] = 0
-    odds[of_forms(page)] = -np.inf
-    return odds
-
-
 def of_forms(page: Page) -> list[int]:
     """Nodes that begin what is of a form."""
     out, wraps = [], set()
@@ -389,18 +378,9 @@ def of_forms(page: Page) -> list[int]:
 
 
 def decode(parent: list[int], odds: np.ndarray) -> list[bool]:
-    """The choice of greatest total log odds in which a kept node's ancestors are kept. Parents come before children.
-
-    A node that is its parent's only child is chosen with it, as one without the other would show nothing else.
-    """
+    """The choice of greatest total log odds in which a kept node's ancestors are kept. Parents come before children."""
     n = len(parent)
     keep = [float(o) for o in odds]  # gain over dropping the whole subtree
-    sole = [0] * n
-    for p in parent[1:]:
-        sole[p] += 1
-    for i in range(n - 1, 0, -1):
-        if sole[parent[i]] == 1 and parent[i]:
-            keep[i], keep[parent[i]] = keep[i] + keep[parent[i]], 0.0
     keep[0] = max(keep[0], 0.0)
     for i in range(n - 1, 0, -1):
         if keep[i] > 0:
@@ -418,12 +398,11 @@ _PARTS = "an be con de er fi go hu in ka lo mi na or pe qui ra se ti un va xe".s
 def training_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     """A page and the text of its main leaves, in page order."""
     main: list[str] = []
-    scale = 0.2 if rng.random() < 0.35 else 1.0  # pages of short texts
     pick = lambda *x: x[int(rng.integers(len(x)))]
 
     def words(lo: int, hi: int, ends: bool = True) -> str:
         out = []
-        for _ in range(int(rng.integers(lo, lo + max(1, int((hi - lo) * scale))))):
+        for _ in range(int(rng.integers(lo, hi))):
             out.append("".join(pick(*_PARTS) for _ in range(int(rng.integers(1, 4)))) + (pick(".", ",", "") if ends and rng.random() < 0.2 else ""))
         return " ".join(out) + ("." if ends else "")
 
@@ -480,11 +459,6 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[str]]:
                 out.append(extra() if rng.random() < 0.6 else side())
         return "".join(out)
 
-    kind = rng.random()
-    if kind < 0.03:
-        return said(words(5, 200)), main
-    if kind < 0.35:
-        return f"<html><head><title>{words(1, 5, False)}</title></head><body>{_other_layout(rng, pick, words, link, menu, said, paragraph, side, extra, comments)}</body></html>", main
     head = f"<!DOCTYPE html><html><head><title>{words(2, 9, False)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
     top = pick("", f"<header><h2>{words(1, 4, False)}</h2>{menu()}</header>", f'<div class="{pick("header", "masthead")}">{words(1, 5, False)}</div>')
     nav = pick(f"<nav>{menu()}</nav>", f"<nav>{menu()}</nav>", f'<div class="{pick("menu", "navbar", "navigation")}">{menu()}</div>', "")
@@ -499,52 +473,6 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     return head + top + nav + middle + foot + "</body></html>", main
 
 
-def _other_layout(rng, pick, words, link, menu, said, paragraph, side, extra, comments) -> str:
-    """The body of a page that has no element named for its article, or that has other things within it."""
-
-    def plain(lo: int = 1, hi: int = 7) -> str:
-        out = []
-        for _ in range(int(rng.integers(lo, hi))):
-            text = said(words(3, 60))
-            out.append(f"<p>{text}</p>")
-            if rng.random() < 0.1:
-                out.append(f"<p>{said(text if '<' not in text else words(4, 9))}</p>")
-        return "".join(out)
-
-    def headline() -> str:
-        return f"<{(t := pick('h1', 'h1', 'h2'))}>{said(words(2, 12, False))}</{t}>" if rng.random() < 0.7 else ""
-
-    def form() -> str:
-        rows = "".join(pick(f"<label>{words(1, 3, False)}</label><input name=a>", f"<select name=b><option>{words(1, 3, False)}</option><option>{words(1, 2, False)}</option></select>", f"<p>{words(2, 20)}</p>", f"<textarea>{words(1, 9)}</textarea>") for _ in range(int(rng.integers(1, 4))))
-        return f"<form method=post>{rows}<button>{words(1, 3, False)}</button></form>"
-
-    def links() -> str:
-        return " | ".join(link() for _ in range(int(rng.integers(3, 9))))
-
-    def small() -> str:
-        return pick(f"&copy; {words(2, 8)}", f"{words(1, 4, False)} {links()}", links())
-
-    kind = pick(0, 0, 1, 2, 2, 3, 3, 4, 5, 6)
-    if kind == 6:  # a form around all
-        return f"<form action=/page><input name=state>{pick(links(), menu())}<div>{headline()}{plain(2, 7)}</div>{pick('', form())}{small()}</form>"
-    if kind == 0:  # text right in the body
-        return headline() + pick(plain(2, 8), plain(2, 8), f"{said(words(8, 80))}<hr>{plain(1, 4)}")
-    if kind == 1:  # a table as layout
-        cells = [f"<td width=150>{pick(menu(), links(), '<br>'.join(link() for _ in range(5)))}</td>", f"<td>{headline()}{plain(2, 7)}</td>"] + ([f"<td>{pick(links(), extra())}</td>"] if rng.random() < 0.4 else [])
-        return f"<table><tr><td colspan=3>{pick(words(1, 4, False), links())}</td></tr><tr>{''.join(cells)}</tr><tr><td colspan=3>{small()}</td></tr></table>"
-    if kind == 2:  # nameless blocks
-        return f"<div>{pick(links(), menu())}</div><div><div>{headline()}{plain(2, 7)}</div>{pick('', f'<div>{links()}</div>', f'<div>{menu()}</div>')}</div><div>{small()}</div>"
-    if kind == 3:  # other things within the article
-        parts = []
-        for _ in range(int(rng.integers(2, 6))):
-            parts += [plain(1, 3), pick(form, extra, side, form, lambda: f"<nav>{links()}</nav>", lambda: "")()]
-        return f"<nav>{menu()}</nav><article>{headline()}{''.join(parts)}{pick(comments(), '')}</article><footer>{small()}</footer>"
-    if kind == 4:  # no article
-        return f"<nav>{menu()}</nav>" + "".join(pick(menu, form, links, extra, side)() for _ in range(int(rng.integers(1, 5)))) + f"<footer>{small()}</footer>"
-    body = headline() + "".join(pick(paragraph, paragraph, lambda: f"<div>{said(words(5, 50))}</div>")() for _ in range(int(rng.integers(2, 8))))
-    return f"<div>{links()}</div><center>{body}</center><p>{small()}</p>"
-
-
 def labels(page: Page, main: list[str]) -> np.ndarray:
     """1 for leaves of the main text and their ancestors; the texts of `main` are in page order."""
     y, k = np.zeros(len(page.tag)), 0
@@ -577,45 +505,20 @@ def train(seed: int = 11, pages: int = PAGES) -> Forest:
     return _TRAINED[key]
 
 
-def main_text(page: Page, forest: Forest) -> str:
-    """Main text of one page; at most NODES nodes are scored at once."""
-    stats, tokens = node_features(page)
-    if len(page.tag) == 1 or all(t == "#text" for t in page.tag[1:]):
-        return "\n".join(t for t in page.text if t)
-    odds = np.concatenate([forest.odds(forest.bins(stats[i : i + NODES], tokens[i : i + NODES])) for i in range(0, len(stats), NODES)])
-    return "\n".join(t for t, c in zip(page.text, decode(page.parent, settled(page, odds))) if t and c)
-
-
 def main_texts(sources: list[str | None], forest: Forest) -> list[str]:
-    """Main text of each page; small pages are scored together, about NODES nodes at once."""
+    """Main text of each page; nodes of about a hundred pages are scored at once."""
     out: list[str] = []
-    held: list[tuple[Page, np.ndarray, list[np.ndarray]]] = []
-    size = 0
-
-    def done() -> None:
-        odds, at = forest.odds(forest.bins(np.concatenate([s for _, s, _ in held]), [t for _, _, ts in held for t in ts])), 0
-        for p, _, _ in held:
-            own = settled(p, odds[at : at + len(p.tag)])
+    for k in range(0, len(sources), 100):
+        pages = [Page(s or "") for s in sources[k : k + 100]]
+        found = [node_features(p) for p in pages]
+        odds = forest.odds(forest.bins(np.concatenate([s for s, _ in found]), [t for _, ts in found for t in ts]))
+        at = 0
+        for p in pages:
+            own = odds[at : at + len(p.tag)]
             at += len(p.tag)
+            own[of_forms(p)] = -np.inf
             bare = all(t == "#text" for t in p.tag[1:])
             out.append("\n".join(t for t, c in zip(p.text, decode(p.parent, own)) if t and (c or bare)))
-        held.clear()
-
-    for source in sources:
-        page = Page(source or "")
-        if len(page.tag) > NODES // 4:
-            if held:
-                done()
-            size = 0
-            out.append(main_text(page, forest))
-            continue
-        held.append((page, *node_features(page)))
-        size += len(page.tag)
-        if size > NODES:
-            done()
-            size = 0
-    if held:
-        done()
     return out
 
 
