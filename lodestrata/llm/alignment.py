@@ -47,6 +47,8 @@ _CUT = re.compile(f"(?<=[{_SOLID}])(?=[{_SPACES}])")
 #: The apostrophe is no sign here, as the pattern knows 's, 't and others.
 _PLAIN = re.compile(r"([ \n])([A-Za-z]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 _WORD = re.compile(f"[{_SOLID}]+")
+#: Entries have a group as `a1,a2;b1` and `|` between groups; a digest is of `a1,a2|b1;a3|b2,b3`.
+_DIGESTED = bytes.maketrans(b";|", b"|;")
 _CACHE: dict = {}
 
 
@@ -240,7 +242,7 @@ def _store(a: str, b: str):
                         continue
                     n_a, n_b, n_groups, groups, codes = zip(*entries)
                     codes, times = np.unique(np.frombuffer(b"".join(codes), np.int64), return_counts=True)
-                    found.append((sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256("|".join(groups).encode()).hexdigest(), codes, times))
+                    found.append((sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256("|".join(groups).encode().translate(_DIGESTED)).hexdigest(), codes, times))
                     waiting.append((codes, times))
                 yield rows(batch.column(0).slice(i, j - i), found, False)
                 if sum(len(c) for c, _ in waiting) > 1 << 20:
@@ -256,7 +258,7 @@ def pair_statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(one row per row of docs, one row per pair of ids).
 
     Rows: key, n_a, n_b, n_groups, n_links (end links), n_best (links whose pair is the most frequent of its B id, ties included), count_sum (over
-    links, how many links of the corpus hold the pair), groups_sha256. Pairs: a_id, b_id, n_links, best.
+    links, how many links of the corpus hold the pair), groups_sha256 (of `a1,a2|b1;a3|b2,b3`, ids by group). Pairs: a_id, b_id, n_links, best.
     """
     spark, names = docs.sparkSession, [f.split()[0] for f in _STORED.split(", ")]
     slim = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

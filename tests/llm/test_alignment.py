@@ -127,3 +127,11 @@ def test_pairs_are_bounded_by_the_vocabularies(spark, aligner):
 
 def test_empty_table(spark, empty):
     assert A.pair_statistics(empty)[0].count() == 0 and A.alignments(empty).count() == 0
+
+
+def test_digest_has_a_bar_in_groups_and_semicolons_between(spark, aligner, tmp_path):
+    texts = ["Unbelievable café, naïveté\nx", "one two", "x;\r\r\ny  z", "word"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for row in A.op12_alignment(spark, str(tmp_path)).collect():
+        groups = [g.split(";") for g in brute(aligner, texts[row["doc_id"]])[2]]
+        assert row["groups_sha256"] == hashlib.sha256(";".join(f"{a}|{b}" for a, b in groups).encode()).hexdigest()
