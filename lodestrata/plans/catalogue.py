@@ -452,7 +452,7 @@ def json_fields(spark, d):
 @query("""SELECT vec_id, array_to_string([CASE WHEN i % 10 < 8 AND i // 10 < 8 THEN CAST(round(embedding[(i // 10) * 8 + i % 10 + 1] * 1000) AS INTEGER) ELSE 0 END FOR i IN range(100)], ',') AS padded FROM embeddings""")
 def tile_padding(spark, d):
     padded = S.pad_tile(F.col("embedding"), 8, 8, 10, 10)
-    return A.table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(padded, lambda x: F.round(x * 1000).cast("int")), ",").alias("padded"))
+    return A.table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(padded, lambda x: F.round(x * F.lit(1000).cast("float")).cast("int")), ",").alias("padded"))  # in floats, as SQL
 
 
 @query("""SELECT event_type AS iteration, count(*) AS frames, round(sum(CAST(floor(value * 1000) AS BIGINT)) / 1000000.0, 6) AS seconds, round(count(*) / (sum(CAST(floor(value * 1000) AS BIGINT)) / 1000000.0), 4) AS frames_per_second FROM events GROUP BY event_type""")
