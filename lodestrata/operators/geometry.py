@@ -79,7 +79,7 @@ def jobs(levels: DataFrame, *, max_levels: int | None = None, level: int | None
 def frames(levels: DataFrame, *, start_row: int = 0, row_count: int | None = None) -> DataFrame:
     """One row per frame of levels with tiles_across, tiles_down, frame_w and frame_h; a task's frames are those of its levels, row by row."""
     last = F.col("tiles_down") if row_count is None else F.least("tiles_down", F.lit(start_row + row_count))
-    down = F.filter(counted(last), lambda r: r >= start_row)
+    down = F.when(last > start_row, F.sequence(F.lit(start_row).cast("bigint"), last.cast("bigint") - 1))
     each = levels.withColumn("row", F.explode(down)).withColumn("col", F.explode(counted(F.col("tiles_across"))))
     rect = clamped_rect(F.col("col"), F.col("row"), F.col("frame_w"), F.col("frame_h"), F.col("cols"), F.col("rows"))
     return each.withColumn("frame", F.col("row") * F.col("tiles_across") + F.col("col")).withColumn("rect", rect)
@@ -99,14 +99,20 @@ def _pair(col, row) -> Column:
     return F.struct(as_long(col).alias("col"), as_long(row).alias("row"))
 
 
-def probe_coordinates(across: Column, down: Column, *, first: int = 4096) -> Column:
-    """Ordered distinct tiles to probe: nine anchors, an 8 by 8 lattice, then the first tiles row by row."""
+def probe_places(across: Column, down: Column, *, first: int = 4096) -> Column:
+    """Ordered distinct places (row * across + col) of tiles to probe: nine anchors, an 8 by 8 lattice, then the first tiles row by row."""
+    across, down = across.cast("bigint"), down.cast("bigint")
     last_c, last_r, mid_c, mid_r = across - 1, down - 1, F.call_function("div", across, F.lit(2)), F.call_function("div", down, F.lit(2))
-    anchors = F.array(*(_pair(c, r) for c, r in ((0, 0), (mid_c, mid_r), (last_c, last_r), (0, mid_r), (mid_c, 0), (last_c, mid_r), (mid_c, last_r), (last_c, 0), (0, last_r))))
+    zero = F.lit(0).cast("bigint")
+    anchors = F.array(*(r * across + c for c, r in ((zero, zero), (mid_c, mid_r), (last_c, last_r), (zero, mid_r), (mid_c, zero), (last_c, mid_r), (mid_c, last_r), (last_c, zero), (zero, last_r))))
     step = lambda last, k: F.call_function("div", last * k, F.lit(7))
-    lattice = F.array(*(_pair(step(last_c, i % 8), step(last_r, i // 8)) for i in range(64)))
-    rest = F.transform(counted(F.least(across * down, F.lit(first))), lambda i: _pair(i % across, F.call_function("div", i, across)))
-    return F.when((across > 0) & (down > 0), F.array_distinct(F.concat(anchors, lattice, rest)))
+    lattice = F.transform(F.sequence(zero, F.lit(63).cast("bigint")), lambda i: step(last_r, F.call_function("div", i, F.lit(8))) * across + step(last_c, i % 8))
+    return F.when((across > 0) & (down > 0), F.array_distinct(F.concat(anchors, lattice, counted(F.least(across * down, F.lit(first))))))
+
+
+def probe_coordinates(across: Column, down: Column, *, first: int = 4096) -> Column:
+    """Ordered distinct tiles (col, row) to probe, as `probe_places` has them; numbers are made distinct by a hash set, structs pair by pair."""
+    return F.transform(probe_places(across, down, first=first), lambda i: _pair(i % across, F.call_function("div", i, across)))
 
 
 def sampled_coordinates(across: Column, down: Column, most: int = 16) -> Column:

@@ -13,9 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Parts that a task makes levels of, whatever the size of the table; of a part some 300 rows of requests are made.
+PARTS_A_TASK = 5_000
+
+
+def spread(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows dealt by the key over partitions of about `most` rows. A narrow table is a file of few splits, and what is made of its rows is large."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key)
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, scene, series, level, cols, rows, kind, tile_w, tile_h, n_z, n_c, n_t): three levels a part."""
-    each = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("s"), F.explode(F.array(*map(F.lit, range(3)))).alias("level"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("s")), "p_partkey", PARTS_A_TASK)
+    each = parts.select("p_partkey", "s", F.explode(F.array(*map(F.lit, range(3)))).alias("level"))
     return each.select(
         F.col("p_partkey").alias("source"), F.lit(0).alias("scene"), F.expr("cast(s % 2 as int)").alias("series"), "level",
         F.expr("(1000 + (p_partkey * 7919) % 9000) div shiftleft(1L, level)").alias("cols"),

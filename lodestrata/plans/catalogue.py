@@ -118,8 +118,9 @@ f AS (SELECT source, level, x.c AS col, x.r AS row, min(i) AS i FROM u GROUP BY
 SELECT source, level, row_number() OVER (PARTITION BY source, level ORDER BY i) - 1 AS probe, CAST(col AS BIGINT) AS col, CAST(row AS BIGINT) AS row FROM f""")
 def probe_coordinates(spark, d):
     g = G.square_grid(A.levels(spark, d), TILE)
-    found = g.select("source", "level", F.posexplode(G.probe_coordinates(F.col("tiles_across"), F.col("tiles_down"))).alias("probe", "t"))
-    return found.select("source", "level", F.col("probe").cast("bigint").alias("probe"), "t.col", "t.row")
+    g = g.select("source", "level", "tiles_across", "tiles_down").distinct()
+    found = g.select("source", "level", "tiles_across", F.posexplode(G.probe_places(F.col("tiles_across"), F.col("tiles_down"))).alias("probe", "at"))
+    return found.select("source", "level", F.col("probe").cast("bigint").alias("probe"), F.expr("at % tiles_across").alias("col"), F.expr("at div tiles_across").alias("row"))
 
 
 @query(f"""WITH {_JOBS} SELECT source, 'scene-' || scene || '-series-' || series || '-level-' || level || '-z' || z || '-c' || c || '-t' || t || '.dcm' AS path,
