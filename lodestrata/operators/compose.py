@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.geometry import source_window
-
 
 def requests(frames: DataFrame) -> DataFrame:
     """(.., tile_col, tile_row, src_x, src_y, dst_x, dst_y, w, h): for each frame rect the part of every source tile it needs."""
     r = F.col("rect")
-    tiles = source_window(r["x"], r["y"], r["w"], r["h"], F.col("tile_w"), F.col("tile_h"))
-    each = frames.withColumn("tile", F.explode(tiles))
-    left, top = F.greatest(r["x"], F.col("tile.col") * F.col("tile_w")), F.greatest(r["y"], F.col("tile.row") * F.col("tile_h"))
-    right, low = F.least(r["x"] + r["w"], (F.col("tile.col") + 1) * F.col("tile_w")), F.least(r["y"] + r["h"], (F.col("tile.row") + 1) * F.col("tile_h"))
+    touched = lambda at, n, size: F.when((r["w"] > 0) & (r["h"] > 0), F.sequence(F.call_function("div", at, size), F.call_function("div", at + n - 1, size)))
+    each = frames.withColumn("tile_row", F.explode(touched(r["y"], r["h"], F.col("tile_h")))).withColumn("tile_col", F.explode(touched(r["x"], r["w"], F.col("tile_w"))))
+    col, row = F.col("tile_col"), F.col("tile_row")
+    left, top = F.greatest(r["x"], col * F.col("tile_w")), F.greatest(r["y"], row * F.col("tile_h"))
+    right, low = F.least(r["x"] + r["w"], (col + 1) * F.col("tile_w")), F.least(r["y"] + r["h"], (row + 1) * F.col("tile_h"))
     return each.withColumns({
-        "tile_col": F.col("tile.col"), "tile_row": F.col("tile.row"), "src_x": left - F.col("tile.col") * F.col("tile_w"), "src_y": top - F.col("tile.row") * F.col("tile_h"),
-        "dst_x": left - r["x"], "dst_y": top - r["y"], "w": right - left, "h": low - top,
-    }).drop("tile")
+        "src_x": left - col * F.col("tile_w"), "src_y": top - row * F.col("tile_h"), "dst_x": left - r["x"], "dst_y": top - r["y"], "w": right - left, "h": low - top,
+    })
 
 
 def last_byte(x: Column, y: Column, w: Column, h: Column, stride: Column, sample: int) -> Column:
