@@ -141,6 +141,19 @@ def output_path() -> Column:
     return F.format_string("scene-%d-series-%d-level-%d-z%d-c%d-t%d.dcm", "scene", "series", "level", "z", "c", "t")
 
 
+def output_paths(levels: DataFrame) -> DataFrame:
+    """(source, path, is_unique) of all jobs, a row each: whether another job of the source has the path.
+
+    Jobs meet by level, before they are many: levels of one source, scene, series and level are counted for each z, t and channel that they have.
+    """
+    same = levels.groupBy("source", "scene", "series", "level").agg(F.collect_list(F.struct("n_z", "n_t", "n_c")).alias("same"))
+    each = same.select("*", F.explode("same").alias("own"))
+    for axis in ("z", "t", "c"):
+        each = each.withColumn(axis, F.explode(counted(F.col(f"own.n_{axis}"))))
+    others = F.filter("same", lambda n: (n["n_z"] > F.col("z")) & (n["n_t"] > F.col("t")) & (n["n_c"] > F.col("c")))
+    return each.select("source", output_path().alias("path"), ((F.size("same") == 1) | (F.size(others) == 1)).alias("is_unique"))
+
+
 def batch_rows(across: Column, rows_left: Column, *, configured: int | None = None, target: int = 256) -> Column:
     """Rows of tiles handled together: as configured, or enough for `target` tiles; at least one, at most what is left."""
     want = F.lit(configured) if configured else ceil_div(F.lit(target), across)

@@ -126,9 +126,7 @@ def probe_coordinates(spark, d):
 @query(f"""WITH {_JOBS} SELECT source, 'scene-' || scene || '-series-' || series || '-level-' || level || '-z' || z || '-c' || c || '-t' || t || '.dcm' AS path,
 count(*) OVER (PARTITION BY source, scene, series, level, z, c, t) = 1 AS is_unique FROM jobs""")
 def output_paths(spark, d):
-    found = G.jobs(A.levels(spark, d)).withColumn("path", G.output_path())
-    n = found.groupBy("source", "path").agg(F.count("*").alias("n"))
-    return n.select("source", "path", (F.col("n") == 1).alias("is_unique"))
+    return G.output_paths(A.levels(spark, d))
 
 
 _JPEG = "(compression = 'jpeg' AND bits = 8 AND error IS NULL AND (photometric <> 'RGB' OR rgb_grid))"
