@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,28 +81,21 @@ def slug(text: Column) -> Column:
 
 
 def uid(seed: Column) -> Column:
-    """`2.25.` and the decimal form of the first 128 bits of the seed's SHA-256.
+    """`2.25.` and the decimal form of the first 128 bits of the seed's SHA-256."""
+    return uid_of_digest(F.sha2(seed, 256))
+
+
+def uid_of_digest(digest: Column) -> Column:
+    """`2.25.` and the decimal form of the first 32 hexadecimal digits.
 
-    39 digits are more than a decimal holds, so the hexadecimal digits are folded into five limbs of nine decimal digits.
+    39 digits are more than a decimal holds, so the nine last are kept apart: of the halves a and b, a * 2**64 + b is a * 18446744073 * 10**9 + a * 709551616 + b.
     """
-    base = 10**9
-    digits = F.transform(F.split(F.substring(F.sha2(seed, 256), 1, 32), ""), lambda d: F.conv(d, 16, 10).cast("bigint"))
-    digits = F.slice(digits, 1, 32)
-    zero = F.array(*(F.lit(0).cast("bigint") for _ in range(5)))
-
-    def step(limbs: Column, d: Column) -> Column:
-        out, carry = [], d
-        for i in range(5):
-            x = limbs[i] * 16 + carry
-            out.append(x % base)
-            carry = F.call_function("div", x, F.lit(base))
-        return F.array(*out)
-
-    def text(limbs: Column) -> Column:
-        whole = F.concat(*(F.lpad(limbs[i].cast("string"), 9, "0") for i in range(4, -1, -1)))
-        return F.coalesce(non_empty(F.regexp_replace(whole, "^0+", "")), F.lit("0"))
-
-    return F.concat(F.lit("2.25."), F.aggregate(digits, zero, step, text))
+    a, b = (F.conv(F.substring(digest, i, 16), 16, 10).cast("decimal(20,0)") for i in (1, 17))
+    low = a * F.lit(Decimal(709551616)) + b
+    last = (low % F.lit(Decimal(10**9))).cast("decimal(9,0)")
+    first = a * F.lit(Decimal(18446744073)) + ((low - last) / F.lit(Decimal(10**9))).cast("decimal(28,0)")
+    text = F.when(first > 0, F.concat(first.cast("string"), F.lpad(last.cast("string"), 9, "0"))).otherwise(last.cast("string"))
+    return F.concat(F.lit("2.25."), text)
 
 
 def decimal_string(value: float) -> str:
