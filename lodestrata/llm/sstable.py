@@ -240,12 +240,11 @@ def write_token_shards(docs: DataFrame, out: str, *, key: str = "doc_id", text:
 
         try:
             for batch in batches:
-                keys, texts = batch.column(0), batch.column(1)
-                for i in range(batch.num_rows):
+                for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
                     if writer is None:
                         file = fs.open_output_stream(f"{base}/{name()}")
                         writer = ShardWriter(file, encoder.width)
-                    writer.add(key_bytes(keys[i].as_py()), encoder.encode(texts[i].as_py()) + end)
+                    writer.add(key_bytes(k), ids + end)
                     if writer.at >= shard_bytes:
                         close()
             if writer is not None:

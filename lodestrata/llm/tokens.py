@@ -6,18 +6,24 @@ other than white space follows, without changing its ids. Chunks cut so are enco
 once and kept packed as bytes while the memo has room; a text is then one split, look-ups and a join.
 Texts with longer runs of white space, or where a chunk begins with a character that pattern engines
 may class differently, and texts in which the string of an added token occurs, go to the library whole.
+`encode_all` does this for an Arrow array: texts are cut and their distinct chunks found by Arrow, a chunk
+is looked up or encoded once an array, and ids are laid in the order of the texts by one `take`.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that every pattern engine takes for letters, digits, marks or signs, never for white space.
 _PLAIN = re.compile("[!-~¡-¬®-ɏΑ-ΡΣ-ωА-я–—‘-„…€一-龥]")
+#: A part that begins so, after its newline if it has one.
+_PLAIN_PART = f"^\n?{_PLAIN.pattern}"
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я]+")
 #: ASCII signs; the apostrophe is none here, as the pattern knows 's, 't and others.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -47,6 +53,7 @@ class PackedEncoder:
         self.code = "H" if self.width == 2 else "I"
         self.alphabet = byte_alphabet()
         self.space = chr(self.alphabet[32])
+        self.line = self.whole("\n")
         self.memo: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.numbers: dict[str, int] = {}
@@ -95,16 +102,60 @@ class PackedEncoder:
                 found[p] = raw + self.signs(p[len(word) :]) if p != word else raw
         return self.whole(first) + b"".join([memo[p] if p in memo else found[p] for p in parts])
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode() of each text of an array without nulls."""
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds, coded = cut.offsets.to_numpy() - cut.offsets[0].as_py(), pc.dictionary_encode(cut.flatten())
+        starts, at, parts = bounds[:-1], coded.indices.to_numpy().copy(), coded.dictionary
+        firsts = pc.take(parts, pa.array(at[starts])).to_pylist()
+        # each text's first part has no space before it, so it stands behind the parts as a value of its own
+        at[starts] = len(parts) + np.arange(len(texts))
+        odd = np.concatenate([pc.invert(pc.match_substring_regex(parts, _PLAIN_PART)).to_numpy(zero_copy_only=False), np.zeros(len(texts), bool)])
+        alone = np.logical_or.reduceat(odd[at], starts)
+        for t in self.added:
+            alone |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        used = at if not alone.any() else at[np.repeat(~alone, np.diff(bounds))]
+        times = np.bincount(used, minlength=len(odd))[: len(parts)]
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), " ")[0].as_py().split(" ")
+        memo = self.memo
+        raws = [*map(memo.get, names)]
+        for i in np.flatnonzero(times).tolist():
+            if raws[i] is None:
+                raws[i] = raw = self.part(names[i])
+                # those met once have half the room
+                if len(memo) < (self.most if times[i] > 1 else self.most // 2):
+                    memo[names[i]] = raw
+        raws = [r or b"" for r in raws] + [b"" if x else self.letters(f, "") if f.isascii() and f.isalpha() else self.whole(f) for f, x in zip(firsts, alone.tolist())]
+        ids = pc.take(pa.array(raws, pa.large_binary()), pa.array(at))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(at) + 1]
+        packed, cuts = memoryview(ids.buffers()[2] or b""), ends[bounds].tolist()
+        return [self.whole(texts[i].as_py()) if x else bytes(packed[a:b]) for i, (x, a, b) in enumerate(zip(alone.tolist(), cuts, cuts[1:]))]
+
+    def part(self, p: str) -> bytes:
+        """The ids of a part that begins with a plain character, after its newline if it has one."""
+        if p.isascii() and p.isalpha():
+            return self.letters(p, self.space)
+        word = p.rstrip(_SIGNS)
+        if word == p or not _LETTERS.match(word[-1:]):
+            return self.chunk(p)
+        if (raw := self.memo.get(word)) is None:
+            raw = self.chunk(word)
+            if len(self.memo) < self.most // 2:
+                self.memo[word] = raw
+        return raw + self.signs(p[len(word) :])
+
+    def letters(self, word: str, before: str) -> bytes:
+        """The ids of letters, which are one piece with the space before them: the model takes it as it is, in the byte alphabet."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(before + piece)]).tobytes()
+
     def chunk(self, word: str) -> bytes:
         """The ids of a part with its space or newline."""
         if word[0] == "\n":
-            return self.whole(word)
-        if not _LETTERS.fullmatch(word):
-            return self.whole(" " + word)
-        # letters after a space are one piece: the model takes it as it is, in the byte alphabet
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(self.space + piece)]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+            return self.line + self.letters(word[1:], "") if _LETTERS.fullmatch(word, 1) else self.whole(word)
+        return self.letters(word, self.space) if _LETTERS.fullmatch(word) else self.whole(" " + word)
 
     def signs(self, tail: str) -> bytes:
         if tail not in self.tails:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import sstable
@@ -30,6 +31,21 @@ def test_ids_are_those_of_the_tokenizer_as_dealt():
         assert np.frombuffer(e.encode(text), e.dtype).tolist() == want and e.count(text) == len(want)
 
 
+def test_arrays_give_the_ids_of_whole_texts_and_encode_a_chunk_once():
+    e, r = PackedEncoder(memo=50), random.Random(2)
+    parts = ["a", "B", "word", " ", " ", "\n", "\nÉté", "\t", "'s", "1", ".", "é", " ", "日", ",", "it", "\x00", "<|endoftext|>"]
+    texts = [*ODD, *("".join(r.choice(parts) for _ in range(r.randint(0, 15))) for _ in range(3000)), "", *[words(1, 500)] * 2]
+    want = [e.whole(t) for t in texts]
+    assert e.encode_all(pa.array(texts)) == want and e.encode_all(pa.array(texts).slice(7, 900)) == want[7:907] and e.encode_all(pa.array([], pa.string())) == []
+    assert e.encode_all(pa.array(["", ""])) == [b"", b""] and e.encode_all(pa.array(["<|endoftext|>"])) == [e.whole("<|endoftext|>")]
+    # without any room in the memo a chunk is still encoded once an array, with or without signs after it
+    e, met = PackedEncoder(memo=0), []
+    letters = e.letters
+    e.letters = lambda word, before: met.append(before + word) or letters(word, before)
+    e.encode_all(pa.array(["So alpha beta\nGamma alpha"] * 100))
+    assert len(met) == 100 + 3
+
+
 def test_byte_alphabet_is_one_to_one():
     assert len(set(byte_alphabet().values())) == 256
 
