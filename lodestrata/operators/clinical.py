@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import dims
 from lodestrata.functions.scalars import json_text
-from lodestrata.operators.lookups import patient_fields, resolve_references
+from lodestrata.operators.lookups import REFERENCED, patient_columns, reference, referred
 
 MAX_JSON_BYTES = 16 << 20
 
@@ -29,28 +31,44 @@ def bundle_resources(documents: DataFrame, key: str = "bundle", body: str = "bod
     return rows.select("bundle", "pos", json_text(F.col("body"), "$.resourceType").alias("type"), json_text(F.col("body"), "$.id").alias("id"), "body")
 
 
-def _get(pointer: str) -> Column:
-    return F.nullif(F.get_json_object("body", pointer), F.lit(""))
+def specimen_columns(id: str = "id", body: str = "body") -> tuple[Column, ...]:
+    """specimen_id, container_id, specimen_description; the container has the specimen's name."""
+    name = F.coalesce(reference("$.accessionIdentifier.value", body), reference("$.identifier[0].value", body), id)
+    return name.alias("specimen_id"), name.alias("container_id"), reference("$.type.text", body).alias("specimen_description")
 
 
-def specimen_fields(resources: DataFrame) -> DataFrame:
-    """(bundle, specimen_id, container_id, specimen_description); the container has the specimen's name."""
-    name = F.coalesce(_get("$.accessionIdentifier.value"), _get("$.identifier[0].value"), "id")
-    return resources.where("type = 'Specimen'").select("bundle", name.alias("specimen_id"), name.alias("container_id"), _get("$.type.text").alias("specimen_description"))
+def request_columns(id: str = "id", body: str = "body") -> tuple[Column, ...]:
+    return F.coalesce(reference("$.identifier[0].value", body), reference("$.requisition.value", body), id).alias("accession_number"), reference("$.code.text", body).alias("request_text")
 
 
-def request_fields(resources: DataFrame) -> DataFrame:
-    return resources.where("type = 'ServiceRequest'").select("bundle", F.coalesce(_get("$.identifier[0].value"), _get("$.requisition.value"), "id").alias("accession_number"), _get("$.code.text").alias("request_text"))
+def report_columns(id: str = "id", body: str = "body") -> tuple[Column, ...]:
+    return F.coalesce(reference("$.identifier[0].value", body), id).alias("study_id"), reference("$.code.text", body).alias("report_text")
 
 
-def report_fields(resources: DataFrame) -> DataFrame:
-    return resources.where("type = 'DiagnosticReport'").select("bundle", F.coalesce(_get("$.identifier[0].value"), "id").alias("study_id"), _get("$.code.text").alias("report_text"))
+def _once(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """Adds columns that are worked out once a row: filters on them stay behind the generator, so they do not repeat the parsing."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def metadata(resources: DataFrame) -> DataFrame:
-    """One row per bundle without a broken reference and with a patient's id and name: patient, specimen, accession, study; the report's text wins over the request's."""
-    good = resolve_references(resources).where("error is null").select("bundle")
-    found = good.join(patient_fields(resources), "bundle").join(specimen_fields(resources), "bundle").join(request_fields(resources), "bundle").join(report_fields(resources), "bundle")
+    """One row per bundle without a broken reference and with a patient's id and name: patient, specimen, accession, study; the report's text wins over the request's.
+
+    By the rules of `resolve_references` such a bundle has one report, patient, specimen and request each, so all meet in one grouping by bundle, and JSON is parsed of those
+    bundles alone. A row without one of these types may still have the name of one, and then counts as a hit.
+    """
+    kinds = {"report": "DiagnosticReport"} | {word: type_ for type_, _, word in REFERENCED}
+    name = F.concat_ws("/", "type", "id")
+    is_other = ~F.coalesce(F.col("type").isin(*kinds.values()), F.lit(False)) & name.rlike(f"^({'|'.join(t for t, _, _ in REFERENCED)})/")
+    of = lambda type_, c: F.min(F.when(F.col("type") == type_, c))
+    bundles = resources.where("bundle is not null").repartition("bundle").groupBy("bundle").agg(
+        *(F.count_if(F.col("type") == t).alias(f"{k}s") for k, t in kinds.items()), *(of(t, F.struct("id", "body")).alias(k) for k, t in kinds.items()), F.collect_list(F.when(is_other, name)).alias("others"),
+    )
+    one_each = bundles.where(" and ".join(f"{k}s = 1" for k in kinds))
+    named = _once(one_each, [c.alias(f"{n}_name") for (_, n, _), c in zip(REFERENCED, referred("report.body"))])
+    hits = lambda type_, ref, k: (F.concat_ws("/", F.lit(type_), f"{k}.id") == ref).cast("int") + F.size("others") - F.size(F.array_remove("others", ref))
+    good = reduce(lambda rows, r: rows.where(F.startswith(f"{r[1]}_name", F.lit(f"{r[0]}/")) & (hits(r[0], F.col(f"{r[1]}_name"), r[2]) == 1)), REFERENCED, named)
+    columns = (("patient", patient_columns), ("specimen", specimen_columns), ("request", request_columns), ("report", report_columns))
+    found = _once(good, [c for k, of_kind in columns for c in of_kind(f"{k}.id", f"{k}.body")])
     strict = (F.coalesce("patient_id", F.lit("")) != "") & (F.coalesce("patient_name", F.lit("")) != "")
     return found.where(strict).select(
         "bundle", "patient_id", "patient_name", "birth_date", "sex", "specimen_id", "container_id", "specimen_description", "accession_number", "study_id",

@@ -22,8 +22,8 @@ def manifest_match(slides: DataFrame, manifest: DataFrame) -> DataFrame:
     return s.withColumn("m", F.coalesce("m1", "m2", "m3")).select("slide", "m.tier", "m.file_id")
 
 
-def reference(path: str) -> Column:
-    return F.nullif(F.get_json_object("body", path), F.lit(""))
+def reference(path: str, body: str = "body") -> Column:
+    return F.nullif(F.get_json_object(body, path), F.lit(""))
 
 
 #: What a report refers to: the type, the name of the reference, and what an unreferenced one is called; in the order in which rules are checked.
@@ -32,9 +32,14 @@ REFERENCED = (("Patient", "subject", "patient"), ("Specimen", "specimen", "speci
 
 def report_references(resources: DataFrame) -> DataFrame:
     """(bundle, subject, specimen, request) of reports; of specimens and requests a report must name exactly one, else the name is null."""
-    several = lambda field: F.from_json(F.get_json_object("body", f"$.{field}"), "array<struct<reference:string>>")
+    return resources.where("type = 'DiagnosticReport'").select("bundle", *(c.alias(name) for (_, name, _), c in zip(REFERENCED, referred())))
+
+
+def referred(body: str = "body") -> tuple[Column, Column, Column]:
+    """The names of the patient, the specimen and the request that a report refers to."""
+    several = lambda field: F.from_json(F.get_json_object(body, f"$.{field}"), "array<struct<reference:string>>")
     only = lambda field: F.when(F.size(several(field)) == 1, F.nullif(several(field)[0]["reference"], F.lit("")))
-    return resources.where("type = 'DiagnosticReport'").select("bundle", reference("$.subject.reference").alias("subject"), only("specimen").alias("specimen"), only("basedOn").alias("request"))
+    return reference("$.subject.reference", body), only("specimen"), only("basedOn")
 
 
 def resolve_references(resources: DataFrame) -> DataFrame:
@@ -64,12 +69,16 @@ def unreferenced(resources: DataFrame) -> DataFrame:
 
 def patient_fields(resources: DataFrame) -> DataFrame:
     """(bundle, patient_id, patient_name, birth_date, sex) of patients."""
-    family = reference("$.name[0].family")
-    given = F.array_join(F.from_json(F.get_json_object("body", "$.name[0].given"), "array<string>"), " ")
-    sex = F.create_map(*(F.lit(x) for x in ("male", "M", "female", "F", "other", "O", "unknown", "U")))[F.get_json_object("body", "$.gender")]
-    return resources.where("type = 'Patient'").select(
-        "bundle", F.coalesce(reference("$.identifier[0].value"), "id").alias("patient_id"), F.when(family.isNotNull(), F.concat_ws("^", family, F.nullif(given, F.lit("")))).alias("patient_name"),
-        F.replace(F.get_json_object("body", "$.birthDate"), F.lit("-"), F.lit("")).alias("birth_date"), sex.alias("sex"),
+    return resources.where("type = 'Patient'").select("bundle", *patient_columns())
+
+
+def patient_columns(id: str = "id", body: str = "body") -> tuple[Column, ...]:
+    family = reference("$.name[0].family", body)
+    given = F.array_join(F.from_json(F.get_json_object(body, "$.name[0].given"), "array<string>"), " ")
+    sex = F.create_map(*(F.lit(x) for x in ("male", "M", "female", "F", "other", "O", "unknown", "U")))[F.get_json_object(body, "$.gender")]
+    return (
+        F.coalesce(reference("$.identifier[0].value", body), id).alias("patient_id"), F.when(family.isNotNull(), F.concat_ws("^", family, F.nullif(given, F.lit("")))).alias("patient_name"),
+        F.replace(F.get_json_object(body, "$.birthDate"), F.lit("-"), F.lit("")).alias("birth_date"), sex.alias("sex"),
     )
 
 

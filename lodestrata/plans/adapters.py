@@ -105,9 +105,11 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
         """concat('{"subject":{"reference":"Patient/p', o_custkey, '"},"specimen":[{"reference":"Specimen/k', o_orderkey % 2, '"}],"basedOn":[{"reference":"ServiceRequest/s', o_orderkey % 7, '"}],"code":{"text":"report ', o_orderkey % 5, '"}}')""").alias("body"))
     patient = o.select(F.col("o_orderkey").alias("bundle"), F.lit("Patient").alias("type"), F.concat(F.lit("p"), "o_custkey").alias("id"), F.expr(
         """concat('{"identifier":[{"value":"', o_custkey, '"}],"birthDate":"19', 50 + o_custkey % 50, '-01-02","gender":"', case o_custkey % 4 when 0 then 'male' when 1 then 'female' when 2 then 'other' else '' end, '","name":[{"family":"F', o_custkey % 9, '","given":["A","B"]}]}')""").alias("body"))
-    request = li.select(F.col("l_orderkey").alias("bundle"), F.lit("ServiceRequest").alias("type"), F.expr("concat('s', l_suppkey % 7)").alias("id"), F.lit('{"requisition":{"value":"q"}}').alias("body"))
-    specimen = li.select(F.col("l_orderkey").alias("bundle"), F.lit("Specimen").alias("type"), F.expr("concat('k', l_suppkey % 2)").alias("id"), F.expr("""concat('{"accessionIdentifier":{"value":"', if(l_orderkey % 3 = 0, '', concat('A', l_orderkey)), '"},"type":{"text":"tissue ', l_suppkey % 2, '"}}')""").alias("body"))
-    return report.union(patient).union(request.distinct()).union(specimen.distinct())
+    # ids and bodies follow from the remainders, so distinct rows are found by two numbers
+    kinds = lambda n: li.select(F.col("l_orderkey").alias("bundle"), F.expr(f"l_suppkey % {n}").alias("k")).distinct()
+    request = kinds(7).select("bundle", F.lit("ServiceRequest").alias("type"), F.expr("concat('s', k)").alias("id"), F.lit('{"requisition":{"value":"q"}}').alias("body"))
+    specimen = kinds(2).select("bundle", F.lit("Specimen").alias("type"), F.expr("concat('k', k)").alias("id"), F.expr("""concat('{"accessionIdentifier":{"value":"', if(bundle % 3 = 0, '', concat('A', bundle)), '"},"type":{"text":"tissue ', k, '"}}')""").alias("body"))
+    return report.union(patient).union(request).union(specimen)
 
 
 #: What the resources have, a table for each type, without JSON.
