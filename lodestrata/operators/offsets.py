@@ -45,22 +45,27 @@ def assemble_frames(fragments: DataFrame, starts: DataFrame) -> DataFrame:
 
     fragments: (instance, fragment, data); starts: (instance, frame, offset, length), length null where none is recorded. Instances without any start have a frame a
     fragment. `error`, then without bytes: a start that is no fragment's offset, starts that do not ascend from 0, or a length beyond the bytes there are.
-    A row holds the fragments of one frame, never those of an instance.
+    A row holds the fragments of one frame, never those of an instance. Fragments and starts meet in one exchange by instance, sorted by offset.
     """
     w = Window.partitionBy("instance").orderBy("fragment")
     size = F.octet_length("data").cast("bigint")
-    sized = fragments.withColumn("offset", F.coalesce(F.sum(padded(size) + 8).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.coalesce(F.sum(padded(size) + 8).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lag = F.lag("offset").over(Window.partitionBy("instance").orderBy("frame"))
-    known = starts.withColumn("ascends", F.when(lag.isNull(), F.col("offset") == 0).otherwise(F.col("offset") > lag))
-    at = F.struct(F.col("frame"), F.col("length"), F.col("ascends"))
-    placed = sized.join(known.groupBy("instance", "offset").agg(F.min(at).alias("at"), F.min(F.lit(True)).alias("is_start")), ["instance", "offset"], "left")
-    placed = placed.join(starts.select("instance").distinct().withColumn("has_starts", F.lit(True)), "instance", "left")
-    frame = F.when(F.col("has_starts"), F.last("at.frame", ignorenulls=True).over(w)).otherwise(F.col("fragment"))
-    parts = placed.withColumn("frame", frame).where("frame is not null").groupBy("instance", "frame").agg(F.sort_array(F.collect_list(F.struct("fragment", "data"))).alias("parts"), F.sum(size).alias("there"))
-    raw = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"]))
-    joined = known.join(parts.select("instance", "frame", "there", raw.alias("raw")), ["instance", "frame"], "left")
-    error = F.when(~F.col("ascends"), "offsets do not ascend from zero").when(F.col("raw").isNull(), "offset is no fragment's").when(F.col("length") > F.col("there"), "length is beyond the fragments")
-    cut = F.substring("raw", F.lit(1), F.coalesce(F.col("length"), F.col("there")).cast("int"))
-    found = joined.select("instance", "frame", F.when(error.isNull(), cut).alias("raw"), error.alias("error"))
-    alone = parts.join(starts.select("instance").distinct(), "instance", "left_anti").select("instance", "frame", raw.alias("raw"), F.lit(None).cast("string").alias("error"))
-    return found.unionByName(alone)
+    ascends = F.when(lag.isNull(), F.col("offset") == 0).otherwise(F.col("offset") > lag)
+    known = starts.select("instance", F.col("offset").cast("bigint").alias("offset"), F.lit(True).alias("is_start"), "frame", F.struct("length", ascends.alias("ascends")).alias("known"))
+    pieces = fragments.select("instance", at.cast("bigint").alias("offset"), F.lit(False).alias("is_start"), "fragment", "data")
+    order = [F.col("is_start").desc(), "frame", "fragment"]
+    rows = pieces.unionByName(known, allowMissingColumns=True).repartition("instance")
+    # a fragment comes after the starts at its offset; instances that are null meet no start
+    own = F.when(~F.col("is_start") & F.col("instance").isNotNull(), F.min(F.when(F.col("is_start"), F.col("frame"))).over(Window.partitionBy("instance", "offset").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("own", own).withColumn("begun", F.last("own", ignorenulls=True).over(Window.partitionBy("instance").orderBy("offset", *order).rowsBetween(Window.unboundedPreceding, 0)))
+    has_starts = F.max("is_start").over(Window.partitionBy("instance")) & F.col("instance").isNotNull()
+    rows = rows.withColumn("alone", ~F.col("is_start") & ~has_starts).withColumn("frame", F.when(F.col("is_start"), F.col("frame")).when(F.col("alone"), F.col("fragment")).otherwise(F.col("begun")))
+    parts = rows.where("is_start or frame is not null").groupBy("instance", "frame", "alone").agg(
+        F.collect_list("known").alias("known"), F.sort_array(F.collect_list(F.when(~F.col("is_start"), F.struct("fragment", "data")))).alias("parts"), F.sum(size).alias("there")
+    )
+    raw = F.when(F.size("parts") > 0, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"])))
+    each = parts.select("instance", "frame", "alone", "there", raw.alias("raw"), F.explode_outer("known").alias("known")).select("instance", "frame", "alone", "there", "raw", "known.*")
+    error = F.when(F.col("alone"), F.lit(None)).when(~F.col("ascends"), "offsets do not ascend from zero").when(F.col("raw").isNull(), "offset is no fragment's").when(F.col("length") > F.col("there"), "length is beyond the fragments")
+    cut = F.when(F.col("alone"), F.col("raw")).otherwise(F.substring("raw", F.lit(1), F.coalesce(F.col("length"), F.col("there")).cast("int")))
+    return each.select("instance", "frame", F.when(error.isNull(), cut).alias("raw"), error.alias("error"))

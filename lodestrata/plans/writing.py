@@ -19,11 +19,16 @@ _ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_di
 _LINES = f"""SELECT l_suppkey AS instance, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) - 1 AS frame, repeat('x', CAST(l_linenumber AS INTEGER)) || l_orderkey || 'é' AS said FROM lineitem"""
 
 
+#: Line items that a task sorts, whatever the size of the table.
+LINES_A_TASK = 250_000
+
+
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(instance, frame, bytes): the line items of a supplier as its frames."""
     w = Window.partitionBy("l_suppkey").orderBy(*_ORDER.split(", "))
     said = F.concat(F.expr("repeat('x', l_linenumber)"), F.col("l_orderkey").cast("string"), F.lit("é"))
-    return adapters.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("instance"), (F.row_number().over(w).cast("bigint") - 1).alias("frame"), F.encode(said, "UTF-8").alias("bytes"))
+    lines = adapters.spread(adapters.table(spark, sf_dir, "lineitem").select(*_ORDER.split(", "), "l_suppkey"), "l_suppkey", LINES_A_TASK)
+    return lines.select(F.col("l_suppkey").alias("instance"), (F.row_number().over(w).cast("bigint") - 1).alias("frame"), F.encode(said, "UTF-8").alias("bytes"))
 
 
 def written_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
