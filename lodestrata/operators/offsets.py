@@ -45,7 +45,7 @@ def assemble_frames(fragments: DataFrame, starts: DataFrame) -> DataFrame:
 
     fragments: (instance, fragment, data); starts: (instance, frame, offset, length), length null where none is recorded. Instances without any start have a frame a
     fragment. `error`, then without bytes: a start that is no fragment's offset, starts that do not ascend from 0, or a length beyond the bytes there are.
-    A row holds the fragments of one frame, never those of an instance. Fragments and starts meet in one exchange by instance, sorted by offset.
+    A row holds the fragments of one frame, never those of an instance. Fragments and starts meet by instance, sorted by offset; inputs dealt by instance stay as they are dealt.
     """
     w = Window.partitionBy("instance").orderBy("fragment")
     size = F.octet_length("data").cast("bigint")
@@ -55,7 +55,7 @@ def assemble_frames(fragments: DataFrame, starts: DataFrame) -> DataFrame:
     known = starts.select("instance", F.col("offset").cast("bigint").alias("offset"), F.lit(True).alias("is_start"), "frame", F.struct("length", ascends.alias("ascends")).alias("known"))
     pieces = fragments.select("instance", at.cast("bigint").alias("offset"), F.lit(False).alias("is_start"), "fragment", "data")
     order = [F.col("is_start").desc(), "frame", "fragment"]
-    rows = pieces.unionByName(known, allowMissingColumns=True).repartition("instance")
+    rows = pieces.unionByName(known, allowMissingColumns=True)
     # a fragment comes after the starts at its offset; instances that are null meet no start
     own = F.when(~F.col("is_start") & F.col("instance").isNotNull(), F.min(F.when(F.col("is_start"), F.col("frame"))).over(Window.partitionBy("instance", "offset").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("own", own).withColumn("begun", F.last("own", ignorenulls=True).over(Window.partitionBy("instance").orderBy("offset", *order).rowsBetween(Window.unboundedPreceding, 0)))
